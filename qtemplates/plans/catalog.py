@@ -263,3 +263,87 @@ ORDER BY frequency DESC, templated_question LIMIT 20
 def q_top_k(spark, sf):
     d = doc_lines(spark, sf).select(F.col("line").alias("templated_question"))
     return K.top_k(K.template_frequency(d), 20, [F.desc("frequency"), F.col("templated_question")])
+
+
+# ---------------------------------------------------------------- step 4: BLEU
+
+from qtemplates.operators import bleu as B  # noqa: E402
+from qtemplates.sources.tables import bench_lines  # noqa: E402
+
+_BLEU_SRC = (S.BENCH_LINES, "SELECT line AS t FROM bench_lines", "SELECT line AS t FROM doc_lines")
+
+
+def _bleu_inputs(spark, sf):
+    tr = bench_lines(spark, sf).select(F.col("line").alias("template"))
+    te = doc_lines(spark, sf).select(F.col("line").alias("template"))
+    return tr, te
+
+
+_PAIR_SCORES = """
+pairs AS (
+  SELECT a.t AS te, b.t AS tr,
+         sum(CASE WHEN a.n = 1 THEN least(a.c, b.c) ELSE 0 END) AS m1,
+         sum(CASE WHEN a.n = 2 THEN least(a.c, b.c) ELSE 0 END) AS m2,
+         sum(CASE WHEN a.n = 3 THEN least(a.c, b.c) ELSE 0 END) AS m3,
+         sum(CASE WHEN a.n = 4 THEN least(a.c, b.c) ELSE 0 END) AS m4
+  FROM teg a JOIN trg b ON a.n = b.n AND a.g = b.g GROUP BY a.t, b.t
+),
+scored AS (
+  SELECT p.te, {score} AS s
+  FROM pairs p JOIN tes ON tes.t = p.te JOIN trs ON trs.t = p.tr
+),
+best AS (
+  SELECT tes.t AS template, CAST(tes.mult AS BIGINT) AS mult, coalesce(max(s), 0.0) AS bleu
+  FROM tes LEFT JOIN scored ON scored.te = tes.t GROUP BY tes.t, tes.mult
+)""".replace("{score}", S.bleu_score("p.m", "len(tes.w)", "len(trs.w)"))
+
+
+@query("max_sentence_bleu", sql=_with(S.DOC_LINES, _BLEU_SRC[0], S.bleu_sides(*_BLEU_SRC[1:]), _PAIR_SCORES)
+       + "SELECT template, mult, round(bleu, 9) AS bleu FROM best")
+def q_max_bleu(spark, sf):
+    tr, te = _bleu_inputs(spark, sf)
+    b = B.max_sentence_bleu(tr, te)
+    return b.select("template", "mult", F.round("bleu", 9).alias("bleu"))
+
+
+@query("average_bleu", sql=_with(S.DOC_LINES, _BLEU_SRC[0], S.bleu_sides(*_BLEU_SRC[1:]), _PAIR_SCORES)
+       + "SELECT round(coalesce(sum(bleu * mult) / sum(mult), 0.0), 9) AS average_bleu FROM best")
+def q_avg_bleu(spark, sf):
+    tr, te = _bleu_inputs(spark, sf)
+    a = B.average_bleu(B.max_sentence_bleu(tr, te))
+    return a.select(F.round("average_bleu", 9).alias("average_bleu"))
+
+
+_CORPUS = """
+maxref AS (SELECT n, g, max(c) AS mc FROM trg GROUP BY n, g),
+nums AS (
+  SELECT sum(CASE WHEN h.n = 1 THEN tes.mult * least(h.c, coalesce(r.mc, 0)) ELSE 0 END) AS m1,
+         sum(CASE WHEN h.n = 2 THEN tes.mult * least(h.c, coalesce(r.mc, 0)) ELSE 0 END) AS m2,
+         sum(CASE WHEN h.n = 3 THEN tes.mult * least(h.c, coalesce(r.mc, 0)) ELSE 0 END) AS m3,
+         sum(CASE WHEN h.n = 4 THEN tes.mult * least(h.c, coalesce(r.mc, 0)) ELSE 0 END) AS m4
+  FROM teg h JOIN tes ON tes.t = h.t LEFT JOIN maxref r ON r.n = h.n AND r.g = h.g
+),
+rl AS (SELECT DISTINCT len(w) AS R FROM trs),
+hl AS (SELECT len(w) AS L, sum(mult) AS w FROM tes GROUP BY len(w)),
+closest AS (
+  SELECT L, w, (SELECT R FROM rl ORDER BY abs(R - L), R LIMIT 1) AS R FROM hl
+),
+tot AS (
+  SELECT sum(w * L) AS hyp_len, sum(w * R) AS ref_len,
+         sum(w * greatest(1, L)) AS d1, sum(w * greatest(1, L - 1)) AS d2,
+         sum(w * greatest(1, L - 2)) AS d3, sum(w * greatest(1, L - 3)) AS d4
+  FROM closest
+)"""
+
+
+@query("corpus_bleu", sql=_with(S.DOC_LINES, _BLEU_SRC[0], S.bleu_sides(*_BLEU_SRC[1:]), _CORPUS) + """
+SELECT round(coalesce(CASE WHEN m1 > 0 THEN
+  (CASE WHEN hyp_len > ref_len THEN 1.0 WHEN hyp_len = 0 THEN 0.0 ELSE exp(1.0 - CAST(ref_len AS DOUBLE) / hyp_len) END)
+  * exp(0.25 * (ln(CASE WHEN m1 > 0 THEN m1 / d1 ELSE 0.1 / d1 END) + ln(CASE WHEN m2 > 0 THEN m2 / d2 ELSE 0.1 / d2 END)
+              + ln(CASE WHEN m3 > 0 THEN m3 / d3 ELSE 0.1 / d3 END) + ln(CASE WHEN m4 > 0 THEN m4 / d4 ELSE 0.1 / d4 END)))
+  ELSE 0.0 END, 0.0), 9) AS corpus_bleu
+FROM tot, nums
+""")
+def q_corpus_bleu(spark, sf):
+    tr, te = _bleu_inputs(spark, sf)
+    return B.corpus_bleu(tr, te).select(F.round("corpus_bleu", 9).alias("corpus_bleu"))

@@ -52,3 +52,36 @@ raw_lines AS (
 doc_lines AS (
   SELECT doc_id, lang, line_no, line FROM raw_lines WHERE {nonblank}
 )""".replace("{nonblank}", f"{strip('line')} <> ''")
+
+
+BENCH_LINES = """
+bench_raw AS (
+  SELECT item_id, generate_subscripts(s, 1) - 1 AS line_no, unnest(s) AS line
+  FROM (SELECT item_id, string_split(text, chr(10)) AS s FROM benchmark)
+),
+bench_lines AS (
+  SELECT item_id, line_no, line FROM bench_raw WHERE {nonblank}
+)""".replace("{nonblank}", f"{strip('line')} <> ''")
+
+
+def bleu_sides(train_src: str, test_src: str) -> str:
+    """CTEs trs(t, len), tes(t, mult, len), trg/teg(t, n, g, c)."""
+    grams = lambda side: " UNION ALL ".join(
+        f"SELECT t, {n} AS n, unnest(list_transform(generate_series(1, len(w) - {n - 1}), "
+        f"lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' '))) AS g FROM {side}"
+        for n in range(1, 5))
+    return f"""
+trs AS (SELECT DISTINCT t, {words('t')} AS w FROM ({train_src}) WHERE t IS NOT NULL AND {strip('t')} <> ''),
+tes AS (SELECT t, count(*) AS mult, any_value({words('t')}) AS w FROM ({test_src})
+        WHERE t IS NOT NULL AND {strip('t')} <> '' GROUP BY t),
+trg AS (SELECT t, n, g, count(*) AS c FROM ({grams('trs')}) GROUP BY t, n, g),
+teg AS (SELECT t, n, g, count(*) AS c FROM ({grams('tes')}) GROUP BY t, n, g)"""
+
+
+def bleu_score(m: str, L: str, R: str) -> str:
+    """Sentence BLEU expression over columns {m}1..{m}4, {L}, {R}."""
+    logs = " + ".join(
+        f"ln(CASE WHEN {m}{n} > 0 THEN {m}{n} / greatest(1, {L} - {n - 1}) ELSE 0.1 / greatest(1, {L} - {n - 1}) END)"
+        for n in range(1, 5))
+    bp = f"CASE WHEN {L} > {R} THEN 1.0 ELSE exp(1.0 - CAST({R} AS DOUBLE) / {L}) END"
+    return f"CASE WHEN {m}1 > 0 THEN {bp} * exp(0.25 * ({logs})) ELSE 0.0 END"

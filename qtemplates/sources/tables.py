@@ -23,3 +23,11 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (d.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
              .filter(py_strip("line") != "")
              .withColumn("line_no", F.col("line_no").cast("long")))
+
+
+def bench_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, line_no, line): the non-blank lines of every benchmark text."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return (b.select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+             .filter(py_strip("line") != "")
+             .withColumn("line_no", F.col("line_no").cast("long")))
