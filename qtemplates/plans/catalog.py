@@ -347,3 +347,232 @@ FROM tot, nums
 def q_corpus_bleu(spark, sf):
     tr, te = _bleu_inputs(spark, sf)
     return B.corpus_bleu(tr, te).select(F.round("corpus_bleu", 9).alias("corpus_bleu"))
+
+
+# ---------------------------------------------------------------- step 6: generation jobs
+
+from qtemplates.operators import generate as G  # noqa: E402
+from qtemplates.sources import io as IO  # noqa: E402
+from qtemplates.sources import pages as H  # noqa: E402
+from qtemplates.session import checkpoint_dir  # noqa: E402
+
+# Our own prompt text with one {abstract} slot.
+PROMPT = ("Write two research questions about the abstract below, one per line, "
+          "without numbering or explanations.\n\nAbstract:\n{abstract}\n")
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query("render_prompt", sql=f"""
+SELECT doc_id, replace({_sql_str(PROMPT)}, '{{abstract}}', {S.strip('text')}) AS prompt FROM documents
+""")
+def q_render_prompt(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return G.render_prompt(d, PROMPT, {"abstract": "text"}).select("doc_id", "prompt")
+
+
+_TURNS_SQL = """
+turns AS (
+  SELECT u.conv_id, u.turn, u.text AS prompt, u.text || a.text AS generated_text
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+)"""
+
+
+def _turns(spark, sf):
+    c = table(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    # the model output echoes the prompt, as causal LMs do
+    return u.join(a, ["conv_id", "turn"]).select(
+        "conv_id", "turn", "prompt", F.concat("prompt", "answer").alias("generated_text"))
+
+
+@query("strip_echo", sql=_with(_TURNS_SQL) + f"""
+SELECT conv_id, turn, {S.strip('substr(generated_text, length(prompt) + 1)')} AS response FROM turns
+""")
+def q_strip_echo(spark, sf):
+    return G.strip_echo(_turns(spark, sf)).select("conv_id", "turn", "response")
+
+
+def _clean_sql(numbering: str) -> str:
+    punct = "[.)]" if numbering == "strict" else "[.)]?"
+    return _with(_TURNS_SQL, f"""
+resp AS (SELECT conv_id, turn, {S.strip('substr(generated_text, length(prompt) + 1)')} AS response FROM turns),
+lines AS (
+  SELECT conv_id, turn, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS line
+  FROM (SELECT conv_id, turn, string_split(response, chr(10)) AS s FROM resp)
+)""") + f"""
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, q AS research_question, 'conv:' || conv_id AS url FROM (
+  SELECT *, trim(regexp_replace(line, '^\\s*["'']?\\d+{punct}\\s*', ''), ' "''' || chr(10)) AS q FROM lines)
+WHERE q <> ''
+"""
+
+
+def _clean_spark(spark, sf, numbering):
+    d = G.strip_echo(_turns(spark, sf))
+    d = G.explode_lines(d.withColumn("url", F.concat(F.lit("conv:"), F.col("conv_id").cast("string"))), "response")
+    return G.questions(d, "line", numbering).select("conv_id", "turn", "pos", "research_question", "url")
+
+
+@query("explode_clean_lines_strict", sql=_clean_sql("strict"))
+def q_clean_strict(spark, sf):
+    return _clean_spark(spark, sf, "strict")
+
+
+@query("explode_clean_lines_loose", sql=_clean_sql("loose"))
+def q_clean_loose(spark, sf):
+    return _clean_spark(spark, sf, "loose")
+
+
+@query("id_range_filter", sql="SELECT doc_id, source FROM documents WHERE doc_id BETWEEN 1 AND 2500")
+def q_id_range(spark, sf):
+    return G.id_range_filter(table(spark, sf, "documents").select("doc_id", "source"), 1, 2500, "doc_id")
+
+
+@query("drop_blank", sql=_with(S.DOC_LINES) + "SELECT doc_id, line_no FROM doc_lines")
+def q_drop_blank(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return G.drop_blank(d, "line").select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+@query("dedup_questions", sql=_with(S.DOC_LINES) + "SELECT DISTINCT line AS research_question FROM doc_lines")
+def q_dedup(spark, sf):
+    return G.dedup_questions(doc_lines(spark, sf).withColumnRenamed("line", "research_question"))
+
+
+def _echo_model():
+    """Stand-in model: echoes the prompt and answers with the abstract's
+    sentences as a numbered list (deterministic, so results are checkable)."""
+    import re
+
+    def gen(prompts):
+        out = []
+        for p in prompts:
+            body = p.split("Abstract:\n", 1)[-1]
+            sents = [s.strip() for s in re.split(r"(?<=[.!?])\s+", body) if s.strip()]
+            out.append(p + "\n" + "\n".join(f"{i + 1}. {s}" for i, s in enumerate(sents[:3])))
+        return out
+    return gen
+
+
+@query("generate_questions")
+def q_generate(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"),
+                                             F.col("source").alias("url"))
+    return G.questions_from_abstracts(d, PROMPT, _echo_model, id_col="id", lo=0, hi=10 ** 12)
+
+
+@query("combine_abstracts", sql="""
+SELECT CAST(row_number() OVER (ORDER BY source, doc_id) AS BIGINT) AS id, doc_id AS source_id, source
+FROM documents
+""")
+def q_combine(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    parts = [d.filter(F.col("source") == s) for s in ("src0", "src1", "src2")]
+    parts.append(d.filter(~F.col("source").isin("src0", "src1", "src2")))
+    out = G.combine_abstracts(parts, [F.col("source"), F.col("source_id")])
+    return out.select("id", "source_id", "source")
+
+
+# ---------------------------------------------------------------- round trips through files
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("questions_csv_roundtrip", sql=_with(S.DOC_LINES) + """
+SELECT 'doc:' || doc_id AS url, line AS research_question FROM doc_lines""")
+def q_csv_roundtrip(spark, sf):
+    d = doc_lines(spark, sf).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
+                                    F.col("line").alias("research_question"))
+    path = _scratch(spark, "questions-csv")
+    IO.write_csv(d, path)
+    return IO.read_questions(spark, path, na="none")
+
+
+@query("abstracts_json_roundtrip", sql="""
+SELECT doc_id AS id, source AS title, text AS abstract, 'doc:' || doc_id AS url FROM documents""")
+def q_json_roundtrip(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"),
+                                             F.col("text").alias("abstract"),
+                                             F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"))
+    path = _scratch(spark, "abstracts-json")
+    IO.write_abstracts(d, path)
+    return IO.read_abstracts(spark, path, json_array=False)
+
+
+# ---------------------------------------------------------------- step 7: pages
+
+_LINKS_SQL = """
+links AS (
+  SELECT url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href
+  FROM (SELECT url, regexp_extract_all(html, '<a[^>]*\\shref="([^"]*)"', 1) AS h FROM pages)
+)"""
+
+
+@query("extract_links", sql=_with(_LINKS_SQL) + "SELECT url, CAST(pos AS INTEGER) AS pos, href FROM links")
+def q_links(spark, sf):
+    return H.extract_links(table(spark, sf, "pages"))
+
+
+@query("filter_links", sql=_with(_LINKS_SQL) + """
+SELECT url, CAST(pos AS INTEGER) AS pos, href FROM links WHERE starts_with(href, '/') AND NOT ends_with(href, ',') AND ends_with(href, '')""")
+def q_filter_links(spark, sf):
+    f = H.filter_links(H.extract_links(table(spark, sf, "pages")), "/", "")
+    return f.filter(~F.col("href").endswith(","))
+
+
+@query("distinct_links", sql=_with(_LINKS_SQL) + """
+SELECT DISTINCT regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || href AS link
+FROM links WHERE starts_with(href, '/')""")
+def q_distinct_links(spark, sf):
+    lk = H.filter_links(H.extract_links(table(spark, sf, "pages")), "/", "")
+    return H.distinct_links(H.absolutize(lk, H.site_base("url")), "link")
+
+
+def _flat_sql(tag: str) -> str:
+    return f"""
+SELECT url, CAST(pos AS INTEGER) AS pos, regexp_replace(
+  replace(replace(replace(replace(replace(regexp_replace(inner_html, '<[^>]*>', '', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS text
+FROM (SELECT url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS inner_html
+      FROM (SELECT url, regexp_extract_all(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1) AS h FROM pages))"""
+
+
+@query("page_titles", sql=_flat_sql("title"))
+def q_titles(spark, sf):
+    return H.flat_elements(table(spark, sf, "pages"), "title").select("url", "pos", "text")
+
+
+@query("page_headings", sql=_flat_sql("h1"))
+def q_headings(spark, sf):
+    return H.flat_elements(table(spark, sf, "pages"), "h1").select("url", "pos", "text")
+
+
+@query("zip_elements", sql=f"""
+WITH t AS ({_flat_sql('title')}), h AS ({_flat_sql('h1')})
+SELECT t.url, t.pos, t.text AS text_a, h.text AS text_b FROM t JOIN h ON t.url = h.url AND t.pos = h.pos""")
+def q_zip(spark, sf):
+    p = table(spark, sf, "pages")
+    a = H.flat_elements(p, "title").select("url", "pos", "text")
+    b = H.flat_elements(p, "h1").select("url", "pos", "text")
+    return H.zip_elements(a, b)
+
+
+@query("assign_ids", sql="""
+SELECT CAST(row_number() OVER (ORDER BY url, page_id) AS BIGINT) AS id, page_id FROM pages""")
+def q_assign_ids(spark, sf):
+    from qtemplates.operators.ids import assign_ids
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return assign_ids(p, ["url", "page_id"]).select("id", "page_id")
+
+
+@query("page_articles")
+def q_articles(spark, sf):
+    """Nested markup: descendant text of every <article> (html.parser)."""
+    return H.extract_elements(table(spark, sf, "pages"), "article").select("url", "pos", "text")
