@@ -576,3 +576,152 @@ def q_assign_ids(spark, sf):
 def q_articles(spark, sf):
     """Nested markup: descendant text of every <article> (html.parser)."""
     return H.extract_elements(table(spark, sf, "pages"), "article").select("url", "pos", "text")
+
+
+# ---------------------------------------------------------------- step 5: prefixes, annotation, chunking
+
+from qtemplates.functions import prefix as PF  # noqa: E402
+from qtemplates.operators import annotate as A  # noqa: E402
+from qtemplates.operators import chunk as CH  # noqa: E402
+
+
+def _en_questions(spark, sf):
+    d = doc_lines(spark, sf).filter(F.col("lang") == "en")
+    return d.select("doc_id", "line_no", T.py_strip("line").alias("q"))
+
+
+_EN_Q = f"en_q AS (SELECT doc_id, line_no, {S.strip('line')} AS q FROM doc_lines WHERE lang = 'en')"
+
+
+def _prefix_case(x: str) -> str:
+    whens = " ".join(f"WHEN starts_with({x}, {_sql_str(p + ' ')}) OR {x} = {_sql_str(p)} THEN {len(p)}"
+                     for p in IO.DEFAULT_PREFIXES)
+    return f"CAST(CASE {whens} END AS INTEGER)"
+
+
+@query("prefix_end", sql=_with(S.DOC_LINES, _EN_Q) + f"""
+SELECT doc_id, line_no, {_prefix_case('lower(q)')} AS prefix_end FROM en_q""")
+def q_prefix_end(spark, sf):
+    e = _en_questions(spark, sf)
+    return e.select("doc_id", "line_no", PF.prefix_end(F.col("q"), IO.DEFAULT_PREFIXES).alias("prefix_end"))
+
+
+def _in(xs) -> str:
+    return "(" + ", ".join(_sql_str(x) for x in xs) + ")"
+
+
+_TOKENS_SQL = f"""
+tk AS (
+  SELECT doc_id, line_no, q, t, g, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS text
+  FROM (SELECT doc_id, line_no, q,
+               regexp_extract_all(q, '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])', 1) AS t,
+               regexp_split_to_array(q, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS g
+        FROM en_q)
+),
+tk0 AS (
+  SELECT doc_id, line_no, i, text,
+         CAST(sum(length(g[i + 1]) + CASE WHEN i > 0 THEN length(t[i]) ELSE 0 END)
+              OVER (PARTITION BY doc_id, line_no ORDER BY i) AS INTEGER) AS idx,
+         CASE WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'PUNCT'
+              WHEN regexp_matches(text, '^(EC|PC)[0-9]+$') THEN 'PROPN'
+              WHEN regexp_matches(text, '^[0-9]+$') THEN 'NUM'
+              WHEN lower(text) IN {_in(A.DET)} THEN 'DET'
+              WHEN lower(text) IN {_in(A.ADP)} THEN 'ADP'
+              WHEN lower(text) IN {_in(A.PART)} THEN 'PART'
+              WHEN lower(text) IN {_in(A.AUX)} THEN 'AUX'
+              WHEN lower(text) IN {_in(A.PRON)} THEN 'PRON'
+              WHEN lower(text) IN {_in(A.CCONJ)} THEN 'CCONJ'
+              WHEN lower(text) IN {_in(A.SCONJ)} THEN 'SCONJ'
+              WHEN regexp_matches(lower(text), 'ly$') THEN 'ADV'
+              WHEN regexp_matches(lower(text), '(al|ive|ous|able|ible|ful|ic)$') THEN 'ADJ'
+              WHEN lower(text) IN {_in(A.VERB_WORDS)} OR regexp_matches(lower(text), '(ing|ed|ize|ise)$') THEN 'VERB'
+              ELSE 'NOUN' END AS p0
+  FROM tk
+),
+tok AS (
+  SELECT doc_id, line_no, i, idx, text,
+         CASE WHEN p0 = 'VERB' AND lower(text) IN {_in(A.VERB_WORDS)}
+                   AND lag(p0) OVER w IN ('DET', 'ADJ') THEN 'NOUN' ELSE p0 END AS pos
+  FROM tk0 WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)
+),
+tokd AS (
+  SELECT *, CASE WHEN pos IN ('AUX', 'PART') THEN
+              CASE WHEN lead(pos, 1) OVER w = 'VERB' THEN i + 1 WHEN lead(pos, 2) OVER w = 'VERB' THEN i + 2
+                   WHEN lead(pos, 3) OVER w = 'VERB' THEN i + 3 END END AS h
+  FROM tok WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)
+)"""
+
+
+@query("annotate_tokens", sql=_with(S.DOC_LINES, _EN_Q, _TOKENS_SQL) + """
+SELECT doc_id, line_no, CAST(i AS INTEGER) AS i, idx, text, pos,
+       CASE WHEN h IS NOT NULL THEN 'aux' ELSE '' END AS dep, CAST(coalesce(h, i) AS INTEGER) AS head
+FROM tokd""")
+def q_annotate(spark, sf):
+    e = _en_questions(spark, sf)
+    return (e.select("doc_id", "line_no", F.explode(A.lexicon_tokens(F.col("q"))).alias("t"))
+             .select("doc_id", "line_no", "t.*"))
+
+
+_ISLANDS_SQL = """
+flags AS (
+  SELECT *, pos IN ('PART', 'VERB') AS mem, pos IN ('ADJ', 'ADV') AS isj,
+         CASE WHEN pos IN ('PART', 'VERB') AND coalesce(lag(pos) OVER w NOT IN ('PART', 'VERB'), true)
+              THEN 1 ELSE 0 END AS st
+  FROM tok WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)
+),
+ids AS (
+  SELECT *, sum(st) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS isl,
+         min(CASE WHEN NOT (pos IN ('ADJ', 'ADV')) THEN i END)
+           OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_nonj
+  FROM flags
+),
+isl AS (
+  SELECT doc_id, line_no, isl, min(i) AS s, max(i) AS e_isl, max(CASE WHEN pos = 'VERB' THEN i END) AS lv
+  FROM ids WHERE mem GROUP BY doc_id, line_no, isl
+),
+tail AS (
+  SELECT isl.*, a.pos AS pos1, a.isj AS j1, a.next_nonj, b.pos AS posk
+  FROM isl
+  LEFT JOIN ids a ON a.doc_id = isl.doc_id AND a.line_no = isl.line_no AND a.i = isl.e_isl + 1
+  LEFT JOIN ids b ON b.doc_id = isl.doc_id AND b.line_no = isl.line_no AND b.i = a.next_nonj
+)"""
+
+
+@query("pc_islands", sql=_with(S.DOC_LINES, _EN_Q, _TOKENS_SQL, _ISLANDS_SQL) + """
+SELECT doc_id, line_no, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM (
+  SELECT doc_id, line_no, s,
+         CASE WHEN pos1 = 'ADP' THEN e_isl + 1
+              WHEN j1 AND posk = 'ADP' THEN next_nonj
+              ELSE lv END AS e
+  FROM tail) WHERE e IS NOT NULL""")
+def q_islands(spark, sf):
+    e = _en_questions(spark, sf)
+    t = e.select("doc_id", "line_no", A.lexicon_tokens(F.col("q")).alias("tokens"))
+    return (t.select("doc_id", "line_no", F.explode(CH.pc_islands(F.col("tokens"))).alias("sp"))
+             .select("doc_id", "line_no", "sp.s", "sp.e"))
+
+
+@query("ec_spans")
+def q_ec_spans(spark, sf):
+    e = A.annotate(_en_questions(spark, sf), "q")
+    sp = CH.ec_spans(F.col("q"), F.col("tokens"), F.col("noun_chunks"),
+                     PF.prefix_end(F.col("q"), IO.DEFAULT_PREFIXES), "mapping")
+    return e.select("doc_id", "line_no", F.explode(sp).alias("s")).select("doc_id", "line_no", "s.b", "s.e", "s.kind", "s.v")
+
+
+@query("extract_template")
+def q_extract_template(spark, sf):
+    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    return CH.extract_template(e).select("doc_id", "line_no", "templated_question")
+
+
+@query("extract_template_with_mapping")
+def q_extract_mapping(spark, sf):
+    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    return CH.extract_template_with_mapping(e).select("doc_id", "line_no", "templated_question", "mapping")
+
+
+@query("templates_from_questions")
+def q_templates(spark, sf):
+    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    return CH.templates_from_questions(e)
