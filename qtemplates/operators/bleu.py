@@ -47,16 +47,22 @@ def _side(df: DataFrame, col: str) -> DataFrame:
 
 
 def _grams(side: DataFrame) -> DataFrame:
-    """(id, n, g, c): every 1..4-gram of every template with its count."""
-    def gram_of(n):
-        # one-argument lambda: Spark reads a second parameter as the index
-        return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("toks", i, n), " ").alias("g"))
+    """(id, mult, n, g, c): every 1..4-gram of every template with its count.
 
-    per_n = [F.when(F.col("len") >= n, F.transform(F.sequence(F.lit(1), F.col("len") - n + 1), gram_of(n)))
-             .otherwise(F.array()) for n in range(1, MAX_N + 1)]
-    return (side.select("id", F.explode(F.concat(*per_n)).alias("x"))
-                .groupBy("id", F.col("x.n").alias("n"), F.col("x.g").alias("g"))
-                .agg(F.count(F.lit(1)).alias("c")))
+    n-grams come from MLlib's ``NGram`` transformer (JVM-side, joined with one
+    space); tokens hold no whitespace, so n = 1 + number of spaces."""
+    from pyspark.ml.feature import NGram
+
+    x = side
+    for n in range(2, MAX_N + 1):
+        x = NGram(n=n, inputCol="toks", outputCol=f"_g{n}").transform(x)
+    allg = F.concat("toks", *[F.col(f"_g{n}") for n in range(2, MAX_N + 1)])
+    # grouping by the template text too: ``side`` is already hash-partitioned
+    # on it (distinct step), so counting grams per template needs no exchange
+    counted = (x.select("t", "id", "mult", F.explode(allg).alias("g"))
+                .groupBy("t", "id", "mult", "g").agg(F.count(F.lit(1)).alias("c")))
+    n = (F.lit(1) + F.length("g") - F.length(F.replace(F.col("g"), F.lit(" "), F.lit("")))).cast("int")
+    return counted.select("id", "mult", n.alias("n"), "g", "c")
 
 
 def _p(m: Column, d: Column) -> Column:
@@ -161,8 +167,7 @@ def corpus_bleu(train: DataFrame, test: DataFrame, train_col: str = "template",
     te_g, tr_g = _grams(te), _grams(tr)
     max_ref = tr_g.groupBy("n", "g").agg(F.max("c").alias("mc"))
     # hypotheses weighted by multiplicity, reduced to (n, g, c) before the join
-    hyp = (te_g.join(te.select("id", "mult"), "id")
-               .groupBy("n", "g", "c").agg(F.sum("mult").alias("w")))
+    hyp = te_g.groupBy("n", "g", "c").agg(F.sum("mult").alias("w"))
     num = (hyp.join(max_ref, ["n", "g"], "left")
               .groupBy("n").agg(F.sum(F.col("w") * F.least("c", F.coalesce("mc", F.lit(0)))).alias("num")))
     # lengths: hypothesis length histogram and closest reference length

@@ -287,7 +287,11 @@ def order_templates(df: DataFrame, col: str = "templated_question") -> DataFrame
 def templates_from_questions(questions: DataFrame, q_col: str = "research_question", prefixes=None,
                              annotator=None) -> DataFrame:
     """F4 -> T2 -> T3 -> T4: the nine output columns."""
-    q = questions.select(q_col).na.drop().dropDuplicates()
+    # hash-partition on the question (explicit count, so adaptive execution
+    # keeps the parallelism the CPU-heavy chunking below needs); the
+    # de-duplication reuses this partitioning
+    n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = questions.select(q_col).na.drop().repartition(n, q_col).dropDuplicates()
     t = extract_template_with_mapping(q, q_col, "mapping", prefixes, annotator)
     t = expand_markers(t)
     cols = [q_col, "templated_question", "EC1", "EC2", "EC3", "EC4", "EC5", "PC1", "PC2"]

@@ -17,9 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Round-robin repartition only when the scan gives fewer partitions than
+    ``per_core`` x cores.  Text rows carry heavy row-local work (tokenising,
+    chunking, n-grams); a file with one row group would otherwise run it in
+    one task.  A large input already has more partitions and is left as is."""
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, line_no, line): the non-blank lines of every document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return (d.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
              .filter(py_strip("line") != "")
              .withColumn("line_no", F.col("line_no").cast("long")))
