@@ -48,11 +48,16 @@ def prefix_end(col, prefixes: Sequence[str]) -> Column:
     return F.when(F.length(m) > 0, F.length(m)).cast("int")
 
 
+def starter_flags(w0: Column, w1: Column, n: Column) -> tuple[Column, Column]:
+    """Per-text constants of Q2: (first token is a starter word, first two
+    tokens form a starter pair).  One hash-set lookup each."""
+    sw0 = F.coalesce(w0.isin(STARTER_WORDS), F.lit(False))
+    pair = F.coalesce((n > 1) & F.concat_ws(" ", w0, w1).isin([f"{a} {b}" for a, b in STARTER_PAIRS]), F.lit(False))
+    return sw0, pair
+
+
 def starter_at(i: Column, w0: Column, w1: Column, n: Column) -> Column:
     """Q2: is token ``i`` part of a question starter?  ``w0``/``w1`` are the
     lower-cased first two tokens, ``n`` the token count."""
-    wi = F.when(i == 0, w0).otherwise(w1)
-    pair = F.lit(False)
-    for a, b in STARTER_PAIRS:
-        pair = pair | ((w0 == a) & (w1 == b))
-    return ((i == 0) & wi.isin(STARTER_WORDS)) | ((i <= 1) & (n > 1) & pair)
+    sw0, pair = starter_flags(w0, w1, n)
+    return ((i == 0) & sw0) | ((i <= 1) & pair)

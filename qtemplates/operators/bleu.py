@@ -39,10 +39,12 @@ def template_pairs(train: DataFrame, test: DataFrame, col: str = "template") ->
 
 def _side(df: DataFrame, col: str) -> DataFrame:
     """Distinct non-blank templates with multiplicity, id, tokens, length."""
+    # distinct by a 128-bit id of the text: the side is then hash-partitioned
+    # on ``id`` and the per-template gram counts below need no exchange
     d = (df.select(F.col(col).alias("t")).filter(F.col("t").isNotNull() & (py_strip("t") != ""))
-           .groupBy("t").agg(F.count(F.lit(1)).alias("mult")))
-    return (d.withColumn("id", F.unhex(F.md5("t")))
-             .withColumn("toks", py_split("t"))
+           .groupBy(F.unhex(F.md5("t")).alias("id"))
+           .agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("mult")))
+    return (d.withColumn("toks", py_split("t"))
              .withColumn("len", F.size("toks")))
 
 
@@ -57,10 +59,10 @@ def _grams(side: DataFrame) -> DataFrame:
     for n in range(2, MAX_N + 1):
         x = NGram(n=n, inputCol="toks", outputCol=f"_g{n}").transform(x)
     allg = F.concat("toks", *[F.col(f"_g{n}") for n in range(2, MAX_N + 1)])
-    # grouping by the template text too: ``side`` is already hash-partitioned
-    # on it (distinct step), so counting grams per template needs no exchange
-    counted = (x.select("t", "id", "mult", F.explode(allg).alias("g"))
-                .groupBy("t", "id", "mult", "g").agg(F.count(F.lit(1)).alias("c")))
+    # ``side`` is hash-partitioned on ``id`` (distinct step), so counting
+    # grams per template needs no exchange
+    counted = (x.select("id", "mult", F.explode(allg).alias("g"))
+                .groupBy("id", "mult", "g").agg(F.count(F.lit(1)).alias("c")))
     n = (F.lit(1) + F.length("g") - F.length(F.replace(F.col("g"), F.lit(" "), F.lit("")))).cast("int")
     return counted.select("id", "mult", n.alias("n"), "g", "c")
 

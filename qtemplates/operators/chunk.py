@@ -16,10 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qtemplates.functions.prefix import prefix_end, starter_at
+from qtemplates.functions.prefix import prefix_end, starter_flags
 from qtemplates.functions.text import py_strip
 from qtemplates.operators.annotate import annotate as lexicon_annotate
 from qtemplates.operators.annotate import let
+from qtemplates.session import cut_lineage
 from qtemplates.sources.io import DEFAULT_PREFIXES
 
 # Texts never turned into an entity chunk (lower-cased, stripped).
@@ -67,13 +68,23 @@ def _profile_lists(profile: str):
 
 
 class _Doc:
-    """Column helpers over one row's token array."""
+    """Column helpers over one row's token array.  Per-row constants (prefix
+    end, starter flags) live in ``ctx``, a lambda variable bound once per row
+    with ``let``, so lambdas over chunks or islands do not re-evaluate them."""
 
-    def __init__(self, tokens: Column):
+    def __init__(self, tokens: Column, ctx: Column):
         self.t = tokens
-        self.n = F.size(tokens)
-        self.w0 = F.lower(F.get(tokens, 0)["text"])
-        self.w1 = F.lower(F.get(tokens, 1)["text"])
+        self.c = ctx
+        self.n = ctx["n"]
+        self.pe = ctx["pe"]
+
+    @staticmethod
+    def context(tokens: Column, pe: Column) -> Column:
+        n = F.size(tokens)
+        w0 = F.lower(F.get(tokens, 0)["text"])
+        w1 = F.lower(F.get(tokens, 1)["text"])
+        sw0, pair = starter_flags(w0, w1, n)
+        return F.struct(pe.cast("int").alias("pe"), n.alias("n"), sw0.alias("sw0"), pair.alias("pair"))
 
     def tok(self, i) -> Column:
         return F.get(self.t, i)
@@ -83,7 +94,7 @@ class _Doc:
         return (t["idx"] + F.length(t["text"])).cast("int")
 
     def starter(self, i) -> Column:
-        return starter_at(i, self.w0, self.w1, self.n)
+        return ((i == 0) & self.c["sw0"]) | ((i <= 1) & self.c["pair"])
 
     def starter_in(self, s, e_incl) -> Column:
         """Any starter token among token indices [s, e_incl] (only 0 and 1 can be)."""
@@ -104,31 +115,50 @@ def _by_start(arr: Column) -> Column:
 
 def ec_spans(q: Column, tokens: Column, chunks: Column, pe: Column, profile: str = "mapping") -> Column:
     """Entity spans (char offsets) in text order, before splicing."""
+    return let(_Doc.context(tokens, pe), lambda ctx: _ec_spans(q, tokens, chunks, ctx, profile))
+
+
+def _ec_spans(q: Column, tokens: Column, chunks: Column, ctx: Column, profile: str) -> Column:
     reject, _ = _profile_lists(profile)
-    d = _Doc(tokens)
+    d = _Doc(tokens, ctx)
+    pe = d.pe
     empty = F.array().cast(SPAN_TYPE)
     t0, t1, t2 = d.tok(0), d.tok(1), d.tok(2)
     # How + ADJ + VERB -> the adjective is an entity (no further checks)
     c7 = F.when((d.n > 2) & (F.lower(t0["text"]) == "how") & (t1["pos"] == "ADJ") & (t2["pos"] == "VERB"),
                 F.array(_span(t1["idx"], d.end(t1), 1, t1["text"]))).otherwise(empty)
 
-    def chunk_span(c):
+    # staged transforms: each stage materialises its fields once, so later
+    # stages read them instead of re-evaluating nested expressions
+    def clean1(c):                                                               # C2
         s, e = c["start"], c["end"]
         first = F.lower(d.tok(s)["text"])
-        s1 = F.when(((e - s > 1) & first.startswith("wh")) | (first == "how"), s + 1).otherwise(s)   # C2
+        s1 = F.when(((e - s > 1) & first.startswith("wh")) | (first == "how"), s + 1).otherwise(s)
+        return F.struct(s.alias("s"), e.alias("e"), s1.alias("s1"))
+
+    def clean2(c):
+        s1, e = c["s1"], c["e"]
         s2 = F.when((s1 < e) & F.lower(d.tok(s1)["text"]).isin(LEADING_QUANTIFIERS), s1 + 1).otherwise(s1)
-        b, ee = d.tok(s2)["idx"], d.end(d.tok(e - 1))
+        return F.struct(c["s"].alias("s"), e.alias("e"), s2.alias("s2"))
+
+    def offsets(c):
+        b, ee = d.tok(c["s2"])["idx"], d.end(d.tok(c["e"] - 1))
         txt = F.substr(q, b + 1, ee - b)
-        stxt = py_strip(txt)
+        return F.struct(c["s"].alias("s"), c["e"].alias("e"), c["s2"].alias("s2"), b.alias("b"), ee.alias("ee"),
+                        txt.alias("txt"), py_strip(txt).alias("stxt"))
+
+    def chunk_span(c):
+        s, e, s2, b, ee, stxt = c["s"], c["e"], c["s2"], c["b"], c["ee"], c["stxt"]
         ok = ((s2 < e) & (pe.isNull() | (b >= pe))                                   # C3
               & (stxt != "") & ~F.lower(stxt).isin(reject)                           # C4
               & ~d.starter_in(s2, e - 1)                                             # C5
               & ~((s == 0) & (e - s == 1) & d.tok(0)["pos"].isin("AUX", "VERB")      # C6
                   & F.lower(d.tok(0)["text"]).isin(LEADING_AUX)))
         thing = stxt.contains("the thing") & (ee - b > 9)                             # C8
-        return _span(F.when(ok, b), ee, F.when(thing, 2).otherwise(1), txt)
+        return _span(F.when(ok, b), ee, F.when(thing, 2).otherwise(1), c["txt"])
 
-    cs = F.filter(F.transform(chunks, chunk_span), lambda x: x["b"].isNotNull())
+    staged = F.transform(F.transform(F.transform(chunks, clean1), clean2), offsets)
+    cs = F.filter(F.transform(staged, chunk_span), lambda x: x["b"].isNotNull())
     # Sentence-final quality
     last, pen, ante = d.tok(d.n - 1), d.tok(d.n - 2), d.tok(d.n - 3)
     final = ((d.n >= 2)
@@ -182,23 +212,32 @@ def pc_islands(tokens: Column) -> Column:
 def pc_spans(q: Column, tokens: Column, pe: Column, profile: str = "mapping") -> Column:
     """Checked predicate spans numbered in text order, plus their
     auxiliaries (kind 0, same number), sorted by start."""
+    return let(_Doc.context(tokens, pe), lambda ctx: _pc_spans(q, tokens, ctx, profile))
+
+
+def _pc_spans(q: Column, tokens: Column, ctx: Column, profile: str) -> Column:
     _, reject = _profile_lists(profile)
-    d = _Doc(tokens)
+    d = _Doc(tokens, ctx)
+    pe = d.pe
 
-    def main(sp):
+    def locate(sp):
         s, e = sp["s"], sp["e"]
         b, ee = d.tok(s)["idx"], d.end(d.tok(e))
         txt = F.substr(q, b + 1, ee - b)
-        stxt = py_strip(txt)
-        ok = ((pe.isNull() | (b >= pe)) & (stxt != "") & ~F.lower(stxt).isin(reject) & ~d.starter_in(s, e))
         aux = F.try_element_at(F.filter(tokens, lambda t: (t["dep"] == "aux") & (t["head"] >= s) & (t["head"] <= e)
                                         & ((t["i"] < s) | (t["i"] > e))), F.lit(-1))
-        aux_ok = aux.isNotNull() & ~F.lower(aux["text"]).isin(reject) & ~d.starter(aux["i"])
-        return F.struct(F.when(ok, b).alias("b"), ee.alias("e"), txt.alias("v"),
-                        F.when(F.coalesce(aux_ok, F.lit(False)), aux["idx"]).alias("ab"),
-                        F.when(F.coalesce(aux_ok, F.lit(False)), d.end(aux)).alias("ae"))
+        return F.struct(s.alias("s"), e.alias("e"), b.alias("b"), ee.alias("ee"), txt.alias("txt"),
+                        py_strip(txt).alias("stxt"), aux.alias("aux"))
+
+    def main(x):
+        s, e, b, stxt, aux = x["s"], x["e"], x["b"], x["stxt"], x["aux"]
+        ok = ((pe.isNull() | (b >= pe)) & (stxt != "") & ~F.lower(stxt).isin(reject) & ~d.starter_in(s, e))
+        aux_ok = F.coalesce(aux.isNotNull() & ~F.lower(aux["text"]).isin(reject) & ~d.starter(aux["i"]), F.lit(False))
+        return F.struct(F.when(ok, b).alias("b"), x["ee"].alias("e"), x["txt"].alias("v"),
+                        F.when(aux_ok, aux["idx"]).alias("ab"),
+                        F.when(aux_ok, d.end(aux)).alias("ae"))
 
-    mains = F.filter(F.transform(pc_islands(tokens), main), lambda x: x["b"].isNotNull())
+    mains = F.filter(F.transform(F.transform(pc_islands(tokens), locate), main), lambda x: x["b"].isNotNull())
 
     def spans(numbered):
         main_spans = F.transform(numbered, lambda m: _span(m["b"], m["e"], 1, m["v"], m["num"]))
@@ -295,4 +334,6 @@ def templates_from_questions(questions: DataFrame, q_col: str = "research_questi
     t = extract_template_with_mapping(q, q_col, "mapping", prefixes, annotator)
     t = expand_markers(t)
     cols = [q_col, "templated_question", "EC1", "EC2", "EC3", "EC4", "EC5", "PC1", "PC2"]
-    return order_templates(t.select(*cols))
+    # the range sort samples its input first; cut lineage so the sampling job
+    # reads the written templates instead of re-running the extraction
+    return order_templates(cut_lineage(t.select(*cols), "templates"))

@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qtemplates.functions.text import first_n_words, last_n_words, normalize_template
+from qtemplates.functions.text import normalize_template, py_split
 
 FORWARD_LEVELS = (11, 10, 9, 8, 7, 6, 5)
 BACKWARD_LEVELS = (5, 6, 7, 8, 9, 10, 11)
@@ -40,20 +40,27 @@ def level_list(forward=FORWARD_LEVELS, backward=BACKWARD_LEVELS, full: bool = Tr
     return out
 
 
-def _key_of(norm: Column, match_type: str, n: int | None) -> Column:
+def _key_of(norm: Column, words: Column, match_type: str, n: int | None) -> Column:
     if match_type == FULL:
         return norm
+    if n <= 0:
+        return F.lit("")
     if match_type == FORWARD:
-        return first_n_words(norm, n)
-    return last_n_words(norm, n)
+        return F.array_join(F.slice(words, 1, n), " ")
+    return F.array_join(F.slice(words, F.greatest(F.size(words) - F.lit(n - 1), F.lit(1)), F.lit(n)), " ")
 
 
 def level_keys(norm: Column, levels) -> Column:
-    """Array of (match_type, n_words, key) structs, one per level."""
-    return F.array(*[
-        F.struct(F.lit(mt).alias("match_type"), F.lit(n).cast("int").alias("n_words"),
-                 _key_of(norm, mt, n).alias("key"))
-        for mt, n in levels])
+    """Array of (match_type, n_words, key) structs, one per level.  The word
+    list of the normalised template is split once and shared by all levels."""
+    from qtemplates.operators.annotate import let
+
+    def build(words):
+        return F.array(*[
+            F.struct(F.lit(mt).alias("match_type"), F.lit(n).cast("int").alias("n_words"),
+                     _key_of(norm, words, mt, n).alias("key"))
+            for mt, n in levels])
+    return let(py_split(norm), build)
 
 
 def default_order(templ_col: str) -> Column:

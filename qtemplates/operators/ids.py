@@ -1,8 +1,8 @@
 """Dense, ordered row numbers without an un-partitioned window (H9, K5 ranks).
 
 ``row_number().over(Window.orderBy(...))`` moves every row into one task.
-Instead: range-sort (distributed), cut lineage once so the numbering is stable
-if an executor is lost, count rows per sorted partition (one small row per
+Instead: range-sort (distributed), write the sorted rows with their partition and
+position once (stable if an executor is lost), count rows per sorted partition (one small row per
 partition), and add each partition's offset to its local position.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qtemplates.session import checkpoint_dir
+from qtemplates.session import cut_lineage
 
 
 def _cols(order_by) -> list[Column]:
@@ -25,12 +25,11 @@ def assign_ids(df: DataFrame, order_by, start: int = 1, id_col: str = "id") -> D
 
     ``order_by`` should be a total order (add a unique key as the last
     column); ties are numbered in an unspecified but stable order."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    staged = (df.sort(*_cols(order_by))
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    # positions are taken right after the sort and stored with the rows, so
+    # the numbering does not depend on how the written files are read back
+    staged = cut_lineage(df.sort(*_cols(order_by))
+                           .withColumn("_pid", F.spark_partition_id())
+                           .withColumn("_mid", F.monotonically_increasing_id()), "ids")
     # one row per partition: bounded by the partition count, not the data
     per_part = staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

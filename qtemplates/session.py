@@ -49,3 +49,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def cut_lineage(df, name: str = "stage"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back.  Unlike ``checkpoint()`` on an unpersisted plan, the plan runs
+    only once; lost executors re-read files instead of recomputing upstream."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
