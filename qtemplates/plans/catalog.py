@@ -753,3 +753,72 @@ def q_stream_patterns(spark, sf):
     """Pattern counts over the documents table read as a file stream."""
     return ST.run_pattern_stream(spark, f"{sf.rstrip('/')}/documents*.parquet",
                                  "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+
+
+# ---------------------------------------------------------------- more of SURVEY 2.1 / 2.7 / E5
+
+@query("template_pairs", sql=_with(S.DOC_LINES, _SPLIT_CTE) + "SELECT split, templated_question AS template FROM tagged")
+def q_template_pairs(spark, sf):
+    tr, te = _doc_split(spark, sf)
+    return B.template_pairs(tr, te, "templated_question")
+
+
+@query("null_if_na", sql=_with(S.DOC_LINES) + f"""
+SELECT doc_id, line_no, CASE WHEN w IN {_in(T.PANDAS_NA_VALUES)} THEN NULL ELSE w END AS first_word
+FROM (SELECT doc_id, line_no, {S.words('line')}[1] AS w FROM doc_lines)""")
+def q_null_if_na(spark, sf):
+    d = doc_lines(spark, sf)
+    return d.select("doc_id", "line_no", T.null_if_na(F.get(T.py_split("line"), 0)).alias("first_word"))
+
+
+@query("coverage_custom_key", sql=_with(S.DOC_LINES, _SPLIT_CTE, f"""
+k AS (SELECT split, lower({S.first_n(S.normalize('templated_question'), 3)}) AS key FROM tagged),
+tr AS (SELECT DISTINCT key FROM k WHERE split = 'train' AND key <> '')""") + """
+SELECT 'first3_lower' AS match_type, CAST(NULL AS INTEGER) AS n_words, CAST(count(tr.key) AS BIGINT) AS matched,
+       CAST(count(*) AS BIGINT) AS total,
+       CASE WHEN count(*) > 0 THEN round_even(100.0 * count(tr.key) / count(*), 2) ELSE 0.0 END AS coverage_pct
+FROM k LEFT JOIN tr ON k.key = tr.key WHERE k.split = 'test'""")
+def q_cov_custom(spark, sf):
+    tr, te = _doc_split(spark, sf)
+    return C.coverage(tr, te, lambda c: F.lower(T.first_n_words(c, 3)), name="first3_lower")
+
+
+_TOP_PATTERNS = 16
+
+
+@query("prefix_end_from_patterns", sql=_with(S.DOC_LINES, _EN_Q, f"""
+pats AS (
+  SELECT pattern, row_number() OVER (ORDER BY frequency DESC, pattern) AS rk FROM (
+    SELECT pattern, count(*) AS frequency FROM (SELECT {S.pattern('line')} AS pattern FROM doc_lines)
+    WHERE pattern IS NOT NULL GROUP BY pattern HAVING count(*) >= 20)
+  QUALIFY rk <= {_TOP_PATTERNS}
+),
+defaults AS (SELECT * FROM (VALUES {", ".join(f"({_sql_str(p)}, {1000 + i})" for i, p in enumerate(IO.DEFAULT_PREFIXES))}) d(pattern, rk)),
+allp AS (SELECT pattern, min(rk) AS rk FROM (SELECT * FROM pats UNION ALL SELECT * FROM defaults) GROUP BY pattern),
+hits AS (
+  SELECT q.doc_id, q.line_no, arg_min(length(p.pattern), p.rk) AS pe
+  FROM en_q q JOIN allp p ON starts_with(lower(q.q), p.pattern || ' ') OR lower(q.q) = p.pattern
+  GROUP BY q.doc_id, q.line_no
+)""") + """
+SELECT q.doc_id, q.line_no, CAST(h.pe AS INTEGER) AS prefix_end
+FROM en_q q LEFT JOIN hits h ON q.doc_id = h.doc_id AND q.line_no = h.line_no""")
+def q_prefix_from_patterns(spark, sf):
+    """E5: frequent openings (>= 20, top 16) become the protected prefix list."""
+    top = K.top_k(K.pattern_frequency(doc_lines(spark, sf), "line", 5, 20), _TOP_PATTERNS,
+                  [F.desc("frequency"), F.col("pattern")])
+    learned = [r["pattern"] for r in top.collect()]          # at most 16 short strings
+    prefixes = learned + [p for p in IO.DEFAULT_PREFIXES if p not in learned]
+    e = _en_questions(spark, sf)
+    return e.select("doc_id", "line_no", PF.prefix_end(F.col("q"), prefixes).alias("prefix_end"))
+
+
+@query("write_matches_roundtrip", sql=ORACLE["coverage_matches"])
+def q_write_matches(spark, sf):
+    """Matched rows written one folder per (match_type, n_words), read back."""
+    tr, te = _doc_split(spark, sf)
+    m = C.coverage_matches(tr, te)
+    path = _scratch(spark, "matches")
+    IO.write_matches(m, path)
+    back = IO._csv(spark).csv(path)      # partition columns come back from the folder names
+    return back.select("templated_question", "normalized_template", "match_type",
+                       F.col("n_words").cast("int").alias("n_words"), "key", "matched_train_template")
