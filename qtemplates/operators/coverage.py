@@ -3,10 +3,10 @@
 A test template is *covered* at a level when its key (the full normalised
 template, its first N words or its last N words) equals the key of some
 train template.  All levels are computed in one pass: both sides explode one
-row per (match_type, n_words, key), both sides are reduced to one row per key
-*before* the shuffle (partial aggregation absorbs hot keys such as a common
-five-word opening), and one join on (match_type, n_words, key) decides every
-level at once.
+row per (match_type, n_words, key) tagged with their side, and a single
+aggregate on (match_type, n_words, key) -- partial on the map side, so a hot
+key such as a common five-word opening is reduced before the shuffle --
+decides every level at once; no join.
 """
 
 from __future__ import annotations
@@ -107,14 +107,14 @@ def run_coverage(train: DataFrame, test: DataFrame, templ_col: str = "templated_
     require_columns(train, [templ_col])
     require_columns(test, [templ_col])
     levels = level_list(forward_levels, backward_levels, full)
-    train_keys = (_train_levels(train, templ_col, levels, F.lit(0))
-                  .select("match_type", "n_words", "key").distinct())
-    test_keys = (_test_levels(test, templ_col, levels)
-                 .groupBy("match_type", "n_words", "key").agg(F.count(F.lit(1)).alias("cnt")))
-    joined = test_keys.join(train_keys.withColumn("_hit", F.lit(1)),
-                            ["match_type", "n_words", "key"], "left")
-    per_level = (joined.groupBy("match_type", "n_words")
-                 .agg(F.sum(F.when(F.col("_hit").isNotNull(), F.col("cnt")).otherwise(0)).alias("matched"),
+    # both sides in one aggregate, no join: side 0 = train key, 1 = test row;
+    # a key is covered when its group holds a train row (min side = 0)
+    keys = ["match_type", "n_words", "key"]
+    tagged = (_train_levels(train, templ_col, levels, F.lit(0)).select(*keys, F.lit(0).alias("side"))
+              .unionByName(_test_levels(test, templ_col, levels).select(*keys, F.lit(1).alias("side"))))
+    per_key = tagged.groupBy(*keys).agg(F.sum("side").alias("cnt"), F.min("side").alias("has_train"))
+    per_level = (per_key.groupBy("match_type", "n_words")
+                 .agg(F.sum(F.when(F.col("has_train") == 0, F.col("cnt")).otherwise(0)).alias("matched"),
                       F.sum("cnt").alias("total")))
     out = (_levels_frame(train.sparkSession, levels)
            .join(F.broadcast(per_level), ["match_type", "n_words"], "left")
@@ -157,14 +157,14 @@ def coverage(train: DataFrame, test: DataFrame, key_fn: Callable[[Column], Colum
              templ_col: str = "templated_question", name: str = "custom") -> DataFrame:
     """Coverage under any Column -> Column key function of the normalised template."""
     tr = (train.filter(F.col(templ_col).isNotNull())
-               .select(key_fn(normalize_template(templ_col)).alias("key"))
-               .filter(F.col("key") != "").distinct().withColumn("_hit", F.lit(1)))
+               .select(key_fn(normalize_template(templ_col)).alias("key"), F.lit(0).alias("side"))
+               .filter(F.col("key") != ""))
     te = (test.filter(F.col(templ_col).isNotNull())
-              .select(key_fn(normalize_template(templ_col)).alias("key"))
-              .groupBy("key").agg(F.count(F.lit(1)).alias("cnt")))
-    j = te.join(tr, "key", "left")
-    agg = j.agg(F.coalesce(F.sum(F.when(F.col("_hit").isNotNull(), F.col("cnt"))), F.lit(0)).cast("long").alias("matched"),
-                F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"))
+              .select(key_fn(normalize_template(templ_col)).alias("key"), F.lit(1).alias("side")))
+    per_key = tr.unionByName(te).groupBy("key").agg(F.sum("side").alias("cnt"), F.min("side").alias("has_train"))
+    agg = per_key.agg(
+        F.coalesce(F.sum(F.when(F.col("has_train") == 0, F.col("cnt"))), F.lit(0)).cast("long").alias("matched"),
+        F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"))
     return agg.select(F.lit(name).alias("match_type"), F.lit(None).cast("int").alias("n_words"),
                       "matched", "total", coverage_pct(F.col("matched"), F.col("total")).alias("coverage_pct"))
 
