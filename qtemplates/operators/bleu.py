@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qtemplates.functions.text import py_split, py_strip
+from qtemplates.session import cut_lineage
 
 MAX_N = 4
 EPS = 0.1
@@ -48,7 +49,7 @@ def _side(df: DataFrame, col: str) -> DataFrame:
              .withColumn("len", F.size("toks")))
 
 
-def _grams(side: DataFrame) -> DataFrame:
+def _grams(side: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """(id, mult, n, g, c): every 1..4-gram of every template with its count.
 
     n-grams come from MLlib's ``NGram`` transformer (JVM-side, joined with one
@@ -61,8 +62,11 @@ def _grams(side: DataFrame) -> DataFrame:
     allg = F.concat("toks", *[F.col(f"_g{n}") for n in range(2, MAX_N + 1)])
     # ``side`` is hash-partitioned on ``id`` (distinct step), so counting
     # grams per template needs no exchange
-    counted = (x.select("id", "mult", F.explode(allg).alias("g"))
-                .groupBy("id", "mult", "g").agg(F.count(F.lit(1)).alias("c")))
+    exploded = x.select("id", "mult", F.explode(allg).alias("g"))
+    if keep is not None:
+        # size-checked broadcast set of grams that can matter (see corpus_bleu)
+        exploded = exploded.join(F.broadcast(keep), "g", "left_semi")
+    counted = exploded.groupBy("id", "mult", "g").agg(F.count(F.lit(1)).alias("c"))
     n = (F.lit(1) + F.length("g") - F.length(F.replace(F.col("g"), F.lit(" "), F.lit("")))).cast("int")
     return counted.select("id", "mult", n.alias("n"), "g", "c")
 
@@ -161,13 +165,18 @@ def average_bleu(best: DataFrame) -> DataFrame:
 
 
 def corpus_bleu(train: DataFrame, test: DataFrame, train_col: str = "template",
-                test_col: str | None = None) -> DataFrame:
+                test_col: str | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Corpus BLEU, every train template a reference of every test
     template.  One row: corpus_bleu (0.0 when a side is empty)."""
     test_col = test_col or train_col
     te, tr = _side(test, test_col), _side(train, train_col)
-    te_g, tr_g = _grams(te), _grams(tr)
-    max_ref = tr_g.groupBy("n", "g").agg(F.max("c").alias("mc"))
+    tr_g = _grams(tr)
+    max_ref = cut_lineage(tr_g.groupBy("n", "g").agg(F.max("c").alias("mc")), "bleu-maxref")
+    # only hypothesis grams that occur in some reference can score a hit;
+    # when the reference gram set is small (checked), drop the others before
+    # counting per hypothesis, otherwise count everything
+    keep = max_ref.select("g") if max_ref.count() <= broadcast_rows else None
+    te_g = _grams(te, keep)
     # hypotheses weighted by multiplicity, reduced to (n, g, c) before the join
     hyp = te_g.groupBy("n", "g", "c").agg(F.sum("mult").alias("w"))
     num = (hyp.join(max_ref, ["n", "g"], "left")
