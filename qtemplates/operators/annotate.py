@@ -46,11 +46,26 @@ def prefix_sums(arr: Column) -> Column:
         acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x).cast("int"))))
 
 
+def _ends(w: Column, suffixes: str) -> Column:
+    out = F.lit(False)
+    for suf in suffixes.split():
+        out = out | w.endswith(suf)
+    return out
+
+
 def _pos0(t: Column) -> Column:
+    """Context-free tag of one token; string tests instead of regexes where a
+    suffix or prefix test is enough (this runs once per token)."""
     w = F.lower(t)
-    return (F.when(~t.rlike(r"[\p{L}\p{N}]"), "PUNCT")
-             .when(t.rlike("^(EC|PC)[0-9]+$"), "PROPN")
-             .when(t.rlike("^[0-9]+$"), "NUM")
+    # a token is a word run or a single other character, so only one-character
+    # tokens can be punctuation
+    punct = (F.length(t) == 1) & ~t.rlike(r"[\p{L}\p{N}]")
+    digits = F.translate(t, "0123456789", "") == ""
+    marker = ((t.startswith("EC") | t.startswith("PC")) & (F.length(t) > 2)
+              & (F.translate(F.substring(t, 3, 1 << 20), "0123456789", "") == ""))
+    return (F.when(punct, "PUNCT")
+             .when(marker, "PROPN")
+             .when(digits, "NUM")
              .when(w.isin(DET), "DET")
              .when(w.isin(ADP), "ADP")
              .when(w.isin(PART), "PART")
@@ -58,9 +73,9 @@ def _pos0(t: Column) -> Column:
              .when(w.isin(PRON), "PRON")
              .when(w.isin(CCONJ), "CCONJ")
              .when(w.isin(SCONJ), "SCONJ")
-             .when(w.rlike("ly$"), "ADV")
-             .when(w.rlike("(al|ive|ous|able|ible|ful|ic)$"), "ADJ")
-             .when(w.isin(VERB_WORDS) | w.rlike("(ing|ed|ize|ise)$"), "VERB")
+             .when(w.endswith("ly"), "ADV")
+             .when(_ends(w, "al ive ous able ible ful ic"), "ADJ")
+             .when(w.isin(VERB_WORDS) | _ends(w, "ing ed ize ise"), "VERB")
              .otherwise("NOUN"))
 
 
