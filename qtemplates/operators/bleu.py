@@ -9,11 +9,11 @@ shorter); brevity penalty 1 if L > R else exp(1 - R / L).
 * ``corpus_bleu`` (B3) needs only sums, so it is computed without pairs:
   clipped hits against the per-gram maximum over all references, grouped by
   (n, gram, count) with map-side partial aggregation.
-* ``max_sentence_bleu`` (B1) is an exact top-1 search.  Pairs are never
-  enumerated through a common n-gram.  A seed score per test template comes
-  from one min-hash representative per n-gram; then prefix filtering (a
-  train template that beats the seed must share one of the test template's
-  rarest tokens) and a length window bound the candidates that are scored.
+* ``max_sentence_bleu`` (B1) is an exact top-1 search.  A seed score per test
+  template comes from one min-hash representative per n-gram; then prefix
+  filtering over 1..4-grams (a train template that beats the seed must share
+  one of the test template's rarest n-grams, for the n whose prefix has the
+  fewest postings) and a length window bound the candidates that are scored.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _log_p_bound(k: Column, L: Column) -> Column:
 
 
 def max_sentence_bleu(train: DataFrame, test: DataFrame, train_col: str = "template",
-                      test_col: str | None = None) -> DataFrame:
+                      test_col: str | None = None, with_candidates: bool = False):
     """B1: per distinct test template, the best sentence BLEU over all train
     templates.  Columns: template, mult (rows in test), bleu."""
     test_col = test_col or train_col
@@ -124,30 +124,49 @@ def max_sentence_bleu(train: DataFrame, test: DataFrame, train_col: str = "templ
     seed = _score_pairs(seed_pairs, te, tr, te_g, tr_g)
     tau = seed.groupBy("te").agg(F.max("s").alias("tau"))
 
-    # 2) prefix filter: k = least unigram overlap whose bound beats tau; a
-    #    better train template shares one of the L - k + 1 rarest tokens
-    df_tok = tr_g.filter(F.col("n") == 1).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    # 2) prefix filter.  Every precision factor is <= 1, so a train template
+    #    beating tau needs max(m_n, 0.1) / d_n > tau^4 for each n, and jointly
+    #    a unigram overlap of at least k_1 (bound below).  m_n >= k_n means it
+    #    shares one of the test template's d_n - k_n + 1 rarest n-gram
+    #    occurrences (rarity = train document frequency).  Per test template
+    #    the n whose prefix has the fewest postings is probed.
     te_info = (te.select(F.col("id").alias("te"), F.col("len").alias("L"))
                  .join(tau, "te", "left").withColumn("tau", F.coalesce("tau", F.lit(0.0))))
     L, t = F.col("L"), F.col("tau") * F.lit(1.0 - _SLACK)
-    k_min = F.array_position(F.transform(F.sequence(F.lit(1), L), lambda k: F.exp(F.lit(0.25) * _log_p_bound(k, L)) > t), True)
+    k1 = F.array_position(F.transform(F.sequence(F.lit(1), L),
+                                      lambda k: F.exp(F.lit(0.25) * _log_p_bound(k, L)) > t), True)
     p_full = F.exp(F.lit(0.25) * _log_p_bound(L, L))
-    # length window: R >= k, and exp(1 - R/L) * P(L) > tau for R >= L
+    # length window: R >= k_1, and exp(1 - R/L) * P(L) > tau for R >= L
     r_hi = F.when(F.col("tau") > 0, L * (F.lit(1.0) - F.log(t / p_full))).otherwise(F.lit(float("inf")))
-    te_info = (te_info.withColumn("k", k_min.cast("int"))
-                      .filter(F.col("k") > 0)
-                      .withColumn("prefix", L - F.col("k") + 1)
-                      .withColumn("r_hi", r_hi))
-    occ = (te_g.filter(F.col("n") == 1).select(F.col("id").alias("te"), "g", "c")
-               .join(df_tok, "g", "left").withColumn("df", F.coalesce("df", F.lit(0))))
-    w = Window.partitionBy("te").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
+
+    def prefix_n(n):
+        if n == 1:
+            return L - F.col("k1") + 1
+        d = L - F.lit(n - 1)
+        need = F.pow(t, 4) * d                        # m_n must exceed this
+        return F.when((d >= 1) & (need >= F.lit(EPS)), d - (F.floor(need).cast("int") + 1) + 1)
+
+    te_info = (te_info.withColumn("k1", k1.cast("int")).filter(F.col("k1") > 0)   # k1 = 0: nothing can beat tau
+                      .withColumn("r_hi", r_hi)
+                      .select("te", "k1", "r_hi", F.explode(F.array(*[
+                          F.struct(F.lit(n).alias("n"), prefix_n(n).alias("prefix")) for n in range(1, MAX_N + 1)]))
+                          .alias("p"))
+                      .select("te", "k1", "r_hi", "p.n", "p.prefix")
+                      .filter(F.col("prefix").isNotNull()))
+    df_ng = tr_g.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    occ = (te_g.select(F.col("id").alias("te"), "n", "g", "c")
+               .join(df_ng, ["n", "g"], "left").withColumn("df", F.coalesce("df", F.lit(0))))
+    w = Window.partitionBy("te", "n").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
     occ = occ.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    probes = (occ.join(te_info, "te").filter((F.col("before") < F.col("prefix")) & (F.col("df") > 0))
-                 .select("te", "g", "k", "r_hi"))
-    postings = (tr_g.filter(F.col("n") == 1).select(F.col("id").alias("tr"), "g")
+    in_prefix = occ.join(te_info, ["te", "n"]).filter(F.col("before") < F.col("prefix"))
+    best_n = (in_prefix.groupBy("te", "n").agg(F.sum("df").alias("cost"))
+                       .groupBy("te").agg(F.min_by("n", F.struct("cost", "n")).alias("n")))
+    probes = (in_prefix.join(best_n, ["te", "n"]).filter(F.col("df") > 0)
+                       .select("te", "n", "g", "k1", "r_hi"))
+    postings = (tr_g.select(F.col("id").alias("tr"), "n", "g")
                     .join(tr.select(F.col("id").alias("tr"), F.col("len").alias("R")), "tr"))
-    cand = (probes.join(postings, "g")
-                  .filter((F.col("R") >= F.col("k")) & (F.col("R").cast("double") < F.col("r_hi")))
+    cand = (probes.join(postings, ["n", "g"])
+                  .filter((F.col("R") >= F.col("k1")) & (F.col("R").cast("double") < F.col("r_hi")))
                   .select("te", "tr").distinct()
                   .join(seed_pairs, ["te", "tr"], "left_anti"))
     found = _score_pairs(cand, te, tr, te_g, tr_g).groupBy("te").agg(F.max("s").alias("s2"))
@@ -156,6 +175,8 @@ def max_sentence_bleu(train: DataFrame, test: DataFrame, train_col: str = "templ
               .join(tau, "te", "left").join(found, "te", "left")
               .select("template", "mult",
                       F.greatest(F.coalesce("tau", F.lit(0.0)), F.coalesce("s2", F.lit(0.0))).alias("bleu")))
+    if with_candidates:  # for inspection: the (te, tr) pairs scored after the seed
+        return best, seed_pairs, cand
     return best
 
 
