@@ -61,3 +61,24 @@ def cut_lineage(df, name: str = "stage"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``qtemplates`` importable in Python workers (functions used in
+    ``mapInPandas`` live in this package).  Zips the package once per
+    application into the checkpoint folder and adds it with ``addPyFile``;
+    on a cluster ``spark-submit --py-files`` does the same."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="qtemplates-pkg-"), "qtemplates")
+    archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg), base_dir="qtemplates")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
