@@ -36,6 +36,8 @@ Q = {
     "q5": ("What is the impact of the thing model on some parsers?",
            "PRON AUX DET NOUN ADP DET NOUN NOUN ADP DET NOUN PUNCT", {}, [(0, 1), (2, 4), (5, 8), (9, 11)]),
     "q6": ("How deep go neural networks?", "SCONJ ADJ VERB ADJ NOUN PUNCT", {}, [(3, 5)]),
+    "q7": ("What models are used?", "DET NOUN AUX VERB PUNCT", {2: 3}, [(0, 2)]),
+    "q8": ("Is the thing model good for speed?", "AUX DET NOUN NOUN ADJ ADP NOUN PUNCT", {}, [(1, 4), (6, 7)]),
 }
 
 
@@ -95,6 +97,10 @@ CASES = [
     ("q5", [], "What is EC1 of EC2 EC3 on some EC4?",
      {"EC1": "the impact", "EC2": "the", "EC3": "thing", "EC4": "parsers"}, None),
     ("q6", None, "How EC1 PC1 EC2?", {"EC1": "deep", "EC2": "neural networks", "PC1": "go"}, None),
+    # sentence-final verb after a copula becomes an entity
+    ("q7", None, "What EC1 are EC2?", {"EC1": "models", "EC2": "used"}, None),
+    # "the thing" takes two numbers; the next entity continues after them
+    ("q8", None, "Is EC1 EC2 good for EC3?", {"EC1": "the", "EC2": "thing", "EC3": "speed"}, None),
 ]
 
 

@@ -98,3 +98,12 @@ def test_order_independence(spark):
     a = sorted(C.run_coverage(tr, te).collect())
     b = sorted(C.run_coverage(tr.repartition(7), te.repartition(3)).collect())
     assert a == b
+
+
+def test_coverage_plan_has_no_join(spark):
+    from qtemplates.plans.catalog import _doc_split
+    tr, te = _doc_split(spark, "/root/testdata/sf0.001")
+    plan = C.run_coverage(tr, te)._jdf.queryExecution().executedPlan().toString()
+    # the only join is the 15-row level table attached to the per-level counts
+    assert plan.count("Join") <= 1
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
