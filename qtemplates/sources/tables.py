@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
     """Round-robin repartition only when the scan gives fewer partitions than
     ``per_core`` x cores.  Text rows carry heavy row-local work (tokenising,
     chunking, n-grams); a file with one row group would otherwise run it in
