@@ -822,3 +822,28 @@ def q_write_matches(spark, sf):
     back = IO._csv(spark).csv(path)      # partition columns come back from the folder names
     return back.select("templated_question", "normalized_template", "match_type",
                        F.col("n_words").cast("int").alias("n_words"), "key", "matched_train_template")
+
+
+@query("write_splits_roundtrip", sql=ORACLE["split_exact"])
+def q_write_splits(spark, sf):
+    """Exact split written one folder per split, read back."""
+    s = X.split_exact(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    path = _scratch(spark, "splits")
+    IO.write_splits(s, path)
+    return IO._csv(spark).csv(path).select(F.col("doc_id").cast("long").alias("doc_id"), "split")
+
+
+@query("write_templates_roundtrip")
+def q_write_templates(spark, sf):
+    """S10 + S5: the nine-column templates CSV written and read back."""
+    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    path = _scratch(spark, "templates")
+    IO.write_templates(CH.templates_from_questions(e), path)
+    return IO.read_templates(spark, path, na="none")
+
+
+@query("abstracts_from_pages")
+def q_abstracts_from_pages(spark, sf):
+    """Article blocks zipped with their title blocks, defaults, ids."""
+    p = spread(table(spark, sf, "pages"))
+    return H.abstracts_from_pages(p, "article", None, "article", None, H.site_base("url"))
