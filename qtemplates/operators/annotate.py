@@ -152,6 +152,18 @@ def annotate(df: DataFrame, text_col: str, tokens_col: str = "tokens", chunks_co
     return out.withColumn(chunks_col, noun_chunks(F.col(tokens_col)))
 
 
+_ANNOTATORS: dict = {}
+
+def _fn_key(fn) -> str:
+    """Stable per-function key for a per-worker cache: the digest of the
+    pickled function (code and captured values), computed on the driver."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    return hashlib.sha1(cloudpickle.dumps(fn)).hexdigest()
+
+
+
 def annotate_with(df: DataFrame, text_col: str, make_annotator: Callable[[], Callable[[str], tuple]],
                   tokens_col: str = "tokens", chunks_col: str = "noun_chunks") -> DataFrame:
     """A1 with a caller-supplied annotator.  ``make_annotator()`` returns a
@@ -160,12 +172,13 @@ def annotate_with(df: DataFrame, text_col: str, make_annotator: Callable[[], Cal
     schema = T.StructType(df.schema.fields + [
         T.StructField(tokens_col, T._parse_datatype_string(TOKEN_TYPE)),
         T.StructField(chunks_col, T._parse_datatype_string(CHUNK_TYPE))])
-    cache: dict = {}
+    key = _fn_key(make_annotator)
 
     def run(batches: Iterable):
-        fn = cache.get("fn")
+        # built once per Python worker (workers are reused across tasks)
+        fn = _ANNOTATORS.get(key)
         if fn is None:
-            fn = cache["fn"] = make_annotator()
+            fn = _ANNOTATORS[key] = make_annotator()
         for pdf in batches:
             res = [fn(t) if t is not None else ([], []) for t in pdf[text_col]]
             yield pdf.assign(**{tokens_col: [r[0] for r in res], chunks_col: [r[1] for r in res]})

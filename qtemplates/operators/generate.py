@@ -62,6 +62,15 @@ def render_prompt(df: DataFrame, template: str, slots: dict | None = None,
 
 _GEN_CACHE: dict = {}
 
+def _fn_key(fn) -> str:
+    """Stable per-function key for a per-worker cache: the digest of the
+    pickled function (code and captured values), computed on the driver."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    return hashlib.sha1(cloudpickle.dumps(fn)).hexdigest()
+
+
 
 def generate_text(df: DataFrame, make_generator: Callable[[], Callable[[Sequence[str]], Sequence[str]]],
                   prompt_col: str = "prompt", out: str = "generated_text",
@@ -76,7 +85,9 @@ def generate_text(df: DataFrame, make_generator: Callable[[], Callable[[Sequence
         raise ValueError("on_error must be 'fail' or 'skip'")
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
                                               T.StructField("error", T.StringType())])
-    key = id(make_generator)
+    # the function is unpickled anew for every task: key the per-worker cache
+    # by content, not by object identity
+    key = _fn_key(make_generator)
 
     def run(batches: Iterable):
         gen = _GEN_CACHE.get(key)

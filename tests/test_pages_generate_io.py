@@ -115,3 +115,15 @@ def test_abstract_json(spark, tmp_path):
         f.write('[{"id": 1, "title": "T", "abstract": "A", "url": "U"},\n {"id": 2, "title": "T2", "abstract": "B", "url": "V"}]')
     assert IO.read_abstracts(spark, arr).count() == 2
     assert os.path.exists(path)
+
+
+def test_generator_built_once_per_worker(spark):
+    """The factory runs once per Python worker, not once per task."""
+    def make():
+        import os
+        n = int(os.environ.get("QT_FACTORY_CALLS", "0")) + 1
+        os.environ["QT_FACTORY_CALLS"] = str(n)
+        return lambda prompts: [str(n) for _ in prompts]
+    df = spark.range(64).selectExpr("cast(id as string) as prompt").repartition(16)
+    calls = {int(r.generated_text) for r in G.generate_text(df, make).collect()}
+    assert calls == {1}
