@@ -176,9 +176,10 @@ def annotate_with(df: DataFrame, text_col: str, make_annotator: Callable[[], Cal
 
     def run(batches: Iterable):
         # built once per Python worker (workers are reused across tasks)
-        fn = _ANNOTATORS.get(key)
+        from qtemplates.operators import annotate as mod   # the worker's module, not a pickled copy
+        fn = mod._ANNOTATORS.get(key)
         if fn is None:
-            fn = _ANNOTATORS[key] = make_annotator()
+            fn = mod._ANNOTATORS[key] = make_annotator()
         for pdf in batches:
             res = [fn(t) if t is not None else ([], []) for t in pdf[text_col]]
             yield pdf.assign(**{tokens_col: [r[0] for r in res], chunks_col: [r[1] for r in res]})

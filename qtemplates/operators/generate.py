@@ -90,9 +90,12 @@ def generate_text(df: DataFrame, make_generator: Callable[[], Callable[[Sequence
     key = _fn_key(make_generator)
 
     def run(batches: Iterable):
-        gen = _GEN_CACHE.get(key)
+        # look the cache up through the module: a global captured by this
+        # closure would be pickled by value, i.e. fresh for every task
+        from qtemplates.operators import generate as mod
+        gen = mod._GEN_CACHE.get(key)
         if gen is None:
-            gen = _GEN_CACHE[key] = make_generator()
+            gen = mod._GEN_CACHE[key] = make_generator()
         for pdf in batches:
             prompts = pdf[prompt_col].tolist()
             texts, errors = None, [None] * len(prompts)
