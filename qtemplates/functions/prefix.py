@@ -41,10 +41,20 @@ def prefix_regex(prefixes: Sequence[str]) -> str:
     return f"^({alts})"
 
 
-def prefix_end(col, prefixes: Sequence[str]) -> Column:
-    """Q1: length of the protected prefix of ``strip(lower(q))``, or null."""
+def prefix_end(col, prefixes: Sequence[str], stripped: bool = False) -> Column:
+    """Q1: length of the protected prefix of ``strip(lower(q))``, or null.
+
+    ``stripped=True`` (the text has no surrounding whitespace) looks only at
+    the first ``max pattern length + 1`` characters: a pattern cannot end at
+    that cut, so the end-of-text alternative stays exact, and long texts are
+    neither stripped nor lower-cased in full."""
     c = F.col(col) if isinstance(col, str) else col
-    m = F.regexp_extract(F.lower(py_strip(c)), prefix_regex(prefixes), 1)
+    if stripped:
+        width = max((len(p) for p in prefixes), default=0) + 1
+        head = F.lower(F.substring(c, 1, width))
+    else:
+        head = F.lower(py_strip(c))
+    m = F.regexp_extract(head, prefix_regex(prefixes), 1)
     return F.when(F.length(m) > 0, F.length(m)).cast("int")
 
 

@@ -294,11 +294,11 @@ def extract_template_with_mapping(df: DataFrame, q_col: str = "research_question
     x = df.withColumn("_q", py_strip(q_col))
     x = _annotated(x, "_q", "_t1", "_c1", annotator)
     x = x.withColumn("_ec", splice(F.col("_q"), ec_spans(F.col("_q"), F.col("_t1"), F.col("_c1"),
-                                                           prefix_end(F.col("_q"), prefixes), profile), "EC", True))
+                                                           prefix_end(F.col("_q"), prefixes, stripped=True), profile), "EC", True))
     x = x.withColumn("_q2", F.col("_ec.text"))
     x = _annotated(x, "_q2", "_t2", "_c2", annotator)
     x = x.withColumn("_pc", splice(F.col("_q2"), pc_spans(F.col("_q2"), F.col("_t2"),
-                                                            prefix_end(F.col("_q2"), prefixes), profile), "PC", False))
+                                                            prefix_end(F.col("_q2"), prefixes, stripped=True), profile), "PC", False))
     x = x.withColumn("templated_question", F.col("_pc.text")) \
          .withColumn("mapping", F.map_concat(F.col("_ec.map"), F.col("_pc.map")))
     return x.drop("_q", "_t1", "_c1", "_ec", "_q2", "_t2", "_c2", "_pc")

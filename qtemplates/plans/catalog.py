@@ -619,7 +619,7 @@ def _prefix_case(x: str) -> str:
 SELECT doc_id, line_no, {_prefix_case('lower(q)')} AS prefix_end FROM en_q""")
 def q_prefix_end(spark, sf):
     e = _en_questions(spark, sf)
-    return e.select("doc_id", "line_no", PF.prefix_end(F.col("q"), IO.DEFAULT_PREFIXES).alias("prefix_end"))
+    return e.select("doc_id", "line_no", PF.prefix_end(F.col("q"), IO.DEFAULT_PREFIXES, stripped=True).alias("prefix_end"))
 
 
 def _in(xs) -> str:
@@ -721,7 +721,7 @@ def q_islands(spark, sf):
 def q_ec_spans(spark, sf):
     e = A.annotate(_en_questions(spark, sf), "q")
     sp = CH.ec_spans(F.col("q"), F.col("tokens"), F.col("noun_chunks"),
-                     PF.prefix_end(F.col("q"), IO.DEFAULT_PREFIXES), "mapping")
+                     PF.prefix_end(F.col("q"), IO.DEFAULT_PREFIXES, stripped=True), "mapping")
     return e.select("doc_id", "line_no", F.explode(sp).alias("s")).select("doc_id", "line_no", "s.b", "s.e", "s.kind", "s.v")
 
 
@@ -809,7 +809,7 @@ def q_prefix_from_patterns(spark, sf):
     learned = [r["pattern"] for r in top.collect()]          # at most 16 short strings
     prefixes = learned + [p for p in IO.DEFAULT_PREFIXES if p not in learned]
     e = _en_questions(spark, sf)
-    return e.select("doc_id", "line_no", PF.prefix_end(F.col("q"), prefixes).alias("prefix_end"))
+    return e.select("doc_id", "line_no", PF.prefix_end(F.col("q"), prefixes, stripped=True).alias("prefix_end"))
 
 
 @query("write_matches_roundtrip", sql=ORACLE["coverage_matches"])

@@ -175,3 +175,13 @@ def test_islands_match_patterns(spark):
     got = [sorted((x.s, x.e) for x in r[0]) for r in df.select(CH.pc_islands(F.col("tokens"))).collect()]
     for s, g in zip(seqs, got):
         assert g == _regex_spans(s), s
+
+
+def test_prefix_end_fast_path_equals_full(spark):
+    pre = ["what is the impact of", "how"] + DEFAULT_PREFIXES
+    qs = ["How", "how", "howdy x", "How do x", "What is the impact of", "what is the impact of x",
+          "what is the impact ofx", "Why" + " z" * 200, "What is the impact of" + " y" * 300, "", "x"]
+    df = spark.createDataFrame([(q,) for q in qs], "q string")
+    rows = df.select(prefix_end(F.col("q"), pre).alias("a"), prefix_end(F.col("q"), pre, stripped=True).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert [r.a for r in rows][:7] == [3, 3, None, 3, 21, 21, 4]
