@@ -4,9 +4,9 @@ Line cleaning, normalisation, first/last-N keys, prefix protection and the
 whole template extraction are Column expressions, so they run unchanged on a
 ``readStream`` DataFrame.  Counting patterns is kept exact across
 micro-batches with ``foreachBatch``: each batch is reduced with a partial
-aggregate and merged into the running table in the shared checkpoint folder
-(the merge is a plain aggregate over the previous version and the batch, so a
-replayed batch id overwrites its own version and stays idempotent).
+aggregate and appended under its batch id in the shared checkpoint folder (a
+replayed batch id overwrites only its own folder, so the sink stays
+idempotent); the totals are the sum over the batch folders.
 """
 
 from __future__ import annotations
@@ -30,19 +30,23 @@ def stream_patterns(stream: DataFrame, col: str = "line", n: int = 5) -> DataFra
 
 
 def merge_counts(out_dir: str, key: str = "pattern", done: dict | None = None):
-    """foreachBatch body: running (key, frequency) table, one folder per batch id."""
+    """foreachBatch body: the batch's partial counts, written under its own
+    batch id (a replayed batch overwrites only its own folder, so the sink is
+    idempotent).  Work per batch is proportional to the batch, not to the
+    running total; ``read_counts`` sums the folders."""
     def run(batch: DataFrame, batch_id: int) -> None:
         if done is not None:
             done["last"] = max(done.get("last", -1), batch_id)
-        spark = batch.sparkSession
         part = batch.groupBy(key).agg(F.count(F.lit(1)).alias("frequency"))
-        if batch_id > 0:
-            prev = spark.read.parquet(f"{out_dir}/v{batch_id - 1}")
-            part = prev.unionByName(part).groupBy(key).agg(F.sum("frequency").alias("frequency"))
-        part.write.mode("overwrite").parquet(f"{out_dir}/v{batch_id}")
+        part.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
     return run
 
 
+def read_counts(spark: SparkSession, out_dir: str, key: str = "pattern") -> DataFrame:
+    """The running totals: the sum of every batch's partial counts."""
+    return spark.read.parquet(out_dir).groupBy(key).agg(F.sum("frequency").alias("frequency"))
+
+
 def run_pattern_stream(spark: SparkSession, source: str, schema: str, min_count: int = 2,
                        files_per_trigger: int = 1) -> DataFrame:
     """Read a folder/glob of Parquet text files as a stream, count question
@@ -58,5 +62,5 @@ def run_pattern_stream(spark: SparkSession, source: str, schema: str, min_count:
     q.awaitTermination()
     if "last" not in done:
         return spark.createDataFrame([], "pattern STRING, frequency BIGINT")
-    out = spark.read.parquet(f"{base}/table/v{done['last']}")
+    out = read_counts(spark, f"{base}/table")
     return out.filter(F.col("frequency") >= min_count).select("pattern", F.col("frequency").cast("long"))

@@ -37,3 +37,15 @@ def test_workflows(spark, tmp_path):
     assert abs(r["sentence_bleu"] - 1.0) < 1e-9
     pre = W.learned_prefixes(q, min_count=2)
     assert pre[0] in ("how does the method compare", "what is the effect of")
+
+
+def test_stream_several_batches(spark, tmp_path):
+    """Two input files, one file per trigger: totals equal the batch result."""
+    src = tmp_path / "docs"
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    d.filter("lang = 'en'").coalesce(1).write.parquet(str(src / "a"))
+    d.filter("lang <> 'en'").coalesce(1).write.parquet(str(src / "b"))
+    s = ST.run_pattern_stream(spark, f"{src}/*/*.parquet",
+                              "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    b = K.pattern_frequency(doc_lines(spark, SF), "line", 5, 2)
+    assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
