@@ -1,6 +1,5 @@
 import os
 
-from pyspark.sql import functions as F
 
 from qtemplates.operators import generate as G
 from qtemplates.sources import io as IO
