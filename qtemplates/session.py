@@ -46,8 +46,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="qtemplates-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    try:  # classic sessions only; Spark Connect has no SparkContext
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001
+        pass
     return d
 
 
@@ -71,8 +74,11 @@ def ship_package(spark: SparkSession) -> None:
     ``mapInPandas`` live in this package).  Zips the package once per
     application into the checkpoint folder and adds it with ``addPyFile``;
     on a cluster ``spark-submit --py-files`` does the same."""
-    sc = spark.sparkContext
-    key = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # noqa: BLE001  (Spark Connect)
+        sc, key = None, f"connect-{id(spark)}"
     if key in _SHIPPED:
         return
     import shutil
@@ -80,5 +86,8 @@ def ship_package(spark: SparkSession) -> None:
     pkg = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="qtemplates-pkg-"), "qtemplates")
     archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg), base_dir="qtemplates")
-    sc.addPyFile(archive)
+    if sc is not None:
+        sc.addPyFile(archive)
+    else:
+        spark.addArtifacts(archive, pyfile=True)
     _SHIPPED.add(key)
