@@ -847,3 +847,11 @@ def q_abstracts_from_pages(spark, sf):
     """Article blocks zipped with their title blocks, defaults, ids."""
     p = spread(table(spark, sf, "pages"))
     return H.abstracts_from_pages(p, "article", None, "article", None, H.site_base("url"))
+
+
+@query("extract_template_collapsed")
+def q_extract_collapsed(spark, sf):
+    """T2 with the predicate pass reading the collapsed first annotation."""
+    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    return CH.extract_template_with_mapping(e, reannotate=False).select(
+        "doc_id", "line_no", "templated_question", "mapping")

@@ -185,3 +185,31 @@ def test_prefix_end_fast_path_equals_full(spark):
     rows = df.select(prefix_end(F.col("q"), pre).alias("a"), prefix_end(F.col("q"), pre, stripped=True).alias("b")).collect()
     assert all(r.a == r.b for r in rows)
     assert [r.a for r in rows][:7] == [3, 3, None, 3, 21, 21, 4]
+
+
+@pytest.mark.parametrize("key,extra,want,want_map,want_fast", CASES)
+def test_collapsed_second_pass(spark, key, extra, want, want_map, want_fast):
+    """reannotate=False derives the predicate-pass annotation from the first
+    one; on the hand annotations it must give the same templates."""
+    prefixes = (extra or []) + DEFAULT_PREFIXES if extra is not None else DEFAULT_PREFIXES
+    table = _build(spark, key)            # first-pass annotation only
+    df = spark.createDataFrame([(Q[key][0],)], "research_question string")
+    r = CH.extract_template_with_mapping(df, prefixes=prefixes, annotator=_annotator(table), reannotate=False).first()
+    assert r.templated_question == want
+    assert dict(r.mapping) == want_map
+    if want_fast:
+        f = CH.extract_template(df, prefixes=prefixes, annotator=_annotator(table), reannotate=False).first()
+        assert f.templated_question == want_fast
+
+
+def test_collapse_offsets_and_heads(spark):
+    df = spark.createDataFrame([("What software is used to effectively predict traffic?",)], "q string")
+    df = A.annotate(df, "q")
+    from qtemplates.functions.prefix import prefix_end as pe
+    sp = CH.ec_spans(F.col("q"), F.col("tokens"), F.col("noun_chunks"), pe(F.col("q"), DEFAULT_PREFIXES))
+    x = df.select("q", CH.splice(F.col("q"), sp, "EC", True).alias("ec"), "tokens")
+    r = x.select(F.col("ec.text").alias("t"), CH.collapse_spans(F.col("tokens"), F.col("ec.kept")).alias("c")).first()
+    for tok in r.c:
+        assert r.t[tok.idx:tok.idx + len(tok.text)] == tok.text
+        if tok.dep == "aux":
+            assert r.c[tok.head].pos == "VERB"
