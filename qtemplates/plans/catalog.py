@@ -479,7 +479,7 @@ def _echo_model():
 def q_generate(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"),
                                              F.col("source").alias("url"))
-    return G.questions_from_abstracts(d, PROMPT, _echo_model, id_col="id", lo=0, hi=10 ** 12)
+    return G.questions_from_abstracts(d, PROMPT, _echo_model, id_col="id")
 
 
 @query("combine_abstracts", sql="""
