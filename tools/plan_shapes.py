@@ -28,7 +28,8 @@ def main():
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     names = sys.argv[2:] or list(QUERIES)
-    spark = get_spark("local[4]", 8, extra={"spark.sql.adaptive.enabled": "false"})
+    spark = get_spark("local[4]", 8, extra={"spark.sql.adaptive.enabled": "false",
+                                          "spark.ui.showConsoleProgress": "false"})
     print("| query | " + " | ".join(KINDS) + " |")
     print("| --- |" + " --- |" * len(KINDS))
     for n in names:
