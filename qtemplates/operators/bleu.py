@@ -109,7 +109,7 @@ def _log_p_bound(k: Column, L: Column) -> Column:
 
 
 def max_sentence_bleu(train: DataFrame, test: DataFrame, train_col: str = "template",
-                      test_col: str | None = None, with_candidates: bool = False):
+                      test_col: str | None = None, with_candidates: bool = False, seed_reps: int = 1):
     """B1: per distinct test template, the best sentence BLEU over all train
     templates.  Columns: template, mult (rows in test), bleu."""
     test_col = test_col or train_col
@@ -118,7 +118,9 @@ def max_sentence_bleu(train: DataFrame, test: DataFrame, train_col: str = "templ
 
     # 1) seed: one min-hash representative train template per n-gram (n >= 2)
     reps = (tr_g.filter(F.col("n") >= 2)
-                .groupBy("n", "g").agg(F.min_by("id", F.xxhash64("id")).alias("tr")))
+                .groupBy("n", "g").agg(*[F.min_by("id", F.xxhash64("id", F.lit(h))).alias(f"r{h}")
+                                         for h in range(seed_reps)])
+                .select("n", "g", F.explode(F.array(*[F.col(f"r{h}") for h in range(seed_reps)])).alias("tr")))
     seed_pairs = (te_g.filter(F.col("n") >= 2).select(F.col("id").alias("te"), "n", "g")
                       .join(reps, ["n", "g"]).select("te", "tr").distinct())
     seed = _score_pairs(seed_pairs, te, tr, te_g, tr_g)
