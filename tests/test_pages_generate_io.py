@@ -126,3 +126,16 @@ def test_generator_built_once_per_worker(spark):
     df = spark.range(64).selectExpr("cast(id as string) as prompt").repartition(16)
     calls = {int(r.generated_text) for r in G.generate_text(df, make).collect()}
     assert calls == {1}
+
+
+def test_read_prompt_and_write_splits(spark, tmp_path):
+    p = tmp_path / "prompt.txt"
+    p.write_text("  Write questions.\n\nAbstract:\n{abstract}\n\n", encoding="utf-8")
+    assert IO.read_prompt(spark, str(p)) == "Write questions.\n\nAbstract:\n{abstract}"
+    from qtemplates.operators import split as X
+    df = spark.range(20).withColumnRenamed("id", "k")
+    out = str(tmp_path / "splits")
+    IO.write_splits(X.split_exact(df, "k"), out)
+    back = IO._csv(spark).csv(out)
+    assert sorted(r.split for r in back.select("split").distinct().collect()) == ["test", "train"]
+    assert back.filter("split = 'test'").count() == 4
