@@ -379,9 +379,12 @@ def expand_markers(df: DataFrame, ec: int = 5, pc: int = 2, map_col: str = "mapp
     return df.select("*", *cols)
 
 
-def order_templates(df: DataFrame, col: str = "templated_question") -> DataFrame:
-    """T4: by template length, then text (a deterministic tie-break)."""
-    return df.orderBy(F.length(col), F.col(col))
+def order_templates(df: DataFrame, col: str = "templated_question", tie: str | None = None) -> DataFrame:
+    """T4: by template length, then text.  ``tie`` (e.g. the unique question)
+    makes the order total, so a template shared by many questions can be
+    split across range partitions instead of landing in one."""
+    keys = [F.length(col), F.col(col)] + ([F.col(tie)] if tie else [])
+    return df.orderBy(*keys)
 
 
 def templates_from_questions(questions: DataFrame, q_col: str = "research_question", prefixes=None,
@@ -397,4 +400,4 @@ def templates_from_questions(questions: DataFrame, q_col: str = "research_questi
     cols = [q_col, "templated_question", "EC1", "EC2", "EC3", "EC4", "EC5", "PC1", "PC2"]
     # the range sort samples its input first; cut lineage so the sampling job
     # reads the written templates instead of re-running the extraction
-    return order_templates(cut_lineage(t.select(*cols), "templates"))
+    return order_templates(cut_lineage(t.select(*cols), "templates"), tie=q_col)
