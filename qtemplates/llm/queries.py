@@ -6,17 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qtemplates.llm import quality
+from qtemplates.llm import minhash, mixing, quality, secrets
 from qtemplates.llm.common import table
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and class id of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by base kind, digest of the base spans and all spans."""
+    documents = table(spark, sf_dir, "documents")
+    model = secrets.fit(secrets.training_samples(documents, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages")))
+    return secrets.scan(documents, model)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures, ratio score and verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and words taken of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE: dict[str, str] = {}
