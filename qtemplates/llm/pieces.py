@@ -26,6 +26,7 @@ take names that are still free.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,9 @@ _CHUNK = 1 << 19
 _LONG = 64
 #: Units are filtered forward together by the next of these widths, in
 #: blocks of so many characters; longer ones one by one.
-_WIDTHS, _CELLS = (8, 16, 24, 32, 48), 1 << 17
+_WIDTHS, _CELLS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48), 1 << 16
+#: Bits of a table of piece hashes, and which bits of a hash choose the place.
+_SLOTS, _SHIFTS = 18, (46, 28, 10)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -106,17 +109,33 @@ class Vocabulary:
         if any(" " in t.lstrip(" ") for t in self.ids):
             raise ValueError("pieces with spaces after other characters are not supported")
         self.alone = {t for t in self.ids if len(t) == 1}
-        # by length: sorted hashes of the pieces and their ids
-        self.by_length = []
-        for k in range(1, self.longest + 1):
-            own = [t for t in self.ids if len(t) == k]
-            h = _windows(_codes(own, k), k)[:, 0] if own else np.empty(0, np.uint64)
-            order = np.argsort(h)
-            self.by_length.append((h[order], np.array([self.ids[own[i]] for i in order], np.int32)))
+        # pieces by hash: tables, each for those whose place in the one before is taken
+        texts = list(self.ids)
+        h = np.array([_windows(_codes([t], len(t)), len(t))[0, 0] for t in texts], np.uint64)
+        own = np.array([self.ids[t] for t in texts], np.int32)
+        self.tables = []
+        for shift in _SHIFTS:
+            place = (h >> np.uint64(shift)) & np.uint64((1 << _SLOTS) - 1)
+            _, first = np.unique(place, return_index=True)
+            keys, ids = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
+            keys[place[first]], ids[place[first]] = h[first], own[first]
+            self.tables.append((np.uint64(shift), keys, ids))
+            rest = np.setdiff1d(np.arange(len(h)), first)
+            h, own = h[rest], own[rest]
+        if len(h):
+            raise ValueError("piece hashes collide")
         self.weights = np.array([*self.weight, 0.0])  # -1: no piece
         apart = "" if any("\n" in t for t in self.ids) else "\n"
         self.unit = re.compile(rf" *[^ {apart}]+|\n| +")
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 for none."""
+        out = np.full(h.shape, -1, np.int32)
+        for shift, keys, ids in self.tables:
+            at = ((h >> shift) & np.uint64((1 << _SLOTS) - 1)).astype(np.intp)
+            np.copyto(out, ids[at], where=keys[at] == h)
+        return out
+
     def decode(self, ids) -> str:
         return b"".join(map(self.data.__getitem__, ids))[1:].decode()
 
@@ -132,7 +151,8 @@ class Lattices:
         self.clear()
 
     def clear(self):
-        self.known, self.n, self.nodes = {}, 0, 0
+        self.known, self.n, self.nodes = {}, 0, 0  # known: numbers of units
+        self.zero, self.end = [], []  # first and last node by number
 
     def add(self, units: list[str]):
         """Give each unit (start node, end node)."""
@@ -165,11 +185,7 @@ class Lattices:
         h = _prefixes(_codes(units, width))
         ids = np.full((n, width + 1, reach), -1, np.int32)  # by end and length
         for k in range(1, reach + 1):
-            keys, own = v.by_length[k - 1]
-            if len(keys):
-                w = _windows(None, k, h)
-                at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-                ids[:, k:, k - 1] = np.where(keys[at] == w, own[at], -1)
+            ids[:, k:, k - 1] = v.find(_windows(None, k, h))
         sizes = np.array([len(u) for u in units])
         ids[np.arange(width + 1)[None, :] > sizes[:, None]] = -1
         share = v.weights[ids]
@@ -186,8 +202,9 @@ class Lattices:
         high = np.minimum(share[unit, end, k] / share[unit, end, -1], 1.0) + node
         high[np.append(node[1:] != node[:-1], True)] = node[np.append(node[1:] != node[:-1], True)] + 1.0
         self._keep(high, ids[unit, end, k], node - k - 1)
-        for u, z, m in zip(units, zero.tolist(), sizes.tolist(), strict=True):
-            self.known[u] = (z, z + m)
+        self.known.update(zip(units, range(len(self.zero), len(self.zero) + n), strict=True))
+        self.zero.extend(zero.tolist())
+        self.end.extend((zero + sizes).tolist())
         self.nodes += int((sizes + 1).sum())
 
     def _add_each(self, units: list[str]):
@@ -229,7 +246,9 @@ class Lattices:
                 alpha.append(total)
                 if total < 1e-200:  # only ratios within reach of a piece matter
                     alpha[-longest:] = [a * 1e200 for a in alpha[-longest:]]
-            self.known[unit] = (zero, nodes - 1)
+            self.known[unit] = len(self.zero)
+            self.zero.append(zero)
+            self.end.append(nodes - 1)
             self.nodes = nodes
         self._keep(high, piece, back)
 
@@ -238,17 +257,17 @@ class Lattices:
         units = [self.v.unit.findall(" " + t) if t else [] for t in texts]
         if len(self.known) > _UNITS or self.n > _EDGES:
             self.clear()
-        new = [u for u in dict.fromkeys(u for us in units for u in us) if u not in self.known]
+        new = [u for u in dict.fromkeys(chain.from_iterable(units)) if u not in self.known]
         if new:
             self.add(new)
         sizes = np.array([len(us) for us in units], np.int64)
-        ends = [self.known[u] for us in units for u in us]
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, int(sizes.sum()))
         for u in new:
             if len(u) > _LONG:
                 del self.known[u]
-        if not ends:
+        if not len(which):
             return np.empty(0, np.int32), sizes
-        zero, node = np.array(ends, np.int64).T
+        zero, node = np.array(self.zero, np.int64)[which], np.array(self.end, np.int64)[which]
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         own = mix(np.repeat(seeds, sizes) + (np.arange(len(node)) - first).astype(np.uint64) * _M1)
         live = np.arange(len(node))
@@ -267,8 +286,8 @@ class Lattices:
             step += 1
         past = np.cumsum(count)
         out = np.empty(int(past[-1]), np.int32)
-        for k, (which, ids) in enumerate(steps):  # drawn from the end
-            out[past[which] - 1 - k] = ids
+        for k, (drawn, ids) in enumerate(steps):  # from the end
+            out[past[drawn] - 1 - k] = ids
         return out, np.add.reduceat(np.append(count, 0), np.minimum(np.cumsum(sizes) - sizes, len(count))) * (sizes > 0)
 
 
