@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qtemplates.llm import quality
+from qtemplates.llm import minhash, mixing, pieces, quality, secrets
 from qtemplates.llm.common import table
 from qtemplates.session import checkpoint_dir, ship_package
 
@@ -21,8 +21,33 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each class stays."""
+    return minhash.keep_one(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: secrets are replaced in the texts, all documents stay."""
+    model = secrets.fit(secrets.training_samples(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages")))
+    return secrets.redact(docs, model)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: each document as often as its source's target asks for."""
+    return mixing.mixed_documents(docs)
+
+
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece: the documents with their sampled ``pieces``."""
+    return pieces.encode(docs)
+
+
 STAGES = [
     ("quality", good_documents),
+    ("near-duplicates", one_of_each),
+    ("secrets", without_secrets),
+    ("mixture", mixture),
+    ("pieces", segmented),
 ]
 
 #: Not expressible: the near-duplicate classes, the sampled mixture and the

@@ -1,13 +1,27 @@
-"""The registered queries of this subpackage and their DuckDB SQL."""
+"""The registered queries of this subpackage and their DuckDB SQL.
+
+Each query reads its whole tables.  Those without SQL are compared with brute
+force in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qtemplates.llm import chat, licenses, minhash, mixing, pieces, quality, secrets, token_ids, urls, vptree
+from qtemplates.llm.common import table, text_or_empty
+from qtemplates.session import checkpoint_dir
 
-from qtemplates.llm import minhash, mixing, quality, secrets
-from qtemplates.llm.common import table
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents as blocks of token ids and reads them back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    token_ids.write(table(spark, sf_dir, "documents"), path)
+    return token_ids.read(spark, path)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,21 +36,115 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents, model)
 
 
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document and whether they decode to its text."""
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                       (F.col("decoded") == text_or_empty()).alias("lossless"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, notices found with bounded errors, labels and score."""
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures, ratio score and verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of each vector whose id is divisible by 50."""
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, target and words taken of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts look like marks, beside those of the table.
+_MARKS = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and reads their digests from the examples."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", _MARKS), (-1, 1, "assistant", _MARKS)], rows.schema)
+    return chat.read_back(chat.examples(rows.unionByName(own)))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_ids": op1_token_ids,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_sentencepiece_sampling": op4_sentencepiece_sampling,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mixing": op8_mixing,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for mark in chat.CONTROL:
+        out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return out
+
+
+_OP7 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+_OP9 = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+             SELECT conv_id, turn, role, text FROM conversations
+             UNION ALL VALUES (-1, 0, 'user', '{_MARKS}'), (-1, 1, 'assistant', '{_MARKS}'))),
+k AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS last,
+             length('{chat.TURN_START}' || replace({_escaped("role")}, chr(10), '\\' || chr(10)) || chr(10) || {_escaped("text")} || '{chat.TURN_END}') + 1 AS chars
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n) AS upto, role = 'assistant' AS target FROM k)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       sum(CASE WHEN target THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN target THEN text ELSE '' END, '' ORDER BY n)) AS loss_sha256,
+       sum(CASE WHEN target OR n = last THEN upto ELSE 0 END)::BIGINT AS formatted_chars,
+       sum(CASE WHEN target OR n = last THEN 1 ELSE 0 END)::BIGINT AS n_examples
+FROM c GROUP BY conv_id
+"""
+
+_RULES = sorted(urls.RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0]), reverse=True)
+
+
+def _first_rule(value) -> str:
+    fits = "".join(f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(v, h, p)}'" for v, h, p in _RULES)
+    return f"CASE{fits} END"
+
+
+_OP10 = f"""
+WITH u AS (SELECT page_id,
+                  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, {_first_rule(lambda v, h, p: h + p)} AS rule, {_first_rule(lambda v, h, p: v)} AS told,
+             regexp_matches(host, '{"|".join(urls.LISTED_WORDS)}') AS listed FROM u)
+SELECT page_id, host, path, rule, listed, coalesce(told, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM r
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_nearest_neighbours": _OP7,
+    "op9_chat_formatting": _OP9,
+    "op10_url_filter": _OP10,
+}

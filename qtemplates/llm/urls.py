@@ -110,12 +110,11 @@ def bloom(keys: DataFrame, n: int, level: int, rate: float = FALSE_RATE) -> Bloo
                 np.bitwise_or.at(data, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([d.tobytes() for d in found.values()], pa.binary())], names=["page", "data"])
 
-    def merged(key, batches):
+    def merged(key, rows):
         total = np.zeros(PAGE_BITS // 8, np.uint8)
-        for batch in batches:
-            for d in batch.column("data").to_pylist():
-                total |= np.frombuffer(d, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["page", "data"])
+        for d in rows.column("data"):
+            total |= np.frombuffer(d.as_py(), np.uint8)
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     data = np.zeros(-(-bits // PAGE_BITS) * PAGE_BITS // 8, np.uint8)
     rows = keys.select("key").mapInArrow(pages, "page int, data binary").groupBy("page").applyInArrow(merged, "page int, data binary")
