@@ -36,6 +36,8 @@ KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 MIN_RANDOM = 20
 RANDOM = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM
 MIN_RATIO = 10.0
+#: Weight of a character's overall frequency against its transitions' counts.
+PRIOR = 10.0
 #: At most this many labelled documents give samples.
 SAMPLE_DOCS = 5_000
 MARK = "[SECRET]"
@@ -57,8 +59,8 @@ def training_samples(documents: DataFrame, labels: DataFrame, pages: DataFrame,
 
 
 def fit(samples: DataFrame) -> list[float] | None:
-    """Log-likelihood ratios by pair of codes (random over ordinary), add-one
-    smoothed; None without samples of both kinds."""
+    """Log-likelihood ratios by pair of codes (random over ordinary); None
+    without samples of both kinds."""
     n = len(KEY_CHARS)
     pairs = F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substr(F.col("sample"), i, F.lit(2)))
     rows = (samples.filter(F.length("sample") > 1).select("random", F.explode(pairs).alias("pair"))
@@ -72,8 +74,13 @@ def fit(samples: DataFrame) -> list[float] | None:
             counts[1][a * n + b] += row["o"]
     if not all(map(sum, counts)):
         return None
-    sums = [[sum(c[a * n:(a + 1) * n]) for a in range(n)] for c in counts]
-    return [math.log((counts[0][k] + 1) / (sums[0][k // n] + n)) - math.log((counts[1][k] + 1) / (sums[1][k // n] + n)) for k in range(n * n)]
+    logs = []
+    for c in counts:  # transitions, smoothed by how often the next character occurs at all
+        total = sum(c)
+        any_ = [(sum(c[b::n]) + 1) / (total + n) for b in range(n)]
+        rows = [sum(c[a * n:(a + 1) * n]) for a in range(n)]
+        logs.append([math.log((c[k] + PRIOR * any_[k % n]) / (rows[k // n] + PRIOR)) for k in range(n * n)])
+    return [r - o for r, o in zip(*logs, strict=True)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:
