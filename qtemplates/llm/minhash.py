@@ -14,12 +14,14 @@ Steps, each one a Spark job over shared Parquet tables:
    ``IDF_BUCKETS`` numbers whatever the corpus size.
 3. *signatures*: ``BANDS * ROWS`` consistent weighted samples per document
    (Ioffe 2010), hashed to one key per band.
-4. *links*: texts that share a band key are compared, in three rounds, so that
-   a large group of copies costs one comparison a member and no pair that may
-   still matter is left out:  (a) each member of a bucket with its smallest
-   and, in odd bands, largest key;  (b) members of components other than that
-   of the bucket's leaders with eight leaders spread over the bucket;
-   (c) whatever members of one bucket still lie in different components.
+4. *links*: texts that share a band key are compared, but never all pairs of
+   a large bucket.  First every member is compared with its bucket's leader,
+   the text with the most company over all its buckets (an original among its
+   copies), and in odd bands with the smallest key as well.  Then members that
+   are still in another component than their leader are compared with all
+   others in buckets of up to ``SMALL`` members, and with ``LEADERS`` members
+   spread over larger ones; this is repeated with other leaders as long as a
+   round links anything.
 5. *components*: minimum hooking with pointer jumping, as joins.
 
 Exact copies share the key (md5 of the text) and count once from step 4 on.
@@ -44,6 +46,8 @@ from qtemplates.session import cut_lineage
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
+#: Buckets of up to so many members are compared in full; leaders a round in others.
+SMALL, LEADERS = 8, 4
 #: Hash buckets of document frequencies.
 IDF_BITS = 18
 IDF_BUCKETS = 1 << IDF_BITS
@@ -158,7 +162,10 @@ def _read(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
 # ---- weights ----------------------------------------------------------------
 
 def idf(vecs: DataFrame) -> np.ndarray:
-    """ln(1 + documents / (1 + shingles in the bucket)) for each bucket."""
+    """1 + ln((1 + documents) / (1 + shingles in the bucket)) / ln(2 + documents)
+    for each bucket, 1 at least: rare shingles weigh up to twice as much as
+    common ones.  A steeper idf would pull large groups of near copies below
+    the threshold, as what they share would count as common."""
     def run(batches):
         total, docs = np.zeros(IDF_BUCKETS, np.int64), 0
         for batch in batches:
@@ -172,7 +179,8 @@ def idf(vecs: DataFrame) -> np.ndarray:
     b, n = got.column("b").to_numpy(), got.column("n").to_numpy()
     df = np.zeros(IDF_BUCKETS)
     df[b[b >= 0]] = n[b >= 0]
-    return np.log1p(n[b < 0].sum() / (1 + df))
+    docs = float(n[b < 0].sum())
+    return 1 + np.maximum(np.log((1 + docs) / (1 + df)), 0) / np.log(2 + docs)
 
 
 def _weights(h: np.ndarray, c: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -308,13 +316,15 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def _label(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members with their root, of buckets that hold two or more roots."""
+    """Members with their root, of buckets that hold two or more roots; r0 is
+    the root of the bucket's leader."""
     if labels is None:
         rooted = members.withColumn("root", F.col("key"))
     else:
         rooted = members.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = cut_lineage(rooted, "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("bucket", F.col("r0"))
+    mixed = (rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("hub", "key", "root")).alias("top"))
+             .filter("lo != hi").select("bucket", F.col("top.root").alias("r0")))
     return cut_lineage(rooted.join(mixed, "bucket"), "mixed")
 
 
@@ -327,26 +337,31 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cut_lineage(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("w").alias("w"), F.first("bands").alias("bands")), "texts")
 
     flat = texts.select("key", "w", F.posexplode("bands").alias("band", "v")).select("key", "w", F.xxhash64("band", "v").alias("bucket"), (F.col("band") % 2).alias("odd"))
-    shared = flat.groupBy("bucket").agg(F.min("odd").alias("odd"), F.min(F.struct("key", "w")).alias("lo"), F.max(F.struct("key", "w")).alias("hi")).filter("lo.key != hi.key")
-    lead = F.when(F.col("odd") == 0, F.col("lo")).otherwise(F.col("hi"))
-    ends = cut_lineage(shared.select("bucket", lead.alias("x")).select("bucket", F.col("x.key").alias("lead_key"), F.col("x.w").alias("lead_w")), "leaders")
-    members = cut_lineage(flat.select("key", "w", "bucket").join(ends.select("bucket"), "bucket"), "members")
+    shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = cut_lineage(flat.join(shared, "bucket"), "members")
+    # texts in many and large buckets, as an original among its copies, lead
+    hubs = members.groupBy("key").agg(F.sum("n").alias("hub"))
+    members = cut_lineage(members.join(hubs, "key"), "members")
+    ends = members.groupBy("bucket").agg(F.max(F.struct("hub", "key", "w")).alias("a"), F.when(F.max("odd") == 1, F.min(F.struct("key", "w"))).alias("b"))
+    ends = ends.select("bucket", F.explode(F.array_compact(F.array(F.struct("a.key", "a.w"), F.col("b")))).alias("x"))
+    ends = cut_lineage(ends.select("bucket", F.col("x.key").alias("lead_key"), F.col("x.w").alias("lead_w")), "leaders")
     wanted = members.select("key").distinct().join(texts.select("key", "rep"), "key")
     bodies = cut_lineage(vecs.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "h", "c"), "bodies")
 
-    labels = components(_verified(_pairs(members, ends), bodies, table))
-    for spread in (True, False):
+    labels, turn = components(_verified(_pairs(members, ends), bodies, table)), 0
+    while True:
         left = _label(members, labels)
         if left.isEmpty():
             break
-        as_lead = [F.col(c).alias("lead_" + c) for c in ("key", "w", "root")]
-        if spread:  # eight leaders spread over the bucket
-            picked = (left.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(8)).alias("part")).agg(F.min(F.struct("key", "w", "root")).alias("x"))
-                      .select("bucket", F.col("x.key").alias("lead_key"), F.col("x.w").alias("lead_w"), F.col("x.root").alias("lead_root")))
-            pairs = _pairs(left, picked)
-        else:  # all that are not of the smallest root with all that are of another root
-            pairs = _pairs(left.filter("root != r0"), left.select("bucket", *as_lead))
-        labels = _merged(labels, _verified(cut_lineage(pairs, "pairs"), bodies, table))
+        part = F.when(F.col("n") <= SMALL, F.xxhash64("key")).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(LEADERS)))
+        picked = (left.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("hub", "key", "w", "root")).alias("x"))
+                  .select("bucket", F.col("x.key").alias("lead_key"), F.col("x.w").alias("lead_w"), F.col("x.root").alias("lead_root")))
+        pairs = cut_lineage(_pairs(left.filter("root != r0"), picked), "pairs")
+        links = cut_lineage(_verified(pairs, bodies, table), "links")
+        if links.isEmpty():
+            break
+        labels = _merged(labels, links)
+        members, turn = left.drop("root", "r0").filter(F.col("n") > SMALL), turn + 1
 
     if labels is None:
         rooted = texts.select("key", "rep", F.col("key").alias("root"))
