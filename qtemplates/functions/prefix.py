@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qtemplates.functions.text import py_strip
@@ -58,6 +58,23 @@ def prefix_end(col, prefixes: Sequence[str], stripped: bool = False) -> Column:
     return F.when(F.length(m) > 0, F.length(m)).cast("int")
 
 
+def prefix_end_from(df: DataFrame, col: str, prefixes: DataFrame, out: str = "prefix_end") -> DataFrame:
+    """Q1 with the protected prefixes as a table (pattern, rank) of any size:
+    adds ``out``, the length of the pattern of smallest rank that the stripped,
+    lower-cased text begins with (a space or the end must follow), or null.
+
+    A text's candidates are its beginnings up to each of its first spaces, as
+    many as the longest pattern has words; equal beginnings are looked up once
+    by an equi-join, so neither the list nor a hot beginning is collected."""
+    width = prefixes.agg(F.max(F.size(F.split("pattern", " ")))).first()[0] or 0  # one number
+    head = F.substring_index(F.lower(py_strip(col)), " ", width)
+    rows = df.withColumn("_head", head)
+    cuts = F.transform(F.sequence(F.lit(1), F.size(F.split("_head", " "))), lambda i: F.call_function("substring_index", F.col("_head"), F.lit(" "), i))
+    tried = rows.select("_head").filter(F.col("_head").isNotNull()).distinct().select("_head", F.explode(cuts).alias("pattern"))
+    hits = tried.join(prefixes, "pattern").groupBy("_head").agg(F.min_by(F.length("pattern"), "rank").cast("int").alias(out))
+    return rows.join(hits, "_head", "left").drop("_head")
+
+
 def starter_flags(w0: Column, w1: Column, n: Column) -> tuple[Column, Column]:
     """Per-text constants of Q2: (first token is a starter word, first two
     tokens form a starter pair).  One hash-set lookup each."""

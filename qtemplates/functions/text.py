@@ -30,7 +30,7 @@ def _c(col) -> Column:
 
 def py_strip(col) -> Column:
     """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(_c(col), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def py_strip_chars(col, chars: str) -> Column:
@@ -40,7 +40,7 @@ def py_strip_chars(col, chars: str) -> Column:
 
 def py_split(col) -> Column:
     """``str.split()``: split on runs of Unicode whitespace, no empty items."""
-    return F.filter(F.split(_c(col), r"(?U)\s+", -1), lambda x: x != "")
+    return F.filter(F.split(_c(col), r"(?U)[\s\x1c-\x1f]+", -1), lambda x: x != "")
 
 
 def null_if_na(col) -> Column:

@@ -389,15 +389,20 @@ def order_templates(df: DataFrame, col: str = "templated_question", tie: str | N
 
 def templates_from_questions(questions: DataFrame, q_col: str = "research_question", prefixes=None,
                              annotator=None) -> DataFrame:
-    """F4 -> T2 -> T3 -> T4: the nine output columns."""
-    # hash-partition on the question (explicit count, so adaptive execution
-    # keeps the parallelism the CPU-heavy chunking below needs); the
-    # de-duplication reuses this partitioning
+    """F4 -> T2 -> T4: question, template and the whole marker map;
+    ``wide_templates`` makes the marker columns of it."""
+    # copies of a question collapse before the shuffle; the distinct ones are
+    # then dealt out by an explicit count, as the chunking below is CPU-heavy
+    # and adaptive execution would judge by bytes
     n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = questions.select(q_col).na.drop().repartition(n, q_col).dropDuplicates()
+    q = questions.select(q_col).na.drop().dropDuplicates().repartition(n, q_col)
     t = extract_template_with_mapping(q, q_col, "mapping", prefixes, annotator)
-    t = expand_markers(t)
-    cols = [q_col, "templated_question", "EC1", "EC2", "EC3", "EC4", "EC5", "PC1", "PC2"]
     # the range sort samples its input first; cut lineage so the sampling job
     # reads the written templates instead of re-running the extraction
-    return order_templates(cut_lineage(t.select(*cols), "templates"), tie=q_col)
+    return order_templates(cut_lineage(t.select(q_col, "templated_question", "mapping"), "templates"), tie=q_col)
+
+
+def wide_templates(templates: DataFrame, ec: int = 5, pc: int = 2) -> DataFrame:
+    """T3 view of ``templates_from_questions``: EC1..ECec and PC1..PCpc
+    columns instead of the map."""
+    return expand_markers(templates, ec, pc).drop("mapping")

@@ -69,7 +69,8 @@ def chunk_frequency(df: DataFrame, markers: Sequence[str] = DEFAULT_MARKERS, min
     """K4: (marker, rank, chunk, frequency); rank 1 = most frequent, ties by
     first seen, then by chunk text."""
     counts = chunk_counts(df, markers, min_count, order_by)
-    ranked = rank_within(counts, "marker", [F.desc("frequency"), F.col("_first"), F.col("chunk")])
+    ranked = rank_within(counts, "marker", [F.desc("frequency"), F.col("_first"), F.col("chunk")],
+                         few_groups=True)  # one group per marker name
     return ranked.select("marker", "rank", "chunk", "frequency")
 
 

@@ -22,9 +22,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def id_range_filter(df: DataFrame, lo: int, hi: int, col: str = "id") -> DataFrame:
-    """keep ids in the closed range [lo, hi]; pushed down to the scan."""
-    return df.filter(F.col(col).between(lo, hi))
+def id_range_filter(df: DataFrame, lo: int | None, hi: int | None, col: str = "id") -> DataFrame:
+    """keep ids in the closed range [lo, hi], open where an end is None;
+    pushed down to the scan."""
+    if lo is not None:
+        df = df.filter(F.col(col) >= lo)
+    return df if hi is None else df.filter(F.col(col) <= hi)
 
 
 def drop_blank(df: DataFrame, col: str) -> DataFrame:
@@ -101,9 +104,12 @@ def generate_text(df: DataFrame, make_generator: Callable[[], Callable[[Sequence
             texts, errors = None, [None] * len(prompts)
             try:
                 texts = list(gen(prompts))
+                if len(texts) != len(prompts):
+                    raise ValueError(f"generator gave {len(texts)} texts for {len(prompts)} prompts")
             except Exception:  # noqa: BLE001
                 if on_error == "fail":
                     raise
+                texts = None  # which row is at fault shows only one by one
             if texts is None:
                 texts = []
                 for i, p in enumerate(prompts):
@@ -146,7 +152,7 @@ def questions_from_abstracts(abstracts: DataFrame, template: str, make_generator
     """E1 end to end: filter -> prompt -> generate -> strip echo -> lines -> questions.
     Filters run before ``mapInPandas`` (Catalyst cannot push through it)."""
     df = abstracts
-    if lo is not None and hi is not None:
+    if lo is not None or hi is not None:
         df = id_range_filter(df, lo, hi, id_col)
     df = drop_blank(df, "abstract")
     df = render_prompt(df, template, {"abstract": "abstract"})

@@ -40,13 +40,15 @@ def assign_ids(df: DataFrame, order_by, start: int = 1, id_col: str = "id") -> D
     return out
 
 
-def rank_within(df: DataFrame, group_col: str, order_by, rank_col: str = "rank") -> DataFrame:
+def rank_within(df: DataFrame, group_col: str, order_by, rank_col: str = "rank", few_groups: bool = False) -> DataFrame:
     """1-based position inside each ``group_col`` value, ordered by ``order_by``.
 
     Same result as ``row_number().over(partitionBy(group).orderBy(...))`` but a
-    hot group is spread over range partitions instead of one task."""
+    hot group is spread over range partitions instead of one task.
+    ``few_groups``: the caller knows that the groups are few (such as marker
+    names), so their first positions are broadcast and no hot group shuffles."""
     numbered = assign_ids(df, [F.col(group_col)] + _cols(order_by), start=0, id_col="_gid")
     first = numbered.groupBy(group_col).agg(F.min("_gid").alias("_g0"))
-    return (numbered.join(first, group_col)
+    return (numbered.join(F.broadcast(first) if few_groups else first, group_col)
                     .withColumn(rank_col, (F.col("_gid") - F.col("_g0") + 1).cast("long"))
                     .drop("_gid", "_g0"))

@@ -13,11 +13,14 @@ def _key(key) -> Column:
 
 
 def split_hash_col(key, test: float = 0.2, seed: int = 42) -> Column:
-    """X2 predicate: True for test rows. ``md5('<seed>:<key>')`` first byte
-    below ``round(test * 256)``; the same rows come out of any SQL engine."""
-    cut = format(max(0, min(255, round(test * 256))), "02x")
-    h = F.md5(F.concat(F.lit(f"{seed}:"), _key(key).cast("string")))
-    return F.substring(h, 1, 2) < F.lit(cut)
+    """X2 predicate: True for test rows. The first 32 bits of
+    ``md5('<seed>:<key>')`` are below ``round(test * 2**32)``; the same rows
+    come out of any SQL engine.  ``test=1.0`` takes every row."""
+    cut = round(test * (1 << 32))
+    if cut >= 1 << 32:
+        return F.lit(True)
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(_key(key).cast("string"), F.lit(""))))
+    return F.substring(h, 1, 8) < F.lit(format(max(0, cut), "08x"))
 
 
 def split_hash(df: DataFrame, key, test: float = 0.2, seed: int = 42,
@@ -33,8 +36,9 @@ def split_exact(df: DataFrame, key, test: float = 0.2, seed: int = 42,
     The cut point is found without a global sort: hex-prefix histograms
     (at most 65,536 small rows each) narrow the range until the bucket that
     holds the cut is small, and only that bucket is sorted.  ``key`` must be
-    unique for the size to be exact."""
-    k = _key(key).cast("string")
+    unique for the size to be exact: a cut that falls among rows of one key
+    raises ``ValueError``."""
+    k = F.coalesce(_key(key).cast("string"), F.lit(""))
     h = F.md5(F.concat(F.lit(f"{seed}:"), k))
     staged = df.withColumn("_h", h).withColumn("_k", k)
     n = staged.count()
@@ -58,6 +62,10 @@ def split_exact(df: DataFrame, key, test: float = 0.2, seed: int = 42,
     cut = (staged.filter(F.col("_h").startswith(prefix))
                  .select("_h", "_k").orderBy("_h", "_k")
                  .offset(remaining - 1).limit(1).collect()[0])
+    # rows of the cut's own key beyond the wanted size cannot be told apart
+    upto = staged.filter((F.col("_h").startswith(prefix)) & ((F.col("_h") < F.lit(cut["_h"])) | ((F.col("_h") == F.lit(cut["_h"])) & (F.col("_k") <= F.lit(cut["_k"])))))
+    if upto.count() != remaining:
+        raise ValueError(f"key {cut['_k']!r} is repeated at the cut; add a unique column to the key")
     is_test = (F.col("_h") < F.lit(cut["_h"])) | (
         (F.col("_h") == F.lit(cut["_h"])) & (F.col("_k") <= F.lit(cut["_k"])))
     return staged.withColumn(split_col, F.when(is_test, "test").otherwise("train")).drop("_h", "_k")

@@ -470,7 +470,7 @@ def _echo_model():
         for p in prompts:
             body = p.split("Abstract:\n", 1)[-1]
             sents = [s.strip() for s in re.split(r"(?<=[.!?])\s+", body) if s.strip()]
-            out.append(p + "\n" + "\n".join(f"{i + 1}. {s}" for i, s in enumerate(sents[:3])))
+            out.append(p + "\n" + "\n".join(f"{i + 1}. {s}" for i, s in enumerate(sents)))
         return out
     return gen
 
@@ -489,7 +489,7 @@ FROM documents
 def q_combine(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
     parts = [d.filter(F.col("source") == s) for s in ("src0", "src1", "src2")]
-    parts.append(d.filter(~F.col("source").isin("src0", "src1", "src2")))
+    parts.append(d.filter(~F.coalesce(F.col("source").isin("src0", "src1", "src2"), F.lit(False))))
     out = G.combine_abstracts(parts, [F.col("source"), F.col("source_id")])
     return out.select("id", "source_id", "source")
 
@@ -502,10 +502,10 @@ def _scratch(spark, name: str) -> str:
 
 
 @query("questions_csv_roundtrip", sql=_with(S.DOC_LINES) + """
-SELECT 'doc:' || doc_id AS url, line AS research_question FROM doc_lines""")
+SELECT 'doc:' || doc_id AS url, '  ' || line || chr(9) AS research_question FROM doc_lines""")
 def q_csv_roundtrip(spark, sf):
     d = doc_lines(spark, sf).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
-                                    F.col("line").alias("research_question"))
+                                    F.concat(F.lit("  "), F.col("line"), F.lit("\t")).alias("research_question"))  # edges must survive
     path = _scratch(spark, "questions-csv")
     IO.write_csv(d, path)
     return IO.read_questions(spark, path, na="none")
@@ -537,10 +537,9 @@ def q_links(spark, sf):
 
 
 @query("filter_links", sql=_with(_LINKS_SQL) + """
-SELECT url, CAST(pos AS INTEGER) AS pos, href FROM links WHERE starts_with(href, '/') AND NOT ends_with(href, ',') AND ends_with(href, '')""")
+SELECT url, CAST(pos AS INTEGER) AS pos, href FROM links WHERE starts_with(href, '/') AND ends_with(href, '.')""")
 def q_filter_links(spark, sf):
-    f = H.filter_links(H.extract_links(table(spark, sf, "pages")), "/", "")
-    return f.filter(~F.col("href").endswith(","))
+    return H.filter_links(H.extract_links(table(spark, sf, "pages")), "/", ".")
 
 
 @query("distinct_links", sql=_with(_LINKS_SQL) + """
@@ -597,16 +596,17 @@ def q_articles(spark, sf):
 # ---------------------------------------------------------------- step 5: prefixes, annotation, chunking
 
 from qtemplates.functions import prefix as PF  # noqa: E402
+from qtemplates.plans import workflows as W  # noqa: E402
 from qtemplates.operators import annotate as A  # noqa: E402
 from qtemplates.operators import chunk as CH  # noqa: E402
 
 
-def _en_questions(spark, sf):
-    d = doc_lines(spark, sf).filter(F.col("lang") == "en")
+def _questions(spark, sf):
+    d = doc_lines(spark, sf)
     return d.select("doc_id", "line_no", T.py_strip("line").alias("q"))
 
 
-_EN_Q = f"en_q AS (SELECT doc_id, line_no, {S.strip('line')} AS q FROM doc_lines WHERE lang = 'en')"
+_Q_SQL = f"all_q AS (SELECT doc_id, line_no, {S.strip('line')} AS q FROM doc_lines)"
 
 
 def _prefix_case(x: str) -> str:
@@ -615,10 +615,10 @@ def _prefix_case(x: str) -> str:
     return f"CAST(CASE {whens} END AS INTEGER)"
 
 
-@query("prefix_end", sql=_with(S.DOC_LINES, _EN_Q) + f"""
-SELECT doc_id, line_no, {_prefix_case('lower(q)')} AS prefix_end FROM en_q""")
+@query("prefix_end", sql=_with(S.DOC_LINES, _Q_SQL) + f"""
+SELECT doc_id, line_no, {_prefix_case('lower(q)')} AS prefix_end FROM all_q""")
 def q_prefix_end(spark, sf):
-    e = _en_questions(spark, sf)
+    e = _questions(spark, sf)
     return e.select("doc_id", "line_no", PF.prefix_end(F.col("q"), IO.DEFAULT_PREFIXES, stripped=True).alias("prefix_end"))
 
 
@@ -632,7 +632,7 @@ tk AS (
   FROM (SELECT doc_id, line_no, q,
                regexp_extract_all(q, '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])', 1) AS t,
                regexp_split_to_array(q, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS g
-        FROM en_q)
+        FROM all_q)
 ),
 tk0 AS (
   SELECT doc_id, line_no, i, text,
@@ -668,12 +668,12 @@ tokd AS (
 )"""
 
 
-@query("annotate_tokens", sql=_with(S.DOC_LINES, _EN_Q, _TOKENS_SQL) + """
+@query("annotate_tokens", sql=_with(S.DOC_LINES, _Q_SQL, _TOKENS_SQL) + """
 SELECT doc_id, line_no, CAST(i AS INTEGER) AS i, idx, text, pos,
        CASE WHEN h IS NOT NULL THEN 'aux' ELSE '' END AS dep, CAST(coalesce(h, i) AS INTEGER) AS head
 FROM tokd""")
 def q_annotate(spark, sf):
-    e = _en_questions(spark, sf)
+    e = _questions(spark, sf)
     return (e.select("doc_id", "line_no", F.explode(A.lexicon_tokens(F.col("q"))).alias("t"))
              .select("doc_id", "line_no", "t.*"))
 
@@ -703,7 +703,7 @@ tail AS (
 )"""
 
 
-@query("pc_islands", sql=_with(S.DOC_LINES, _EN_Q, _TOKENS_SQL, _ISLANDS_SQL) + """
+@query("pc_islands", sql=_with(S.DOC_LINES, _Q_SQL, _TOKENS_SQL, _ISLANDS_SQL) + """
 SELECT doc_id, line_no, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM (
   SELECT doc_id, line_no, s,
          CASE WHEN pos1 = 'ADP' THEN e_isl + 1
@@ -711,7 +711,7 @@ SELECT doc_id, line_no, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM (
               ELSE lv END AS e
   FROM tail) WHERE e IS NOT NULL""")
 def q_islands(spark, sf):
-    e = _en_questions(spark, sf)
+    e = _questions(spark, sf)
     t = e.select("doc_id", "line_no", A.lexicon_tokens(F.col("q")).alias("tokens"))
     return (t.select("doc_id", "line_no", F.explode(CH.pc_islands(F.col("tokens"))).alias("sp"))
              .select("doc_id", "line_no", "sp.s", "sp.e"))
@@ -719,7 +719,7 @@ def q_islands(spark, sf):
 
 @query("ec_spans")
 def q_ec_spans(spark, sf):
-    e = A.annotate(_en_questions(spark, sf), "q")
+    e = A.annotate(_questions(spark, sf), "q")
     sp = CH.ec_spans(F.col("q"), F.col("tokens"), F.col("noun_chunks"),
                      PF.prefix_end(F.col("q"), IO.DEFAULT_PREFIXES, stripped=True), "mapping")
     return e.select("doc_id", "line_no", F.explode(sp).alias("s")).select("doc_id", "line_no", "s.b", "s.e", "s.kind", "s.v")
@@ -727,20 +727,20 @@ def q_ec_spans(spark, sf):
 
 @query("extract_template")
 def q_extract_template(spark, sf):
-    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    e = _questions(spark, sf).withColumnRenamed("q", "research_question")
     return CH.extract_template(e).select("doc_id", "line_no", "templated_question")
 
 
 @query("extract_template_with_mapping")
 def q_extract_mapping(spark, sf):
-    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    e = _questions(spark, sf).withColumnRenamed("q", "research_question")
     return CH.extract_template_with_mapping(e).select("doc_id", "line_no", "templated_question", "mapping")
 
 
 @query("templates_from_questions")
 def q_templates(spark, sf):
-    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
-    return CH.templates_from_questions(e)
+    e = _questions(spark, sf).withColumnRenamed("q", "research_question")
+    return CH.wide_templates(CH.templates_from_questions(e))
 
 
 # ---------------------------------------------------------------- streaming
@@ -783,33 +783,27 @@ def q_cov_custom(spark, sf):
     return C.coverage(tr, te, lambda c: F.lower(T.first_n_words(c, 3)), name="first3_lower")
 
 
-_TOP_PATTERNS = 16
-
-
-@query("prefix_end_from_patterns", sql=_with(S.DOC_LINES, _EN_Q, f"""
+@query("prefix_end_from_patterns", sql=_with(S.DOC_LINES, _Q_SQL, f"""
 pats AS (
   SELECT pattern, row_number() OVER (ORDER BY frequency DESC, pattern) AS rk FROM (
     SELECT pattern, count(*) AS frequency FROM (SELECT {S.pattern('line')} AS pattern FROM doc_lines)
     WHERE pattern IS NOT NULL GROUP BY pattern HAVING count(*) >= 20)
-  QUALIFY rk <= {_TOP_PATTERNS}
 ),
-defaults AS (SELECT * FROM (VALUES {", ".join(f"({_sql_str(p)}, {1000 + i})" for i, p in enumerate(IO.DEFAULT_PREFIXES))}) d(pattern, rk)),
+defaults AS (SELECT * FROM (VALUES {", ".join(f"({_sql_str(p)}, {10**15 + i})" for i, p in enumerate(IO.DEFAULT_PREFIXES))}) d(pattern, rk)),
 allp AS (SELECT pattern, min(rk) AS rk FROM (SELECT * FROM pats UNION ALL SELECT * FROM defaults) GROUP BY pattern),
 hits AS (
   SELECT q.doc_id, q.line_no, arg_min(length(p.pattern), p.rk) AS pe
-  FROM en_q q JOIN allp p ON starts_with(lower(q.q), p.pattern || ' ') OR lower(q.q) = p.pattern
+  FROM all_q q JOIN allp p ON starts_with(lower(q.q), p.pattern || ' ') OR lower(q.q) = p.pattern
   GROUP BY q.doc_id, q.line_no
 )""") + """
 SELECT q.doc_id, q.line_no, CAST(h.pe AS INTEGER) AS prefix_end
-FROM en_q q LEFT JOIN hits h ON q.doc_id = h.doc_id AND q.line_no = h.line_no""")
+FROM all_q q LEFT JOIN hits h ON q.doc_id = h.doc_id AND q.line_no = h.line_no""")
 def q_prefix_from_patterns(spark, sf):
-    """E5: frequent openings (>= 20, top 16) become the protected prefix list."""
-    top = K.top_k(K.pattern_frequency(doc_lines(spark, sf), "line", 5, 20), _TOP_PATTERNS,
-                  [F.desc("frequency"), F.col("pattern")])
-    learned = [r["pattern"] for r in top.collect()]          # at most 16 short strings
-    prefixes = learned + [p for p in IO.DEFAULT_PREFIXES if p not in learned]
-    e = _en_questions(spark, sf)
-    return e.select("doc_id", "line_no", PF.prefix_end(F.col("q"), prefixes, stripped=True).alias("prefix_end"))
+    """E5: all openings that occur 20 times or more become the protected
+    prefix table."""
+    prefixes = W.learned_prefixes(doc_lines(spark, sf), "line", 20)
+    e = PF.prefix_end_from(_questions(spark, sf), "q", prefixes)
+    return e.select("doc_id", "line_no", "prefix_end")
 
 
 @query("write_matches_roundtrip", sql=ORACLE["coverage_matches"])
@@ -836,9 +830,9 @@ def q_write_splits(spark, sf):
 @query("write_templates_roundtrip")
 def q_write_templates(spark, sf):
     """S10 + S5: the nine-column templates CSV written and read back."""
-    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    e = _questions(spark, sf).withColumnRenamed("q", "research_question")
     path = _scratch(spark, "templates")
-    IO.write_templates(CH.templates_from_questions(e), path)
+    IO.write_templates(CH.wide_templates(CH.templates_from_questions(e)), path)
     return IO.read_templates(spark, path, na="none")
 
 
@@ -852,6 +846,6 @@ def q_abstracts_from_pages(spark, sf):
 @query("extract_template_collapsed")
 def q_extract_collapsed(spark, sf):
     """T2 with the predicate pass reading the collapsed first annotation."""
-    e = _en_questions(spark, sf).withColumnRenamed("q", "research_question")
+    e = _questions(spark, sf).withColumnRenamed("q", "research_question")
     return CH.extract_template_with_mapping(e, reannotate=False).select(
         "doc_id", "line_no", "templated_question", "mapping")

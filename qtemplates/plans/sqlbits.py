@@ -39,8 +39,8 @@ def pattern(x: str, n: int = 5) -> str:
     return f"CASE WHEN len({w}) > 0 THEN lower(array_to_string(list_slice({w}, 1, {n}), ' ')) END"
 
 
-def hash_test(key: str, test_cut: str = "33", seed: int = 42) -> str:
-    return f"(substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 2) < '{test_cut}')"
+def hash_test(key: str, test_cut: str = "33333333", seed: int = 42) -> str:
+    return f"(substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) < '{test_cut}')"
 
 
 # Non-blank lines of every document, numbered from 0 inside the document.

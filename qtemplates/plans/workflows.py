@@ -28,9 +28,10 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def abstracts_to_questions(abstracts: DataFrame, template: str, make_generator, out_path: str,
-                           lo: int = 1, hi: int = 2500, numbering: str = "strict",
+                           lo: int | None = None, hi: int | None = None, numbering: str = "strict",
                            on_error: str = "fail") -> int:
-    """Abstracts -> generated questions CSV (url, research_question)."""
+    """Abstracts -> generated questions CSV (url, research_question), of
+    all ids or of ``lo``..``hi``."""
     q = G.questions_from_abstracts(abstracts, template, make_generator, lo=lo, hi=hi,
                                    numbering=numbering, on_error=on_error)
     q, obs = counted(q, "questions")
@@ -48,7 +49,7 @@ def split_questions(questions: DataFrame, key: str, out_path: str, test: float =
 def questions_to_templates(questions: DataFrame, out_path: str, prefixes: Sequence[str] | None = None,
                            annotator=None) -> int:
     """Questions -> the nine-column templates CSV, ordered by length."""
-    t = CH.templates_from_questions(questions, "research_question", prefixes, annotator)
+    t = CH.wide_templates(CH.templates_from_questions(questions, "research_question", prefixes, annotator))
     t, obs = counted(t, "templates")
     IO.write_templates(t, out_path)
     return obs.get["rows"]
@@ -69,12 +70,12 @@ def bleu_report(train: DataFrame, test: DataFrame, col: str = "templated_questio
     return {"sentence_bleu": avg, "corpus_bleu": corp}
 
 
-def learned_prefixes(questions: DataFrame, col: str = "research_question", min_count: int = 20,
-                     max_patterns: int = 16) -> list[str]:
-    """E5: the most frequent five-word openings (at least ``min_count``, at
-    most ``max_patterns``) followed by the default starters -- the list the
-    template extraction protects."""
-    top = K.top_k(K.pattern_frequency(questions, col, 5, min_count), max_patterns,
-                  [F.desc("frequency"), F.col("pattern")])
-    learned = [r["pattern"] for r in top.collect()]
-    return learned + [p for p in IO.DEFAULT_PREFIXES if p not in learned]
+def learned_prefixes(questions: DataFrame, col: str = "research_question", min_count: int = 20) -> DataFrame:
+    """E5: (pattern, rank) of all five-word openings that occur at least
+    ``min_count`` times, most frequent first, followed by the default starters:
+    the table that ``prefix_end_from`` protects, however many there are."""
+    from qtemplates.operators.ids import assign_ids
+    from qtemplates.sources.io import prefix_table
+
+    learned = assign_ids(K.pattern_frequency(questions, col, 5, min_count), [F.desc("frequency"), F.col("pattern")], id_col="rank")
+    return prefix_table(learned.select("pattern", "rank"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,10 +41,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the submitter sets it to shared storage and it is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is created."""
+    On a cluster the submitter sets it to shared storage and it is used as is;
+    without it a cluster session raises, as executors could not see a folder
+    of the driver.  Only on a local master a fresh scratch folder is created."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master!r}")
         d = tempfile.mkdtemp(prefix="qtemplates-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     try:  # classic sessions only; Spark Connect has no SparkContext
@@ -63,9 +68,24 @@ def cut_lineage(df, name: str = "stage"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STAGES.append(path)
     return spark.read.parquet(path)
 
 
+_STAGES: list = []
+
+
+def remove_stages(spark: SparkSession) -> int:
+    """Delete the folders that ``cut_lineage`` has written in this process, for
+    the end of a job: what still reads them fails afterwards.  Returns how many."""
+    n, jvm = len(_STAGES), spark.sparkContext._jvm
+    for path in _STAGES:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _STAGES.clear()
+    return n
+
+
 _SHIPPED: set = set()
 
 

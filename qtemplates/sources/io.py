@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +41,9 @@ DEFAULT_PREFIXES = [
 ]
 
 
-def _csv(spark: SparkSession):
+def _csv(spark: SparkSession, multi_line: bool = True):
     return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("mode", "FAILFAST"))
+            .option("multiLine", multi_line).option("mode", "FAILFAST"))
 
 
 def read_abstracts(spark: SparkSession, path: str, json_array: bool = True) -> DataFrame:
@@ -68,12 +69,14 @@ def select_existing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in cols if c in df.columns])
 
 
-def read_questions(spark: SparkSession, path: str, na: str = "pandas") -> DataFrame:
+def read_questions(spark: SparkSession, path: str, na: str = "pandas", multi_line: bool = True) -> DataFrame:
     """S3 (+S4): questions CSV with header, every column STRING.
 
     ``na='pandas'`` turns the pandas missing-value spellings into null, like
-    ``pd.read_csv``; ``na='none'`` keeps '' like ``csv.DictReader``."""
-    df = _csv(spark).csv(path)
+    ``pd.read_csv``; ``na='none'`` keeps '' like ``csv.DictReader``.  Without
+    ``multi_line`` large files are split among tasks; fields must then hold no
+    newline."""
+    df = _csv(spark, multi_line).csv(path)
     if na == "pandas":
         df = df.select(*[null_if_na(F.col(c)).alias(c) for c in df.columns])
     elif na != "none":
@@ -106,18 +109,44 @@ def read_prompt(spark: SparkSession, path: str) -> str:
     return (row[0] if row else "").strip()
 
 
+def prefix_table(patterns: DataFrame) -> DataFrame:
+    """(pattern, rank) with every missing default behind all given ones."""
+    defaults = patterns.sparkSession.createDataFrame([(p, _AFTER + i) for i, p in enumerate(DEFAULT_PREFIXES)], "pattern string, rank long")
+    return patterns.select("pattern", F.col("rank").cast("long").alias("rank")).unionByName(defaults).groupBy("pattern").agg(F.min("rank").alias("rank"))
+
+
+#: Rank of the first default, behind any learned or listed pattern.
+_AFTER = 1 << 62
+#: A list kept in the plan as one expression; longer ones are tables.
+MAX_LISTED = 10_000
+
+
+def load_prefix_table(spark: SparkSession, path: str) -> DataFrame:
+    """S8 + U2 for lists of any size: (pattern, rank) of the ``pattern`` column
+    (non-empty, stripped, lower-cased) in file order, then the defaults."""
+    df = read_questions(spark, path, na="none")
+    require_columns(df, ["pattern"])
+    p = F.lower(py_strip("pattern"))
+    return prefix_table(df.select(p.alias("pattern"), F.monotonically_increasing_id().alias("rank")).filter(F.col("pattern") != ""))
+
+
 def load_prefixes(spark: SparkSession, path: str | None = None) -> list[str]:
     """S8 + U2: ``pattern`` column (non-empty, stripped, lower-cased) in file
-    order, then every missing default.  The list is tens of rows."""
+    order, then every missing default, as a list of at most ``MAX_LISTED``
+    patterns; ``load_prefix_table`` takes longer ones."""
     pats: list[str] = []
     if path:
         try:
             df = read_questions(spark, path, na="none")
-        except Exception:  # noqa: BLE001  (missing file -> defaults only)
+        except AnalysisException as e:  # a missing file gives the defaults only
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             df = None
         if df is not None and "pattern" in df.columns:
             rows = (df.select(F.monotonically_increasing_id().alias("_o"), F.col("pattern"))
-                      .filter(F.col("pattern") != "").orderBy("_o").collect())
+                      .filter(F.col("pattern") != "").orderBy("_o").limit(MAX_LISTED + 1).collect())
+            if len(rows) > MAX_LISTED:
+                raise ValueError(f"more than {MAX_LISTED} patterns; use load_prefix_table")
             pats = [r["pattern"].strip().lower() for r in rows]
     for p in DEFAULT_PREFIXES:
         if p not in pats:
@@ -126,9 +155,10 @@ def load_prefixes(spark: SparkSession, path: str | None = None) -> list[str]:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] | None = None) -> None:
-    """Header, ``"`` quoting with doubling, UTF-8."""
+    """Header, ``"`` quoting with doubling, UTF-8; white
+    space at the edges of a field is kept."""
     w = (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-           .option("encoding", "UTF-8"))
+           .option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -144,14 +174,12 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str =
     write_csv(df, path, mode, [split_col])
 
 
-def write_matches(matches: DataFrame, path: str, levels=((None, None), ("forward_first_n", 10),
-                                                       ("forward_first_n", 11), ("backward_last_n", 10),
-                                                       ("backward_last_n", 11)), mode: str = "overwrite") -> None:
-    """Matched rows of the chosen levels, one folder per (match_type, n_words)."""
-    cond = F.lit(False)
-    for mt, n in levels:
-        if mt is None:
-            cond = cond | (F.col("match_type") == "full_exact")
-        else:
-            cond = cond | ((F.col("match_type") == mt) & (F.col("n_words") == n))
-    write_csv(matches.filter(cond), path, mode, ["match_type", "n_words"])
+def write_matches(matches: DataFrame, path: str, levels=None, mode: str = "overwrite") -> None:
+    """Matched rows, one folder per (match_type, n_words); all that are
+    given, or those of ``levels``, pairs of match_type and n_words."""
+    if levels is not None:
+        cond = F.lit(False)
+        for mt, n in levels:
+            cond = cond | ((F.col("match_type") == mt) & F.col("n_words").eqNullSafe(F.lit(n)))
+        matches = matches.filter(cond)
+    write_csv(matches, path, mode, ["match_type", "n_words"])

@@ -1,6 +1,9 @@
 import os
 
+import pytest
+from pyspark.sql import functions as F
 
+from qtemplates.functions import prefix as PF
 from qtemplates.operators import generate as G
 from qtemplates.sources import io as IO
 from qtemplates.sources import pages as H
@@ -73,6 +76,91 @@ def test_generation_skip_and_fail(spark):
         assert "model failed" in str(e)
 
 
+def _short(prompts=None):
+    def gen(prompts):
+        if len(prompts) > 1:
+            return ["only one"]  # too few for the batch
+        return ["text"] if prompts[0] != "none" else []
+    return gen
+
+
+def test_generation_with_too_few_texts(spark):
+    df = spark.createDataFrame([("a",), ("none",), ("b",)], "prompt string").coalesce(1)
+    kept = G.generate_text(df, _short, on_error="skip").collect()
+    assert [r.prompt for r in kept] == ["a", "b"]
+    with pytest.raises(Exception, match="gave 1 texts for 3 prompts"):
+        G.generate_text(df, _short, on_error="fail").collect()
+
+
+def test_csv_keeps_edges(spark, tmp_path):
+    texts = ["  lead and trail  ", "tab\t", "\ta", " ", 'q " q', " ,", "x\r"]
+    path = str(tmp_path / "edges")
+    IO.write_csv(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "url string, research_question string"), path)
+    got = {int(r.url): r.research_question for r in IO.read_questions(spark, path, na="none").collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_write_matches_keeps_other_levels(spark, tmp_path):
+    df = spark.createDataFrame([("t", "full_exact", None), ("u", "forward_first_n", 3), ("v", "backward_last_n", 10)], "templated_question string, match_type string, n_words int")
+    IO.write_matches(df, str(tmp_path / "m"))
+    assert IO._csv(spark).csv(str(tmp_path / "m")).count() == 3
+    IO.write_matches(df, str(tmp_path / "n"), levels=[("full_exact", None), ("forward_first_n", 3)])
+    assert IO._csv(spark).csv(str(tmp_path / "n")).count() == 2
+
+
+def test_prefix_tables(spark, tmp_path):
+    pat = str(tmp_path / "p.csv")
+    with open(pat, "w") as f:
+        f.write("pattern\n What is the impact of\nwhat is\n\nhow\n")
+    pre = IO.load_prefix_table(spark, pat)
+    qs = ["What is the impact of x", "what is the impact", "What isx", "how", "  Which do y", "zzz", "", None, "What is  the impact of"]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "i int, q string")
+    listed = [r.pattern for r in pre.orderBy("rank").collect()]
+    assert listed[:3] == ["what is the impact of", "what is", "how"] and len(listed) == len(set(listed))
+    want = {r.i: r.e for r in df.select("i", PF.prefix_end(F.col("q"), listed).alias("e")).collect()}
+    got = {r.i: r.prefix_end for r in PF.prefix_end_from(df, "q", pre).collect()}
+    assert got == want
+    bad = str(tmp_path / "bad.csv")
+    with open(bad, "w") as f:
+        f.write("other\nx\n")
+    with pytest.raises(ValueError):
+        IO.load_prefix_table(spark, bad)
+
+
+def test_checkpoint_folder_needs_a_setting_on_clusters():
+    from qtemplates.session import checkpoint_dir
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Fake:
+        def __init__(self, master):
+            self.conf = Conf({"spark.master": master})
+
+        @property
+        def sparkContext(self):  # noqa: N802
+            raise RuntimeError
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            checkpoint_dir(Fake(master))
+    for master in ("local", "local[4]"):
+        assert checkpoint_dir(Fake(master))
+
+
+def test_remove_stages(spark):
+    import os
+
+    from qtemplates import session
+    df = session.cut_lineage(spark.range(3), "gone")
+    folder = session._STAGES[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(folder)
+    keep = session._STAGES[:-1]
+    session._STAGES[:] = session._STAGES[-1:]
+    assert session.remove_stages(spark) == 1 and not os.path.isdir(folder)
+    session._STAGES[:] = keep
+
+
 def test_csv_roundtrip_and_prefixes(spark, tmp_path):
     df = spark.createDataFrame([("u", 'He said "hi", then, left\nnew line'), ("v", "NA")], "url string, research_question string")
     path = str(tmp_path / "q")

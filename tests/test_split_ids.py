@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from qtemplates.operators import split as X
@@ -16,10 +17,27 @@ def test_hash_split_matches_md5_rule(spark):
     df = spark.range(200).withColumnRenamed("id", "k")
     a = {r.k for r in X.split_hash(df, "k").filter("split = 'test'").collect()}
     import hashlib
-    b = {i for i in range(200) if hashlib.md5(f"42:{i}".encode()).hexdigest()[:2] < "33"}
+    b = {i for i in range(200) if hashlib.md5(f"42:{i}".encode()).hexdigest()[:8] < "33333333"}
     assert a == b
 
 
+def test_hash_split_of_all_and_of_few(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    size = lambda t: X.split_hash(df, "k", test=t).filter("split = 'test'").count()
+    assert size(1.0) == 20_000 and size(0.0) == 0 and 5 <= size(0.001) <= 45
+
+
+def test_exact_split_with_repeated_keys(spark):
+    df = spark.createDataFrame([(1, i) for i in range(10)], "k int, i int")
+    with pytest.raises(ValueError):
+        X.split_exact(df, "k")
+    both = X.split_exact(df, F.concat_ws(":", "k", "i"))
+    assert both.filter("split = 'test'").count() == 2
+    # repeats away from the cut do no harm
+    some = spark.createDataFrame([(i // 2,) for i in range(40)], "k int")
+    assert X.split_exact(some, "k", test=0.2).filter("split = 'test'").count() == 8
+
+
 def test_assign_ids_and_rank(spark):
     df = spark.createDataFrame([(g, v) for g in "abc" for v in range(5)], "g string, v int").repartition(4)
     ids = sorted((r.id, r.g, r.v) for r in assign_ids(df, ["g", "v"]).collect())
