@@ -40,10 +40,20 @@ VERB_WORDS = ["use", "used", "using", "improve", "predict", "compare", "measure"
 
 
 def prefix_sums(arr: Column) -> Column:
-    """Running sums of an int array (one fold)."""
-    init = F.array().cast("array<int>")
-    return F.aggregate(arr, init, lambda acc, x: F.concat(
-        acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x).cast("int"))))
+    """Running sums of an int array.  Appending copies the array so far, so the
+    fold runs in blocks of about the square root of the size."""
+    def fold(block, start):
+        init = F.array(start.cast("int"))
+        sums = F.aggregate(block, init, lambda acc, x: F.concat(acc, F.array((F.element_at(acc, -1) + x).cast("int"))))
+        return F.slice(sums, 2, F.greatest(F.size(block), F.lit(1)))
+
+    def blocked(x):
+        width = F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(x), width), lambda i: F.slice(x, i, width))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, v: (acc + v).cast("int")))
+        starts = let(totals, lambda t: F.zip_with(fold(t, F.lit(0)), t, lambda upto, own: upto - own))
+        return F.flatten(F.zip_with(blocks, starts, fold))
+    return let(arr, lambda x: F.when(F.size(x) == 0, x).otherwise(blocked(x)))
 
 
 def _ends(w: Column, suffixes: str) -> Column:
@@ -124,26 +134,31 @@ def lexicon_tokens(text: Column) -> Column:
     return let(let(let(raw, with_tags), with_pos), build)
 
 
+#: One letter per tag, for patterns over the tags of a text.
+_LETTERS = {"VERB": "V", "PART": "P", "ADJ": "J", "ADV": "R", "ADP": "A", "DET": "D", "NUM": "M", "NOUN": "N", "PROPN": "O"}
+
+
+def tag_spans(tokens: Column, pattern: str) -> Column:
+    """Token ranges (``s`` inclusive, ``e`` exclusive) where ``pattern`` fits
+    the text's tags written as letters; one pass of the regex engine."""
+    def letter(t):
+        out = F.lit("x")
+        for tag, c in _LETTERS.items():
+            out = F.when(t["pos"] == tag, c).otherwise(out)
+        return out
+
+    def placed(r):
+        sizes = F.zip_with(F.slice(r["gaps"], 1, F.size(r["found"])), r["found"], lambda g, m: F.length(g) + F.length(m))
+        return F.zip_with(prefix_sums(sizes), r["found"], lambda e, m: F.struct((e - F.length(m)).cast("int").alias("s"), e.cast("int").alias("e")))
+    tags = F.array_join(F.transform(tokens, letter), "")
+    return let(tags, lambda t: let(F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("gaps")), placed))
+
+
 def noun_chunks(tokens: Column) -> Column:
     """Default noun chunks: ``DET? (ADJ|NUM|NOUN|PROPN)*`` runs cut after
     their last NOUN/PROPN (a run without one yields no chunk)."""
-    init = F.struct(F.array().cast(CHUNK_TYPE).alias("ch"), F.lit(-1).alias("s"), F.lit(-1).alias("last"))
-
-    def closed(acc):
-        return F.when(acc["last"] >= 0, F.concat(acc["ch"], F.array(
-            F.struct(acc["s"].alias("start"), (acc["last"] + 1).alias("end"))))).otherwise(acc["ch"])
-
-    def step(acc, t):
-        p, i = t["pos"], t["i"]
-        is_mod = p.isin("ADJ", "NUM", "NOUN", "PROPN")
-        is_noun = p.isin("NOUN", "PROPN")
-        return F.struct(
-            F.when(p == "DET", closed(acc)).when(is_mod, acc["ch"]).otherwise(closed(acc)).alias("ch"),
-            F.when(p == "DET", i).when(is_mod, F.when(acc["s"] < 0, i).otherwise(acc["s"]))
-             .otherwise(F.lit(-1)).alias("s"),
-            F.when(p == "DET", F.lit(-1)).when(is_noun, i).when(is_mod, acc["last"])
-             .otherwise(F.lit(-1)).alias("last"))
-    return F.aggregate(tokens, init, step, closed)
+    spans = tag_spans(tokens, "D[JMNO]*[NO]|(?<![DJMNO])[JMNO]*[NO]")
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end")))
 
 
 def annotate(df: DataFrame, text_col: str, tokens_col: str = "tokens", chunks_col: str = "noun_chunks") -> DataFrame:

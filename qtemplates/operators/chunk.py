@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from qtemplates.functions.prefix import prefix_end, starter_flags
 from qtemplates.functions.text import py_strip
 from qtemplates.operators.annotate import annotate as lexicon_annotate
-from qtemplates.operators.annotate import let
+from qtemplates.operators.annotate import let, tag_spans
 from qtemplates.session import cut_lineage
 from qtemplates.sources.io import DEFAULT_PREFIXES
 
@@ -58,6 +58,7 @@ FINAL_COPULA = ["are", "is", "were", "was"]
 SPAN_TYPE = "array<struct<b:int,e:int,kind:int,v:string,num:int>>"
 ENTRY_TYPE = "array<struct<k:string,v:string>>"
 KEPT_TYPE = "array<struct<b:int,e:int,kind:int,num:int,marker:string>>"
+_PLACED_TYPE = "array<struct<from:int,b:int,e:int,kind:int,num:int,v:string>>"
 _WORK_TOKEN = "array<struct<i:int,idx:int,text:string,pos:string,dep:string,h0:int>>"
 
 
@@ -112,7 +113,24 @@ def _span(b, e, kind, v, num=None) -> Column:
 
 
 def _by_start(arr: Column) -> Column:
-    return F.array_sort(arr, lambda l, r: F.when(l["b"] < r["b"], -1).when(l["b"] > r["b"], 1).otherwise(0))
+    """Spans by start; those with one start stay in the given order."""
+    keyed = F.transform(arr, lambda x, i: F.struct(x["b"].alias("b"), i.alias("i"), x.alias("x")))
+    return F.transform(F.sort_array(keyed), lambda k: k["x"])
+
+
+def _by_head(tokens: Column) -> Column:
+    """Auxiliaries ordered by the token they depend on: struct of ``aux``
+    (head, i, token) and ``lo``, for each token the number of auxiliaries whose
+    head is an earlier one - so those of a range are a slice of ``aux``."""
+    aux = F.sort_array(F.transform(F.filter(tokens, lambda t: (t["dep"] == "aux") & (t["head"] >= 0) & (t["head"] < F.size(tokens))),
+                                   lambda t: F.struct(t["head"].alias("head"), t["i"].alias("i"), t.alias("t"))))
+
+    def counted(a):
+        head = lambda k: F.coalesce(F.get(a, k)["head"], F.lit(-1))
+        steps = F.transform(a, lambda x, k: F.array_repeat(k, F.when(k == 0, x["head"] + 1).otherwise(x["head"] - head(k - 1))))
+        last = F.size(tokens) - F.when(F.size(a) == 0, F.lit(-1)).otherwise(head(F.size(a) - 1))
+        return F.struct(a.alias("aux"), F.concat(F.flatten(steps), F.array_repeat(F.size(a), last)).alias("lo"))
+    return let(aux, counted)
 
 
 def ec_spans(q: Column, tokens: Column, chunks: Column, pe: Column, profile: str = "mapping") -> Column:
@@ -178,37 +196,8 @@ def pc_islands(tokens: Column) -> Column:
     An island is a maximal run of PART|VERB.  Followed by ADJ/ADV+ then ADP,
     or directly by ADP, the span runs through the ADP; otherwise it ends at
     the island's last VERB (none -> no span).  One span per island."""
-    init = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("sp"), F.lit(-1).alias("s"),
-                    F.lit(-1).alias("lv"), F.lit(0).alias("mode"))
-
-    def step(acc, t):
-        p, i = t["pos"], t["i"]
-        mem, is_v = p.isin("PART", "VERB"), p == "VERB"
-        j, a = p.isin("ADJ", "ADV"), p == "ADP"
-        m = acc["mode"]
-        rule1 = F.when(acc["lv"] >= 0, F.concat(acc["sp"], F.array(F.struct(acc["s"].alias("s"), acc["lv"].alias("e")))))\
-                 .otherwise(acc["sp"])
-        to_i = F.concat(acc["sp"], F.array(F.struct(acc["s"].alias("s"), i.alias("e"))))
-        sp = (F.when(m == 0, acc["sp"])
-               .when(m == 1, F.when(mem, acc["sp"]).when(a, to_i).when(j, acc["sp"]).otherwise(rule1))
-               .otherwise(F.when(j, acc["sp"]).when(a, to_i).otherwise(rule1)))
-        s = (F.when(m == 0, F.when(mem, i).otherwise(acc["s"]))
-              .when(m == 1, acc["s"])
-              .otherwise(F.when(mem, i).otherwise(acc["s"])))
-        new_lv = F.when(is_v, i).otherwise(F.lit(-1))
-        lv = (F.when(m == 0, F.when(mem, new_lv).otherwise(acc["lv"]))
-               .when(m == 1, F.when(is_v, i).otherwise(acc["lv"]))
-               .otherwise(F.when(mem, new_lv).otherwise(acc["lv"])))
-        mode = (F.when(m == 0, F.when(mem, 1).otherwise(0))
-                 .when(m == 1, F.when(mem, 1).when(j, 2).otherwise(0))
-                 .otherwise(F.when(j, 2).when(mem, 1).otherwise(0)))
-        return F.struct(sp.alias("sp"), s.alias("s"), lv.alias("lv"), mode.alias("mode"))
-
-    def finish(acc):
-        return F.when((acc["mode"] >= 1) & (acc["lv"] >= 0),
-                      F.concat(acc["sp"], F.array(F.struct(acc["s"].alias("s"), acc["lv"].alias("e")))))\
-                .otherwise(acc["sp"])
-    return F.aggregate(tokens, init, step, finish)
+    spans = tag_spans(tokens, "(?<![VP])(?:[VP]++[JR]*+A|[VP]*V)")
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (x["e"] - 1).cast("int").alias("e")))
 
 
 def pc_spans(q: Column, tokens: Column, pe: Column, profile: str = "mapping") -> Column:
@@ -222,12 +211,13 @@ def _pc_spans(q: Column, tokens: Column, ctx: Column, profile: str) -> Column:
     d = _Doc(tokens, ctx)
     pe = d.pe
 
-    def locate(sp):
+    def locate(sp, by_head):
         s, e = sp["s"], sp["e"]
         b, ee = d.tok(s)["idx"], d.end(d.tok(e))
         txt = F.substr(q, b + 1, ee - b)
-        aux = F.try_element_at(F.filter(tokens, lambda t: (t["dep"] == "aux") & (t["head"] >= s) & (t["head"] <= e)
-                                        & ((t["i"] < s) | (t["i"] > e))), F.lit(-1))
+        lo = F.get(by_head["lo"], s)
+        own = F.filter(F.slice(by_head["aux"], lo + 1, F.get(by_head["lo"], e + 1) - lo), lambda a: (a["i"] < s) | (a["i"] > e))
+        aux = F.array_max(F.transform(own, lambda a: F.struct(a["i"].alias("i"), a["t"].alias("t"))))["t"]
         return F.struct(s.alias("s"), e.alias("e"), b.alias("b"), ee.alias("ee"), txt.alias("txt"),
                         py_strip(txt).alias("stxt"), aux.alias("aux"))
 
@@ -239,7 +229,8 @@ def _pc_spans(q: Column, tokens: Column, ctx: Column, profile: str) -> Column:
                         F.when(aux_ok, aux["idx"]).alias("ab"),
                         F.when(aux_ok, d.end(aux)).alias("ae"))
 
-    mains = F.filter(F.transform(F.transform(pc_islands(tokens), locate), main), lambda x: x["b"].isNotNull())
+    located = let(_by_head(tokens), lambda by_head: F.transform(pc_islands(tokens), lambda sp: locate(sp, by_head)))
+    mains = F.filter(F.transform(located, main), lambda x: x["b"].isNotNull())
 
     def spans(numbered):
         main_spans = F.transform(numbered, lambda m: _span(m["b"], m["e"], 1, m["v"], m["num"]))
@@ -255,33 +246,38 @@ def splice(q: Column, spans: Column, prefix: str, renumber: bool) -> Column:
     struct(text STRING, map MAP<STRING,STRING>, kept ARRAY<spliced span>).  ``renumber``: number in
     fold order (entities); otherwise use each span's ``num`` (predicates).
     kind 2 = two markers (``the``/``thing``), kind 0 = marker without a map entry."""
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"), F.lit(1).alias("num"),
-                    F.array().cast(ENTRY_TYPE).alias("ent"), F.array().cast(KEPT_TYPE).alias("kept"))
+    # the fold only decides which spans stay and their numbers; the text is
+    # put together from the pieces between them afterwards
+    init = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("num"), F.array().cast(_PLACED_TYPE).alias("kept"))
 
     def step(acc, s):
         num = acc["num"] if renumber else s["num"]
-        k1 = F.concat(F.lit(prefix), num.cast("string"))
-        k2 = F.concat(F.lit(prefix), (num + 1).cast("string"))
-        marker = F.when(s["kind"] == 2, F.concat(k1, F.lit(" "), k2)).otherwise(k1)
-        entries = (F.when(s["kind"] == 2, F.array(F.struct(k1.alias("k"), F.lit("the").alias("v")),
-                                                  F.struct(k2.alias("k"), F.lit("thing").alias("v"))))
-                    .when(s["kind"] == 1, F.array(F.struct(k1.alias("k"), s["v"].alias("v"))))
-                    .otherwise(F.array().cast(ENTRY_TYPE)))
         skip = s["b"] < acc["pos"]
         return F.struct(
-            F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.substr(q, acc["pos"] + 1, s["b"] - acc["pos"]), marker)).alias("out"),
             F.when(skip, acc["pos"]).otherwise(s["e"]).alias("pos"),
             F.when(skip, acc["num"]).otherwise(acc["num"] + F.greatest(s["kind"], F.lit(1))).alias("num"),
-            F.when(skip, acc["ent"]).otherwise(F.concat(acc["ent"], entries)).alias("ent"),
             F.when(skip, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(F.struct(
-                s["b"].alias("b"), s["e"].alias("e"), s["kind"].alias("kind"), num.cast("int").alias("num"),
-                marker.alias("marker"))))).alias("kept"))
+                acc["pos"].alias("from"), s["b"].alias("b"), s["e"].alias("e"), s["kind"].alias("kind"),
+                num.cast("int").alias("num"), s["v"].alias("v"))))).alias("kept"))
 
-    def finish(acc):
-        rest = F.substr(q, acc["pos"] + 1, F.greatest(F.length(q) - acc["pos"], F.lit(0)))
-        return F.struct(F.concat(acc["out"], rest).alias("text"), F.map_from_entries(acc["ent"]).alias("map"),
-                        acc["kept"].alias("kept"))
-    return F.aggregate(spans, init, step, finish)
+    def marked(x):
+        k1 = F.concat(F.lit(prefix), x["num"].cast("string"))
+        k2 = F.concat(F.lit(prefix), (x["num"] + 1).cast("string"))
+        entries = (F.when(x["kind"] == 2, F.array(F.struct(k1.alias("k"), F.lit("the").alias("v")),
+                                                  F.struct(k2.alias("k"), F.lit("thing").alias("v"))))
+                    .when(x["kind"] == 1, F.array(F.struct(k1.alias("k"), x["v"].alias("v"))))
+                    .otherwise(F.array().cast(ENTRY_TYPE)))
+        return F.struct(x.alias("x"), F.when(x["kind"] == 2, F.concat(k1, F.lit(" "), k2)).otherwise(k1).alias("marker"), entries.alias("ent"))
+
+    def finish(r):
+        kept = F.transform(r["m"], lambda y: F.struct(
+            y["x"]["b"].alias("b"), y["x"]["e"].alias("e"), y["x"]["kind"].alias("kind"), y["x"]["num"].alias("num"), y["marker"].alias("marker")))
+        pieces = F.transform(r["m"], lambda y: F.concat(F.substr(q, y["x"]["from"] + 1, y["x"]["b"] - y["x"]["from"]), y["marker"]))
+        rest = F.substr(q, r["pos"] + 1, F.greatest(F.length(q) - r["pos"], F.lit(0)))
+        return F.struct(F.concat(F.array_join(pieces, ""), rest).alias("text"),
+                        F.map_from_entries(F.flatten(F.transform(r["m"], lambda y: y["ent"]))).alias("map"), kept.alias("kept"))
+    folded = F.aggregate(spans, init, step, lambda acc: F.struct(acc["pos"].alias("pos"), F.transform(acc["kept"], marked).alias("m")))
+    return let(folded, finish)
 
 
 def collapse_spans(tokens: Column, kept: Column) -> Column:
