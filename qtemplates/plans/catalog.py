@@ -524,11 +524,23 @@ def q_json_roundtrip(spark, sf):
 
 # ---------------------------------------------------------------- step 7: pages
 
-_LINKS_SQL = """
-links AS (
-  SELECT url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href
-  FROM (SELECT url, regexp_extract_all(html, '<a[^>]*\\shref="([^"]*)"', 1) AS h FROM pages)
-)"""
+# The tables' pages hold these references and no others; the operators decode all.
+_REFS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def _decoded(x: str) -> str:
+    for ref, c in _REFS:
+        x = f"replace({x}, '{ref}', '{c}')"
+    return x
+
+
+# Pages cut at "<" instead of matched: each piece starts with a tag's name.
+_LINKS_SQL = f"""
+cut AS (SELECT page_id, url, string_split(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<') AS p FROM pages),
+tags AS (SELECT page_id, url, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM cut),
+atags AS (SELECT *, split_part(piece, '>', 1) AS body FROM tags WHERE lower(left(piece, 2)) = 'a '),
+hrefs AS (SELECT *, {_decoded("split_part(split_part(body, 'href=\"', 2), '\"', 1)")} AS href FROM atags WHERE contains(body, ' href="')),
+links AS (SELECT url, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, href FROM hrefs)"""
 
 
 @query("extract_links", sql=_with(_LINKS_SQL) + "SELECT url, CAST(pos AS INTEGER) AS pos, href FROM links")
@@ -551,32 +563,34 @@ def q_distinct_links(spark, sf):
 
 
 def _flat_sql(tag: str) -> str:
+    """Elements by cutting at the opening and closing tags."""
+    text = _decoded("regexp_replace(split_part(piece, '</" + tag + ">', 1), '<[^>]*>', '', 'g')")
     return f"""
-SELECT url, CAST(pos AS INTEGER) AS pos, regexp_replace(
-  replace(replace(replace(replace(replace(regexp_replace(inner_html, '<[^>]*>', '', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS text
-FROM (SELECT url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS inner_html
-      FROM (SELECT url, regexp_extract_all(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1) AS h FROM pages))"""
+SELECT page_id, url, CAST(k - 2 AS INTEGER) AS pos, regexp_replace({text}, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g') AS text
+FROM (SELECT page_id, url, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM (
+        SELECT page_id, url, string_split_regex(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<{tag}( [^>]*)?>') AS p FROM pages))
+WHERE k > 1"""
+
+
+def _elements_sql(tag: str) -> str:
+    return f"SELECT url, pos, text FROM ({_flat_sql(tag)})"
 
 
-@query("page_titles", sql=_flat_sql("title"))
+@query("page_titles", sql=_elements_sql("title"))
 def q_titles(spark, sf):
     return H.flat_elements(table(spark, sf, "pages"), "title").select("url", "pos", "text")
 
 
-@query("page_headings", sql=_flat_sql("h1"))
+@query("page_headings", sql=_elements_sql("h1"))
 def q_headings(spark, sf):
     return H.flat_elements(table(spark, sf, "pages"), "h1").select("url", "pos", "text")
 
 
 @query("zip_elements", sql=f"""
 WITH t AS ({_flat_sql('title')}), h AS ({_flat_sql('h1')})
-SELECT t.url, t.pos, t.text AS text_a, h.text AS text_b FROM t JOIN h ON t.url = h.url AND t.pos = h.pos""")
+SELECT t.url, t.pos, t.text AS text_a, h.text AS text_b FROM t JOIN h ON t.page_id = h.page_id AND t.pos = h.pos""")
 def q_zip(spark, sf):
-    p = table(spark, sf, "pages")
-    a = H.flat_elements(p, "title").select("url", "pos", "text")
-    b = H.flat_elements(p, "h1").select("url", "pos", "text")
-    return H.zip_elements(a, b)
+    return H.zip_elements(table(spark, sf, "pages"), "title", "h1")
 
 
 @query("assign_ids", sql="""
@@ -587,7 +601,7 @@ def q_assign_ids(spark, sf):
     return assign_ids(p, ["url", "page_id"]).select("id", "page_id")
 
 
-@query("page_articles")
+@query("page_articles", sql=_elements_sql("article"))
 def q_articles(spark, sf):
     """Nested markup: descendant text of every <article> (html.parser)."""
     return H.extract_elements(spread(table(spark, sf, "pages")), "article").select("url", "pos", "text")
@@ -836,11 +850,17 @@ def q_write_templates(spark, sf):
     return IO.read_templates(spark, path, na="none")
 
 
-@query("abstracts_from_pages")
+@query("abstracts_from_pages", sql=f"""
+WITH a AS ({_flat_sql("article")}), n AS ({_flat_sql("nav")}), l AS (SELECT * FROM ({_flat_sql("li")}) WHERE pos = 0), {_LINKS_SQL.strip()}
+SELECT CAST(row_number() OVER (ORDER BY a.url, a.pos, a.text) AS BIGINT) AS id, l.text AS title, a.text AS abstract,
+       regexp_extract(a.url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || h.href AS url
+FROM a JOIN n ON a.page_id = n.page_id AND a.pos = n.pos JOIN l ON l.page_id = a.page_id
+JOIN (SELECT page_id, first(href ORDER BY k) AS href FROM hrefs GROUP BY page_id) h ON h.page_id = a.page_id""")
 def q_abstracts_from_pages(spark, sf):
-    """Article blocks zipped with their title blocks, defaults, ids."""
+    """Articles zipped with the page's navigation, whose first list
+    item gives title and link; defaults, ids."""
     p = spread(table(spark, sf, "pages"))
-    return H.abstracts_from_pages(p, "article", None, "article", None, H.site_base("url"))
+    return H.abstracts_from_pages(p, "article", None, "nav", None, H.site_base("url"), inner="li")
 
 
 @query("extract_template_collapsed")

@@ -11,19 +11,44 @@ from __future__ import annotations
 from collections.abc import Iterable
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qtemplates.operators.ids import assign_ids
 
-LINK_RE = r'<a[^>]*\shref="([^"]*)"'
+#: Comments, and scripts and styles with their bodies: no markup, no text.
+NOT_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+#: Attributes of an ``a`` tag; quoted values may hold anything.
+A_TAG = r"""(?is)<a(?=[\s/])((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+#: The first ``href`` outside quotes: double-quoted, single-quoted or bare.
+HREF = r"""(?is)^(?:[^"']|"[^"]*"|'[^']*')*?(?<=[\s/"'])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def without_hidden(html) -> Column:
+    """The page without comments, scripts and styles."""
+    return F.regexp_replace(F.col(html) if isinstance(html, str) else html, NOT_TEXT, "")
+
+
+def _unescaped(values: pd.Series) -> pd.Series:
+    from html import unescape
+    return values.map(lambda v: v if v is None or "&" not in v else unescape(v))
+
+
+def unescape(c: Column) -> Column:
+    """Decode all character references, named and numeric (Arrow batches)."""
+    return F.pandas_udf(_unescaped, "string")(c)
 
 
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """H1: every ``<a href>`` value, with its position on the page."""
-    return pages.select(F.col(url_col).alias("url"),
-                        F.posexplode(F.regexp_extract_all(html_col, F.lit(LINK_RE), 1)).alias("pos", "href"))
+    """H1: every ``<a href>`` value, with its position on the page: any case of
+    the names, any quoting, references decoded; none from comments."""
+    def href(attributes):
+        return F.when(attributes.rlike(HREF), F.concat(*[F.regexp_extract(attributes, HREF, k) for k in (1, 2, 3)]))
+    found = F.filter(F.transform(F.regexp_extract_all(without_hidden(html_col), F.lit(A_TAG), F.lit(1)), href), lambda h: h.isNotNull())
+    links = pages.select(F.col(url_col).alias("url"), F.posexplode(found).alias("pos", "href"))
+    return links.withColumn("href", unescape(F.col("href")))
 
 
 def filter_links(df: DataFrame, prefix: str, suffix: str, col: str = "href") -> DataFrame:
@@ -47,29 +72,32 @@ def distinct_links(df: DataFrame, col: str = "link") -> DataFrame:
     return df.select(col).distinct().orderBy(col)
 
 
-def unescape_basic(c: Column) -> Column:
-    """Decode the five basic character references (ampersand last)."""
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+def _inner(html_col: str, tag: str) -> Column:
+    """Inner HTML of every flat element, inner tags removed."""
+    pat = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
+    return F.transform(F.regexp_extract_all(without_hidden(html_col), F.lit(pat), F.lit(1)), lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
+
+
+def _stripped(c: str) -> Column:
+    return F.regexp_replace(unescape(F.col(c)), r"(?U)^\s+|\s+\z", "")
 
 
 def flat_elements(pages: DataFrame, tag: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """H5 for flat tags (``title``, ``h1``): (url, pos, text) with inner tags
-    removed, basic entities decoded, text stripped."""
-    pat = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
-    x = pages.select(F.col(url_col).alias("url"),
-                     F.posexplode(F.regexp_extract_all(html_col, F.lit(pat), 1)).alias("pos", "inner_html"))
-    txt = unescape_basic(F.regexp_replace("inner_html", r"<[^>]*>", ""))
-    return x.withColumn("text", F.regexp_replace(txt, r"(?U)^\s+|\s+\z", ""))
+    removed, references decoded, text stripped."""
+    x = pages.select(F.col(url_col).alias("url"), F.posexplode(_inner(html_col, tag)).alias("pos", "inner"))
+    return x.withColumn("text", _stripped("inner")).select("url", "pos", "text")
 
 
-def zip_elements(a: DataFrame, b: DataFrame, key: str = "url", suffixes=("_a", "_b")) -> DataFrame:
-    """H7: pair the i-th element of one list with the i-th of another, per
-    page; the shorter list wins (inner join on (page, pos))."""
-    ra = a.select(F.col(key), F.col("pos"), *[F.col(c).alias(c + suffixes[0]) for c in a.columns if c not in (key, "pos")])
-    rb = b.select(F.col(key), F.col("pos"), *[F.col(c).alias(c + suffixes[1]) for c in b.columns if c not in (key, "pos")])
-    return ra.join(rb, [key, "pos"], "inner")
+def zip_elements(pages: DataFrame, tag_a: str, tag_b: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """H7: (url, pos, text_a, text_b), the i-th flat element of one kind with
+    the i-th of another; the shorter list wins.  Paired inside the page's own
+    row: no join, and pages that share a URL stay apart."""
+    both = F.arrays_zip(_inner(html_col, tag_a).alias("a"), _inner(html_col, tag_b).alias("b"))
+    x = pages.select(F.col(url_col).alias("url"), F.posexplode(both).alias("pos", "z")).select("url", "pos", F.col("z.a"), F.col("z.b"))
+    # the longer list's rest has nulls on the other side
+    full = x.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return full.select("url", "pos", _stripped("a").alias("text_a"), _stripped("b").alias("text_b"))
 
 
 # ---------------------------------------------------------------- nested markup
@@ -78,14 +106,15 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 class _Collector(HTMLParser):
-    """Collects elements with a given tag and class: their descendant text,
-    the text of their first ``strong`` and the first ``a href`` inside it.
+    """Collects elements with a given tag and class: their descendant text
+    (no scripts, no styles), the text of their first ``inner`` element
+    (``strong``) and the first ``a href`` inside that.
     A multi-word ``class_`` must equal the whole attribute; a single word
     may be any one of the classes."""
 
-    def __init__(self, tag: str, class_: str | None):
+    def __init__(self, tag: str, class_: str | None, inner: str = "strong"):
         super().__init__(convert_charrefs=True)
-        self.tag, self.class_ = tag, class_
+        self.tag, self.class_, self.inner = tag, class_, inner
         self.stack: list[dict] = []
         self.open: list[dict] = []
         self.done: list[dict] = []
@@ -103,7 +132,7 @@ class _Collector(HTMLParser):
         a = dict(attrs)
         frame = {"tag": tag, "el": None, "strong_of": []}
         for el in self.open:
-            if tag == "strong" and el["strong"] is None:
+            if tag == self.inner and el["strong"] is None:
                 el["strong"], el["in_strong"] = [], True
                 frame["strong_of"].append(el)
             elif tag == "a" and el["in_strong"] and el["href"] is None and "href" in a:
@@ -135,6 +164,8 @@ class _Collector(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1]["tag"] in ("script", "style"):
+            return
         for el in self.open:
             el["text"].append(data)
             if el["in_strong"]:
@@ -147,8 +178,8 @@ class _Collector(HTMLParser):
         return sorted(self.done, key=lambda e: e["order"])
 
 
-def _parse(page: str, tag: str, class_: str | None) -> list[dict]:
-    p = _Collector(tag, class_)
+def _parse(page: str, tag: str, class_: str | None, inner: str = "strong") -> list[dict]:
+    p = _Collector(tag, class_, inner)
     p.feed(page or "")
     return p.finish()
 
@@ -185,23 +216,41 @@ def extract_elements(pages: DataFrame, tag: str, class_: str | None = None,
     return out.filter(F.col("error").isNull()) if skip_failed else out
 
 
+_ZIPPED = "url string, pos int, title string, abstract string, href string, error string"
+
+
 def abstracts_from_pages(pages: DataFrame, block_tag: str, block_class: str | None,
-                         title_tag: str, title_class: str | None, base,
-                         order_by=("url", "pos")) -> DataFrame:
+                         title_tag: str, title_class: str | None, base, inner: str = "strong",
+                         order_by=("url", "pos", "abstract"), skip_failed: bool = True) -> DataFrame:
     """(id, title, abstract, url) from volume pages: abstract blocks zipped
     with title blocks by position, defaults "No Title" / "No URL" (H8),
-    consecutive ids in page order (H9)."""
-    blocks = extract_elements(pages, block_tag, block_class).select("url", "pos", F.col("text").alias("abstract"))
-    titles = extract_elements(pages, title_tag, title_class).select("url", "pos", "title", "href")
-    b = F.lit(base) if isinstance(base, str) else base
-    z = blocks.join(titles, ["url", "pos"], "inner")
-    z = z.select("url", "pos",
-                 F.coalesce(F.col("title"), F.lit("No Title")).alias("title"),
-                 "abstract",
-                 F.when(F.col("href").isNotNull(), F.concat(b, F.col("href"))).otherwise(F.lit("No URL")).alias("link"))
+    consecutive ids in page order (H9).  A title is the text of the first
+    ``inner`` element of its block, the link the first one inside that.  Both
+    lists come from one row and are zipped there."""
+    src = pages.select("url", "html")
+
+    def run(batches: Iterable):
+        import pandas as pd_
+        for pdf in batches:
+            rows = []
+            for url, page in zip(pdf["url"], pdf["html"]):
+                try:
+                    blocks, titles = _parse(page, block_tag, block_class), _parse(page, title_tag, title_class, inner)
+                    rows.extend((url, i, None if t["strong"] is None else "".join(t["strong"]).strip(), "".join(b["text"]).strip(), t["href"], None)
+                                for i, (b, t) in enumerate(zip(blocks, titles)))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((url, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd_.DataFrame(rows, columns=["url", "pos", "title", "abstract", "href", "error"])
+
+    z = src.mapInPandas(run, _ZIPPED)
+    if skip_failed:
+        z = z.filter(F.col("error").isNull())
+    at = F.lit(base) if isinstance(base, str) else base
+    z = z.select("url", "pos", F.coalesce("title", F.lit("No Title")).alias("title"), "abstract",
+                 F.when(F.col("href").isNotNull(), F.concat(at, F.col("href"))).otherwise(F.lit("No URL")).alias("link"))
     ids = assign_ids(z, [F.col(c) for c in order_by], 1, "id")
     return ids.select("id", "title", "abstract", F.col("link").alias("url"))
 
 
 __all__ = ["extract_links", "filter_links", "absolutize", "site_base", "distinct_links", "flat_elements",
-           "zip_elements", "extract_elements", "abstracts_from_pages", "unescape_basic"]
+           "zip_elements", "extract_elements", "abstracts_from_pages", "unescape", "without_hidden"]

@@ -34,10 +34,24 @@ def test_links(spark):
     assert got == ["https://base/volumes/a/", "https://base/volumes/b/"]
 
 
-def test_zip_shorter_wins(spark):
-    a = spark.createDataFrame([("u", 0, "a0"), ("u", 1, "a1"), ("u", 2, "a2")], "url string, pos int, x string")
-    b = spark.createDataFrame([("u", 0, "b0"), ("u", 1, "b1")], "url string, pos int, x string")
-    assert H.zip_elements(a, b).count() == 2
+def test_links_as_written(spark):
+    html = ("<A HREF=/up>x</A><a title='x href=/no' href='/single'>y</a><a class=c href=/bare/>z</a><article href=/no></article>"
+            "<!-- <a href='/no'> --><script>'<a href=/no>'</script><a data-href='/no'>n</a><a href='/q?a=1&amp;b=&eacute;'>e</a><a\nhref = \"/nl\">l</a>")
+    pages = spark.createDataFrame([("u", html), ("u", '<a href="/2">'), ("v", None)], "url string, html string")
+    got = sorted((r.url, r.pos, r.href) for r in H.extract_links(pages).collect())
+    assert got == [("u", 0, "/2"), ("u", 0, "/up"), ("u", 1, "/single"), ("u", 2, "/bare/"), ("u", 3, "/q?a=1&b=\u00e9"), ("u", 4, "/nl")]
+
+
+def test_zip_in_the_row(spark):
+    page = "<h1> a0&eacute;&nbsp;</h1><h2>b0</h2><h1>a<b>1</b></h1><h2>b1</h2><h1>a2</h1>"
+    pages = spark.createDataFrame([("u", page), ("u", page), ("v", "<h1>only</h1>"), ("w", None)], "url string, html string")
+    rows = sorted((r.url, r.pos, r.text_a, r.text_b) for r in H.zip_elements(pages, "h1", "h2").collect())
+    assert rows == [("u", 0, "a0\u00e9", "b0")] * 2 + [("u", 1, "a1", "b1")] * 2
+
+
+def test_text_without_scripts(spark):
+    pages = spark.createDataFrame([("u", "<div>a<script>var q=1;</script><style>p{}</style> b&middot;</div>")], "url string, html string")
+    assert [r.text for r in H.extract_elements(pages, "div").collect()] == ["a b\u00b7"]
 
 
 def _echo():
