@@ -49,7 +49,7 @@ def _side(df: DataFrame, col: str) -> DataFrame:
              .withColumn("len", F.size("toks")))
 
 
-def _grams(side: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+def _grams(side: DataFrame) -> DataFrame:
     """(id, mult, n, g, c): every 1..4-gram of every template with its count.
 
     n-grams come from MLlib's ``NGram`` transformer (JVM-side, joined with one
@@ -63,9 +63,6 @@ def _grams(side: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     # ``side`` is hash-partitioned on ``id`` (distinct step), so counting
     # grams per template needs no exchange
     exploded = x.select("id", "mult", F.explode(allg).alias("g"))
-    if keep is not None:
-        # size-checked broadcast set of grams that can matter (see corpus_bleu)
-        exploded = exploded.join(F.broadcast(keep), "g", "left_semi")
     counted = exploded.groupBy("id", "mult", "g").agg(F.count(F.lit(1)).alias("c"))
     n = (F.lit(1) + F.length("g") - F.length(F.replace(F.col("g"), F.lit(" "), F.lit("")))).cast("int")
     return counted.select("id", "mult", n.alias("n"), "g", "c")
@@ -83,18 +80,22 @@ def _score(m1, m2, m3, m4, L, R) -> Column:
     return F.when(m1 > 0, bp * F.exp(F.lit(0.25) * logs)).otherwise(F.lit(0.0))
 
 
-def _score_pairs(pairs: DataFrame, te: DataFrame, tr: DataFrame, te_g: DataFrame, tr_g: DataFrame) -> DataFrame:
-    """Exact BLEU for candidate (te, tr) pairs.  Expansion goes through the
-    train template's grams and looks the test count up by (te, n, g)."""
-    hits = (pairs.join(tr_g.select(F.col("id").alias("tr"), "n", "g", F.col("c").alias("c_tr")), "tr")
-                 .join(te_g.select(F.col("id").alias("te"), "n", "g", F.col("c").alias("c_te")), ["te", "n", "g"])
-                 .groupBy("te", "tr")
-                 .agg(*[F.sum(F.when(F.col("n") == n, F.least("c_te", "c_tr")).otherwise(0)).alias(f"m{n}")
-                        for n in range(1, 5)]))
-    return (hits.join(te.select(F.col("id").alias("te"), F.col("len").alias("L")), "te")
-                .join(tr.select(F.col("id").alias("tr"), F.col("len").alias("R")), "tr")
-                .select("te", "tr", _score(F.col("m1"), F.col("m2"), F.col("m3"), F.col("m4"),
-                                           F.col("L").cast("double"), F.col("R").cast("double")).alias("s")))
+def _sets(side: DataFrame, grams: DataFrame) -> DataFrame:
+    """(id, len, g1..g4): the n-grams of a template as sets, the k-th
+    occurrence of a gram being an element of its own.  Two templates' clipped
+    hits are then sizes of intersections, found inside one row."""
+    each = grams.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")),
+                                                         lambda k: F.concat_ws("\0", "g", k.cast("string")))).alias("x"))
+    sets = each.groupBy("id").agg(*[F.collect_list(F.when(F.col("n") == n, F.col("x"))).alias(f"g{n}") for n in range(1, MAX_N + 1)])
+    return side.select("id", "len").join(sets, "id")
+
+
+def _score_pairs(pairs: DataFrame, te_s: DataFrame, tr_s: DataFrame) -> DataFrame:
+    """Exact BLEU for candidate (te, tr) pairs from their gram sets."""
+    side = lambda d, k: d.select(F.col("id").alias(k), F.col("len").alias(f"len_{k}"), *[F.col(f"g{n}").alias(f"{k}{n}") for n in range(1, MAX_N + 1)])
+    both = pairs.join(side(tr_s, "tr"), "tr").join(side(te_s, "te"), "te")
+    hits = [F.size(F.array_intersect(f"te{n}", f"tr{n}")) for n in range(1, MAX_N + 1)]
+    return both.select("te", "tr", _score(*hits, F.col("len_te").cast("double"), F.col("len_tr").cast("double")).alias("s"))
 
 
 def _log_p_bound(k: Column, L: Column) -> Column:
@@ -113,8 +114,10 @@ def max_sentence_bleu(train: DataFrame, test: DataFrame, train_col: str = "templ
     """B1: per distinct test template, the best sentence BLEU over all train
     templates.  Columns: template, mult (rows in test), bleu."""
     test_col = test_col or train_col
-    te, tr = _side(test, test_col), _side(train, train_col)
-    te_g, tr_g = _grams(te), _grams(tr)
+    # sides, grams and gram sets are read many times below: each is made once
+    te, tr = cut_lineage(_side(test, test_col), "bleu-test"), cut_lineage(_side(train, train_col), "bleu-train")
+    te_g, tr_g = cut_lineage(_grams(te), "bleu-test-grams"), cut_lineage(_grams(tr), "bleu-train-grams")
+    te_s, tr_s = cut_lineage(_sets(te, te_g), "bleu-test-sets"), cut_lineage(_sets(tr, tr_g), "bleu-train-sets")
 
     # 1) seed: one min-hash representative train template per n-gram (n >= 2)
     reps = (tr_g.filter(F.col("n") >= 2)
@@ -123,7 +126,8 @@ def max_sentence_bleu(train: DataFrame, test: DataFrame, train_col: str = "templ
                 .select("n", "g", F.explode(F.array(*[F.col(f"r{h}") for h in range(seed_reps)])).alias("tr")))
     seed_pairs = (te_g.filter(F.col("n") >= 2).select(F.col("id").alias("te"), "n", "g")
                       .join(reps, ["n", "g"]).select("te", "tr").distinct())
-    seed = _score_pairs(seed_pairs, te, tr, te_g, tr_g)
+    seed_pairs = cut_lineage(seed_pairs, "bleu-seed")
+    seed = cut_lineage(_score_pairs(seed_pairs, te_s, tr_s), "bleu-seed-scores")
     tau = seed.groupBy("te").agg(F.max("s").alias("tau"))
 
     # 2) prefix filter.  Every precision factor is <= 1, so a train template
@@ -171,7 +175,7 @@ def max_sentence_bleu(train: DataFrame, test: DataFrame, train_col: str = "templ
                   .filter((F.col("R") >= F.col("k1")) & (F.col("R").cast("double") < F.col("r_hi")))
                   .select("te", "tr").distinct()
                   .join(seed_pairs, ["te", "tr"], "left_anti"))
-    found = _score_pairs(cand, te, tr, te_g, tr_g).groupBy("te").agg(F.max("s").alias("s2"))
+    found = _score_pairs(cand, te_s, tr_s).groupBy("te").agg(F.max("s").alias("s2"))
 
     best = (te.select(F.col("id").alias("te"), F.col("t").alias("template"), "mult")
               .join(tau, "te", "left").join(found, "te", "left")
@@ -188,18 +192,14 @@ def average_bleu(best: DataFrame) -> DataFrame:
 
 
 def corpus_bleu(train: DataFrame, test: DataFrame, train_col: str = "template",
-                test_col: str | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
+                test_col: str | None = None) -> DataFrame:
     """Corpus BLEU, every train template a reference of every test
     template.  One row: corpus_bleu (0.0 when a side is empty)."""
     test_col = test_col or train_col
     te, tr = _side(test, test_col), _side(train, train_col)
     tr_g = _grams(tr)
     max_ref = cut_lineage(tr_g.groupBy("n", "g").agg(F.max("c").alias("mc")), "bleu-maxref")
-    # only hypothesis grams that occur in some reference can score a hit;
-    # when the reference gram set is small (checked), drop the others before
-    # counting per hypothesis, otherwise count everything
-    keep = max_ref.select("g") if max_ref.count() <= broadcast_rows else None
-    te_g = _grams(te, keep)
+    te_g = _grams(te)
     # hypotheses weighted by multiplicity, reduced to (n, g, c) before the join
     hyp = te_g.groupBy("n", "g", "c").agg(F.sum("mult").alias("w"))
     num = (hyp.join(max_ref, ["n", "g"], "left")
