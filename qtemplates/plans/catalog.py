@@ -83,7 +83,8 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY hx, k) AS rn, count(*) OVER ()
 SELECT doc_id, CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM r
 """)
 def q_split_exact(spark, sf):
-    return X.split_exact(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    # a small bucket, so that the histogram path decides the cut
+    return X.split_exact(table(spark, sf, "documents").select("doc_id"), "doc_id", bucket_rows=64)
 
 
 # ---------------------------------------------------------------- step 2: coverage
@@ -869,3 +870,92 @@ def q_extract_collapsed(spark, sf):
     e = _questions(spark, sf).withColumnRenamed("q", "research_question")
     return CH.extract_template_with_mapping(e, reannotate=False).select(
         "doc_id", "line_no", "templated_question", "mapping")
+
+
+# ---------------------------------------------------------------- the rest of the seams: S6, S8, S13, K7, Q2, F3, G7
+
+@query("read_template_pairs", sql=_with(S.DOC_LINES) + f"""
+SELECT 'train' AS split, line AS template FROM doc_lines WHERE line_no % 2 = 0
+UNION ALL SELECT 'test', {S.words('line')}[1] FROM doc_lines WHERE doc_id % 3 = 0""")
+def q_read_pairs(spark, sf):
+    """Ragged train and test columns written as CSV and read as pairs."""
+    d = doc_lines(spark, sf)
+    cell = lambda keep, x: F.when(keep, x).otherwise(F.lit(""))
+    path = _scratch(spark, "pairs")
+    IO.write_csv(d.select(cell(F.col("line_no") % 2 == 0, F.col("line")).alias("train_templates"),
+                          cell(F.col("doc_id") % 3 == 0, F.get(T.py_split("line"), 0)).alias("test_templates")), path)
+    return IO.read_template_pairs(spark, path)
+
+
+@query("load_prefix_table", sql=_with(S.DOC_LINES) + f"""
+SELECT pattern FROM (SELECT {S.pattern('line')} AS pattern FROM doc_lines) WHERE pattern IS NOT NULL GROUP BY pattern HAVING count(*) >= 20
+UNION SELECT * FROM (VALUES {", ".join(f"({_sql_str(p)})" for p in IO.DEFAULT_PREFIXES)})""")
+def q_load_prefixes(spark, sf):
+    """S8 + U2: the frequent patterns written as CSV and read as a prefix table."""
+    path = _scratch(spark, "patterns")
+    IO.write_csv(K.pattern_frequency(doc_lines(spark, sf), "line", 5, 20), path)
+    return IO.load_prefix_table(spark, path).select("pattern")
+
+
+@query("frequency_csv_roundtrip", sql=ORACLE["template_frequency"])
+def q_frequency_csv(spark, sf):
+    """A frequency table written as CSV and read back."""
+    path = _scratch(spark, "frequency")
+    IO.write_csv(QUERIES["template_frequency"](spark, sf), path)
+    return IO.read_templates(spark, path, na="none").select("templated_question", F.col("frequency").cast("long").alias("frequency"))
+
+
+@query("coverage_order", sql=f"""
+SELECT CAST(row_number() OVER (ORDER BY match_type, n_words NULLS FIRST) AS BIGINT) AS rank, match_type, n_words, matched
+FROM ({ORACLE["run_coverage"]})""")
+def q_coverage_order(spark, sf):
+    """K7 as data: the place of each row of the ordered summary."""
+    ordered = C.order_summary(QUERIES["run_coverage"](spark, sf))
+    from qtemplates.operators.ids import assign_ids
+    ranked = assign_ids(ordered, ["match_type", F.col("n_words").asc_nulls_first()], id_col="rank")
+    return ranked.select("rank", "match_type", "n_words", "matched")
+
+
+@query("starter_tokens", sql=_with(S.DOC_LINES, _Q_SQL, _TOKENS_SQL) + f"""
+, w AS (SELECT doc_id, line_no, max(CASE WHEN i = 0 THEN lower(text) END) AS w0, max(CASE WHEN i = 1 THEN lower(text) END) AS w1
+        FROM tk GROUP BY doc_id, line_no),
+f AS (SELECT *, coalesce(w0 IN {_in(PF.STARTER_WORDS)}, false) AS one,
+             coalesce(w0 || ' ' || w1 IN {_in([f"{a} {b}" for a, b in PF.STARTER_PAIRS])}, false) AS two FROM w)
+SELECT doc_id, line_no, one OR two AS first_is_starter, two AS second_is_starter FROM f""")
+def q_starters(spark, sf):
+    """Q2 at the first two tokens of every line."""
+    t = _questions(spark, sf).select("doc_id", "line_no", A.lexicon_tokens(F.col("q")).alias("t")).filter(F.size("t") > 0)
+    w0, w1 = F.lower(F.get("t", 0)["text"]), F.lower(F.get("t", 1)["text"])
+    at = lambda i: F.coalesce(PF.starter_at(F.lit(i), w0, w1, F.size("t")), F.lit(False))
+    return t.select("doc_id", "line_no", at(0).alias("first_is_starter"), at(1).alias("second_is_starter"))
+
+
+_CLEANED = """trim(regexp_replace(line, '^\\s*["'']?\\d+[.)]\\s*', ''), ' "''' || chr(10))"""
+
+
+@query("questions_missing_url", sql=_with(S.DOC_LINES) + f"""
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'doc:' || doc_id ELSE '' END AS url, research_question
+FROM (SELECT doc_id, {_CLEANED} AS research_question FROM doc_lines) WHERE research_question <> ''""")
+def q_missing_url(spark, sf):
+    """questions of abstracts without an address get an empty one."""
+    url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    return G.questions(doc_lines(spark, sf).select("line", url.alias("url"))).select("url", "research_question")
+
+
+def _careless_model():
+    """Fails on some prompts, and answers too few of a batch."""
+    def gen(prompts):
+        if len(prompts) > 1:
+            return ["lost"]
+        if len(prompts[0]) % 7 == 0:
+            raise RuntimeError("refused")
+        return [f"{len(prompts[0])}"]
+    return gen
+
+
+@query("generation_skips_failures", sql="""
+SELECT doc_id, CAST(length(text) AS VARCHAR) AS generated_text FROM documents WHERE length(text) % 7 <> 0""")
+def q_skips(spark, sf):
+    """Rows whose prompt the model refuses are left out, all others kept."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return G.generate_text(d, _careless_model, on_error="skip").select("doc_id", "generated_text")

@@ -48,12 +48,14 @@ def read_counts(spark: SparkSession, out_dir: str, key: str = "pattern") -> Data
 
 
 def run_pattern_stream(spark: SparkSession, source: str, schema: str, min_count: int = 2,
-                       files_per_trigger: int = 1) -> DataFrame:
+                       files_per_trigger: int | None = None) -> DataFrame:
     """Read a folder/glob of Parquet text files as a stream, count question
-    patterns exactly over all micro-batches, return the final table."""
+    patterns exactly over all micro-batches, return the final table.
+    ``files_per_trigger`` makes smaller batches than all files that are there."""
     import uuid
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-patterns-{uuid.uuid4().hex}"
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source))
+    reader = spark.readStream.schema(schema)
+    s = (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(source)
     done: dict = {}
     q = (stream_patterns(stream_lines(s)).writeStream
          .foreachBatch(merge_counts(f"{base}/table", done=done))

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stream_matches_batch(spark):
     s = ST.run_pattern_stream(spark, f"{SF}/documents*.parquet",
-                              "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+                              "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT", files_per_trigger=1)
     b = K.pattern_frequency(doc_lines(spark, SF), "line", 5, 2)
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
@@ -46,6 +46,6 @@ def test_stream_several_batches(spark, tmp_path):
     d.filter("lang = 'en'").coalesce(1).write.parquet(str(src / "a"))
     d.filter("lang <> 'en'").coalesce(1).write.parquet(str(src / "b"))
     s = ST.run_pattern_stream(spark, f"{src}/*/*.parquet",
-                              "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+                              "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT", files_per_trigger=1)
     b = K.pattern_frequency(doc_lines(spark, SF), "line", 5, 2)
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
