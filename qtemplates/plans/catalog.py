@@ -732,7 +732,21 @@ def q_islands(spark, sf):
              .select("doc_id", "line_no", "sp.s", "sp.e"))
 
 
-@query("ec_spans")
+from qtemplates.plans import extraction_sql as XS  # noqa: E402
+
+_KEYED = _with(S.DOC_LINES, _Q_SQL, "keyed AS (SELECT doc_id || ':' || line_no AS k, doc_id, line_no, q FROM all_q)")
+# each distinct text once: the rules are row-local
+_TEXTS = _KEYED.rstrip() + ",\nsrc AS (SELECT DISTINCT md5(q) AS k, q FROM keyed),\n"
+
+
+def _map_text(col: str = "mapping"):
+    """The marker map in order, as text."""
+    return F.array_join(F.transform(F.map_entries(col), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+
+
+@query("ec_spans", sql=_TEXTS + XS.tokens("src", "1").strip() + "," + XS.entities("1", "mapping") + """
+SELECT x.doc_id, x.line_no, CAST(ec.b AS INTEGER) AS b, CAST(ec.e AS INTEGER) AS e, CAST(ec.kind AS INTEGER) AS kind, ec.v
+FROM keyed x JOIN ec ON ec.k = md5(x.q)""")
 def q_ec_spans(spark, sf):
     e = A.annotate(_questions(spark, sf), "q")
     sp = CH.ec_spans(F.col("q"), F.col("tokens"), F.col("noun_chunks"),
@@ -740,19 +754,27 @@ def q_ec_spans(spark, sf):
     return e.select("doc_id", "line_no", F.explode(sp).alias("s")).select("doc_id", "line_no", "s.b", "s.e", "s.kind", "s.v")
 
 
-@query("extract_template")
+@query("extract_template", sql=_TEXTS + XS.templates("src", "fast") + """
+SELECT x.doc_id, x.line_no, f.q AS templated_question FROM keyed x JOIN final f ON f.k = md5(x.q)""")
 def q_extract_template(spark, sf):
     e = _questions(spark, sf).withColumnRenamed("q", "research_question")
     return CH.extract_template(e).select("doc_id", "line_no", "templated_question")
 
 
-@query("extract_template_with_mapping")
+@query("extract_template_with_mapping", sql=_TEXTS + XS.templates("src", "mapping") + """
+SELECT x.doc_id, x.line_no, f.q AS templated_question, coalesce(m.mapping, '') AS mapping
+FROM keyed x JOIN final f ON f.k = md5(x.q) LEFT JOIN maps m ON m.k = f.k""")
 def q_extract_mapping(spark, sf):
     e = _questions(spark, sf).withColumnRenamed("q", "research_question")
-    return CH.extract_template_with_mapping(e).select("doc_id", "line_no", "templated_question", "mapping")
+    return CH.extract_template_with_mapping(e).select("doc_id", "line_no", "templated_question", _map_text().alias("mapping"))
+
+
+_WIDE = ("SELECT s.q AS research_question, f.q AS templated_question, "
+         + ", ".join(f"coalesce(max(CASE WHEN e.key = '{m}{i}' THEN e.v END), '') AS {m}{i}" for m, n in (("EC", 5), ("PC", 2)) for i in range(1, n + 1))
+         + " FROM src s JOIN final f ON f.k = s.k LEFT JOIN entries e ON e.k = s.k GROUP BY s.q, f.q")
 
 
-@query("templates_from_questions")
+@query("templates_from_questions", sql=_TEXTS + XS.templates("src", "mapping") + "\n" + _WIDE)
 def q_templates(spark, sf):
     e = _questions(spark, sf).withColumnRenamed("q", "research_question")
     return CH.wide_templates(CH.templates_from_questions(e))
@@ -842,7 +864,7 @@ def q_write_splits(spark, sf):
     return IO._csv(spark).csv(path).select(F.col("doc_id").cast("long").alias("doc_id"), "split")
 
 
-@query("write_templates_roundtrip")
+@query("write_templates_roundtrip", sql=ORACLE["templates_from_questions"])
 def q_write_templates(spark, sf):
     """S10 + S5: the nine-column templates CSV written and read back."""
     e = _questions(spark, sf).withColumnRenamed("q", "research_question")
