@@ -19,7 +19,7 @@ def test_oracle_sql_plans_in_duckdb():
     m = importlib.import_module("__spark_entry__")
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents benchmark conversations pages labels events lineitem").split():
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split():
         if os.path.exists(f"{sf}/{t}.parquet"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     for name, sql in m.oracle_sql().items():
