@@ -109,15 +109,17 @@ def run_coverage(train: DataFrame, test: DataFrame, templ_col: str = "templated_
     levels = level_list(forward_levels, backward_levels, full)
     # both sides in one aggregate, no join: side 0 = train key, 1 = test row;
     # a key is covered when its group holds a train row (min side = 0)
-    keys = ["match_type", "n_words", "key"]
+    # what is shuffled is a level code and 128 hash bits, not the texts
+    level = F.xxhash64("match_type", "n_words").alias("level")
+    keys = [level, F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2")]
     tagged = (_train_levels(train, templ_col, levels, F.lit(0)).select(*keys, F.lit(0).alias("side"))
               .unionByName(_test_levels(test, templ_col, levels).select(*keys, F.lit(1).alias("side"))))
-    per_key = tagged.groupBy(*keys).agg(F.sum("side").alias("cnt"), F.min("side").alias("has_train"))
-    per_level = (per_key.groupBy("match_type", "n_words")
+    per_key = tagged.groupBy("level", "k1", "k2").agg(F.sum("side").alias("cnt"), F.min("side").alias("has_train"))
+    per_level = (per_key.groupBy("level")
                  .agg(F.sum(F.when(F.col("has_train") == 0, F.col("cnt")).otherwise(0)).alias("matched"),
                       F.sum("cnt").alias("total")))
-    out = (_levels_frame(train.sparkSession, levels)
-           .join(F.broadcast(per_level), ["match_type", "n_words"], "left")
+    out = (_levels_frame(train.sparkSession, levels).withColumn("level", level)
+           .join(F.broadcast(per_level), "level", "left")
            .select("match_type", "n_words",
                    F.coalesce("matched", F.lit(0)).cast("long").alias("matched"),
                    F.coalesce("total", F.lit(0)).cast("long").alias("total")))
