@@ -23,6 +23,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each class stays."""
+    ship_package(spark)
     return minhash.keep_one(docs)
 
 
@@ -34,11 +35,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as often as its source's target asks for."""
+    ship_package(spark)
     return mixing.mixed_documents(docs)
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: the documents with their sampled ``pieces``."""
+    ship_package(spark)
     return pieces.encode(docs)
 
 
