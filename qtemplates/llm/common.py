@@ -38,6 +38,18 @@ def double_array(values) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
+def hashed_sample(df: DataFrame, keys: list[str], limit: int, ties: list[str] | None = None) -> DataFrame:
+    """At most ``limit`` rows, those with the smallest hash of ``keys``.
+
+    Rows are first cut to a hash range that holds about four times the limit,
+    so that the final sort gets a bounded number of rows however many
+    partitions there are (a plain ``limit`` takes that many from each)."""
+    h, n = F.xxhash64(*keys), df.count()
+    if n > 4 * limit:
+        df = df.filter(h <= int(-(1 << 63) + (1 << 64) * (4 * limit / n)))
+    return df.orderBy(h, *keys, *(ties or [])).limit(limit)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}

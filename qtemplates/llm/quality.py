@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qtemplates.llm.common import double_array, let, text_or_empty, words
+from qtemplates.llm.common import double_array, hashed_sample, let, text_or_empty, words
 
 #: Hash buckets of the two multinomials.
 BUCKETS = 1 << 14
@@ -56,7 +56,7 @@ def target_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> DataFrame:
     """Ids of the trusted target: labelled good documents, at most ``limit``
     of them, taken in hash order."""
     ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return hashed_sample(ids, ["doc_id"], limit)
 
 
 def fit(documents: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[float] | None:

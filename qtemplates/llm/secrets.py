@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qtemplates.llm.common import double_array, let, text_or_empty
+from qtemplates.llm.common import double_array, hashed_sample, let, text_or_empty
 
 #: Base kinds in their order: pattern and, of each match, which one counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,11 +48,11 @@ def training_samples(documents: DataFrame, labels: DataFrame, pages: DataFrame,
     labelled good documents and the parts of page addresses; random ones are
     digests of the same documents in hex and base64, as keys are written."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    good = hashed_sample(good, ["doc_id"], limit)
     texts = documents.join(F.broadcast(good), "doc_id", "left_semi").select(text_or_empty().alias("t"))
     sha = F.sha2(F.col("t"), 256)
     both = F.array(sha, F.regexp_replace(F.base64(F.unhex(sha)), "=+$", ""))
-    urls = pages.orderBy(F.xxhash64("page_id"), "page_id", "url").limit(limit).select(F.coalesce("url", F.lit("")).alias("t"))
+    urls = hashed_sample(pages.select("page_id", "url"), ["page_id"], limit, ["url"]).select(F.coalesce("url", F.lit("")).alias("t"))
     run = F.lit(r"[A-Za-z0-9+/_=-]{4,}")
     pick = lambda df: df.select(F.explode(F.regexp_extract_all("t", run, F.lit(0))).alias("sample"), F.lit(False).alias("random"))
     return pick(texts).unionByName(pick(urls)).unionByName(texts.select(F.explode(both).alias("sample"), F.lit(True).alias("random")))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qtemplates.llm.common import text_or_empty
+from qtemplates.llm.common import hashed_sample, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -127,8 +127,8 @@ def _grouped(texts: list[str]):
 def train_dictionary(documents: DataFrame, tokenizer: str | None = None) -> bytes:
     """A dictionary for serialized ids; empty if the sample is too small."""
     path = tokenizer or default_tokenizer()
-    short = documents.select(text_or_empty().alias("text"), F.xxhash64("doc_id").alias("o")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    sample = short.orderBy("o", "text").limit(SAMPLE_DOCS).select("text")
+    short = documents.select(text_or_empty().alias("text"), "doc_id").filter(F.length("text").between(1, SAMPLE_CHARS))
+    sample = hashed_sample(short, ["doc_id"], SAMPLE_DOCS, ["text"]).select("text")
 
     def run(batches):
         import zstandard
