@@ -54,9 +54,9 @@ IDF_BUCKETS = 1 << IDF_BITS
 #: Entries of the tables that random variates are drawn from.
 _DRAWS = 1 << 16
 #: Texts are hashed in runs of about this many bytes, whole words each.
-_RUN = 1 << 20
+_RUN = 1 << 16
 #: Shingles handled at once.
-_CHUNK = 1 << 18
+_CHUNK = 1 << 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
