@@ -25,14 +25,17 @@ take names that are still free.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from qtemplates.llm.common import free_name, text_or_empty
 
@@ -40,7 +43,7 @@ MODEL = "piece_bpe_32k.model"
 SHARPNESS = 1.0
 SEED = 7
 #: Units and lattice edges remembered in a worker at most.
-_UNITS, _EDGES = 250_000, 6_000_000
+_UNITS, _EDGES = 200_000, 4_000_000
 #: Characters of text handled at once (a longer text alone).
 _CHUNK = 1 << 19
 #: Units longer than this are not remembered beyond their batch.
@@ -147,12 +150,12 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.high, self.piece, self.back = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int64)
+        self.high, self.piece, self.back = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.clear()
 
     def clear(self):
         self.known, self.n, self.nodes = {}, 0, 0  # known: numbers of units
-        self.zero, self.end = [], []  # first and last node by number
+        self.zero, self.end = array("q"), array("q")  # first and last node by number
 
     def add(self, units: list[str]):
         """Give each unit (start node, end node)."""
@@ -172,8 +175,8 @@ class Lattices:
 
     def _keep(self, high, piece, back):
         m = self.n + len(high)
-        if m > len(self.high):
-            self.high, self.piece, self.back = (np.concatenate([a[:self.n], np.empty(m, a.dtype)]) for a in (self.high, self.piece, self.back))
+        if m > len(self.high):  # room for as much again, so that copies stay few
+            self.high, self.piece, self.back = (np.concatenate([a[:self.n], np.empty(2 * m - self.n, a.dtype)]) for a in (self.high, self.piece, self.back))
         self.high[self.n:m], self.piece[self.n:m], self.back[self.n:m] = high, piece, back
         self.n = m
 
@@ -203,8 +206,8 @@ class Lattices:
         high[np.append(node[1:] != node[:-1], True)] = node[np.append(node[1:] != node[:-1], True)] + 1.0
         self._keep(high, ids[unit, end, k], node - k - 1)
         self.known.update(zip(units, range(len(self.zero), len(self.zero) + n), strict=True))
-        self.zero.extend(zero.tolist())
-        self.end.extend((zero + sizes).tolist())
+        self.zero.frombytes(zero.astype(np.int64).tobytes())
+        self.end.frombytes((zero + sizes).astype(np.int64).tobytes())
         self.nodes += int((sizes + 1).sum())
 
     def _add_each(self, units: list[str]):
@@ -267,7 +270,7 @@ class Lattices:
                 del self.known[u]
         if not len(which):
             return np.empty(0, np.int32), sizes
-        zero, node = np.array(self.zero, np.int64)[which], np.array(self.end, np.int64)[which]
+        zero, node = np.array(self.zero)[which], np.array(self.end)[which]
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         own = mix(np.repeat(seeds, sizes) + (np.arange(len(node)) - first).astype(np.uint64) * _M1)
         live = np.arange(len(node))
@@ -305,33 +308,45 @@ def _seeds(keys: pa.Array, seed: int) -> np.ndarray:
     return np.array([mix(np.uint64(0xFFFFFFFF) * _M3 + start) if k is None else mix(np.uint64(k & 0xFFFFFFFFFFFFFFFF) * _M1 + start) for k in keys.to_pylist()], np.uint64)
 
 
-def encode(documents: DataFrame, model: str | None = None, seed: int = SEED, sharpness: float = SHARPNESS, key: str = "doc_id", out: str = "pieces") -> DataFrame:
-    """All rows and columns plus ``out``, the sampled piece ids of ``text``."""
+def _sampled(documents: DataFrame, model, seed, sharpness, key, columns, out, checked) -> DataFrame:
     path = model or default_model()
-    given = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.xxhash64(F.col(key)).alias("seed"), text_or_empty().alias("text"))
+    keep = documents.columns if columns is None else columns
+    given = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.xxhash64(F.col(key)).alias("seed"), text_or_empty().alias("text"))
 
     def run(batches):
         from qtemplates.llm import pieces as own  # the worker's memory of units
         lattices = own._lattices(path, sharpness)
         for batch in batches:
-            texts, seeds = batch.column("text").to_pylist(), _seeds(batch.column("seed"), seed)
-            parts, sizes, i = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
-            while i < len(texts):
-                j, held = i, 0
-                while j < len(texts) and (j == i or held + len(texts[j]) <= _CHUNK):
-                    held += len(texts[j])
-                    j += 1
-                ids, n = lattices.sample(seeds[i:j], texts[i:j])
-                parts.append(ids)
-                sizes.append(n)
-                i = j
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))], names=["row", "pieces"])
-
-    name = free_name(documents, out)
-    schema = StructType([StructField("row", given.schema["row"].dataType), StructField("pieces", ArrayType(IntegerType()))])
-    done = given.mapInArrow(run, schema)
-    return done.select("row.*", F.col("pieces").alias(name))
+            i, sizes = 0, pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            while i < batch.num_rows:  # parts of a batch, so that little is held at once
+                j = i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), _CHUNK, "right")))
+                part = batch.slice(i, j - i)
+                texts, i = part.column("text").to_pylist(), j
+                ids, n = lattices.sample(_seeds(part.column("seed"), seed), texts)
+                ends = np.cumsum(n)
+                cols = [part.column("row"), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))]
+                if checked:
+                    said = [lattices.v.decode(ids[e - m:e].tolist()) if m else "" for e, m in zip(ends, n, strict=True)]
+                    cols += [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said]), pa.array([a == b for a, b in zip(said, texts, strict=True)])]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "pieces", "sha256", "lossless"][:len(cols)])
+
+    fields = [StructField("row", given.schema["row"].dataType), StructField("pieces", ArrayType(IntegerType()))]
+    if checked:
+        fields += [StructField("sha256", StringType()), StructField("lossless", BooleanType())]
+    done = given.mapInArrow(run, StructType(fields))
+    more = [F.col("sha256").alias("decoded_sha256"), F.col("lossless")] if checked else []
+    return done.select("row.*", F.col("pieces").alias(out), *more)
+
+
+def encode(documents: DataFrame, model: str | None = None, seed: int = SEED, sharpness: float = SHARPNESS, key: str = "doc_id", out: str = "pieces") -> DataFrame:
+    """All rows and columns plus ``out``, the sampled piece ids of ``text``."""
+    return _sampled(documents, model, seed, sharpness, key, None, free_name(documents, out), False)
+
+
+def encode_checked(documents: DataFrame, model: str | None = None, seed: int = SEED, sharpness: float = SHARPNESS, key: str = "doc_id") -> DataFrame:
+    """The key, the sampled ``pieces`` and, of the text decoded from them,
+    ``decoded_sha256`` and whether it is the text given (``lossless``)."""
+    return _sampled(documents, model, seed, sharpness, key, [key], "pieces", True)
 
 
 def decode(rows: DataFrame, pieces: str = "pieces", model: str | None = None, out: str = "decoded") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qtemplates.llm import chat, licenses, minhash, mixing, pieces, quality, secrets, token_ids, urls, vptree
-from qtemplates.llm.common import table, text_or_empty
+from qtemplates.llm.common import table
 from qtemplates.session import checkpoint_dir
 
 
@@ -38,9 +38,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document and whether they decode to its text."""
-    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return rows.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
-                       (F.col("decoded") == text_or_empty()).alias("lossless"))
+    rows = pieces.encode_checked(table(spark, sf_dir, "documents"))
+    return rows.withColumn("n_pieces", F.size("pieces").cast("long"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

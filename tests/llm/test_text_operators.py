@@ -219,3 +219,14 @@ def test_pieces_follow_the_lattice():
             found = sorted(zip((t.back[lo:hi] - a).tolist(), t.piece[lo:hi].tolist()))
             return found
         assert options(one) == options(each)
+
+
+def test_pieces_checked(spark):
+    d = docs(spark, PIECES)
+    plain = {r["doc_id"]: r["pieces"] for r in pieces.encode(d).collect()}
+    rows = pieces.encode_checked(d).collect()
+    assert len(rows) == len(PIECES) and all(r["lossless"] for r in rows)
+    for r in rows:
+        assert r["pieces"] == plain[r["doc_id"]]
+        assert r["decoded_sha256"] == hashlib.sha256((PIECES[r["doc_id"]] or "").encode()).hexdigest()
+    assert pieces.encode_checked(docs(spark, [])).count() == 0
