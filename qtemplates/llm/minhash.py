@@ -55,6 +55,8 @@ IDF_BUCKETS = 1 << IDF_BITS
 _DRAWS = 1 << 16
 #: Texts are hashed in runs of about this many bytes, whole words each.
 _RUN = 1 << 16
+#: Words longer than this are replaced by a hash.
+_LONG = 256
 #: Shingles handled at once.
 _CHUNK = 1 << 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -113,22 +115,21 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     w = text.lower().split()
     if not w:
         return np.empty(0, np.uint32), np.empty(0, np.uint32)
+    if max(map(len, w)) > _LONG:  # so that five words fit a run
+        w = [x if len(x) <= _LONG else str(hash_word(x)) for x in w]
     parts, i = [], 0
     while i == 0 or i + SHINGLE_WORDS <= len(w):
         size, j = 0, i
         while j < len(w) and (size < _RUN or j < i + SHINGLE_WORDS):
             size += 4 * len(w[j]) + 1
             j += 1
-        data = " ".join(w[i:j]).encode()
-        if len(data) > 2 * _RUN:  # words longer than a run: shorten each by its hash
-            data = b" ".join(x.encode() if len(x) < 256 else str(hash_word(x)).encode() for x in w[i:j])
-        parts.append(_windows(data))
+        parts.append(_windows(" ".join(w[i:j]).encode()))
         i = max(j - SHINGLE_WORDS + 1, i + 1)
     return np.unique(np.concatenate(parts), return_counts=True)
 
 
 def hash_word(word: str) -> int:
-    """A stable number for a word too long to be kept as it is."""
+    """A stable number that stands for a word too long to be kept."""
     import hashlib
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
 
