@@ -43,7 +43,7 @@ MODEL = "piece_bpe_32k.model"
 SHARPNESS = 1.0
 SEED = 7
 #: Units and lattice edges remembered in a worker at most.
-_UNITS, _EDGES = 200_000, 4_000_000
+_UNITS, _EDGES = 300_000, 6_000_000
 #: Characters of text handled at once (a longer text alone).
 _CHUNK = 1 << 19
 #: Units longer than this are not remembered beyond their batch.
