@@ -21,7 +21,9 @@ Steps, each one a Spark job over shared Parquet tables:
    are still in another component than their leader are compared with all
    others in buckets of up to ``SMALL`` members, and with ``LEADERS`` members
    spread over larger ones; this is repeated with other leaders as long as a
-   round links anything.
+   round links anything.  What large buckets then still hold in several
+   components goes through an exact prefix-filter join on rare shingles, so no
+   link is lost to a leader that is far from both of its texts.
 5. *components*: minimum hooking with pointer jumping, as joins.
 
 Exact copies share the key (md5 of the text) and count once from step 4 on.
@@ -48,6 +50,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 #: Buckets of up to so many members are compared in full; leaders a round in others.
 SMALL, LEADERS = 8, 4
+#: Hash buckets of shingle counts in the exact join.
+_COUNT_BITS = 20
+#: Relative rounding of sums of weights.
+_ROUND = 1e-9
 #: Hash buckets of document frequencies.
 IDF_BITS = 18
 IDF_BUCKETS = 1 << IDF_BITS
@@ -162,26 +168,31 @@ def _read(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- weights ----------------------------------------------------------------
 
-def idf(vecs: DataFrame) -> np.ndarray:
-    """1 + ln((1 + documents) / (1 + shingles in the bucket)) / ln(2 + documents)
-    for each bucket, 1 at least: rare shingles weigh up to twice as much as
-    common ones.  A steeper idf would pull large groups of near copies below
-    the threshold, as what they share would count as common."""
+def _counts(vecs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """Shingles by the first ``bits`` of their hash, and how many rows there are."""
     def run(batches):
-        total, docs = np.zeros(IDF_BUCKETS, np.int64), 0
+        total, docs = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             docs += batch.num_rows
             blob = b"".join(batch.column("h").to_pylist())
-            total += np.bincount(np.frombuffer(blob, "<u4") >> (32 - IDF_BITS), minlength=IDF_BUCKETS)
+            total += np.bincount(np.frombuffer(blob, "<u4") >> (32 - bits), minlength=1 << bits)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(total[used], docs), pa.int64())], names=["b", "n"])
     # at most one row per bucket comes to the driver, and one with the number of documents
     got = vecs.select("h").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     b, n = got.column("b").to_numpy(), got.column("n").to_numpy()
-    df = np.zeros(IDF_BUCKETS)
+    df = np.zeros(1 << bits, np.int64)
     df[b[b >= 0]] = n[b >= 0]
-    docs = float(n[b < 0].sum())
-    return 1 + np.maximum(np.log((1 + docs) / (1 + df)), 0) / np.log(2 + docs)
+    return df, int(n[b < 0].sum())
+
+
+def idf(vecs: DataFrame) -> np.ndarray:
+    """1 + ln((1 + documents) / (1 + shingles in the bucket)) / ln(2 + documents)
+    for each bucket, 1 at least: rare shingles weigh up to twice as much as
+    common ones.  A steeper idf would pull large groups of near copies below
+    the threshold, as what they share would count as common."""
+    df, docs = _counts(vecs, IDF_BITS)
+    return 1 + np.maximum(np.log((1 + float(docs)) / (1 + df)), 0) / np.log(2 + float(docs))
 
 
 def _weights(h: np.ndarray, c: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -329,6 +340,81 @@ def _label(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return cut_lineage(rooted.join(mixed, "bucket"), "mixed")
 
 
+def _rounds(members: DataFrame, labels: DataFrame | None, bodies: DataFrame, table: np.ndarray) -> tuple[DataFrame | None, DataFrame | None]:
+    """Labels after comparing members with leaders of their buckets until a
+    round links nothing; and the members of large buckets that still hold two
+    or more roots, None if there are none."""
+    turn = 0
+    while True:
+        left = _label(members, labels)
+        if left.isEmpty():
+            return labels, None
+        part = F.when(F.col("n") <= SMALL, F.xxhash64("key")).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(LEADERS)))
+        picked = (left.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("hub", "key", "w", "root")).alias("x"))
+                  .select("bucket", F.col("x.key").alias("lead_key"), F.col("x.w").alias("lead_w"), F.col("x.root").alias("lead_root")))
+        pairs = cut_lineage(_pairs(left.filter("root != r0"), picked), "pairs")
+        links = cut_lineage(_verified(pairs, bodies, table), "links")
+        members = left.drop("root", "r0").filter(F.col("n") > SMALL)
+        if links.isEmpty():
+            return labels, None if members.isEmpty() else members
+        labels, turn = _merged(labels, links), turn + 1
+
+
+def _postings(texts: DataFrame, table: np.ndarray) -> DataFrame:
+    """bucket (shingle), key, w, hub, rest and short of the prefixes of
+    ``texts`` (key, w, hub, h, c).  A prefix holds the rarest shingles of a
+    text, as far as ``rest``, the weight from the shingle on, is at least
+    THRESHOLD * w; ``short`` marks where it is at least 2 T / (1 + T) * w.
+    Two texts that reach the threshold share a shingle that is in the prefix of
+    the heavier and in the short prefix of the lighter one: what they share
+    weighs at least T * w of either and T / (1 + T) of both weights."""
+    count, _ = _counts(texts, _COUNT_BITS)
+    count = np.minimum(count, 0xFFFFFFFF).astype(np.uint32)
+    brief = 2 * THRESHOLD / (1 + THRESHOLD)
+
+    def run(batches):
+        for batch in batches:
+            keys, ws, hubs, hs, cs = (batch.column(x).to_pylist() for x in ("key", "w", "hub", "h", "c"))
+            found, rests, sizes = [np.empty(0, np.int64)], [np.empty(0)], []
+            for total, h, c in zip(ws, hs, cs, strict=True):
+                h, c = _read(h, c)
+                n = count[h >> (32 - _COUNT_BITS)]
+                by = np.lexsort((h, n))
+                rest = np.cumsum(_weights(h, c, table)[by][::-1])[::-1]
+                # a shingle that no other text has cannot be shared
+                use = np.flatnonzero((rest >= THRESHOLD * total * (1 - _ROUND)) & (n[by] > 1))
+                found.append(h[by][use].astype(np.int64))
+                rests.append(rest[use])
+                sizes.append(len(use))
+            rest, w = np.concatenate(rests), np.repeat(np.array(ws, float), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(np.repeat(np.array(keys, object), sizes), pa.binary()), pa.array(w),
+                                              pa.array(np.repeat(np.array(hubs, np.int64), sizes)), pa.array(rest), pa.array(rest >= brief * w * (1 - _ROUND))],
+                                             names=["bucket", "key", "w", "hub", "rest", "short"])
+    return texts.mapInArrow(run, "bucket long, key binary, w double, hub long, rest double, short boolean")
+
+
+def _exact(left: DataFrame, labels: DataFrame | None, bodies: DataFrame, table: np.ndarray) -> DataFrame | None:
+    """Labels after all links between the texts of ``left``.  Leaders are tried
+    once more, now among texts that share a rare shingle, so that large groups
+    of near copies are one component before pairs are made; every pair of two
+    components that passes the filters of prefix, weight and rest is verified."""
+    texts = cut_lineage(left.groupBy("key").agg(F.max("w").alias("w"), F.max("hub").alias("hub")).join(bodies, "key"), "rest")
+    held = cut_lineage(_postings(texts, table), "postings")
+    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = cut_lineage(held.join(shared, "bucket"), "postings")
+    labels, _ = _rounds(held.filter(F.col("n") > SMALL), labels, bodies, table)
+    mixed = _label(held, labels)
+    # of two texts of a bucket with different roots, one is outside its leader's component
+    heavy = mixed.select("bucket", *[F.col(x).alias("big_" + x) for x in ("key", "w", "rest", "root")], (F.col("root") != F.col("r0")).alias("big_out"))
+    light = mixed.filter("short").withColumn("out", F.col("root") != F.col("r0"))
+    total = F.col("w") + F.col("big_w")
+    fits = ((F.col("root") != F.col("big_root")) & (F.col("w") <= F.col("big_w")) & (F.col("w") >= THRESHOLD * (1 - _ROUND) * F.col("big_w"))
+            & (F.least("rest", "big_rest") >= THRESHOLD / (1 + THRESHOLD) * (1 - _ROUND) * total))
+    met = light.filter("out").join(heavy, "bucket").filter(fits).unionByName(light.filter("not out").join(heavy.filter("big_out"), "bucket").filter(fits))
+    pairs = cut_lineage(met.select(F.least("key", "big_key").alias("a"), F.greatest("key", "big_key").alias("b")).distinct(), "pairs")
+    return _merged(labels, cut_lineage(_verified(pairs, bodies, table), "links"))
+
+
 def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, tops): rows has key, doc_id and class_id of every document; tops
     the key and doc_id of the one document that stands for each class."""
@@ -349,20 +435,10 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = members.select("key").distinct().join(texts.select("key", "rep"), "key")
     bodies = cut_lineage(vecs.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "h", "c"), "bodies")
 
-    labels, turn = components(_verified(_pairs(members, ends), bodies, table)), 0
-    while True:
-        left = _label(members, labels)
-        if left.isEmpty():
-            break
-        part = F.when(F.col("n") <= SMALL, F.xxhash64("key")).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(LEADERS)))
-        picked = (left.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("hub", "key", "w", "root")).alias("x"))
-                  .select("bucket", F.col("x.key").alias("lead_key"), F.col("x.w").alias("lead_w"), F.col("x.root").alias("lead_root")))
-        pairs = cut_lineage(_pairs(left.filter("root != r0"), picked), "pairs")
-        links = cut_lineage(_verified(pairs, bodies, table), "links")
-        if links.isEmpty():
-            break
-        labels = _merged(labels, links)
-        members, turn = left.drop("root", "r0").filter(F.col("n") > SMALL), turn + 1
+    labels = components(_verified(_pairs(members, ends), bodies, table))
+    labels, left = _rounds(members, labels, bodies, table)
+    if left is not None:
+        labels = _exact(left, labels, bodies, table)
 
     if labels is None:
         rooted = texts.select("key", "rep", F.col("key").alias("root"))

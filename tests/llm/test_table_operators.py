@@ -61,6 +61,26 @@ def test_classes_against_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_groups_inside_a_large_bucket(spark):
+    """Small groups of near copies on one template; all other pairs, which
+    share band keys in hundreds, are below the threshold."""
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"t{i}" for i in range(404))
+    texts = [" ".join([shared] + [f"g{g}x{i}" for i in range(11)] + [f"u{g}y{n}z{i}" for i in range(22)]) for g in range(80) for n in range(3)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    d = docs(spark, texts)
+    table = minhash.idf(minhash.vectors(d))
+    sets = [minhash.shingles(t) for t in texts]
+    first = {}
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        alike = texts[i].split()[404] == texts[j].split()[404]
+        assert alike == (minhash.similarity(sets[i], sets[j], table) >= minhash.THRESHOLD)
+    for i, t in enumerate(texts):
+        first.setdefault(t.split()[404], i)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(d).collect()}
+    assert got == {i: first[t.split()[404]] for i, t in enumerate(texts)}
+
+
 def test_keep_one(spark):
     texts = near_texts()
     d = docs(spark, texts)
