@@ -95,11 +95,21 @@ class Scanner:
         for n, own in spans.items():
             _, notice, k, pattern = self.notices[n]
             past = -1
-            for lo, hi in own:
-                for m in pattern.finditer(words, max(lo, past), hi):
-                    if m.end() > m.start():
+            for i, (lo, hi) in enumerate(own):
+                # what reaches into the next window is left to that one, which sees all of it
+                edge = own[i + 1][0] if i + 1 < len(own) and own[i + 1][0] < hi else hi
+                todo = [(max(lo, past), hi)]
+                while todo:  # the best place, then the parts before and after it
+                    a, b = todo.pop()
+                    m = pattern.search(words, a, b) if a < b else None
+                    if m is None or m.end() == m.start():
+                        continue
+                    todo += [(a, m.start()), (m.end(), b)]
+                    if m.end() > edge:
+                        own[i + 1][0] = min(own[i + 1][0], m.start())
+                    else:
                         found.append((m.start(), m.end(), n, sum(m.fuzzy_counts)))
-                        past = m.end()
+                        past = max(past, m.end())
         return sorted(found)
 
     def scan(self, text: str) -> tuple:

@@ -170,6 +170,30 @@ def test_notice_spans_and_parts(spark):
     assert licenses.digest(docs(spark, [])).count() == 0
 
 
+def test_all_places_of_a_notice():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.ERROR_SHARE)
+    (n,) = [i for i, (_, notice) in enumerate(licenses.NOTICES) if notice == "all rights reserved"]
+    assert [x for x in scanner.places("all rigts reserved all rights reserved") if x[2] == n] == [(0, 18, n, 1), (19, 38, n, 0)]
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        own = [licenses.NOTICES[i][1] for i in rng.choice(len(licenses.NOTICES), 2)]
+        words = []
+        for _ in range(30):
+            w = list(own[int(rng.integers(2))])
+            for _ in range(int(rng.integers(3))):
+                w[int(rng.integers(len(w)))] = str(rng.choice(["", "x", "e", "qq"]))
+            words.append("".join(w) + " and" * int(rng.integers(3)))
+        joined = " ".join(" ".join(words).split())
+        places = scanner.places(joined)
+        for n, (_, notice) in enumerate(licenses.NOTICES):
+            k = licenses.parts(notice, licenses.ERROR_SHARE)[0]
+            spans, at = sorted(x[:2] for x in places if x[2] == n), 0
+            for start, end in [*spans, (len(joined), len(joined))]:
+                assert at <= start and not fuzzy_brute(joined[at:start], notice, k)
+                at = end
+            assert all(fuzzy_brute(joined[a:b], notice, k) for a, b in spans)
+
+
 # ---- pieces -------------------------------------------------------------------
 
 PIECES = ["a ▁ b\n\n  x  ", "   ", "\n", "é\U0001F600 z", "x" * 5000, " lead", "naïve Ünïcode 漢字 text", "tab\tand\r\n", *EDGE]
