@@ -9,8 +9,9 @@ says that nothing in it can beat the worst of the neighbours found so far;
 ``factor`` times the worst distance).  Factor 1 restores exact search; smaller
 ones skip more.
 
-Every vector is indexed, in a shard chosen by the hash of its id (about
-``SHARD`` vectors each, so a shard fits a task); trees are built in their
+Every vector is indexed, in a shard chosen by the hash of its id and numbers
+(about ``SHARD`` vectors each, so a shard fits a task; of equal rows as many as
+a query can return); trees are built in their
 tasks and stored as rows.  Queries are packed into blocks of ``QUERIES`` rows,
 and each pair of shard and block is a task's unit of work; the shards' results
 merge by query.  Scores are the cosines of the original vectors in double
@@ -42,8 +43,8 @@ LEAF = 64
 QUERIES = 256
 #: 1.0 is exact.
 FACTOR = 1.0
-#: More than rounding moves a distance; further candidates kept for exact scores.
-_SLACK, _SPARE = 1e-7, 10
+#: More than rounding moves a distance; bounds and ties compare up to four of them.
+_SLACK = 1e-7
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -65,21 +66,34 @@ def cosines(many: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (many * one).sum(1) / (np.sqrt((many * many).sum(1)) * np.sqrt((one * one).sum()))
 
 
+def _nth(new: np.ndarray) -> np.ndarray:
+    """Place in its run; ``new`` marks where runs begin."""
+    starts = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(starts, np.diff(np.append(starts, len(new))))
+
+
 class Tree:
     """A vantage-point tree over the distinct rows of ``vectors``.  Of equal
-    vectors the ``copies`` smallest ids are kept: no more can be among the
-    nearest of any query, as ties go to smaller ids."""
+    vectors the 2 k smallest ids are kept, each at most k times: no more can be
+    among the k nearest of any query, as ties go to smaller ids and at most k
+    of them are the query's own."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: int = NEAREST + 1, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = NEAREST, leaf: int = LEAF):
         vectors = np.ascontiguousarray(vectors + 0.0)  # -0.0 becomes 0.0
         raw = vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
         _, first, group = np.unique(raw, return_index=True, return_inverse=True)
         by = np.lexsort((ids, group))
-        starts = np.flatnonzero(np.diff(group[by], prepend=-1))
-        nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
-        kept = by[nth < copies]
+        again = np.diff(ids[by], prepend=0) == 0
+        new = np.diff(group[by], prepend=-1) != 0
+        by = by[_nth(new | ~again) < k]
+        kept = by[_nth(np.diff(group[by], prepend=-1) != 0) < 2 * k]
+        self.k = k
         self.ids, self.owner = ids[kept], group[kept]  # owner ascends
         self.vectors = vectors[first]
+        # rows with one id only do not count for a query with that id
+        at = np.arange(len(first))
+        self.first_id = self.ids[np.searchsorted(self.owner, at, "left")]
+        self.sole = self.first_id == self.ids[np.searchsorted(self.owner, at, "right") - 1]
         # no square of a large number: scale by the largest component first
         scaled = self.vectors / np.abs(self.vectors).max(1, keepdims=True)
         self.unit = scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
@@ -110,14 +124,15 @@ class Tree:
         first; and how many distances were measured for all of them."""
         scaled = queries / np.abs(queries).max(1, keepdims=True)
         one = scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
-        # some more than k + 1 (the query's own vector), to settle ties by exact scores
-        width = k + 1 + _SPARE
-        near_d, near = np.full((len(one), width), np.inf), np.full((len(one), width), -1)
+        if k > self.k:
+            raise ValueError(f"the tree was built for {self.k} neighbours, not {k}")
+        # the k least distances of each query, and all rows that may tie with them
+        near_d, held = np.full((len(one), k), np.inf), []
         worst, seen = np.full(len(one), np.inf), 0
         stack = [(0, np.arange(len(one)), np.zeros(len(one)))]
         while stack:
             at, live, low = stack.pop()
-            open_ = low <= factor * worst[live] + _SLACK
+            open_ = low <= factor * worst[live] + 4 * _SLACK
             live, low = live[open_], low[open_]
             if not len(live):
                 continue
@@ -125,17 +140,23 @@ class Tree:
             if len(node) == 2:
                 rows = self.order[node[0]:node[1]]
                 seen += len(rows) * len(live)
-                d = np.concatenate([near_d[live], distances(one[live], self.unit[rows])], 1)
-                which = np.concatenate([near[live], np.broadcast_to(rows, (len(live), len(rows)))], 1)
-                best = np.argpartition(d, width - 1, axis=1)[:, :width]
-                near_d[live], near[live] = np.take_along_axis(d, best, 1), np.take_along_axis(which, best, 1)
-                worst[live] = np.partition(near_d[live], k, axis=1)[:, k]
+                d = distances(one[live], self.unit[rows])
+                d[self.sole[rows] & (self.first_id[rows] == ids[live][:, None])] = np.inf
+                near_d[live] = np.partition(np.concatenate([near_d[live], d], 1), k - 1, axis=1)[:, :k]
+                worst[live] = near_d[live].max(1)
+                q, r = np.nonzero((d <= worst[live][:, None] + 4 * _SLACK) & (d < np.inf))
+                held.append((live[q], rows[r], d[q, r]))
             else:
                 d = distances(one[live], self.unit[node[2]][None])[:, 0]
                 seen += len(live)
                 for child, lo, hi in ((node[4], node[7], node[8]), (node[3], node[5], node[6])):
                     stack.append((child, live, np.maximum(np.maximum(lo - d, d - hi), low)))
-        return [self._best(int(i), q, r[r >= 0], k) for i, q, r in zip(ids, queries, near, strict=True)], seen
+        q, rows, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        keep = d <= worst[q] + 4 * _SLACK
+        q, rows = q[keep], rows[keep]
+        by = np.argsort(q, kind="stable")
+        near = np.split(rows[by], np.searchsorted(q[by], np.arange(1, len(one))))
+        return [self._best(int(i), v, r, k) for i, v, r in zip(ids, queries, near, strict=True)], seen
 
     def _best(self, query_id: int, query: np.ndarray, rows: np.ndarray, k: int) -> list:
         score = cosines(self.vectors[rows], query)
@@ -144,8 +165,9 @@ class Tree:
         return [(-s, i) for s, i in sorted(found)[:k]]
 
 
-def build(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """shard and tree (pickled) over all usable vectors, written out."""
+def build(vectors: DataFrame, shard: int = SHARD, k: int = NEAREST) -> DataFrame:
+    """shard and tree (pickled) over all usable vectors, written out, for
+    searches of up to ``k`` neighbours."""
     rows = usable(vectors)
     n = max(1, -(-rows.count() // shard))
 
@@ -153,14 +175,18 @@ def build(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         from qtemplates.llm import vptree as own
         table = table.combine_chunks()
         ids, vecs = table.column("vec_id").to_numpy(), table.column("embedding").chunk(0)
+        copies = table.column("copies").to_numpy()
         starts, sizes = vecs.offsets.to_numpy()[:-1] - vecs.offsets.to_numpy()[0], np.diff(vecs.offsets.to_numpy())
         data, out = vecs.flatten().to_numpy(zero_copy_only=False), []
         for size in np.unique(sizes):  # a tree per length
             rows = np.flatnonzero(sizes == size)
-            out.append(pickle.dumps(own.Tree(ids[rows], data[starts[rows][:, None] + np.arange(size)])))
+            rows = np.repeat(rows, copies[rows])
+            out.append(pickle.dumps(own.Tree(ids[rows], data[starts[rows][:, None] + np.arange(size)], k)))
         return pa.table({"shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "tree": pa.array(out, pa.binary())})
 
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    # of equal rows no query returns more than k, and none needs more in a task
+    single = rows.groupBy("vec_id", "embedding").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+    sharded = single.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int"))
     return cut_lineage(sharded.groupBy("shard").applyInArrow(grow, "shard int, tree binary"), "trees")
 
 
@@ -198,4 +224,4 @@ def search(queries: DataFrame, trees: DataFrame, k: int = NEAREST, factor: float
 def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, factor: float = FACTOR) -> DataFrame:
     """Search all vectors with those whose id is divisible by ``every``."""
     queries = vectors.filter(F.pmod(F.col("vec_id").cast("long"), F.lit(every)) == 0)
-    return search(queries, build(vectors), k, factor)
+    return search(queries, build(vectors, k=k), k, factor)

@@ -274,6 +274,33 @@ def test_nearest(spark):
     assert vptree.nearest(d.limit(0)).count() == 0
 
 
+def test_nearest_with_many_ties(spark):
+    rng = np.random.default_rng(9)
+    sign = np.unique(rng.choice([-1.0, 1.0], (4000, 10)), axis=0)
+    sign = sign[rng.permutation(len(sign))]
+    scaled = np.outer(rng.uniform(1, 2, 100), rng.normal(size=10))  # at cosine 1 to rounding
+    data = np.concatenate([sign, scaled, np.repeat(rng.normal(size=(1, 10)), 20, 0), rng.normal(size=(40, 10))])
+    ids = np.arange(len(data))
+    ids[-40:] = 0  # a hot id
+    ids = np.concatenate([ids, [ids[len(sign) + 100]] * 15])  # and repeated equal rows
+    data = np.concatenate([data, np.repeat(data[len(sign) + 100][None], 15, 0)])
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, data)], "vec_id long, embedding array<double>")
+    asked = [1, 2, 500, 1000, len(sign) + 3, len(sign) + 100, len(sign) + 101]
+    queries = d.filter(F.col("vec_id").isin(asked)).dropDuplicates(["vec_id"])
+    for k in (5, 10):
+        got = defaultdict(list)
+        for r in vptree.search(queries, vptree.build(d, shard=200, k=k), k).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        for q in asked:
+            score = vptree.cosines(data, data[np.flatnonzero(ids == q)[0]])
+            assert got[q] == [(-s, i) for s, i in sorted((-float(s), int(i)) for s, i in zip(score, ids) if i != q)[:k]]
+    tree = vptree.Tree(ids, data)
+    score = vptree.cosines(data, data[-16])  # own id with 40 other vectors near the query
+    assert tree.search(np.array([0]), data[-16][None], 5, 1.0)[0][0] == [(-s, i) for s, i in sorted((-float(s), int(i)) for s, i in zip(score, ids) if i != 0)[:5]]
+    with pytest.raises(ValueError):
+        tree.search(np.array([0]), data[:1], 6, 1.0)
+
+
 def test_factor_trades_recall_for_work():
     rng = np.random.default_rng(1)
     data = rng.normal(size=(4000, 3))
