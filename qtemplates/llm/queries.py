@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qtemplates.llm import chat, licenses, minhash, mixing, pieces, quality, secrets, token_ids, urls, vptree
+from qtemplates.llm import chat, dialogue, licenses, minhash, mixing, pieces, quality, ranking, secrets, signs, token_ids, urls, vptree
 from qtemplates.llm.common import table
 from qtemplates.session import checkpoint_dir
 
@@ -78,6 +78,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages all conversations, repairs them and returns their digests."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.digest(dialogue.damaged(rows), rows)
+
+
+def op12_sign_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return signs.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -89,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_sign_near_dedup": op12_sign_near_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 
@@ -142,8 +161,87 @@ r AS (SELECT *, {_first_rule(lambda v, h, p: h + p)} AS rule, {_first_rule(lambd
 SELECT page_id, host, path, rule, listed, coalesce(told, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM r
 """
 
+#: crc32 byte by byte with its table of 256 numbers.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(k) + 1), lambda n: ord(substr(k, n, 1))::BIGINT)),
+                           lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+_OP11 = rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                                coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k, {_CRC_TABLE} AS tab FROM conversations),
+hit AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS f FROM keyed),
+dam AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+               CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM hit WHERE f <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+               NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM dam),
+r AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS dup, left(role, 1) AS x FROM num),
+f AS (SELECT *, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS trunc,
+             lag(x) OVER (PARTITION BY conv_id ORDER BY n) || x NOT IN ('su', 'ua', 'au') AS bad FROM r),
+emit(state, x, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+own(state, x, nxt) AS (VALUES (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(state, mid, cost, letters) AS (SELECT state, state, 0, '' FROM own UNION ALL SELECT state, nxt, 2, 'I' FROM own
+                                   UNION ALL SELECT a.state, b.nxt, 4, 'II' FROM own a JOIN own b ON a.nxt = b.state),
+opt(kind, x, state, nxt, cost, letters) AS (
+  SELECT 'K', e.x, i.state, e.nxt, i.cost, i.letters || 'K' FROM ins i JOIN emit e ON e.state = i.mid
+  UNION ALL SELECT 'R', o.x, i.state, o.nxt, i.cost + 2, i.letters || 'R' FROM ins i JOIN own o ON o.state = i.mid
+  UNION ALL SELECT 'D', NULL, state, state, 3, 'D' FROM own),
+dp(conv_id, n, state, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': ''}} FROM f
+  UNION ALL
+  SELECT dp.conv_id, dp.n + 1, opt.nxt, min({{'cost': dp.best.cost + opt.cost + CASE WHEN opt.kind <> 'D' AND f.trunc THEN 1 ELSE 0 END, 'audit': dp.best.audit || opt.letters}})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.n = dp.n + 1
+       JOIN opt ON opt.state = dp.state AND (opt.kind = 'D' OR (NOT f.blank AND NOT f.dup AND ((opt.kind = 'K' AND opt.x = f.x) OR (opt.kind = 'R' AND opt.x <> f.x))))
+  GROUP BY dp.conv_id, dp.n, opt.nxt),
+fig AS (SELECT conv_id, max(n) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(blank::INT)::BIGINT AS blank, sum(dup::INT)::BIGINT AS duplicate,
+               sum(trunc::INT)::BIGINT AS truncated, coalesce(sum(bad::INT), 0)::BIGINT AS illegal FROM f GROUP BY conv_id),
+fin AS (SELECT dp.conv_id, min({{'cost': dp.best.cost + 2 * length(t.tail), 'audit': dp.best.audit || t.tail}}) AS best
+        FROM dp JOIN fig ON fig.conv_id IS NOT DISTINCT FROM dp.conv_id AND fig.rows = dp.n
+             JOIN (VALUES (0, ''), (1, 'II'), (2, 'I'), (3, '')) t(state, tail) ON t.state = dp.state GROUP BY dp.conv_id),
+let AS (SELECT conv_id, unnest(range(1, length(best.audit) + 1)) AS k, best.audit AS audit FROM fin),
+pos AS (SELECT conv_id, k, substr(audit, k, 1) AS e, length(replace(left(audit, k), 'I', '')) AS n, length(replace(left(audit, k - 1), 'D', '')) AS emitted FROM let),
+got AS (SELECT p.*, f.role, f.text, bool_or(p.emitted = 0 AND p.e = 'K' AND f.x = 's') OVER (PARTITION BY p.conv_id) AS sys
+        FROM pos p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n AND p.e <> 'I'),
+txt AS (SELECT conv_id, k, e, CASE e WHEN 'K' THEN role ELSE CASE WHEN (emitted - sys::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM got WHERE e <> 'D'),
+sha AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS body FROM txt GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(fin.best.cost, 0)::BIGINT AS cost, coalesce(fin.best.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN fig ON fig.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN sha ON sha.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+_OP12 = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
+                  coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fine FROM embeddings),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND a.fine AND b.fine AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {signs.THRESHOLD}),
+reach(r, s) AS (SELECT r, r FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.s),
+top AS (SELECT reach.r, min(w.vec_id) AS component_id FROM reach JOIN v w ON w.r = reach.s GROUP BY reach.r),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN top USING (r) LEFT JOIN n ON n.a = v.r
+"""
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+g AS (SELECT count(*)::BIGINT AS nn, sum(len(terms))::BIGINT AS ll FROM d WHERE len(terms) > 0),
+q AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_TERMS}) AS terms FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+qt AS (SELECT q, item_id, unnest(terms) AS term FROM q),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * (SELECT nn FROM g) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY term),
+m AS (SELECT r, doc_id, 10 + (90 * len(terms) * (SELECT nn FROM g)) // (SELECT ll FROM g) AS m FROM d WHERE len(terms) > 0),
+s AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM qt JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY q, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS n FROM s WHERE score > 0)
+SELECT item_id, n::INTEGER AS rank, doc_id, score FROM k WHERE n <= {ranking.TOP}
+"""
+
 ORACLE: dict[str, str] = {
     "op7_nearest_neighbours": _OP7,
     "op9_chat_formatting": _OP9,
     "op10_url_filter": _OP10,
+    "op11_conversation_repair": _OP11,
+    "op12_sign_near_dedup": _OP12,
+    "op13_ranked_search": _OP13,
 }
