@@ -268,6 +268,7 @@ def q_top_k(spark, sf):
 
 # ---------------------------------------------------------------- step 4: BLEU
 
+from qtemplates.operators import best_bleu as BB  # noqa: E402
 from qtemplates.operators import bleu as B  # noqa: E402
 from qtemplates.sources.tables import bench_lines  # noqa: E402
 
@@ -331,6 +332,15 @@ def q_avg_bleu(spark, sf):
     return a.select(F.round("average_bleu", 9).alias("average_bleu"))
 
 
+@query("best_bleu_document_lines", sql=_with(S.DOC_LINES, _BLEU_SRC[0], S.bleu_sides(*_BLEU_SRC[1:]), _PAIR_SCORES)
+       + "SELECT template, mult, round(bleu, 9) AS bleu FROM best")
+def q_best_bleu_lines(spark, sf):
+    """B1 with all document lines as test side, benchmark lines as train side."""
+    tr, te = _bleu_inputs(spark, sf)
+    best, _ = BB.best_sentence_bleu(tr, te)
+    return best.select("template", "mult", F.round("bleu", 9).alias("bleu"))
+
+
 _CORPUS = """
 maxref AS (SELECT n, g, max(c) AS mc FROM trg GROUP BY n, g),
 nums AS (

@@ -57,3 +57,33 @@ def test_no_pair_enumeration_plan(spark):
     te = _df(spark, ["a b c"])
     plan = B.max_sentence_bleu(tr, te)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("block, first", [(256, 32), (3, 1)])
+def test_threshold_search_against_bruteforce(spark, monkeypatch, block, first):
+    from qtemplates.operators import best_bleu
+    monkeypatch.setattr(best_bleu, "BLOCK", block)
+    monkeypatch.setattr(best_bleu, "FIRST", first)
+    rng = random.Random(11)
+    rare = [f"r{i}" for i in range(300)]
+    vocab = ["EC1", "EC2", "PC1", "what", "is", "the", "of", "how"] * 6 + rare
+
+    def sent(most=12):
+        return " ".join(rng.choice(vocab) for _ in range(rng.randint(1, most)))
+    train = [sent() for _ in range(150)] + ["the of the of the of", "is"] * 3
+    test = [sent() for _ in range(150)] + [" ".join(t.split()[1:] + ["new"]) for t in train[:30]] + train[:5] + [sent(400), "none at all"]
+    want = BB.best_scores([t.split() for t in train], [t.split() for t in test])
+    best, rounds = best_bleu.best_sentence_bleu(_df(spark, [*train, None, "  "]), _df(spark, [*test, None, " "]))
+    got = {r.template: (r.mult, r.bleu) for r in best.collect()}
+    assert len(got) == len(set(test))
+    for t, w in zip(test, want):
+        assert got[t] == (test.count(t), pytest.approx(w, abs=1e-12))
+    pairs = [(r.te, r.tr) for x in rounds for r in x.collect()]
+    assert len(pairs) == len(set(pairs))  # no pair is scored twice
+
+
+def test_threshold_search_of_nothing(spark):
+    from qtemplates.operators import best_bleu
+    empty = spark.createDataFrame([], "template string")
+    assert best_bleu.best_sentence_bleu(_df(spark, ["a"]), empty)[0].collect() == []
+    assert [r.bleu for r in best_bleu.best_sentence_bleu(empty, _df(spark, ["a"]))[0].collect()] == [0.0]
