@@ -56,39 +56,6 @@ def prefix_sums(arr: Column) -> Column:
     return let(arr, lambda x: F.when(F.size(x) == 0, x).otherwise(blocked(x)))
 
 
-def _ends(w: Column, suffixes: str) -> Column:
-    out = F.lit(False)
-    for suf in suffixes.split():
-        out = out | w.endswith(suf)
-    return out
-
-
-def _pos0(t: Column) -> Column:
-    """Context-free tag of one token; string tests instead of regexes where a
-    suffix or prefix test is enough (this runs once per token)."""
-    w = F.lower(t)
-    # a token is a word run or a single other character, so only one-character
-    # tokens can be punctuation
-    punct = (F.length(t) == 1) & ~t.rlike(r"[\p{L}\p{N}]")
-    digits = F.translate(t, "0123456789", "") == ""
-    marker = ((t.startswith("EC") | t.startswith("PC")) & (F.length(t) > 2)
-              & (F.translate(F.substring(t, 3, 1 << 20), "0123456789", "") == ""))
-    return (F.when(punct, "PUNCT")
-             .when(marker, "PROPN")
-             .when(digits, "NUM")
-             .when(w.isin(DET), "DET")
-             .when(w.isin(ADP), "ADP")
-             .when(w.isin(PART), "PART")
-             .when(w.isin(AUX), "AUX")
-             .when(w.isin(PRON), "PRON")
-             .when(w.isin(CCONJ), "CCONJ")
-             .when(w.isin(SCONJ), "SCONJ")
-             .when(w.endswith("ly"), "ADV")
-             .when(_ends(w, "al ive ous able ible ful ic"), "ADJ")
-             .when(w.isin(VERB_WORDS) | _ends(w, "ing ed ize ise"), "VERB")
-             .otherwise("NOUN"))
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a lambda
     variable.  Expressions referenced inside higher-order lambdas are not
@@ -97,74 +64,106 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def lexicon_tokens(text: Column) -> Column:
-    """The default annotation of one text as a token array."""
+#: One letter per tag; the tags of a text are a string of these letters.
+LETTERS = {"ADP": "A", "CCONJ": "C", "DET": "D", "ADJ": "J", "NUM": "M", "NOUN": "N", "PROPN": "O", "PART": "P", "PRON": "Q",
+           "ADV": "R", "SCONJ": "S", "AUX": "U", "VERB": "V", "PUNCT": "X"}
+#: A word of the verb list, until its neighbour is known.
+_LISTED_VERB = "W"
+
+
+def _rules() -> list[tuple[str, str]]:
+    """(pattern of a token, letter), the first that fits counts."""
+    listed = [(DET, "DET"), (ADP, "ADP"), (PART, "PART"), (AUX, "AUX"), (PRON, "PRON"), (CCONJ, "CCONJ"), (SCONJ, "SCONJ")]
+    return [(r"[^\p{L}\p{N} ]+", LETTERS["PUNCT"]), ("[0-9]+", LETTERS["NUM"]),
+            *[(f"(?:{'|'.join(words)})", LETTERS[tag]) for words, tag in listed],
+            ("[^ ]*ly", LETTERS["ADV"]), ("[^ ]*(?:al|ive|ous|able|ible|ful|ic)", LETTERS["ADJ"]),
+            (f"(?:{'|'.join(VERB_WORDS)})", _LISTED_VERB), ("[^ ]*(?:ing|ed|ize|ise)", LETTERS["VERB"]), ("(?![A-Z] )[^ ]+", LETTERS["NOUN"])]
+
+
+def tag_string(words: Column) -> Column:
+    """The default tags of a text's tokens as a string of letters.
+
+    The tokens, joined by spaces, go through one regex pass for each rule; a
+    pass turns the tokens it fits into a capital, which no lower-cased token is
+    and no later pass fits.  So the work per token is the regex engine's, in
+    generated code, and no lambda runs."""
+    s = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    s = F.lower(F.regexp_replace(s, " (?:EC|PC)[0-9]+(?= )", " "))  # markers become empty tokens, before lower-casing
+    s = F.regexp_replace(s, " (?= )", " " + LETTERS["PROPN"])
+    for pattern, letter in _rules():
+        s = F.regexp_replace(s, f" {pattern}(?= )", f" {letter}")
+    s = F.regexp_replace(F.translate(s, " ", ""), f"(?<=[DJ]){_LISTED_VERB}", LETTERS["NOUN"])
+    return F.when(F.size(words) == 0, "").otherwise(F.translate(s, _LISTED_VERB, LETTERS["VERB"]))
+
+
+def parsed(text: Column) -> Column:
+    """The default annotation of one text: struct of ``tokens`` (D11) and
+    ``tags``, their letters."""
     raw = F.struct(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 1).alias("t"),
                    F.split(text, GAP_PATTERN, -1).alias("g"))
 
-    def with_tags(r):
-        toks, gaps = r["t"], r["g"]
-        lens = F.transform(toks, lambda t, i: (F.length(F.get(gaps, i)) +
-                                               F.when(i > 0, F.length(F.get(toks, i - 1))).otherwise(0)).cast("int"))
-        return F.struct(toks.alias("t"), prefix_sums(lens).alias("idx"), F.transform(toks, _pos0).alias("p0"))
-
-    def with_pos(r):
-        toks, pos0 = r["t"], r["p0"]
-        pos = F.transform(toks, lambda t, i: F.when(
-            (F.get(pos0, i) == "VERB") & F.lower(t).isin(VERB_WORDS) & (i > 0) &
-            F.get(pos0, i - 1).isin("DET", "ADJ"), F.lit("NOUN")).otherwise(F.get(pos0, i)))
-        return F.struct(toks.alias("t"), r["idx"].alias("idx"), pos.alias("pos"))
+    def tagged(r):
+        ends = prefix_sums(F.zip_with(F.slice(r["g"], 1, F.size(r["t"])), r["t"], lambda g, t: F.length(g) + F.length(t)))
+        return F.struct(r["t"].alias("t"), ends.alias("ends"), tag_string(r["t"]).alias("tags"))
 
-    def build(r):
-        toks, idx, pos = r["t"], r["idx"], r["pos"]
+    def letters(r):
+        return F.struct(r["t"].alias("t"), r["ends"].alias("ends"), r["tags"].alias("tags"), F.split(r["tags"], "").alias("c"))
 
-        def head(i):
-            return (F.when(F.get(pos, i + 1) == "VERB", i + 1)
-                     .when(F.get(pos, i + 2) == "VERB", i + 2)
-                     .when(F.get(pos, i + 3) == "VERB", i + 3))
+    def headed(r):
+        verb = lambda i: F.get(r["c"], i) == LETTERS["VERB"]
+        heads = F.transform(r["c"], lambda x, i: F.when(x.isin(LETTERS["AUX"], LETTERS["PART"]), F.when(verb(i + 1), i + 1).when(verb(i + 2), i + 2).when(verb(i + 3), i + 3)))
+        return F.struct(r["t"].alias("t"), r["ends"].alias("ends"), r["tags"].alias("tags"), r["c"].alias("c"), heads.alias("heads"))
 
-        def tok(t, i):
-            is_aux = F.get(pos, i).isin("AUX", "PART") & head(i).isNotNull()
-            return F.struct(i.cast("int").alias("i"), F.get(idx, i).cast("int").alias("idx"), t.alias("text"),
-                            F.get(pos, i).alias("pos"),
-                            F.when(is_aux, F.lit("aux")).otherwise(F.lit("")).alias("dep"),
-                            F.when(is_aux, head(i)).otherwise(i).cast("int").alias("head"))
-        return F.transform(toks, tok)
+    by_letter = {c: tag for tag, c in LETTERS.items()}
+    names = F.split(F.lit(",".join(by_letter.get(chr(65 + k), "") for k in range(26))), ",")
 
-    return let(let(let(raw, with_tags), with_pos), build)
+    def build(r):
+        def token(t, i):
+            head = F.get(r["heads"], i)
+            return F.struct(i.cast("int").alias("i"), (F.get(r["ends"], i) - F.length(t)).cast("int").alias("idx"), t.alias("text"),
+                            F.get(names, F.ascii(F.get(r["c"], i)) - 65).alias("pos"),
+                            F.when(head.isNotNull(), "aux").otherwise("").alias("dep"), F.coalesce(head, i).cast("int").alias("head"))
+        return F.struct(F.transform(r["t"], token).alias("tokens"), r["tags"].alias("tags"))
+    return let(let(let(let(raw, tagged), letters), headed), build)
 
 
-#: One letter per tag, for patterns over the tags of a text.
-_LETTERS = {"VERB": "V", "PART": "P", "ADJ": "J", "ADV": "R", "ADP": "A", "DET": "D", "NUM": "M", "NOUN": "N", "PROPN": "O"}
+def lexicon_tokens(text: Column) -> Column:
+    """The default annotation of one text as a token array."""
+    return parsed(text)["tokens"]
 
 
-def tag_spans(tokens: Column, pattern: str) -> Column:
-    """Token ranges (``s`` inclusive, ``e`` exclusive) where ``pattern`` fits
-    the text's tags written as letters; one pass of the regex engine."""
+def tags_of(tokens: Column) -> Column:
+    """The tags of a token array as letters; ``x`` for any other tag."""
     def letter(t):
         out = F.lit("x")
-        for tag, c in _LETTERS.items():
+        for tag, c in LETTERS.items():
             out = F.when(t["pos"] == tag, c).otherwise(out)
         return out
+    return F.array_join(F.transform(tokens, letter), "")
 
+
+def tag_spans(tags: Column, pattern: str) -> Column:
+    """Token ranges (``s`` inclusive, ``e`` exclusive) where ``pattern`` fits
+    a text's tags written as letters; one pass of the regex engine."""
     def placed(r):
         sizes = F.zip_with(F.slice(r["gaps"], 1, F.size(r["found"])), r["found"], lambda g, m: F.length(g) + F.length(m))
         return F.zip_with(prefix_sums(sizes), r["found"], lambda e, m: F.struct((e - F.length(m)).cast("int").alias("s"), e.cast("int").alias("e")))
-    tags = F.array_join(F.transform(tokens, letter), "")
     return let(tags, lambda t: let(F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("gaps")), placed))
 
 
-def noun_chunks(tokens: Column) -> Column:
+def noun_chunks(tags: Column) -> Column:
     """Default noun chunks: ``DET? (ADJ|NUM|NOUN|PROPN)*`` runs cut after
     their last NOUN/PROPN (a run without one yields no chunk)."""
-    spans = tag_spans(tokens, "D[JMNO]*[NO]|(?<![DJMNO])[JMNO]*[NO]")
+    spans = tag_spans(tags, "D[JMNO]*[NO]|(?<![DJMNO])[JMNO]*[NO]")
     return F.transform(spans, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end")))
 
 
-def annotate(df: DataFrame, text_col: str, tokens_col: str = "tokens", chunks_col: str = "noun_chunks") -> DataFrame:
-    """A1 with the default lexicon tagger (no Python worker)."""
-    out = df.withColumn(tokens_col, lexicon_tokens(F.col(text_col)))
-    return out.withColumn(chunks_col, noun_chunks(F.col(tokens_col)))
+def annotate(df: DataFrame, text_col: str, tokens_col: str = "tokens", chunks_col: str = "noun_chunks", tags_col: str | None = None) -> DataFrame:
+    """A1 with the default lexicon tagger (no Python worker); ``tags_col``
+    also keeps the tags as letters."""
+    out = df.withColumn("_parsed", parsed(F.col(text_col)))
+    out = out.withColumn(tokens_col, F.col("_parsed.tokens")).withColumn(chunks_col, noun_chunks(F.col("_parsed.tags")))
+    return (out.withColumn(tags_col, F.col("_parsed.tags")) if tags_col else out).drop("_parsed")
 
 
 _ANNOTATORS: dict = {}

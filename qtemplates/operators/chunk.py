@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from qtemplates.functions.prefix import prefix_end, starter_flags
 from qtemplates.functions.text import py_strip
 from qtemplates.operators.annotate import annotate as lexicon_annotate
-from qtemplates.operators.annotate import let, tag_spans
+from qtemplates.operators.annotate import let, tag_spans, tags_of
 from qtemplates.session import cut_lineage
 from qtemplates.sources.io import DEFAULT_PREFIXES
 
@@ -112,6 +112,41 @@ def _span(b, e, kind, v, num=None) -> Column:
                     (F.lit(None) if num is None else num).cast("int").alias("num"))
 
 
+#: Characters of a block of a text.
+_BLOCK = 4096
+
+
+def _blocks(text: Column) -> Column:
+    """A text in blocks, so that a cut does not count its characters from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, b: Column, e: Column) -> Column:
+    """Characters b..e-1 of a text given in blocks."""
+    first = F.floor(b / _BLOCK).cast("int")
+    part = F.array_join(F.slice(blocks, first + 1, F.floor(e / _BLOCK).cast("int") - first + 1), "")
+    return F.substr(part, (b - first * _BLOCK + 1).cast("int"), (e - b).cast("int"))
+
+
+def blocked_fold(arr: Column, init: Column, step, out_type: str) -> Column:
+    """What ``step(state, x)`` -> (state, array of out) emits over an array.
+    Appending copies what is there, so each block of about the square root of
+    the size collects its own and the blocks are joined at the end."""
+    def fold(acc, x):
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc, part):
+        own = F.aggregate(part, F.struct(acc["state"].alias("state"), F.array().cast(out_type).alias("out")), fold)
+        return let(own, lambda o: F.struct(o["state"].alias("state"), F.concat(acc["outs"], F.array(o["out"])).alias("outs")))
+
+    def blocked(x):
+        width = F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), F.size(x), width), lambda i: F.slice(x, i, width))
+        return F.flatten(F.aggregate(parts, F.struct(init.alias("state"), F.array().cast(f"array<{out_type}>").alias("outs")), block, lambda acc: acc["outs"]))
+    return let(arr, lambda x: F.when(F.size(x) == 0, F.array().cast(out_type)).otherwise(blocked(x)))
+
+
 def _by_start(arr: Column) -> Column:
     """Spans by start; those with one start stay in the given order."""
     keyed = F.transform(arr, lambda x, i: F.struct(x["b"].alias("b"), i.alias("i"), x.alias("x")))
@@ -135,10 +170,10 @@ def _by_head(tokens: Column) -> Column:
 
 def ec_spans(q: Column, tokens: Column, chunks: Column, pe: Column, profile: str = "mapping") -> Column:
     """Entity spans (char offsets) in text order, before splicing."""
-    return let(_Doc.context(tokens, pe), lambda ctx: _ec_spans(q, tokens, chunks, ctx, profile))
+    return let(_Doc.context(tokens, pe), lambda ctx: let(_blocks(q), lambda text: _ec_spans(text, tokens, chunks, ctx, profile)))
 
 
-def _ec_spans(q: Column, tokens: Column, chunks: Column, ctx: Column, profile: str) -> Column:
+def _ec_spans(text: Column, tokens: Column, chunks: Column, ctx: Column, profile: str) -> Column:
     reject, _ = _profile_lists(profile)
     d = _Doc(tokens, ctx)
     pe = d.pe
@@ -163,7 +198,7 @@ def _ec_spans(q: Column, tokens: Column, chunks: Column, ctx: Column, profile: s
 
     def offsets(c):
         b, ee = d.tok(c["s2"])["idx"], d.end(d.tok(c["e"] - 1))
-        txt = F.substr(q, b + 1, ee - b)
+        txt = _cut(text, b, ee)
         return F.struct(c["s"].alias("s"), c["e"].alias("e"), c["s2"].alias("s2"), b.alias("b"), ee.alias("ee"),
                         txt.alias("txt"), py_strip(txt).alias("stxt"))
 
@@ -190,23 +225,24 @@ def _ec_spans(q: Column, tokens: Column, chunks: Column, ctx: Column, profile: s
     return _by_start(F.concat(c7, cs, c9))
 
 
-def pc_islands(tokens: Column) -> Column:
-    """P1 + P2: predicate spans as token ranges [s, e] (inclusive).
+def pc_islands(tokens: Column, tags: Column | None = None) -> Column:
+    """P1 + P2: predicate spans as token ranges [s, e] (inclusive); ``tags``,
+    if known, are the tokens' letters.
 
     An island is a maximal run of PART|VERB.  Followed by ADJ/ADV+ then ADP,
     or directly by ADP, the span runs through the ADP; otherwise it ends at
     the island's last VERB (none -> no span).  One span per island."""
-    spans = tag_spans(tokens, "(?<![VP])(?:[VP]++[JR]*+A|[VP]*V)")
+    spans = tag_spans(tags_of(tokens) if tags is None else tags, "(?<![VP])(?:[VP]++[JR]*+A|[VP]*V)")
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (x["e"] - 1).cast("int").alias("e")))
 
 
-def pc_spans(q: Column, tokens: Column, pe: Column, profile: str = "mapping") -> Column:
+def pc_spans(q: Column, tokens: Column, pe: Column, profile: str = "mapping", tags: Column | None = None) -> Column:
     """Checked predicate spans numbered in text order, plus their
     auxiliaries (kind 0, same number), sorted by start."""
-    return let(_Doc.context(tokens, pe), lambda ctx: _pc_spans(q, tokens, ctx, profile))
+    return let(_Doc.context(tokens, pe), lambda ctx: let(_blocks(q), lambda text: _pc_spans(text, tokens, ctx, profile, tags)))
 
 
-def _pc_spans(q: Column, tokens: Column, ctx: Column, profile: str) -> Column:
+def _pc_spans(text: Column, tokens: Column, ctx: Column, profile: str, tags: Column | None) -> Column:
     _, reject = _profile_lists(profile)
     d = _Doc(tokens, ctx)
     pe = d.pe
@@ -214,7 +250,7 @@ def _pc_spans(q: Column, tokens: Column, ctx: Column, profile: str) -> Column:
     def locate(sp, by_head):
         s, e = sp["s"], sp["e"]
         b, ee = d.tok(s)["idx"], d.end(d.tok(e))
-        txt = F.substr(q, b + 1, ee - b)
+        txt = _cut(text, b, ee)
         lo = F.get(by_head["lo"], s)
         own = F.filter(F.slice(by_head["aux"], lo + 1, F.get(by_head["lo"], e + 1) - lo), lambda a: (a["i"] < s) | (a["i"] > e))
         aux = F.array_max(F.transform(own, lambda a: F.struct(a["i"].alias("i"), a["t"].alias("t"))))["t"]
@@ -229,7 +265,7 @@ def _pc_spans(q: Column, tokens: Column, ctx: Column, profile: str) -> Column:
                         F.when(aux_ok, aux["idx"]).alias("ab"),
                         F.when(aux_ok, d.end(aux)).alias("ae"))
 
-    located = let(_by_head(tokens), lambda by_head: F.transform(pc_islands(tokens), lambda sp: locate(sp, by_head)))
+    located = let(_by_head(tokens), lambda by_head: F.transform(pc_islands(tokens, tags), lambda sp: locate(sp, by_head)))
     mains = F.filter(F.transform(located, main), lambda x: x["b"].isNotNull())
 
     def spans(numbered):
@@ -248,17 +284,15 @@ def splice(q: Column, spans: Column, prefix: str, renumber: bool) -> Column:
     kind 2 = two markers (``the``/``thing``), kind 0 = marker without a map entry."""
     # the fold only decides which spans stay and their numbers; the text is
     # put together from the pieces between them afterwards
-    init = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("num"), F.array().cast(_PLACED_TYPE).alias("kept"))
+    init = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("num"))
 
     def step(acc, s):
-        num = acc["num"] if renumber else s["num"]
         skip = s["b"] < acc["pos"]
-        return F.struct(
-            F.when(skip, acc["pos"]).otherwise(s["e"]).alias("pos"),
-            F.when(skip, acc["num"]).otherwise(acc["num"] + F.greatest(s["kind"], F.lit(1))).alias("num"),
-            F.when(skip, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(F.struct(
-                acc["pos"].alias("from"), s["b"].alias("b"), s["e"].alias("e"), s["kind"].alias("kind"),
-                num.cast("int").alias("num"), s["v"].alias("v"))))).alias("kept"))
+        state = F.struct(F.when(skip, acc["pos"]).otherwise(s["e"]).alias("pos"),
+                         F.when(skip, acc["num"]).otherwise(acc["num"] + F.greatest(s["kind"], F.lit(1))).alias("num"))
+        return state, F.when(skip, F.array().cast(_PLACED_TYPE)).otherwise(F.array(F.struct(
+            acc["pos"].alias("from"), s["b"].alias("b"), s["e"].alias("e"), s["kind"].alias("kind"),
+            (acc["num"] if renumber else s["num"]).cast("int").alias("num"), s["v"].alias("v"))))
 
     def marked(x):
         k1 = F.concat(F.lit(prefix), x["num"].cast("string"))
@@ -269,15 +303,15 @@ def splice(q: Column, spans: Column, prefix: str, renumber: bool) -> Column:
                     .otherwise(F.array().cast(ENTRY_TYPE)))
         return F.struct(x.alias("x"), F.when(x["kind"] == 2, F.concat(k1, F.lit(" "), k2)).otherwise(k1).alias("marker"), entries.alias("ent"))
 
-    def finish(r):
-        kept = F.transform(r["m"], lambda y: F.struct(
+    def finish(m, text):
+        kept = F.transform(m, lambda y: F.struct(
             y["x"]["b"].alias("b"), y["x"]["e"].alias("e"), y["x"]["kind"].alias("kind"), y["x"]["num"].alias("num"), y["marker"].alias("marker")))
-        pieces = F.transform(r["m"], lambda y: F.concat(F.substr(q, y["x"]["from"] + 1, y["x"]["b"] - y["x"]["from"]), y["marker"]))
-        rest = F.substr(q, r["pos"] + 1, F.greatest(F.length(q) - r["pos"], F.lit(0)))
-        return F.struct(F.concat(F.array_join(pieces, ""), rest).alias("text"),
-                        F.map_from_entries(F.flatten(F.transform(r["m"], lambda y: y["ent"]))).alias("map"), kept.alias("kept"))
-    folded = F.aggregate(spans, init, step, lambda acc: F.struct(acc["pos"].alias("pos"), F.transform(acc["kept"], marked).alias("m")))
-    return let(folded, finish)
+        pieces = F.transform(m, lambda y: F.concat(_cut(text, y["x"]["from"], y["x"]["b"]), y["marker"]))
+        end = F.when(F.size(m) > 0, F.get(m, F.size(m) - 1)["x"]["e"]).otherwise(0)
+        return F.struct(F.concat(F.array_join(pieces, ""), F.substr(q, end + 1)).alias("text"),
+                        F.map_from_entries(F.flatten(F.transform(m, lambda y: y["ent"]))).alias("map"), kept.alias("kept"))
+    placed = F.transform(blocked_fold(spans, init, step, _PLACED_TYPE), marked)
+    return let(placed, lambda m: let(_blocks(q), lambda text: finish(m, text)))
 
 
 def collapse_spans(tokens: Column, kept: Column) -> Column:
@@ -289,11 +323,10 @@ def collapse_spans(tokens: Column, kept: Column) -> Column:
     Worth it with a caller-supplied annotator (saves the second Python pass);
     with the default lexicon tagger re-tagging is cheaper (measured at sf0.1:
     27 s re-tagged vs 31 s collapsed), so ``reannotate=True`` is the default."""
-    init = F.struct(F.array().cast(_WORK_TOKEN).alias("out"), F.array().cast("array<int>").alias("nidx"),
-                    F.lit(1).alias("k"), F.lit(0).alias("shift"))
+    init = F.struct(F.lit(0).alias("n"), F.lit(1).alias("k"), F.lit(0).alias("shift"))
 
     def step(acc, t):
-        n_out = F.size(acc["out"])
+        # state: tokens so far, the span at hand (from 1), the shift of offsets
         cur = F.try_element_at(kept, acc["k"])
         k = F.when(cur.isNotNull() & (cur["e"] <= t["idx"]), acc["k"] + 1).otherwise(acc["k"])
         sp = F.try_element_at(kept, k)
@@ -307,31 +340,32 @@ def collapse_spans(tokens: Column, kept: Column) -> Column:
                             F.lit(pos).alias("pos") if isinstance(pos, str) else pos.alias("pos"),
                             F.lit(dep).alias("dep") if isinstance(dep, str) else dep.alias("dep"),
                             h0.cast("int").alias("h0"))
-        at = sp["b"] + acc["shift"]
+        n, at, width = acc["n"], sp["b"] + acc["shift"], F.when(sp["kind"] == 2, 2).otherwise(1)
         marks = F.when(sp["kind"] == 2, F.array(
-            tok(n_out, at, m1, "PROPN", "", F.lit(-1)),
-            tok(n_out + 1, at + F.length(m1) + 1, m2, "PROPN", "", F.lit(-1)))) \
-            .otherwise(F.array(tok(n_out, at, m1, "PROPN", "", F.lit(-1))))
-        plain = F.array(tok(n_out, t["idx"] + acc["shift"], t["text"], t["pos"], t["dep"], t["head"]))
-        width = F.when(sp["kind"] == 2, 2).otherwise(1)
-        out = F.when(start, F.concat(acc["out"], marks)).when(inside, acc["out"]).otherwise(F.concat(acc["out"], plain))
-        new_i = F.when(start, n_out).when(inside, n_out - width).otherwise(n_out)
-        shift = F.when(start, acc["shift"] + F.length(sp["marker"]) - (sp["e"] - sp["b"])).otherwise(acc["shift"])
-        return F.struct(out.alias("out"), F.concat(acc["nidx"], F.array(new_i.cast("int"))).alias("nidx"),
-                        k.alias("k"), shift.cast("int").alias("shift"))
-
-    def finish(acc):
-        return F.transform(acc["out"], lambda t: F.struct(
-            t["i"].alias("i"), t["idx"].alias("idx"), t["text"].alias("text"), t["pos"].alias("pos"),
-            t["dep"].alias("dep"),
-            F.when(t["h0"] < 0, t["i"]).otherwise(F.coalesce(F.get(acc["nidx"], t["h0"]), t["i"])).cast("int").alias("head")))
-    return F.aggregate(tokens, init, step, finish)
-
-
-def _annotated(df: DataFrame, text_col: str, tok: str, ch: str, annotator) -> DataFrame:
+            tok(n, at, m1, "PROPN", "", F.lit(-1)),
+            tok(n + 1, at + F.length(m1) + 1, m2, "PROPN", "", F.lit(-1)))) \
+            .otherwise(F.array(tok(n, at, m1, "PROPN", "", F.lit(-1))))
+        plain = F.array(tok(n, t["idx"] + acc["shift"], t["text"], t["pos"], t["dep"], t["head"]))
+        out = F.when(start, marks).when(inside, F.array().cast(_WORK_TOKEN)).otherwise(plain)
+        new_i = F.when(start | ~inside, n).otherwise(n - width)
+        state = F.struct(F.when(start, n + width).when(inside, n).otherwise(n + 1).cast("int").alias("n"), k.alias("k"),
+                         F.when(start, acc["shift"] + F.length(sp["marker"]) - (sp["e"] - sp["b"])).otherwise(acc["shift"]).cast("int").alias("shift"))
+        return state, F.array(F.struct(out.alias("out"), new_i.cast("int").alias("at")))
+
+    def finish(moved):
+        at = F.transform(moved, lambda x: x["at"])
+        out = F.flatten(F.transform(moved, lambda x: x["out"]))
+        return let(at, lambda nidx: F.transform(out, lambda t: F.struct(
+            t["i"].alias("i"), t["idx"].alias("idx"), t["text"].alias("text"), t["pos"].alias("pos"), t["dep"].alias("dep"),
+            F.when(t["h0"] < 0, t["i"]).otherwise(F.coalesce(F.get(nidx, t["h0"]), t["i"])).cast("int").alias("head"))))
+    return let(blocked_fold(tokens, init, step, f"array<struct<out:{_WORK_TOKEN},at:int>>"), finish)
+
+
+def _annotated(df: DataFrame, text_col: str, tok: str, ch: str, tags: str, annotator) -> DataFrame:
     if annotator is None:
-        return lexicon_annotate(df, text_col, tok, ch)
-    return annotator(df, text_col, tok, ch)
+        return lexicon_annotate(df, text_col, tok, ch, tags)
+    out = annotator(df, text_col, tok, ch)
+    return out.withColumn(tags, tags_of(F.col(tok)))
 
 
 def extract_template_with_mapping(df: DataFrame, q_col: str = "research_question", profile: str = "mapping",
@@ -345,19 +379,19 @@ def extract_template_with_mapping(df: DataFrame, q_col: str = "research_question
     spans collapsed into marker tokens (``collapse_spans``)."""
     prefixes = list(prefixes) if prefixes is not None else list(DEFAULT_PREFIXES)
     x = df.withColumn("_q", py_strip(q_col))
-    x = _annotated(x, "_q", "_t1", "_c1", annotator)
+    x = _annotated(x, "_q", "_t1", "_c1", "_g1", annotator)
     x = x.withColumn("_ec", splice(F.col("_q"), ec_spans(F.col("_q"), F.col("_t1"), F.col("_c1"),
                                                            prefix_end(F.col("_q"), prefixes, stripped=True), profile), "EC", True))
     x = x.withColumn("_q2", F.col("_ec.text"))
     if reannotate:
-        x = _annotated(x, "_q2", "_t2", "_c2", annotator)
+        x = _annotated(x, "_q2", "_t2", "_c2", "_g2", annotator)
     else:   # derive the second annotation from the first (no second tagging pass)
-        x = x.withColumn("_t2", collapse_spans(F.col("_t1"), F.col("_ec.kept"))).withColumn("_c2", F.lit(None))
+        x = x.withColumn("_t2", collapse_spans(F.col("_t1"), F.col("_ec.kept"))).withColumn("_c2", F.lit(None)).withColumn("_g2", tags_of(F.col("_t2")))
     x = x.withColumn("_pc", splice(F.col("_q2"), pc_spans(F.col("_q2"), F.col("_t2"),
-                                                            prefix_end(F.col("_q2"), prefixes, stripped=True), profile), "PC", False))
+                                                            prefix_end(F.col("_q2"), prefixes, stripped=True), profile, F.col("_g2")), "PC", False))
     x = x.withColumn("templated_question", F.col("_pc.text")) \
          .withColumn("mapping", F.map_concat(F.col("_ec.map"), F.col("_pc.map")))
-    return x.drop("_q", "_t1", "_c1", "_ec", "_q2", "_t2", "_c2", "_pc")
+    return x.drop("_q", "_t1", "_c1", "_g1", "_ec", "_q2", "_t2", "_c2", "_g2", "_pc")
 
 
 def extract_template(df: DataFrame, q_col: str = "research_question", prefixes=None, annotator=None,

@@ -896,12 +896,12 @@ def q_abstracts_from_pages(spark, sf):
     return H.abstracts_from_pages(p, "article", None, "nav", None, H.site_base("url"), inner="li")
 
 
-@query("extract_template_collapsed")
+@query("extract_template_collapsed", sql=ORACLE["extract_template_with_mapping"])
 def q_extract_collapsed(spark, sf):
-    """T2 with the predicate pass reading the collapsed first annotation."""
+    """T2 with the predicate pass reading the collapsed first annotation; with
+    the lexicon tagger that gives what tagging again gives."""
     e = _questions(spark, sf).withColumnRenamed("q", "research_question")
-    return CH.extract_template_with_mapping(e, reannotate=False).select(
-        "doc_id", "line_no", "templated_question", "mapping")
+    return CH.extract_template_with_mapping(e, reannotate=False).select("doc_id", "line_no", "templated_question", _map_text().alias("mapping"))
 
 
 # ---------------------------------------------------------------- the rest of the seams: S6, S8, S13, K7, Q2, F3, G7

@@ -205,3 +205,54 @@ def test_collapse_offsets_and_heads(spark):
         assert r.t[tok.idx:tok.idx + len(tok.text)] == tok.text
         if tok.dep == "aux":
             assert r.c[tok.head].pos == "VERB"
+
+
+def _plain_tags(words):
+    """The lexicon rules token by token."""
+    lists = [(A.DET, "DET"), (A.ADP, "ADP"), (A.PART, "PART"), (A.AUX, "AUX"), (A.PRON, "PRON"), (A.CCONJ, "CCONJ"), (A.SCONJ, "SCONJ")]
+    first = []
+    for t in words:
+        w = t.lower()
+        own = next((tag for words_, tag in lists if w in words_), None)
+        if not any(c.isalnum() for c in t):
+            tag = "PUNCT"
+        elif re.fullmatch("(EC|PC)[0-9]+", t):
+            tag = "PROPN"
+        elif re.fullmatch("[0-9]+", t):
+            tag = "NUM"
+        elif own:
+            tag = own
+        elif w.endswith("ly"):
+            tag = "ADV"
+        elif w.endswith(("al", "ive", "ous", "able", "ible", "ful", "ic")):
+            tag = "ADJ"
+        elif w in A.VERB_WORDS or w.endswith(("ing", "ed", "ize", "ise")):
+            tag = "VERB"
+        else:
+            tag = "NOUN"
+        first.append(tag)
+    return ["NOUN" if x == "VERB" and t.lower() in A.VERB_WORDS and i and first[i - 1] in ("DET", "ADJ") else x
+            for i, (t, x) in enumerate(zip(words, first, strict=True))]
+
+
+def test_tags_in_one_string(spark):
+    qs = ["The use of EC1 EC2, EC EC12a Pc3 PC4", "x v V W A ly al ing The final use used 12 1a __ _", "to not improve; éclair Ally ISE ic", "", "?!", "EC1",
+          "N O EC9 J", "the compare EC3 compare", "\u0130stanbul \u03a3\u03a3 \U0001d400 use \U0001f600"]
+    rows = spark.createDataFrame([(q,) for q in qs], "q string").select("q", A.parsed(F.col("q")).alias("p")).collect()
+    for r in rows:
+        words = [t.text for t in r.p.tokens]
+        assert words == TOK.findall(r.q)
+        assert [t.pos for t in r.p.tokens] == _plain_tags(words)
+        assert r.p.tags == "".join(A.LETTERS[t.pos] for t in r.p.tokens)
+
+
+def test_very_long_line(spark):
+    """A line of 700,000 characters: the same template as its parts."""
+    part = "How does the parser improve accuracy of small models and predict speech quickly"
+    n = 9000
+    df = spark.createDataFrame([(part,), (" ".join([part] * n),)], "research_question string")
+    for again in (True, False):
+        short, long = (r.templated_question for r in CH.extract_template_with_mapping(df, prefixes=[], reannotate=again).collect())
+        each = len(re.findall("EC[0-9]+", short))
+        assert re.sub("[0-9]+", "", long) == " ".join([re.sub("[0-9]+", "", short)] * n)
+        assert [int(x) for x in re.findall("EC([0-9]+)", long)] == list(range(1, n * each + 1))
