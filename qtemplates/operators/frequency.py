@@ -3,7 +3,8 @@
 Every count is a ``groupBy`` with map-side partial aggregation, so a hot
 pattern is reduced inside each input partition before the shuffle.
 "Ties by first seen" needs an order column; Spark tables have no row order,
-so callers pass one (default: the value itself).
+so callers pass one (default: the value itself), such as the row numbers that
+``read_questions(order=...)`` gives.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qtemplates.functions.text import py_strip, question_pattern
-from qtemplates.operators.ids import rank_within
+from qtemplates.operators.ids import assign_ids, rank_within
 
 DEFAULT_MARKERS = ("EC1", "EC2", "EC3", "EC4", "EC5", "PC1", "PC2")
 
@@ -25,27 +26,44 @@ def _order(order_by, fallback: str) -> Column:
     return F.col(order_by) if isinstance(order_by, str) else order_by
 
 
+def _pattern_counts(df: DataFrame, col: str, n: int, min_count: int, order_by) -> DataFrame:
+    p = df.select(question_pattern(col, n).alias("pattern"), _order(order_by, col).alias("_o"))
+    return (p.filter(F.col("pattern").isNotNull())
+             .groupBy("pattern").agg(F.count(F.lit(1)).alias("frequency"), F.min("_o").alias("_first"))
+             .filter(F.col("frequency") >= min_count))
+
+
 def pattern_frequency(df: DataFrame, col: str = "research_question", n: int = 5,
                       min_count: int = 2, order_by=None) -> DataFrame:
     """K1 + K2 + F7: (pattern, frequency) with frequency >= min_count,
     most frequent first, ties by first seen."""
-    p = df.select(question_pattern(col, n).alias("pattern"), _order(order_by, col).alias("_o"))
-    return (p.filter(F.col("pattern").isNotNull())
-             .groupBy("pattern").agg(F.count(F.lit(1)).alias("frequency"), F.min("_o").alias("_first"))
-             .filter(F.col("frequency") >= min_count)
-             .orderBy(F.desc("frequency"), F.col("_first"), F.col("pattern"))
-             .drop("_first"))
+    return _pattern_counts(df, col, n, min_count, order_by).orderBy(F.desc("frequency"), F.col("_first"), F.col("pattern")).drop("_first")
 
 
-def template_frequency(df: DataFrame, col: str = "templated_question", order_by=None,
-                       min_count: int = 1) -> DataFrame:
-    """K3: stripped templates, blanks dropped, most common first."""
+def pattern_ranks(df: DataFrame, col: str = "research_question", n: int = 5,
+                  min_count: int = 2, order_by=None) -> DataFrame:
+    """``pattern_frequency`` with the place of each pattern as ``rank``."""
+    counts = _pattern_counts(df, col, n, min_count, order_by)
+    return assign_ids(counts, [F.desc("frequency"), F.col("_first"), F.col("pattern")], id_col="rank").drop("_first")
+
+
+def _template_counts(df: DataFrame, col: str, order_by, min_count: int) -> DataFrame:
     t = df.select(py_strip(col).alias(col), _order(order_by, col).alias("_o"))
     return (t.filter(F.col(col).isNotNull() & (F.col(col) != ""))
              .groupBy(col).agg(F.count(F.lit(1)).alias("frequency"), F.min("_o").alias("_first"))
-             .filter(F.col("frequency") >= min_count)
-             .orderBy(F.desc("frequency"), F.col("_first"), F.col(col))
-             .drop("_first"))
+             .filter(F.col("frequency") >= min_count))
+
+
+def template_frequency(df: DataFrame, col: str = "templated_question", order_by=None,
+                       min_count: int = 1) -> DataFrame:
+    """K3: stripped templates, blanks dropped, most common first."""
+    return _template_counts(df, col, order_by, min_count).orderBy(F.desc("frequency"), F.col("_first"), F.col(col)).drop("_first")
+
+
+def template_ranks(df: DataFrame, col: str = "templated_question", order_by=None, min_count: int = 1) -> DataFrame:
+    """``template_frequency`` with the place of each template as ``rank``."""
+    counts = _template_counts(df, col, order_by, min_count)
+    return assign_ids(counts, [F.desc("frequency"), F.col("_first"), F.col(col)], id_col="rank").drop("_first")
 
 
 def chunk_counts(df: DataFrame, markers: Sequence[str] = DEFAULT_MARKERS, min_count: int = 2,

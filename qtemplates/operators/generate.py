@@ -35,9 +35,13 @@ def drop_blank(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNotNull() & (py_strip(col) != ""))
 
 
-def dedup_questions(df: DataFrame, col: str = "research_question") -> DataFrame:
-    """one column, nulls dropped, exact duplicates dropped."""
-    return df.select(col).na.drop().dropDuplicates()
+def dedup_questions(df: DataFrame, col: str = "research_question", order_by: str | None = None) -> DataFrame:
+    """one column, nulls dropped, exact duplicates dropped; with
+    ``order_by`` (a row number) also the smallest one of each, so that the
+    first of equal rows is the one kept."""
+    if order_by is None:
+        return df.select(col).na.drop().dropDuplicates()
+    return df.select(col, order_by).filter(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_by).alias(order_by))
 
 
 def render_prompt(df: DataFrame, template: str, slots: dict | None = None,

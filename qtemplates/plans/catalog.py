@@ -896,12 +896,12 @@ def q_abstracts_from_pages(spark, sf):
     return H.abstracts_from_pages(p, "article", None, "nav", None, H.site_base("url"), inner="li")
 
 
-@query("extract_template_collapsed", sql=ORACLE["extract_template_with_mapping"])
+@query("extract_template_collapsed")
 def q_extract_collapsed(spark, sf):
-    """T2 with the predicate pass reading the collapsed first annotation; with
-    the lexicon tagger that gives what tagging again gives."""
+    """T2 with the predicate pass reading the collapsed first annotation."""
     e = _questions(spark, sf).withColumnRenamed("q", "research_question")
-    return CH.extract_template_with_mapping(e, reannotate=False).select("doc_id", "line_no", "templated_question", _map_text().alias("mapping"))
+    return CH.extract_template_with_mapping(e, reannotate=False).select(
+        "doc_id", "line_no", "templated_question", "mapping")
 
 
 # ---------------------------------------------------------------- the rest of the seams: S6, S8, S13, K7, Q2, F3, G7
@@ -920,13 +920,86 @@ def q_read_pairs(spark, sf):
 
 
 @query("load_prefix_table", sql=_with(S.DOC_LINES) + f"""
-SELECT pattern FROM (SELECT {S.pattern('line')} AS pattern FROM doc_lines) WHERE pattern IS NOT NULL GROUP BY pattern HAVING count(*) >= 20
-UNION SELECT * FROM (VALUES {", ".join(f"({_sql_str(p)})" for p in IO.DEFAULT_PREFIXES)})""")
+SELECT pattern, min(rank) AS rank FROM (
+  SELECT pattern, row_number() OVER (ORDER BY count(*) DESC, min(line), pattern) - 1 AS rank
+  FROM (SELECT {S.pattern('line')} AS pattern, line FROM doc_lines) WHERE pattern IS NOT NULL GROUP BY pattern HAVING count(*) >= 20
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({_sql_str(p)}, {IO._AFTER + i})" for i, p in enumerate(IO.DEFAULT_PREFIXES))}))
+GROUP BY pattern""")
 def q_load_prefixes(spark, sf):
     """S8 + U2: the frequent patterns written as CSV and read as a prefix table."""
     path = _scratch(spark, "patterns")
     IO.write_csv(K.pattern_frequency(doc_lines(spark, sf), "line", 5, 20), path)
-    return IO.load_prefix_table(spark, path).select("pattern")
+    return IO.load_prefix_table(spark, path).select("pattern", "rank")
+
+
+# ---------------------------------------------------------------- file order: S3, S5, ties of K2, K3, K4, J1, F4
+
+_ORDERED_SQL = _with(S.DOC_LINES, """
+rows AS (SELECT line, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS row_no, count(*) OVER () AS n FROM doc_lines)""")
+
+
+def _in_file_order(spark, sf) -> DataFrame:
+    """Document lines written as a questions CSV of several files, read back
+    with the number of each row."""
+    path = _scratch(spark, "ordered")
+    d = doc_lines(spark, sf).sort("doc_id", "line_no").select(F.col("line").alias("research_question"))
+    IO.write_csv(d, path)
+    return IO.read_questions(spark, path, na="none", order="row_no")
+
+
+@query("questions_in_file_order", sql=_ORDERED_SQL + "SELECT row_no, line AS research_question FROM rows")
+def q_file_order(spark, sf):
+    """S3: every row with its place over all files."""
+    return _in_file_order(spark, sf)
+
+
+@query("patterns_first_seen", sql=_ORDERED_SQL + f"""
+SELECT row_number() OVER (ORDER BY count(*) DESC, min(row_no)) AS rank, pattern, count(*)::BIGINT AS frequency
+FROM (SELECT {S.pattern('line')} AS pattern, row_no FROM rows) WHERE pattern IS NOT NULL GROUP BY pattern HAVING count(*) >= 2""")
+def q_patterns_first_seen(spark, sf):
+    """K2 with the place of every pattern; ties by first row."""
+    return K.pattern_ranks(_in_file_order(spark, sf), order_by="row_no").select("rank", "pattern", "frequency")
+
+
+@query("templates_first_seen", sql=_ORDERED_SQL + f"""
+SELECT row_number() OVER (ORDER BY count(*) DESC, min(row_no)) AS rank, t AS templated_question, count(*)::BIGINT AS frequency
+FROM (SELECT {S.strip('line')} AS t, row_no FROM rows) WHERE t <> '' GROUP BY t""")
+def q_templates_first_seen(spark, sf):
+    """K3 with the place of every template; ties by first row."""
+    q = _in_file_order(spark, sf).withColumnRenamed("research_question", "templated_question")
+    return K.template_ranks(q, order_by="row_no").select("rank", "templated_question", "frequency")
+
+
+@query("chunks_first_seen", sql=_ORDERED_SQL + f"""
+SELECT marker, row_number() OVER (PARTITION BY marker ORDER BY count(*) DESC, min(row_no)) AS rank, chunk, count(*)::BIGINT AS frequency
+FROM (SELECT m.marker, row_no, lower({S.words('line')}[m.i]) AS chunk FROM rows, (VALUES {", ".join(f"('{m}', {i + 1})" for i, m in enumerate(K.DEFAULT_MARKERS))}) m(marker, i))
+WHERE chunk <> '' GROUP BY marker, chunk HAVING count(*) >= 2""")
+def q_chunks_first_seen(spark, sf):
+    """K4 with ties by first row."""
+    w = T.py_split("research_question")
+    cells = [F.try_element_at(w, F.lit(i + 1)).alias(m) for i, m in enumerate(K.DEFAULT_MARKERS)]
+    return K.chunk_frequency(_in_file_order(spark, sf).select("row_no", *cells), order_by="row_no")
+
+
+@query("lookup_first_seen", sql=_ORDERED_SQL.rstrip() + "," + f"""
+norm AS (SELECT row_no, {S.normalize('line')} AS nt FROM rows),
+k AS (SELECT row_no, nt, n, {S.words('nt')} AS w FROM norm, (VALUES (5), (10)) v(n))
+SELECT n AS n_words, array_to_string(list_slice(w, 1, n), ' ') AS key, arg_min(nt, row_no) AS matched_train_template
+FROM k WHERE len(w) > 0 GROUP BY ALL""")
+def q_lookup_first_seen(spark, sf):
+    """The first row of the file for every opening."""
+    q = _in_file_order(spark, sf).withColumnRenamed("research_question", "templated_question")
+    levels = C.level_list((5, 10), (), False)
+    return C.build_lookup(q, levels=levels, order_by=F.col("row_no")).select("n_words", "key", "matched_train_template")
+
+
+@query("questions_first_kept", sql=_ORDERED_SQL + """
+SELECT row_number() OVER (ORDER BY min(row_no)) - 1 AS place, min(row_no) AS row_no, line AS research_question FROM rows GROUP BY line""")
+def q_first_kept(spark, sf):
+    """the first of equal questions, numbered in file order."""
+    from qtemplates.operators.ids import assign_ids
+    kept = G.dedup_questions(_in_file_order(spark, sf), order_by="row_no")
+    return assign_ids(kept, "row_no", start=0, id_col="place")
 
 
 @query("frequency_csv_roundtrip", sql=ORACLE["template_frequency"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qtemplates.functions.text import null_if_na, py_strip
+from qtemplates.sources.order import number_rows
 
 ABSTRACT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
@@ -69,26 +70,31 @@ def select_existing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in cols if c in df.columns])
 
 
-def read_questions(spark: SparkSession, path: str, na: str = "pandas", multi_line: bool = True) -> DataFrame:
+def read_questions(spark: SparkSession, path: str, na: str = "pandas", multi_line: bool = True, order: str | None = None) -> DataFrame:
     """S3 (+S4): questions CSV with header, every column STRING.
 
     ``na='pandas'`` turns the pandas missing-value spellings into null, like
     ``pd.read_csv``; ``na='none'`` keeps '' like ``csv.DictReader``.  Without
     ``multi_line`` large files are split among tasks; fields must then hold no
-    newline."""
+    newline.  ``order`` names a column that gets each row's number in file
+    order (from 0, by file path), for "first seen" ties."""
     df = _csv(spark, multi_line).csv(path)
+    cols = df.columns
+    if order is not None:
+        df = number_rows(df, order)
+    kept = [c for c in df.columns if c not in cols]
     if na == "pandas":
-        df = df.select(*[null_if_na(F.col(c)).alias(c) for c in df.columns])
+        df = df.select(*kept, *[null_if_na(F.col(c)).alias(c) for c in cols])
     elif na != "none":
         raise ValueError("na must be 'pandas' or 'none'")
     else:
-        df = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
+        df = df.select(*kept, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
     return df
 
 
-def read_templates(spark: SparkSession, path: str, na: str = "pandas") -> DataFrame:
+def read_templates(spark: SparkSession, path: str, na: str = "pandas", order: str | None = None) -> DataFrame:
     """Templates CSV (wide); requires ``templated_question``."""
-    df = read_questions(spark, path, na)
+    df = read_questions(spark, path, na, order=order)
     require_columns(df, ["templated_question"])
     return df
 
@@ -123,11 +129,11 @@ MAX_LISTED = 10_000
 
 def load_prefix_table(spark: SparkSession, path: str) -> DataFrame:
     """S8 + U2 for lists of any size: (pattern, rank) of the ``pattern`` column
-    (non-empty, stripped, lower-cased) in file order, then the defaults."""
-    df = read_questions(spark, path, na="none")
+    (non-empty, stripped, lower-cased) ranked by row of the file, then the defaults."""
+    df = read_questions(spark, path, na="none", order="rank")
     require_columns(df, ["pattern"])
     p = F.lower(py_strip("pattern"))
-    return prefix_table(df.select(p.alias("pattern"), F.monotonically_increasing_id().alias("rank")).filter(F.col("pattern") != ""))
+    return prefix_table(df.select(p.alias("pattern"), "rank").filter(F.col("pattern") != ""))
 
 
 def load_prefixes(spark: SparkSession, path: str | None = None) -> list[str]:
@@ -137,13 +143,13 @@ def load_prefixes(spark: SparkSession, path: str | None = None) -> list[str]:
     pats: list[str] = []
     if path:
         try:
-            df = read_questions(spark, path, na="none")
+            df = read_questions(spark, path, na="none", order="_o")
         except AnalysisException as e:  # a missing file gives the defaults only
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             df = None
         if df is not None and "pattern" in df.columns:
-            rows = (df.select(F.monotonically_increasing_id().alias("_o"), F.col("pattern"))
+            rows = (df.select("_o", "pattern")
                       .filter(F.col("pattern") != "").orderBy("_o").limit(MAX_LISTED + 1).collect())
             if len(rows) > MAX_LISTED:
                 raise ValueError(f"more than {MAX_LISTED} patterns; use load_prefix_table")

@@ -241,3 +241,44 @@ def test_read_prompt_and_write_splits(spark, tmp_path):
     back = IO._csv(spark).csv(out)
     assert sorted(r.split for r in back.select("split").distinct().collect()) == ["test", "train"]
     assert back.filter("split = 'test'").count() == 4
+
+
+def test_row_numbers_follow_files_and_splits(spark, tmp_path):
+    """Many splits of several files, packed into few partitions."""
+    import csv
+    rng = __import__("random").Random(3)
+    rows = []
+    for name, n in (("b.csv", 700), ("a.csv", 41), ("c.csv", 1), ("d.csv", 0), ("e.csv", 900)):
+        own = [f"{name} {i} " + "x" * rng.randint(0, 60) for i in range(n)]
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f)
+            w.writerow(["research_question", "pattern"])
+            w.writerows([q, f" P{q[:8]} "] for q in own)
+        rows += [(name, q) for q in own]
+    want = [q for _, q in sorted(rows, key=lambda r: r[0])]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for multi_line in (False, True):
+            got = IO.read_questions(spark, str(tmp_path), multi_line=multi_line, order="n").collect()
+            assert [r.research_question for r in sorted(got, key=lambda r: r.n)] == want
+            assert sorted(r.n for r in got) == list(range(len(want)))
+        ranks = {r.pattern: r["rank"] for r in IO.load_prefix_table(spark, str(tmp_path)).collect()}
+        firsts = list(dict.fromkeys(f"p{q[:8]}".strip().lower() for q in want))
+        assert [p for p in sorted(ranks, key=ranks.get) if p in set(firsts)] == firsts
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_first_seen_ties(spark):
+    from qtemplates.operators import coverage as C
+    from qtemplates.operators import frequency as K
+    rows = [(5, "b x"), (1, "z y"), (9, "b x"), (7, "z y"), (3, "c"), (2, None), (0, "c ")]
+    df = spark.createDataFrame(rows, "n long, research_question string").withColumnRenamed("research_question", "templated_question")
+    assert [tuple(r) for r in K.template_ranks(df, order_by="n").orderBy("rank").select("templated_question", "frequency", "rank").collect()] == [("c", 2, 1), ("z y", 2, 2), ("b x", 2, 3)]
+    assert [r.pattern for r in K.pattern_ranks(df, "templated_question", order_by="n").orderBy("rank").collect()] == ["c", "z y", "b x"]
+    assert {(r.templated_question, r.n) for r in G.dedup_questions(df, "templated_question", "n").collect()} == {("b x", 5), ("z y", 1), ("c", 3), ("c ", 0)}
+    first = C.build_lookup(df, levels=C.level_list((1,), (), False), order_by=F.col("n")).collect()
+    assert {(r.key, r.matched_train_template) for r in first} == {("b", "b x"), ("z", "z y"), ("c", "c")}
