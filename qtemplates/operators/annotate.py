@@ -92,8 +92,13 @@ def tag_string(words: Column) -> Column:
     s = F.regexp_replace(s, " (?= )", " " + LETTERS["PROPN"])
     for pattern, letter in _rules():
         s = F.regexp_replace(s, f" {pattern}(?= )", f" {letter}")
-    s = F.regexp_replace(F.translate(s, " ", ""), f"(?<=[DJ]){_LISTED_VERB}", LETTERS["NOUN"])
-    return F.when(F.size(words) == 0, "").otherwise(F.translate(s, _LISTED_VERB, LETTERS["VERB"]))
+    return F.when(F.size(words) == 0, "").otherwise(in_context(F.translate(s, " ", "")))
+
+
+def in_context(letters: Column) -> Column:
+    """Tags from letters that each stand for a token alone: a word of the verb
+    list directly after a determiner or adjective is a noun."""
+    return F.translate(F.regexp_replace(letters, f"(?<=[DJ]){_LISTED_VERB}", LETTERS["NOUN"]), _LISTED_VERB, LETTERS["VERB"])
 
 
 def parsed(text: Column) -> Column:
@@ -106,13 +111,16 @@ def parsed(text: Column) -> Column:
         ends = prefix_sums(F.zip_with(F.slice(r["g"], 1, F.size(r["t"])), r["t"], lambda g, t: F.length(g) + F.length(t)))
         return F.struct(r["t"].alias("t"), ends.alias("ends"), tag_string(r["t"]).alias("tags"))
 
-    def letters(r):
-        return F.struct(r["t"].alias("t"), r["ends"].alias("ends"), r["tags"].alias("tags"), F.split(r["tags"], "").alias("c"))
+    return let(let(raw, tagged), lambda r: structured(r["t"], r["ends"], r["tags"]))
+
 
-    def headed(r):
-        verb = lambda i: F.get(r["c"], i) == LETTERS["VERB"]
-        heads = F.transform(r["c"], lambda x, i: F.when(x.isin(LETTERS["AUX"], LETTERS["PART"]), F.when(verb(i + 1), i + 1).when(verb(i + 2), i + 2).when(verb(i + 3), i + 3)))
-        return F.struct(r["t"].alias("t"), r["ends"].alias("ends"), r["tags"].alias("tags"), r["c"].alias("c"), heads.alias("heads"))
+def structured(words: Column, ends: Column, tags: Column) -> Column:
+    """Struct of ``tokens`` (D11) and ``tags`` from a text's tokens, the
+    offsets behind them and their letters."""
+    def headed(c):
+        verb = lambda i: F.get(c, i) == LETTERS["VERB"]
+        heads = F.transform(c, lambda x, i: F.when(x.isin(LETTERS["AUX"], LETTERS["PART"]), F.when(verb(i + 1), i + 1).when(verb(i + 2), i + 2).when(verb(i + 3), i + 3)))
+        return F.struct(c.alias("c"), heads.alias("heads"))
 
     by_letter = {c: tag for tag, c in LETTERS.items()}
     names = F.split(F.lit(",".join(by_letter.get(chr(65 + k), "") for k in range(26))), ",")
@@ -120,11 +128,11 @@ def parsed(text: Column) -> Column:
     def build(r):
         def token(t, i):
             head = F.get(r["heads"], i)
-            return F.struct(i.cast("int").alias("i"), (F.get(r["ends"], i) - F.length(t)).cast("int").alias("idx"), t.alias("text"),
+            return F.struct(i.cast("int").alias("i"), (F.get(ends, i) - F.length(t)).cast("int").alias("idx"), t.alias("text"),
                             F.get(names, F.ascii(F.get(r["c"], i)) - 65).alias("pos"),
                             F.when(head.isNotNull(), "aux").otherwise("").alias("dep"), F.coalesce(head, i).cast("int").alias("head"))
-        return F.struct(F.transform(r["t"], token).alias("tokens"), r["tags"].alias("tags"))
-    return let(let(let(let(raw, tagged), letters), headed), build)
+        return F.struct(F.transform(words, token).alias("tokens"), tags.alias("tags"))
+    return let(let(F.split(tags, ""), headed), build)
 
 
 def lexicon_tokens(text: Column) -> Column:

@@ -112,3 +112,16 @@ def top_k(df: DataFrame, k: int, order_by: Sequence | str = "frequency", descend
         order_by = [order_by]
     cols = [(F.desc(c) if descending else F.asc(c)) if isinstance(c, str) else c for c in order_by]
     return df.orderBy(*cols).limit(k)
+
+
+def chunk_frequency_of_maps(df: DataFrame, map_col: str = "mapping", min_count: int = 2, order_by=None) -> DataFrame:
+    """K4 over whole marker maps (T3, D4): (marker, rank, chunk, frequency) of
+    every marker found, also those beyond the wide columns.  Ranks go by range
+    partitions, so neither a hot marker nor many markers meet in one task."""
+    order = F.lit(0) if order_by is None else _order(order_by, map_col)
+    entries = df.select(order.alias("_o"), F.explode(map_col).alias("marker", "value"))
+    counts = (entries.select("marker", F.lower(py_strip("value")).alias("chunk"), "_o").filter(F.col("chunk") != "")
+              .groupBy("marker", "chunk").agg(F.count(F.lit(1)).alias("frequency"), F.min("_o").alias("_first"))
+              .filter(F.col("frequency") >= min_count))
+    ranked = rank_within(counts, "marker", [F.desc("frequency"), F.col("_first"), F.col("chunk")])
+    return ranked.select("marker", "rank", "chunk", "frequency")

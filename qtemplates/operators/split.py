@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qtemplates.operators.ids import assign_ids
+
 
 def _key(key) -> Column:
     return F.col(key) if isinstance(key, str) else key
@@ -35,9 +37,10 @@ def split_exact(df: DataFrame, key, test: float = 0.2, seed: int = 42,
 
     The cut point is found without a global sort: hex-prefix histograms
     (at most 65,536 small rows each) narrow the range until the bucket that
-    holds the cut is small, and only that bucket is sorted.  ``key`` must be
-    unique for the size to be exact: a cut that falls among rows of one key
-    raises ``ValueError``."""
+    holds the cut is small, and only that bucket is sorted.  Where the cut
+    falls among rows of one key, those rows alone are numbered by their other
+    columns and as many as are needed are test rows, so the size is exact
+    whatever the key."""
     k = F.coalesce(_key(key).cast("string"), F.lit(""))
     h = F.md5(F.concat(F.lit(f"{seed}:"), k))
     staged = df.withColumn("_h", h).withColumn("_k", k)
@@ -62,10 +65,15 @@ def split_exact(df: DataFrame, key, test: float = 0.2, seed: int = 42,
     cut = (staged.filter(F.col("_h").startswith(prefix))
                  .select("_h", "_k").orderBy("_h", "_k")
                  .offset(remaining - 1).limit(1).collect()[0])
-    # rows of the cut's own key beyond the wanted size cannot be told apart
-    upto = staged.filter((F.col("_h").startswith(prefix)) & ((F.col("_h") < F.lit(cut["_h"])) | ((F.col("_h") == F.lit(cut["_h"])) & (F.col("_k") <= F.lit(cut["_k"])))))
-    if upto.count() != remaining:
-        raise ValueError(f"key {cut['_k']!r} is repeated at the cut; add a unique column to the key")
-    is_test = (F.col("_h") < F.lit(cut["_h"])) | (
-        (F.col("_h") == F.lit(cut["_h"])) & (F.col("_k") <= F.lit(cut["_k"])))
-    return staged.withColumn(split_col, F.when(is_test, "test").otherwise("train")).drop("_h", "_k")
+    below = (F.col("_h") < F.lit(cut["_h"])) | ((F.col("_h") == F.lit(cut["_h"])) & (F.col("_k") < F.lit(cut["_k"])))
+    at = (F.col("_h") == F.lit(cut["_h"])) & (F.col("_k") == F.lit(cut["_k"]))
+    counts = staged.filter(F.col("_h").startswith(prefix)).agg(F.count(F.when(below, 1)).alias("below"), F.count(F.when(at, 1)).alias("at")).first()
+    wanted = remaining - counts["below"]
+    if wanted == counts["at"]:
+        return staged.withColumn(split_col, F.when(below | at, "test").otherwise("train")).drop("_h", "_k")
+    # the cut's own key is repeated: its rows in the order of their columns
+    rest = staged.filter(~at).withColumn(split_col, F.when(below, "test").otherwise("train")).drop("_h", "_k")
+    comparable = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    numbered = assign_ids(staged.filter(at).drop("_h", "_k"), [F.col(f"`{c}`") for c in comparable], start=1, id_col="_place")
+    own = numbered.withColumn(split_col, F.when(F.col("_place") <= wanted, "test").otherwise("train")).drop("_place")
+    return rest.unionByName(own)

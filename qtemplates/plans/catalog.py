@@ -904,6 +904,128 @@ def q_extract_collapsed(spark, sf):
         "doc_id", "line_no", "templated_question", "mapping")
 
 
+# ---------------------------------------------------------------- a lexicon table, all rules, and the whole chain
+
+from qtemplates.operators import lexicon as LX  # noqa: E402
+from qtemplates.session import cut_lineage  # noqa: E402
+
+_LEXICON_SQL = _TOKENS_SQL.replace(
+    "              WHEN regexp_matches(lower(text), 'ly$') THEN 'ADV'",
+    f"""              WHEN lower(text) IN (SELECT word FROM lexi) AND lower(text) NOT IN {_in(A.VERB_WORDS)}
+                THEN CASE length(lower(text)) % 3 WHEN 0 THEN 'VERB' WHEN 1 THEN 'ADJ' ELSE 'NOUN' END
+              WHEN regexp_matches(lower(text), 'ly$') THEN 'ADV'""")
+
+
+def _first_words(q: DataFrame) -> DataFrame:
+    """A lexicon as large as the data: the first word of every line, with a tag
+    by its length."""
+    word = F.lower(F.regexp_extract("q", r"[\p{L}\p{N}_]+", 0)).alias("word")
+    tag = F.element_at(F.array(F.lit("VERB"), F.lit("ADJ"), F.lit("NOUN")), (F.length("word") % 3 + 1).cast("int"))
+    return q.select(word).filter("word <> ''").distinct().select("word", tag.alias("pos"), F.lit(False).alias("noun_after"))
+
+
+@query("annotate_with_lexicon", sql=_with(S.DOC_LINES, _Q_SQL, """
+lexi AS (SELECT DISTINCT lower(regexp_extract(q, '[\\p{L}\\p{N}_]+')) AS word FROM all_q)""", _LEXICON_SQL) + """
+SELECT doc_id, line_no, CAST(i AS INTEGER) AS i, idx, text, pos,
+       CASE WHEN h IS NOT NULL THEN 'aux' ELSE '' END AS dep, CAST(coalesce(h, i) AS INTEGER) AS head
+FROM tokd""")
+def q_annotate_lexicon(spark, sf):
+    """A1 with a lexicon table: the default words before those of the data."""
+    e = _questions(spark, sf)
+    words = cut_lineage(LX.extend_lexicon(_first_words(e), LX.default_lexicon(spark)), "lexicon")
+    t = LX.annotate_with_lexicon(e, "q", words)
+    return t.select("doc_id", "line_no", F.explode("tokens").alias("t")).select("doc_id", "line_no", "t.*")
+
+
+# questions on which the rules C7 (How + adjective + verb), C8 (the thing) and
+# C9 (final quality, final verb after a copula) fire, made of every line
+_FORMS_SQL = _with(S.DOC_LINES, _Q_SQL, f"""
+worded AS (SELECT *, lower(regexp_extract(q, '\\p{{L}}+')) AS w FROM all_q),
+formed AS (SELECT doc_id, line_no, unnest(['C7', 'C8', 'C9a', 'C9v']) AS form,
+                  unnest(['How ' || w || 'al ' || w || 'ing ' || q || '?', 'Is the thing ' || q || '?', q || ' ' || w || 'ly?', q || ' are ' || w || 'ed?']) AS q
+           FROM worded WHERE w <> ''),
+src AS (SELECT DISTINCT md5(q) AS k, q FROM formed)""").rstrip() + ",\n" + XS.templates("src", "mapping", ("thing",))
+
+
+def _forms(spark, sf) -> DataFrame:
+    q, w = F.col("q"), F.col("w")
+    made = {"C7": F.concat(F.lit("How "), w, F.lit("al "), w, F.lit("ing "), q, F.lit("?")), "C8": F.concat(F.lit("Is the thing "), q, F.lit("?")),
+            "C9a": F.concat(q, F.lit(" "), w, F.lit("ly?")), "C9v": F.concat(q, F.lit(" are "), w, F.lit("ed?"))}
+    rows = _questions(spark, sf).withColumn("w", F.lower(F.regexp_extract("q", r"\p{L}+", 0))).filter("w <> ''")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("research_question")) for k, v in made.items()]))
+    return rows.select("doc_id", "line_no", each.alias("x")).select("doc_id", "line_no", "x.*")
+
+
+@query("question_rules", sql=_FORMS_SQL + """
+SELECT x.doc_id, x.line_no, x.form, f.q AS templated_question, coalesce(m.mapping, '') AS mapping
+FROM formed x JOIN final f ON f.k = md5(x.q) LEFT JOIN maps m ON m.k = f.k""")
+def q_question_rules(spark, sf):
+    """C7, C8 and C9 on questions made of every line, with a lexicon that
+    knows "thing" as a noun."""
+    words = LX.extend_lexicon(LX.default_lexicon(spark), spark.createDataFrame([("thing", "NOUN", False)], LX.SCHEMA))
+    forms = _forms(spark, sf)
+    made = CH.extract_template_with_mapping(forms.select("research_question").distinct(), annotator=LX.lexicon_annotator(words))
+    made = cut_lineage(made.select("research_question", "templated_question", _map_text().alias("mapping")), "rules")
+    return forms.join(made, "research_question").select("doc_id", "line_no", "form", "templated_question", "mapping")
+
+
+def _chain(spark, sf) -> DataFrame:
+    """Templates of all distinct lines with their maps, extracted once."""
+    q = _questions(spark, sf).select(F.col("q").alias("research_question")).distinct()
+    return cut_lineage(CH.extract_template_with_mapping(q), "chain")
+
+
+_CHAIN_SQL = _TEXTS + XS.templates("src", "mapping") + f""",
+tagged AS (SELECT f.q AS templated_question, CASE WHEN {S.hash_test('s.q')} THEN 'test' ELSE 'train' END AS split FROM src s JOIN final f ON f.k = s.k)"""
+
+
+def _chain_split(spark, sf):
+    t = _chain(spark, sf)
+    is_test = X.split_hash_col("research_question")
+    return t.filter(~is_test), t.filter(is_test)
+
+
+@query("chain_coverage", sql=_CHAIN_SQL + ",\n" + _keys_cte(C.level_list()) + """,
+train_keys AS (SELECT DISTINCT match_type, n_words, key FROM keys WHERE split = 'train' AND key <> '')
+""" + ORACLE["run_coverage"][ORACLE["run_coverage"].rindex("SELECT t.match_type"):])
+def q_chain_coverage(spark, sf):
+    """Question -> template -> split -> coverage at every level."""
+    return C.run_coverage(*_chain_split(spark, sf))
+
+
+@query("chain_corpus_bleu", sql=_CHAIN_SQL + ",\n" + S.bleu_sides("SELECT templated_question AS t FROM tagged WHERE split = 'train'", "SELECT templated_question AS t FROM tagged WHERE split = 'test'").strip()
+       + ",\n" + _CORPUS.strip() + "\n" + ORACLE["corpus_bleu"][ORACLE["corpus_bleu"].rindex("SELECT round(coalesce"):])
+def q_chain_bleu(spark, sf):
+    """Question -> template -> split -> corpus BLEU."""
+    tr, te = _chain_split(spark, sf)
+    return B.corpus_bleu(tr, te, "templated_question").select(F.round("corpus_bleu", 9).alias("corpus_bleu"))
+
+
+@query("chain_chunks", sql=_TEXTS + XS.templates("src", "mapping") + f""",
+counts AS (SELECT key AS marker, lower({S.strip('v')}) AS chunk, count(*)::BIGINT AS frequency FROM entries WHERE {S.strip('v')} <> '' GROUP BY ALL HAVING count(*) >= 2)
+SELECT marker, row_number() OVER (PARTITION BY marker ORDER BY frequency DESC, chunk) AS rank, chunk, frequency FROM counts""")
+def q_chain_chunks(spark, sf):
+    """Question -> marker map -> chunk frequencies of every marker found."""
+    return K.chunk_frequency_of_maps(_chain(spark, sf))
+
+
+@query("templates_in_order", sql=_TEXTS + XS.templates("src", "mapping") + """
+SELECT row_number() OVER (ORDER BY length(f.q), f.q, s.q) AS place, f.q AS templated_question, s.q AS research_question FROM src s JOIN final f ON f.k = s.k""")
+def q_templates_in_order(spark, sf):
+    """T4 as data: the place of every template in the order by length."""
+    from qtemplates.operators.ids import assign_ids
+    t = _chain(spark, sf).select("templated_question", "research_question")
+    return assign_ids(t, [F.length("templated_question"), "templated_question", "research_question"], id_col="place")
+
+
+@query("split_exact_repeated_key", sql="""
+WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || lang), lang, doc_id) AS n, count(*) OVER () AS total FROM documents)
+SELECT doc_id, lang, CASE WHEN n <= ceil(0.2 * total) THEN 'test' ELSE 'train' END AS split FROM r""")
+def q_split_repeated(spark, sf):
+    """X1 on a key of few values: the cut falls among rows of one key."""
+    return X.split_exact(table(spark, sf, "documents").select("doc_id", "lang"), "lang", bucket_rows=64)
+
+
 # ---------------------------------------------------------------- the rest of the seams: S6, S8, S13, K7, Q2, F3, G7
 
 @query("read_template_pairs", sql=_with(S.DOC_LINES) + f"""

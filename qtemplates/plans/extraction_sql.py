@@ -28,9 +28,10 @@ def _prefix_end(x: str) -> str:
     return "CASE " + " ".join(f"WHEN starts_with({x}, {_q(p + ' ')}) OR {x} = {_q(p)} THEN {len(p)}" for p in DEFAULT_PREFIXES) + " END"
 
 
-def tokens(src: str, p: str) -> str:
+def tokens(src: str, p: str, nouns: tuple = ()) -> str:
     """CTEs ``tok<p>`` (one row a token) and ``doc<p>`` (one row a text) of
-    ``src`` (k, q)."""
+    ``src`` (k, q); ``nouns``: words that a lexicon adds as nouns."""
+    listed = f"WHEN lower(text) IN {_in(nouns)} THEN 'NOUN'" if nouns else ""
     return f"""
 cut{p} AS (
   SELECT k, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS text, t, g
@@ -43,6 +44,7 @@ tag{p} AS (
          CASE WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'PUNCT'
               WHEN regexp_matches(text, '^(EC|PC)[0-9]+$') THEN 'PROPN'
               WHEN regexp_matches(text, '^[0-9]+$') THEN 'NUM'
+              {listed}
               WHEN lower(text) IN {_in(A.DET)} THEN 'DET' WHEN lower(text) IN {_in(A.ADP)} THEN 'ADP'
               WHEN lower(text) IN {_in(A.PART)} THEN 'PART' WHEN lower(text) IN {_in(A.AUX)} THEN 'AUX'
               WHEN lower(text) IN {_in(A.PRON)} THEN 'PRON' WHEN lower(text) IN {_in(A.CCONJ)} THEN 'CCONJ'
@@ -160,11 +162,11 @@ def spliced(spans: str, src: str, out: str, prefix: str, renumber: bool) -> str:
     FROM {out}k x JOIN {src} y ON y.k = x.k GROUP BY x.k) m ON m.k = s.k)"""
 
 
-def templates(src: str, profile: str) -> str:
+def templates(src: str, profile: str, nouns: tuple = ()) -> str:
     """CTEs up to ``final`` (k, q: the template) and ``entries`` (k, n, key,
     v: the marker map in order) of ``src`` (k, q)."""
-    return ",\n".join([tokens(src, "1").strip(), entities("1", profile).strip(), spliced("ec", src, "marked", "EC", True).strip(),
-                       tokens("marked", "2").strip(), predicates("2", profile).strip(), spliced("pc", "marked", "final", "PC", False).strip(), """
+    return ",\n".join([tokens(src, "1", nouns).strip(), entities("1", profile).strip(), spliced("ec", src, "marked", "EC", True).strip(),
+                       tokens("marked", "2", nouns).strip(), predicates("2", profile).strip(), spliced("pc", "marked", "final", "PC", False).strip(), """
 entries AS (
   SELECT k, num AS n, 'EC' || num AS key, CASE WHEN kind = 2 THEN 'the' ELSE v END AS v FROM markedk
   UNION ALL SELECT k, num + 1, 'EC' || (num + 1), 'thing' FROM markedk WHERE kind = 2
