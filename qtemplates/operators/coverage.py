@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qtemplates.functions.text import normalize_template, py_split
+from qtemplates.sources.io import require_columns
 
 FORWARD_LEVELS = (11, 10, 9, 8, 7, 6, 5)
 BACKWARD_LEVELS = (5, 6, 7, 8, 9, 10, 11)
@@ -25,12 +26,6 @@ FULL, FORWARD, BACKWARD = "full_exact", "forward_first_n", "backward_last_n"
 SUMMARY_SCHEMA = "match_type STRING, n_words INT, matched BIGINT, total BIGINT, coverage_pct DOUBLE"
 
 
-def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing required column(s): {', '.join(missing)}")
-
-
 def level_list(forward=FORWARD_LEVELS, backward=BACKWARD_LEVELS, full: bool = True):
     # full_exact carries n_words 0 inside the plan (a plain equi-join key);
     # it is shown as null in the summary
@@ -68,7 +63,8 @@ def default_order(templ_col: str) -> Column:
     return F.struct(F.length(templ_col).alias("len"), F.col(templ_col).alias("txt"))
 
 
-def _train_levels(train: DataFrame, templ_col: str, levels, order_by: Column | None) -> DataFrame:
+def train_levels(train: DataFrame, templ_col: str, levels, order_by: Column | None) -> DataFrame:
+    """(match_type, n_words, key, norm, _ord) of every train template."""
     order_by = default_order(templ_col) if order_by is None else order_by
     return (train.filter(F.col(templ_col).isNotNull())
                  .select(normalize_template(templ_col).alias("norm"), order_by.alias("_ord"))
@@ -81,7 +77,7 @@ def build_lookup(train: DataFrame, templ_col: str = "templated_question", levels
                  order_by: Column | None = None) -> DataFrame:
     """(match_type, n_words, key) -> first normalised train template with that key."""
     levels = level_list() if levels is None else levels
-    return (_train_levels(train, templ_col, levels, order_by)
+    return (train_levels(train, templ_col, levels, order_by)
             .groupBy("match_type", "n_words", "key")
             .agg(F.min_by("norm", "_ord").alias("matched_train_template")))
 
@@ -97,28 +93,33 @@ def _levels_frame(spark, levels) -> DataFrame:
     return spark.createDataFrame(levels, "match_type STRING, n_words INT")
 
 
-def run_coverage(train: DataFrame, test: DataFrame, templ_col: str = "templated_question",
-                 forward_levels=FORWARD_LEVELS, backward_levels=BACKWARD_LEVELS,
-                 full: bool = True) -> DataFrame:
-    """J7 + K6: matched / total / percent for every level in one join.
+def _level_code() -> Column:
+    return F.xxhash64("match_type", "n_words").alias("level")
 
-    total = non-null test rows (duplicates counted); a blank test row counts
-    in the total and never matches."""
-    require_columns(train, [templ_col])
-    require_columns(test, [templ_col])
-    levels = level_list(forward_levels, backward_levels, full)
-    # both sides in one aggregate, no join: side 0 = train key, 1 = test row;
-    # a key is covered when its group holds a train row (min side = 0)
-    # what is shuffled is a level code and 128 hash bits, not the texts
-    level = F.xxhash64("match_type", "n_words").alias("level")
-    keys = [level, F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2")]
-    tagged = (_train_levels(train, templ_col, levels, F.lit(0)).select(*keys, F.lit(0).alias("side"))
-              .unionByName(_test_levels(test, templ_col, levels).select(*keys, F.lit(1).alias("side"))))
-    per_key = tagged.groupBy("level", "k1", "k2").agg(F.sum("side").alias("cnt"), F.min("side").alias("has_train"))
-    per_level = (per_key.groupBy("level")
+
+def tagged_keys(train: DataFrame, test: DataFrame, templ_col: str = "templated_question", levels=None) -> DataFrame:
+    """(level, k1, k2, cnt, has_train) of both sides' keys, one row each: a
+    train row counts nothing and has_train 0, a test row counts 1 and has 1.
+    What is shuffled later is a level code and 128 hash bits, not the texts."""
+    levels = level_list() if levels is None else levels
+    keys = [_level_code(), F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2")]
+    side = lambda df, k: df.select(*keys, F.lit(k).cast("long").alias("cnt"), F.lit(k).alias("has_train"))
+    return side(train_levels(train, templ_col, levels, F.lit(0)), 0).unionByName(side(_test_levels(test, templ_col, levels), 1))
+
+
+def covered_keys(tagged: DataFrame) -> DataFrame:
+    """One row a key: test rows, and 0 if a train row has it.  Merges rows of
+    any grouping, so partial results can be merged again."""
+    return tagged.groupBy("level", "k1", "k2").agg(F.sum("cnt").alias("cnt"), F.min("has_train").alias("has_train"))
+
+
+def summary(covered: DataFrame, levels=None) -> DataFrame:
+    """K6: matched / total / percent of every level from its covered keys."""
+    levels = level_list() if levels is None else levels
+    per_level = (covered.groupBy("level")
                  .agg(F.sum(F.when(F.col("has_train") == 0, F.col("cnt")).otherwise(0)).alias("matched"),
                       F.sum("cnt").alias("total")))
-    out = (_levels_frame(train.sparkSession, levels).withColumn("level", level)
+    out = (_levels_frame(covered.sparkSession, levels).withColumn("level", _level_code())
            .join(F.broadcast(per_level), "level", "left")
            .select("match_type", "n_words",
                    F.coalesce("matched", F.lit(0)).cast("long").alias("matched"),
@@ -127,6 +128,21 @@ def run_coverage(train: DataFrame, test: DataFrame, templ_col: str = "templated_
     return out.withColumn("n_words", _shown_n(F.col("match_type"), F.col("n_words")))
 
 
+def run_coverage(train: DataFrame, test: DataFrame, templ_col: str = "templated_question",
+                 forward_levels=FORWARD_LEVELS, backward_levels=BACKWARD_LEVELS,
+                 full: bool = True) -> DataFrame:
+    """J7 + K6: matched / total / percent for every level in one aggregate.
+
+    total = non-null test rows (duplicates counted); a blank test row counts
+    in the total and never matches."""
+    require_columns(train, [templ_col])
+    require_columns(test, [templ_col])
+    levels = level_list(forward_levels, backward_levels, full)
+    # both sides in one aggregate, no join: a key is covered when its group
+    # holds a train row
+    return summary(covered_keys(tagged_keys(train, test, templ_col, levels)), levels)
+
+
 def _shown_n(mt: Column, n: Column) -> Column:
     return F.when(mt == FULL, F.lit(None).cast("int")).otherwise(n)
 

@@ -802,6 +802,43 @@ def q_stream_patterns(spark, sf):
                                  "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
 
 
+_DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+
+
+def _doc_stream(spark, sf, rows, merge) -> DataFrame:
+    from qtemplates.streaming import state as SS
+    return SS.run_stream(spark, f"{sf.rstrip('/')}/documents.parquet", _DOC_SCHEMA, rows, merge, files_per_trigger=4)
+
+
+@query("stream_dedup_questions", sql=_with(S.DOC_LINES) + """
+SELECT line AS research_question, min({'d': doc_id, 'l': line_no}).d AS doc_id, min({'d': doc_id, 'l': line_no}).l AS line_no FROM doc_lines GROUP BY line""")
+def q_stream_dedup(spark, sf):
+    """F4 over the documents table as a file stream."""
+    from qtemplates.streaming import state as SS
+    kept = _doc_stream(spark, sf, SS.stream_questions, SS.first_questions)
+    return kept.select("research_question", "place.doc_id", F.col("place.line_no").cast("long").alias("line_no"))
+
+
+@query("stream_lookup", sql=_with(S.DOC_LINES, f"""
+norm AS (SELECT doc_id, line_no, {S.normalize('line')} AS nt FROM doc_lines),
+k AS (SELECT doc_id, line_no, nt, n, {S.words('nt')} AS w FROM norm, (VALUES (5), (10)) v(n))""") + """
+SELECT n AS n_words, array_to_string(list_slice(w, 1, n), ' ') AS key, min({'d': doc_id, 'l': line_no, 'nt': nt}).nt AS matched_train_template
+FROM k WHERE len(w) > 0 GROUP BY ALL""")
+def q_stream_lookup(spark, sf):
+    """J1 over the documents table as a file stream."""
+    from qtemplates.streaming import state as SS
+    levels = C.level_list((5, 10), (), False)
+    kept = _doc_stream(spark, sf, lambda b: SS.stream_lookup(b, levels), SS.first_templates)
+    return kept.select("n_words", "key", F.col("norm").alias("matched_train_template"))
+
+
+@query("stream_coverage", sql=ORACLE["run_coverage"])
+def q_stream_coverage(spark, sf):
+    """J7 over the documents table as a file stream."""
+    from qtemplates.streaming import state as SS
+    return C.summary(_doc_stream(spark, sf, SS.stream_coverage, C.covered_keys))
+
+
 # ---------------------------------------------------------------- more of SURVEY 2.1 / 2.7 / E5
 
 @query("template_pairs", sql=_with(S.DOC_LINES, _SPLIT_CTE) + "SELECT split, templated_question AS template FROM tagged")
