@@ -807,7 +807,7 @@ _DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars B
 
 def _doc_stream(spark, sf, rows, merge) -> DataFrame:
     from qtemplates.streaming import state as SS
-    return SS.run_stream(spark, f"{sf.rstrip('/')}/documents.parquet", _DOC_SCHEMA, rows, merge, files_per_trigger=4)
+    return SS.run_stream(spark, f"{sf.rstrip('/')}/documents*.parquet", _DOC_SCHEMA, rows, merge, files_per_trigger=4)
 
 
 @query("stream_dedup_questions", sql=_with(S.DOC_LINES) + """
