@@ -3,6 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which
 ``run`` writes as Parquet into the shared folder and reads again as the next
 stage's ``docs``.  All stages but the last return the columns of ``documents``.
+
+Cases: further columns stay, whatever their names; a null text counts as empty
+and, with fewer than 50 words, goes with the quality rules; repeated rows and
+equal texts are one class of near-duplicates, of which the row with the
+smallest id stays; rows without an id are treated like others; a null source is
+a source of its own; texts of any length are read whole; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -54,7 +61,8 @@ STAGES = [
 ]
 
 #: Not expressible: the near-duplicate classes, the sampled mixture and the
-#: piece lattice have no SQL form; tests compare each stage with brute force.
+#: piece lattice have no SQL form; tests/llm/test_pipeline.py compares each
+#: stage with brute force.
 ORACLE_SQL = None
 
 
