@@ -152,18 +152,19 @@ def questions(df: DataFrame, line_col: str = "line", numbering: str = "strict",
 
 def questions_from_abstracts(abstracts: DataFrame, template: str, make_generator, *,
                              id_col: str = "id", lo: int | None = None, hi: int | None = None,
-                             numbering: str = "strict", on_error: str = "fail") -> DataFrame:
+                             numbering: str = "strict", on_error: str = "fail",
+                             watch: Callable[[DataFrame, str], DataFrame] = lambda df, stage: df) -> DataFrame:
     """E1 end to end: filter -> prompt -> generate -> strip echo -> lines -> questions.
-    Filters run before ``mapInPandas`` (Catalyst cannot push through it)."""
+    Filters run before ``mapInPandas`` (Catalyst cannot push through it).
+    ``watch(df, stage)`` sees the rows of each stage, to count them."""
     df = abstracts
     if lo is not None or hi is not None:
         df = id_range_filter(df, lo, hi, id_col)
-    df = drop_blank(df, "abstract")
-    df = render_prompt(df, template, {"abstract": "abstract"})
-    df = generate_text(df, make_generator, "prompt", on_error=on_error)
-    df = strip_echo(df)
-    df = explode_lines(df, "response")
-    return questions(df, "line", numbering).select("url", "research_question")
+    df = watch(df, "abstracts")
+    df = watch(render_prompt(drop_blank(df, "abstract"), template, {"abstract": "abstract"}), "prompts")
+    df = watch(generate_text(df, make_generator, "prompt", on_error=on_error), "responses")
+    df = watch(explode_lines(strip_echo(df), "response"), "lines")
+    return watch(questions(df, "line", numbering).select("url", "research_question"), "questions")
 
 
 def combine_abstracts(dfs: Sequence[DataFrame], order_by, id_col: str = "id", start: int = 1) -> DataFrame:

@@ -1091,6 +1091,31 @@ def q_load_prefixes(spark, sf):
     return IO.load_prefix_table(spark, path).select("pattern", "rank")
 
 
+_CLEANED = """trim(regexp_replace(line, '^\\s*["'']?\\d+[.)]\\s*', ''), ' "''' || chr(10))"""
+
+
+def _line_model():
+    """Stand-in model: echoes the prompt and answers with the abstract."""
+    def gen(prompts):
+        return [p + "\n" + p.split("Abstract:\n", 1)[-1] for p in prompts]
+    return gen
+
+
+@query("generation_counts", sql=f"""
+WITH a AS (SELECT doc_id, {S.strip("coalesce(text, '')")} AS t FROM documents),
+l AS (SELECT unnest(string_split(t, chr(10))) AS line FROM a WHERE t <> ''),
+q AS (SELECT {_CLEANED} AS q FROM l)
+SELECT 0 AS place, 'abstracts' AS stage, count(*) AS rows FROM a
+UNION ALL SELECT 1, 'prompts', count(*) FROM a WHERE t <> '' UNION ALL SELECT 2, 'responses', count(*) FROM a WHERE t <> ''
+UNION ALL SELECT 3, 'lines', count(*) FROM l UNION ALL SELECT 4, 'questions', count(*) FROM q WHERE q <> ''""")
+def q_generation_counts(spark, sf):
+    """A generation job with its prompt in a file; rows of each stage."""
+    path = _scratch(spark, "generation")
+    spark.createDataFrame([(PROMPT,)], "value string").coalesce(1).write.text(f"{path}/prompt")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"), F.lit("").alias("url"))
+    return W.generation_report(spark, spread(d), f"{path}/prompt", _line_model, f"{path}/questions")
+
+
 # ---------------------------------------------------------------- file order: S3, S5, ties of K2, K3, K4, J1, F4
 
 _ORDERED_SQL = _with(S.DOC_LINES, """
@@ -1194,7 +1219,6 @@ def q_starters(spark, sf):
     return t.select("doc_id", "line_no", at(0).alias("first_is_starter"), at(1).alias("second_is_starter"))
 
 
-_CLEANED = """trim(regexp_replace(line, '^\\s*["'']?\\d+[.)]\\s*', ''), ' "''' || chr(10))"""
 
 
 @query("questions_missing_url", sql=_with(S.DOC_LINES) + f"""

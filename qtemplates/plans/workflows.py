@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from qtemplates.operators import bleu as B
@@ -27,6 +27,34 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
 
 
+class StageCounts:
+    """K8 for several stages of one job: ``watch`` attaches a row count to
+    each, the job's only action fills them, ``table`` returns them."""
+
+    def __init__(self):
+        self.seen: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, stage: str) -> DataFrame:
+        df, obs = counted(df, f"stage-{len(self.seen)}")
+        self.seen.append((stage, obs))
+        return df
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(place, stage, rows), in the order of the stages."""
+        rows = [(n, stage, obs.get["rows"]) for n, (stage, obs) in enumerate(self.seen)]
+        return spark.createDataFrame(rows, "place int, stage string, rows long")
+
+
+def generation_report(spark: SparkSession, abstracts: DataFrame, prompt_path: str, make_generator, out_path: str,
+                      numbering: str = "strict", on_error: str = "fail") -> DataFrame:
+    """E1 with its prompt from a file (S7): questions CSV written to
+    ``out_path``; returns how many rows each stage had (K8), counted on the way."""
+    counts = StageCounts()
+    q = G.questions_from_abstracts(abstracts, IO.read_prompt(spark, prompt_path), make_generator, numbering=numbering, on_error=on_error, watch=counts.watch)
+    IO.write_csv(q, out_path)
+    return counts.table(spark)
+
+
 def abstracts_to_questions(abstracts: DataFrame, template: str, make_generator, out_path: str,
                            lo: int | None = None, hi: int | None = None, numbering: str = "strict",
                            on_error: str = "fail") -> int:
