@@ -7,8 +7,7 @@ n-gram hits m_n, denominator d_n = max(1, L - n + 1); a zero m_n becomes
 shorter); brevity penalty 1 if L > R else exp(1 - R / L).
 
 * ``corpus_bleu`` (B3) needs only sums, so it is computed without pairs:
-  clipped hits against the per-gram maximum over all references, grouped by
-  (n, gram, count) with map-side partial aggregation.
+  clipped hits against the per-gram maximum over all references.
 * ``max_sentence_bleu`` (B1) is an exact top-1 search.  A seed score per test
   template comes from one min-hash representative per n-gram; then prefix
   filtering over 1..4-grams (a train template that beats the seed must share
@@ -24,10 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qtemplates.functions.text import py_split, py_strip
+from qtemplates.operators.best_bleu import EPS, MAX_N, occurrences, shared, side
 from qtemplates.session import cut_lineage
 
-MAX_N = 4
-EPS = 0.1
 # slack for float rounding when comparing an upper bound with a seed score
 _SLACK = 1e-12
 
@@ -195,15 +193,12 @@ def corpus_bleu(train: DataFrame, test: DataFrame, train_col: str = "template",
                 test_col: str | None = None) -> DataFrame:
     """Corpus BLEU, every train template a reference of every test
     template.  One row: corpus_bleu (0.0 when a side is empty)."""
-    test_col = test_col or train_col
-    te, tr = _side(test, test_col), _side(train, train_col)
-    tr_g = _grams(tr)
-    max_ref = cut_lineage(tr_g.groupBy("n", "g").agg(F.max("c").alias("mc")), "bleu-maxref")
-    te_g = _grams(te)
-    # hypotheses weighted by multiplicity, reduced to (n, g, c) before the join
-    hyp = te_g.groupBy("n", "g", "c").agg(F.sum("mult").alias("w"))
-    num = (hyp.join(max_ref, ["n", "g"], "left")
-              .groupBy("n").agg(F.sum(F.col("w") * F.least("c", F.coalesce("mc", F.lit(0)))).alias("num")))
+    # each side once; n-grams (hashed) that no reference has go before the shuffle
+    te, tr = side(test, test_col or train_col, "bleu-test"), side(train, train_col, "bleu-train")
+    refs = cut_lineage(occurrences(tr).groupBy("id", "n", "h").agg(F.count(F.lit(1)).alias("c")), "bleu-refs")
+    # hits of every hypothesis, clipped to the most that one reference has
+    num = (shared(te, refs).groupBy("id", "n").agg(F.sum("c").alias("hits")).join(te.select("id", "mult"), "id")
+           .groupBy("n").agg(F.sum(F.col("hits") * F.col("mult")).alias("num")))
     # lengths: hypothesis length histogram and closest reference length
     hl = te.groupBy(F.col("len").alias("L")).agg(F.sum("mult").alias("w"))
     rl = tr.select(F.col("len").alias("R")).distinct()
