@@ -91,10 +91,14 @@ class Bloom:
         return ((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
+def filter_bits(n: int, rate: float = FALSE_RATE) -> int:
+    """Bits of a filter of ``n`` keys."""
+    return -(-max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2)) // 8) * 8
+
+
 def bloom(keys: DataFrame, n: int, level: int, rate: float = FALSE_RATE) -> Bloom:
     """A filter of the ``n`` keys in column ``key``."""
-    bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-    bits = -(-bits // 8) * 8
+    bits = filter_bits(n, rate)
     probes = max(1, round(bits / max(n, 1) * math.log(2)))
     if bits // 8 > MAX_BYTES:
         raise ValueError(f"a filter of {n} keys takes {bits // 8} bytes, more than MAX_BYTES")
@@ -145,7 +149,7 @@ def build(listed: DataFrame, universe: DataFrame, rate: float = FALSE_RATE) -> l
         n = own.count()
         if not n:
             break
-        if sum(len(b.data) for b in cascade) > MAX_BYTES or len(cascade) > 60:
+        if sum(len(b.data) for b in cascade) + filter_bits(n, rate) // 8 > MAX_BYTES or len(cascade) > 60:
             raise ValueError("the cascade is larger than MAX_BYTES, or does not end")
         level = bloom(own, n, len(cascade), rate)
         cascade.append(level)
@@ -165,8 +169,9 @@ def flagged(rows: DataFrame, key: str, cascade: list[Bloom], out: str) -> DataFr
         import pandas as pd
 
         from qtemplates.llm import urls as own
-        distinct, back = np.unique(keys.fillna("").to_numpy(str), return_inverse=True)
-        return pd.Series(own.member(cascade, own._hashes(distinct))[back])
+        keys = ["" if k is None else k for k in keys.tolist()]
+        place = {k: n for n, k in enumerate(dict.fromkeys(keys))}  # strings as they are, whatever their length
+        return pd.Series(own.member(cascade, own._hashes(place))[np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))])
     return rows.withColumn(out, listed(F.col(key)))
 
 
@@ -175,11 +180,15 @@ def listed_hosts(hosts: DataFrame, words=LISTED_WORDS) -> DataFrame:
     return hosts.filter(F.col("key").rlike("|".join(words))).select("key")
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, listed and verdict of every row."""
+def judge(pages: DataFrame, rules=RULES, listed: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, listed and verdict of every row.  ``listed``
+    holds the blocked hosts (column ``key``); by default those of the pages
+    that hold one of ``LISTED_WORDS``."""
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     hosts = cut_lineage(rows.select(F.col("host").alias("key")).distinct(), "hosts")
-    cascade = build(listed_hosts(hosts), hosts)
+    # hosts that are listed but not asked for are no part of the universe
+    own = listed_hosts(hosts) if listed is None else hosts.join(listed.select("key").distinct(), "key", "left_semi")
+    cascade = build(own, hosts)
     fit = rows.withColumn("fit", let(F.struct("host", "path"), lambda x: rule(x["host"], x["path"], rules)))
     told = flagged(fit, "host", cascade, "listed")
     return told.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), "listed",
