@@ -41,9 +41,12 @@ _EPS = 1e-9
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every row."""
+    """doc_id, source, size (words) and spread of every row; ``spread`` tells
+    rows of one id apart, by text, and those without an id by their place."""
     n = F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+"))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.cast("long").alias("size"))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.cast("long").alias("size"),
+                            F.xxhash64("text", place).alias("spread"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -133,7 +136,7 @@ def take(sizes: DataFrame, aims: DataFrame, block: int = BLOCK) -> DataFrame:
     want = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(want + _EPS)
     rows = (rows.withColumn("copies", base.cast("long")).withColumn("p", F.greatest(want - base, F.lit(0.0)))
-            .withColumn("key", F.xxhash64(F.col("source").isNull(), "source")).withColumn("order", F.xxhash64("doc_id", "size"))
+            .withColumn("key", F.xxhash64(F.col("source").isNull(), "source")).withColumn("order", F.xxhash64("doc_id", "size", "spread"))
             .withColumn("blocks", F.ceil(F.col("n_docs") / F.lit(float(block))).cast("long")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("order", F.lit(1)), F.greatest("blocks", F.lit(1))))
     names = rows.columns
@@ -172,7 +175,7 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     took = took.groupBy("mix_row").agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows"))
     n = F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     cols = [F.col(f"d.`{c}`") for c in documents.columns]
-    rows = documents.select(F.struct(*documents.columns).alias("d"), key(F.col("doc_id").cast("long"), F.col("source").cast("string"), n).alias("mix_row"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), key(F.col("doc_id").cast("long"), F.col("source").cast("string"), n).alias("mix_row"))
     met = rows.join(took, "mix_row").filter("mix_copies > 0")
     # repeated rows: the first (sum mod rows) of them get one more
     turn = F.when(F.col("mix_rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("mix_row").orderBy(F.xxhash64("d"))))
