@@ -128,13 +128,29 @@ def _rules(model: list[float] | None):
     return rules + ([(RANDOM, 3, lambda m: ratio(m, model) >= MIN_RATIO)] if model else [])
 
 
+def _blanked(text: Column, rules) -> Column:
+    """The text with the matches of some kinds as spaces, so that what is left
+    of a run beside them is a run of its own."""
+    if not rules:
+        return text
+    (pattern, _, keep), rest = rules[0], rules[1:]
+
+    def joined(m):
+        shown = F.transform(m, lambda q: F.when(keep(q), F.repeat(F.lit(" "), F.length(q))).otherwise(q))
+        return F.array_join(F.flatten(F.zip_with(F.split(text, pattern, -1), shown, lambda p, q: F.array(p, F.coalesce(q, F.lit(""))))), "")
+    blanked = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, text).otherwise(joined(m)))
+    return let(blanked, lambda t: _blanked(t, rest))
+
+
 def find(text: Column, model: list[float] | None) -> Column:
-    """Struct of ``base`` and ``all``: sorted arrays of (start, kind, end)."""
-    found = [matches(text, *rule) for rule in _rules(model)]
-    base = F.array_sort(F.concat(*found[:3]))
+    """Struct of ``base`` and ``all``: sorted arrays of (start, kind, end).
+    Random runs are sought in what the base spans leave of the text."""
+    rules = _rules(model)
+    base = F.array_sort(F.concat(*[matches(text, *rule) for rule in rules[:3]]))
     if model is None:
         return let(base, lambda b: F.struct(b.alias("base"), b.alias("all")))
-    extra = lambda b: F.filter(found[3], lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+    found = let(_blanked(text, rules[:3]), lambda t: matches(t, *rules[3]))
+    extra = lambda b: F.filter(found, lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
     return let(base, lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, extra(b))).alias("all")))
 
 
@@ -154,21 +170,16 @@ def scan(documents: DataFrame, model: list[float] | None) -> DataFrame:
 
 
 def redacted(text: Column, model: list[float] | None) -> Column:
-    """The text with each secret replaced by ``MARK``, one kind after the
-    other, so that what a kind leaves is searched for the next."""
-    def one(t, pattern, keep):
-        def joined(m):
-            pieces = F.split(t, pattern, -1)
-            shown = F.transform(m, lambda q: F.when(keep(q), F.lit(MARK)).otherwise(q))
-            return F.array_join(F.flatten(F.zip_with(pieces, shown, lambda p, q: F.array(p, F.coalesce(q, F.lit(""))))), "")
-        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, t).otherwise(joined(m)))
-
-    def chain(rules, t):
-        if not rules:
-            return t
-        (pattern, _, keep), rest = rules[0], rules[1:]
-        return let(one(t, pattern, keep), lambda u: chain(rest, u))
-    return chain(_rules(model), text)
+    """The text with each secret that ``find`` reports replaced by ``MARK``;
+    spans that overlap are replaced by one mark."""
+    def step(acc, s):
+        new = s["start"] >= acc["pos"]
+        part = F.concat(F.substr(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), F.lit(MARK))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.when(new, part).otherwise("")).alias("out"))
+
+    def joined(spans):
+        return F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))
+    return let(find(text, model)["all"], lambda spans: F.when(F.size(spans) == 0, text).otherwise(joined(spans)))
 
 
 def redact(documents: DataFrame, model: list[float] | None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -254,3 +255,26 @@ def test_pieces_checked(spark):
         assert r["pieces"] == plain[r["doc_id"]]
         assert r["decoded_sha256"] == hashlib.sha256((PIECES[r["doc_id"]] or "").encode()).hexdigest()
     assert pieces.encode_checked(docs(spark, [])).count() == 0
+
+
+def test_secrets_beside_base_spans(spark):
+    rng = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = []
+    for i in range(100):
+        key, hexa = "".join(rng.choice(alphabet) for _ in range(40)), "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        rows.append((i, f"see {hexa}-{key} here", key, hexa))
+    d = spark.createDataFrame(rows, "doc_id long, text string, key string, hexa string")
+
+    fitted = model(spark)
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(d, fitted).collect()}
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(d, fitted).collect()}
+    lost = 0
+    for i, text, key, hexa in rows:
+        found = [s.split(":") for s in spans[i].split(",")]
+        assert ["hex", "4", "36"] in found
+        own = [text[int(a):int(z)] for kind, a, z in found if kind == "random"]
+        lost += not any(key in x for x in own)
+        # the pipeline replaces what the scan reports
+        assert hexa not in texts[i] and all(x not in texts[i] for x in own)
+    assert lost <= 5
