@@ -9,7 +9,8 @@ string, so none of them is left; a newline in a role gets one before it.
 turns before it are context, its text is trained on.  The text of an example
 is a prefix of its conversation's formatted text, so an example row refers to
 the conversation's pieces by turn number and ``materialize`` spells the texts
-out; what is stored grows with the conversations, not with their square.  Turns
+out, each with all turns before it, as a trainer reads them; what is stored
+before that grows with the conversations, not with their square.  Turns
 after the last assistant turn are kept as an example without target, so that
 the output holds every turn.
 
@@ -102,18 +103,18 @@ def materialize(rows: DataFrame) -> DataFrame:
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """What the example rows say, by conversation: conv_id, n_turns,
+    """What materialised example rows say, by conversation: conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples'
-    texts) and n_examples.  Only the formatted pieces are read, not the input."""
-    # no control string is left inside a turn, so the marks cut the piece
+    texts) and n_examples.  Only the examples' texts and masks are read; the
+    last example's text holds all turns."""
+    loss = F.when(F.col("has_target"), unescape(F.substr("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))).otherwise("")
+    back = rows.groupBy("conv_id").agg(F.max(F.struct("example", "text")).alias("last"), F.sort_array(F.collect_list(F.struct("example", loss.alias("loss")))).alias("e"),
+                                       F.sum(F.length("text")).cast("long").alias("formatted_chars"))
+    # no control string is left inside a turn, so the marks cut the text
     end = F.lit("\\Q" + TURN_END + "\n\\E")
-    raw = F.transform(F.filter(F.split("piece", end), lambda t: t != ""), lambda t: F.substr(t, F.lit(len(TURN_START) + 1)))
-    said = F.array_join(F.transform(raw, lambda t: F.concat(unescape(t), F.lit("\n"))), "")
-    loss = F.when(F.col("has_target"), unescape(F.substr(F.col("piece"), F.col("loss_start") - F.col("context_chars") + 1, F.col("loss_end") - F.col("loss_start")))).otherwise("")
-    one = F.struct("example", F.size(raw).alias("n"), said.alias("said"), loss.alias("loss"), (F.col("context_chars") + F.length("piece")).alias("chars"))
-    back = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("e"))
-    total = lambda f: F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x[f])
-    text = lambda f: F.array_join(F.col(f"e.{f}"), "")
-    return back.select("conv_id", total("n").alias("n_turns"), F.sha2(text("said"), 256).alias("turns_sha256"),
-                       F.length(text("loss")).cast("long").alias("loss_chars"), F.sha2(text("loss"), 256).alias("loss_sha256"),
-                       total("chars").alias("formatted_chars"), F.size("e").cast("long").alias("n_examples"))
+    raw = F.transform(F.filter(F.split("last.text", end), lambda t: t != ""), lambda t: F.substr(t, F.lit(len(TURN_START) + 1)))
+    said = F.array_join(F.transform("raw", lambda t: F.concat(unescape(t), F.lit("\n"))), "")
+    back = back.withColumn("raw", raw).withColumn("loss", F.array_join(F.col("e.loss"), ""))
+    return back.select("conv_id", F.size("raw").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       "formatted_chars", F.size("e").cast("long").alias("n_examples"))
