@@ -67,10 +67,11 @@ _MARKS = "</s>[INST] ok [/INST]"
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats all conversations and reads their digests from the examples."""
+    """Formats all conversations, spells every example out with its context,
+    and reads the digests back from the examples' texts and masks."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", _MARKS), (-1, 1, "assistant", _MARKS)], rows.schema)
-    return chat.read_back(chat.examples(rows.unionByName(own)))
+    return chat.read_back(chat.materialize(chat.examples(rows.unionByName(own))))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +122,9 @@ def _escaped(column: str) -> str:
 _OP7 = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+s AS (SELECT q.vec_id AS query_id, q.e AS q, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+      FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
 """
 

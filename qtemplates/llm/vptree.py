@@ -12,14 +12,15 @@ ones skip more.
 Every vector is indexed, in a shard chosen by the hash of its id and numbers
 (about ``SHARD`` vectors each, so a shard fits a task; of equal rows as many as
 a query can return); trees are built in their
-tasks and stored as rows.  Queries are packed into blocks of ``QUERIES`` rows,
-and each pair of shard and block is a task's unit of work; the shards' results
-merge by query.  Scores are the cosines of the original vectors in double
-precision.
+tasks and stored as rows.  A shard's task reads its trees and then all queries,
+as a stream, ``QUERIES`` at once; the shards' results merge by query, so what
+moves is each tree once and each query once for every shard.  Scores are the
+cosines of the original vectors in double precision.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite numbers
-take no part, nor do those whose length differs from the query's; equal
-vectors tie and the smaller id wins; rows with a null id take no part; repeated
+take no part, nor do those whose length differs from the query's; equal query
+rows (id and vector) are one query, other vectors under one id are queries of
+their own, ranked each; equal vectors tie and the smaller id wins; rows with a null id take no part; repeated
 ids are separate candidates except for the query's own id; fewer candidates
 than asked for are all returned; an empty table gives an empty result.  Only
 ``vec_id`` and ``embedding`` are read, so other columns cannot clash.
@@ -192,31 +193,37 @@ def build(vectors: DataFrame, shard: int = SHARD, k: int = NEAREST) -> DataFrame
 
 def search(queries: DataFrame, trees: DataFrame, k: int = NEAREST, factor: float = FACTOR) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest found."""
-    wanted = usable(queries)
-    blocks = max(1, -(-wanted.count() // QUERIES))
-    packed = (wanted.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-              .groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries")))
+    wanted = usable(queries).distinct().withColumn("query", F.xxhash64("vec_id", "embedding"))
     shards = [r["shard"] for r in trees.select("shard").distinct().collect()]  # numbers only
-    work = packed.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]))) if shards else packed.withColumn("shard", F.lit(0))
+    # a shard's trees, then all queries: each tree goes to one task, each query once to each
+    asked = wanted.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<int>"))).withColumn("tree", F.lit(None).cast("binary"))
+    held = trees.select(F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("long").alias("query"), "shard", "tree")
+    dealt = asked.unionByName(held).repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", F.col("tree").isNull())
 
     def run(batches):
+        now, own = None, []
         for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
             out = []
-            for queries_, data in zip(batch.column("queries"), batch.column("tree"), strict=True):
-                tree = pickle.loads(data.as_py())
-                fit = [q for q in queries_.as_py() if len(q["embedding"]) == tree.unit.shape[1]]
-                if fit:
-                    ids = np.array([q["vec_id"] for q in fit])
-                    found, _ = tree.search(ids, np.array([q["embedding"] for q in fit]), k, factor)
-                    out += [(int(q), i, s) for q, own in zip(ids, found, strict=True) for s, i in own]
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)],
-                                             names=["query_id", "vec_id", "score"])
-
-    # the join on the shard number only brings each tree to its blocks
-    spread = work.join(trees, "shard").select("queries", "tree").repartition(max(1, blocks * len(shards)))
-    found = spread.mapInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for a, z in zip(starts, [*starts[1:], len(shard)], strict=True):
+                if shard[a] != now:
+                    now, own = shard[a], []
+                part = batch.slice(a, z - a)
+                own += [pickle.loads(t) for t in part.column("tree").to_pylist() if t is not None]
+                rows = [q for q in zip(part.column("query").to_pylist(), part.column("vec_id").to_pylist(), part.column("embedding").to_pylist(), strict=True) if q[2] is not None]
+                for tree in own:
+                    fit = [q for q in rows if len(q[2]) == tree.unit.shape[1]]
+                    for at in range(0, len(fit), QUERIES):
+                        some = fit[at:at + QUERIES]
+                        found, _ = tree.search(np.array([q[1] for q in some]), np.array([q[2] for q in some]), k, factor)
+                        out += [(q, vec, i, s) for (q, vec, _), near in zip(some, found, strict=True) for s, i in near]
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)],
+                                             names=["query", "query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "query long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

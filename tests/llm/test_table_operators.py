@@ -324,7 +324,7 @@ CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<|im_end|>\nb"), (1, 2, "
 
 def test_chat_digests(spark):
     d = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumn("example", F.lit("x"))
-    rows = {r["conv_id"]: r for r in chat.read_back(chat.examples(d)).collect()}
+    rows = {r["conv_id"]: r for r in chat.read_back(chat.materialize(chat.examples(d))).collect()}
     by = defaultdict(list)
     for c, t, r, x in CHATS:
         by[c].append((t is not None, t or 0, r or "", x or ""))
@@ -336,7 +336,7 @@ def test_chat_digests(spark):
         got = rows[c]
         assert got["n_turns"] == len(turns) and got["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert got["loss_chars"] == len(loss) and got["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-    assert chat.read_back(chat.examples(d.limit(0))).count() == 0
+    assert chat.read_back(chat.materialize(chat.examples(d.limit(0)))).count() == 0
 
 
 def test_chat_examples(spark):
@@ -387,3 +387,57 @@ def test_cascade_is_exact(spark):
     rows = urls.flagged(frame(universe), "key", cascade, "hit").collect()
     assert all(r["hit"] == ((r["key"] or "") in own) for r in rows)
     assert urls.build(frame([]), frame(universe)) == []
+
+
+# ---- repeated rows ----------------------------------------------------------------
+
+def test_nearest_of_repeated_query_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(1, 60)]
+    rows += [rows[49]] * 3 + [(50, rows[0][1]), (7, rows[3][1]), (7, rows[3][1])]  # id 50 four times alike and once other; id 7 three times
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = Counter()
+    for vector in {tuple(v) for i, v in rows if i == 50}:
+        a = np.array(vector)
+        near = sorted((-float(vptree.cosines(np.array([v]), a)[0]), i) for i, v in rows if i != 50)[:5]
+        want.update((50, rank, i, round(-s, 12)) for rank, (s, i) in enumerate(near, 1))
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in vptree.nearest(d).collect())
+    assert got == want
+
+
+def test_repeated_rows_are_verified_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words_ = [f"w{i}" for i in range(400)]
+    a = list(rng.choice(words_, 120))
+    b, c = a[:], a[:]
+    b[5], c[100] = "x", "y"
+    texts = [" ".join(a)] * 400 + [" ".join(b)] * 400 + [" ".join(c)] * 200
+    d = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pairs = []
+    plain = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda p, v, t: pairs.append((p.count(), v.count(), v.select("key").distinct().count())) or plain(p, v, t))
+    got = minhash.near_duplicates(d).collect()
+    assert len(got) == 1000 and {r["class_id"] for r in got} == {7}
+    assert pairs and all(n == keys for _, n, keys in pairs)
+
+
+def test_rows_without_ids_are_many_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None, "w " * 10, "a") for _ in range(3000)] + [(None, f"x{i} " * 10, "a") for i in range(3000)] + [(i, "v " * int(rng.integers(1, 30)), "b") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("a.b", F.lit(1))
+    sizes = mixing.sized(d).withColumn("order", F.xxhash64("doc_id", "size", "spread"))
+    assert sizes.groupBy("order").count().agg(F.max("count")).first()[0] < 10
+    out = mixing.mix(d).collect()
+    taken = sum(r["taken"] for r in out if r["doc_id"] is None)
+    target = next(r["target"] for r in out if r["doc_id"] is None)
+    assert len(out) == len(rows) and abs(taken - target) <= 40
+    assert mixing.mixed_documents(d).columns == d.columns and mixing.mixed_documents(d).count() == sum(r["copies"] for r in out)
+
+
+def test_long_hosts_and_given_lists(spark):
+    rows = [(0, "http://" + "h" * 300_000), (1, "http://spam\0/x"), (2, "http://spam/x"), (3, None)] + [(i, f"http://h{i}.org/p") for i in range(4, 2000)]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([("spam",), ("h77.org",), ("elsewhere",), (None,)], "key string")
+    got = {r["page_id"]: (r["host"], r["listed"]) for r in urls.judge(d, listed=listed).collect()}
+    assert got[0] == ("h" * 300_000, False) and got[1] == ("spam\0", False) and got[2] == ("spam", True)
+    assert {k for k, v in got.items() if v[1]} == {2, 77}
