@@ -63,6 +63,8 @@ _DRAWS = 1 << 16
 _RUN = 1 << 16
 #: Words longer than this are replaced by a hash.
 _LONG = 256
+#: Rows of a batch handled at once.
+_ROWS_AT_ONCE = 512
 #: Shingles handled at once.
 _CHUNK = 1 << 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -248,7 +250,7 @@ def signatures(vecs: DataFrame, table: np.ndarray) -> DataFrame:
         return log_table[h >> (32 - IDF_BITS)] + (small if c.max() <= 1024 else np.where(c <= 1024, small, np.log(c)))
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [_read(h, c) for h, c in zip(batch.column("h").to_pylist(), batch.column("c").to_pylist(), strict=True)]
             bands, w = [None] * len(sets), [0.0] * len(sets)
             todo, held = [], 0
@@ -271,10 +273,17 @@ def signatures(vecs: DataFrame, table: np.ndarray) -> DataFrame:
 
 # ---- links and classes --------------------------------------------------------
 
+def _parts(batches):
+    """Batches in slices of a few rows, so that little is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield batch.slice(at, _ROWS_AT_ONCE)
+
+
 def _verified(pairs: DataFrame, vecs: DataFrame, table: np.ndarray) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             a, b, *blobs = (batch.column(x).to_pylist() for x in ("a", "b", "ha", "ca", "hb", "cb"))
             keep = [similarity(_read(ha, ca), _read(hb, cb), table) >= THRESHOLD for ha, ca, hb, cb in zip(*blobs, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(v, keep, strict=True) if k], pa.binary()) for v in (a, b)], names=["a", "b"])
@@ -373,7 +382,7 @@ def _postings(texts: DataFrame, table: np.ndarray) -> DataFrame:
     brief = 2 * THRESHOLD / (1 + THRESHOLD)
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             keys, ws, hubs, hs, cs = (batch.column(x).to_pylist() for x in ("key", "w", "hub", "h", "c"))
             found, rests, sizes = [np.empty(0, np.int64)], [np.empty(0)], []
             for total, h, c in zip(ws, hs, cs, strict=True):
@@ -432,8 +441,9 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = members.groupBy("bucket").agg(F.max(F.struct("hub", "key", "w")).alias("a"), F.when(F.max("odd") == 1, F.min(F.struct("key", "w"))).alias("b"))
     ends = ends.select("bucket", F.explode(F.array_compact(F.array(F.struct("a.key", "a.w"), F.col("b")))).alias("x"))
     ends = cut_lineage(ends.select("bucket", F.col("x.key").alias("lead_key"), F.col("x.w").alias("lead_w")), "leaders")
+    # one body for a key, however many rows have the representative's id
     wanted = members.select("key").distinct().join(texts.select("key", "rep"), "key")
-    bodies = cut_lineage(vecs.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "h", "c"), "bodies")
+    bodies = cut_lineage(vecs.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "h", "c").dropDuplicates(["key"]), "bodies")
 
     labels = components(_verified(_pairs(members, ends), bodies, table))
     labels, left = _rounds(members, labels, bodies, table)
