@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qtemplates.session import function_key
+
 TOKEN_TYPE = "array<struct<i:int,idx:int,text:string,pos:string,dep:string,head:int>>"
 CHUNK_TYPE = "array<struct<start:int,end:int>>"
 
@@ -176,15 +178,6 @@ def annotate(df: DataFrame, text_col: str, tokens_col: str = "tokens", chunks_co
 
 _ANNOTATORS: dict = {}
 
-def _fn_key(fn) -> str:
-    """Stable per-function key for a per-worker cache: the digest of the
-    pickled function (code and captured values), computed on the driver."""
-    import hashlib
-
-    from pyspark import cloudpickle
-    return hashlib.sha1(cloudpickle.dumps(fn)).hexdigest()
-
-
 
 def annotate_with(df: DataFrame, text_col: str, make_annotator: Callable[[], Callable[[str], tuple]],
                   tokens_col: str = "tokens", chunks_col: str = "noun_chunks") -> DataFrame:
@@ -194,7 +187,7 @@ def annotate_with(df: DataFrame, text_col: str, make_annotator: Callable[[], Cal
     schema = T.StructType(df.schema.fields + [
         T.StructField(tokens_col, T._parse_datatype_string(TOKEN_TYPE)),
         T.StructField(chunks_col, T._parse_datatype_string(CHUNK_TYPE))])
-    key = _fn_key(make_annotator)
+    key = function_key(make_annotator)
 
     def run(batches: Iterable):
         # built once per Python worker (workers are reused across tasks)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from qtemplates.functions.text import clean_line, py_strip
 from qtemplates.operators.ids import assign_ids
+from qtemplates.session import function_key
 
 
 def _c(col) -> Column:
@@ -69,15 +70,6 @@ def render_prompt(df: DataFrame, template: str, slots: dict | None = None,
 
 _GEN_CACHE: dict = {}
 
-def _fn_key(fn) -> str:
-    """Stable per-function key for a per-worker cache: the digest of the
-    pickled function (code and captured values), computed on the driver."""
-    import hashlib
-
-    from pyspark import cloudpickle
-    return hashlib.sha1(cloudpickle.dumps(fn)).hexdigest()
-
-
 
 def generate_text(df: DataFrame, make_generator: Callable[[], Callable[[Sequence[str]], Sequence[str]]],
                   prompt_col: str = "prompt", out: str = "generated_text",
@@ -94,7 +86,7 @@ def generate_text(df: DataFrame, make_generator: Callable[[], Callable[[Sequence
                                               T.StructField("error", T.StringType())])
     # the function is unpickled anew for every task: key the per-worker cache
     # by content, not by object identity
-    key = _fn_key(make_generator)
+    key = function_key(make_generator)
 
     def run(batches: Iterable):
         # look the cache up through the module: a global captured by this

@@ -933,6 +933,24 @@ def q_abstracts_from_pages(spark, sf):
     return H.abstracts_from_pages(p, "article", None, "nav", None, H.site_base("url"), inner="li")
 
 
+@query("abstracts_defaults", sql=f"""
+WITH a AS ({_flat_sql("article")}), n AS ({_flat_sql("nav")}), o AS (SELECT DISTINCT page_id FROM pages WHERE regexp_matches(html, '(?i)<strong[\\s>]'))
+SELECT CAST(row_number() OVER (ORDER BY a.url, a.pos, a.text) AS BIGINT) AS id, 'No Title' AS title, a.text AS abstract, 'No URL' AS url
+FROM a JOIN n ON a.page_id = n.page_id AND a.pos = n.pos WHERE a.page_id NOT IN (SELECT page_id FROM o)""")
+def q_abstracts_defaults(spark, sf):
+    """H8: blocks without a title element get the default title and address."""
+    p = spread(table(spark, sf, "pages")).filter(~F.col("html").rlike(r"(?i)<strong[\s>]"))
+    return H.abstracts_from_pages(p, "article", None, "nav", None, H.site_base("url"))
+
+
+@query("select_existing_columns", sql="SELECT doc_id, source, lang FROM documents")
+def q_select_existing(spark, sf):
+    """A table that must have some columns, cut to those that exist."""
+    d = table(spark, sf, "documents")
+    IO.require_columns(d, ["doc_id", "text"])
+    return IO.select_existing(d, ["doc_id", "title", "source", "lang", "EC1"])
+
+
 @query("extract_template_collapsed")
 def q_extract_collapsed(spark, sf):
     """T2 with the predicate pass reading the collapsed first annotation."""

@@ -86,6 +86,15 @@ def remove_stages(spark: SparkSession) -> int:
     return n
 
 
+def function_key(fn) -> str:
+    """Stable key of a function for a cache in Python workers: the digest of
+    the pickled function (code and captured values), computed on the driver."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    return hashlib.sha1(cloudpickle.dumps(fn)).hexdigest()
+
+
 _SHIPPED: set = set()
 
 

@@ -45,7 +45,10 @@ def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     """H1: every ``<a href>`` value, with its position on the page: any case of
     the names, any quoting, references decoded; none from comments."""
     def href(attributes):
-        return F.when(attributes.rlike(HREF), F.concat(*[F.regexp_extract(attributes, HREF, k) for k in (1, 2, 3)]))
+        # one match: the three quotings are groups, of which one is not empty;
+        # attributes begin with white space or a slash, never with the mark
+        said = F.regexp_replace(attributes, HREF + ".*", "\x01$1$2$3")
+        return F.when(said.startswith("\x01"), F.substring(said, 2, 1 << 30))
     found = F.filter(F.transform(F.regexp_extract_all(without_hidden(html_col), F.lit(A_TAG), F.lit(1)), href), lambda h: h.isNotNull())
     links = pages.select(F.col(url_col).alias("url"), F.posexplode(found).alias("pos", "href"))
     return links.withColumn("href", unescape(F.col("href")))
