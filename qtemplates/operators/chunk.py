@@ -424,7 +424,12 @@ def templates_from_questions(questions: DataFrame, q_col: str = "research_questi
     # copies of a question collapse before the shuffle; the distinct ones are
     # then dealt out by an explicit count, as the chunking below is CPU-heavy
     # and adaptive execution would judge by bytes
-    n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = questions.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = max(n, 4 * spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001  (Spark Connect: no context)
+        pass
     q = questions.select(q_col).na.drop().dropDuplicates().repartition(n, q_col)
     t = extract_template_with_mapping(q, q_col, "mapping", prefixes, annotator)
     # the range sort samples its input first; cut lineage so the sampling job
