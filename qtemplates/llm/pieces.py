@@ -139,8 +139,12 @@ class Vocabulary:
             np.copyto(out, ids[at], where=keys[at] == h)
         return out
 
+    def spell(self, ids) -> bytes:
+        """The text of some pieces as UTF-8."""
+        return b"".join(map(self.data.__getitem__, ids))[1:]
+
     def decode(self, ids) -> str:
-        return b"".join(map(self.data.__getitem__, ids))[1:].decode()
+        return self.spell(ids).decode()
 
 
 class Lattices:
@@ -150,12 +154,13 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.high, self.piece, self.back = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.clear()
 
     def clear(self):
+        self.high, self.piece, self.back = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.known, self.n, self.nodes = {}, 0, 0  # known: numbers of units
         self.zero, self.end = array("q"), array("q")  # first and last node by number
+        self.first = np.empty(1 << 16, np.int32)  # first edge by node
 
     def add(self, units: list[str]):
         """Give each unit (start node, end node)."""
@@ -173,12 +178,19 @@ class Lattices:
         if slow:
             self._add_each(slow)
 
-    def _keep(self, high, piece, back):
+    def _keep(self, high, piece, back, node, nodes):
+        """More edges, each with its node; ``nodes`` is the number of nodes now."""
         m = self.n + len(high)
-        if m > len(self.high):  # room for as much again, so that copies stay few
-            self.high, self.piece, self.back = (np.concatenate([a[:self.n], np.empty(2 * m - self.n, a.dtype)]) for a in (self.high, self.piece, self.back))
+        for name, size in (("high", m), ("piece", m), ("back", m), ("first", nodes)):
+            old = getattr(self, name)
+            if size > len(old):  # a quarter more than asked for, so that copies stay few; one array after the other
+                new = np.empty(size + size // 4, old.dtype)
+                new[:len(old)] = old
+                setattr(self, name, new)
         self.high[self.n:m], self.piece[self.n:m], self.back[self.n:m] = high, piece, back
-        self.n = m
+        own = np.bincount(node - self.nodes, minlength=nodes - self.nodes)
+        self.first[self.nodes:nodes] = self.n + np.cumsum(own) - own
+        self.n, self.nodes = m, nodes
 
     def _add_many(self, units: list[str], width: int):
         """Units of at most ``width`` characters that all are pieces: the
@@ -204,18 +216,17 @@ class Lattices:
         node = zero[unit] + end
         high = np.minimum(share[unit, end, k] / share[unit, end, -1], 1.0) + node
         high[np.append(node[1:] != node[:-1], True)] = node[np.append(node[1:] != node[:-1], True)] + 1.0
-        self._keep(high, ids[unit, end, k], node - k - 1)
+        self._keep(high, ids[unit, end, k], node - k - 1, node, self.nodes + int((sizes + 1).sum()))
         self.known.update(zip(units, range(len(self.zero), len(self.zero) + n), strict=True))
         self.zero.frombytes(zero.astype(np.int64).tobytes())
         self.end.frombytes((zero + sizes).astype(np.int64).tobytes())
-        self.nodes += int((sizes + 1).sum())
 
     def _add_each(self, units: list[str]):
         """Units of any length and characters, one after the other."""
-        v, high, piece, back = self.v, [], [], []
+        v, high, piece, back, node, upto = self.v, [], [], [], [], self.nodes
         ids, weight, longest = v.ids, v.weight, v.longest
         for unit in units:
-            zero = self.nodes
+            zero = upto
             at = [zero]  # node of each character position
             nodes = zero + 1
             alpha = [1.0]
@@ -234,6 +245,7 @@ class Lattices:
                         high.append(nodes + 1.0)
                         piece.append(v.byte_id[value])
                         back.append(before)
+                        node.append(nodes)
                         before, nodes = nodes, nodes + 1
                     total += alpha[end - 1] * v.byte_weight ** len(own)
                     found.append((total, v.byte_id[own[-1]], before))
@@ -244,6 +256,7 @@ class Lattices:
                 high.append(nodes + 1.0)
                 piece.append(found[-1][1])
                 back.append(found[-1][2])
+                node += [nodes] * len(found)
                 at.append(nodes)
                 nodes += 1
                 alpha.append(total)
@@ -252,8 +265,8 @@ class Lattices:
             self.known[unit] = len(self.zero)
             self.zero.append(zero)
             self.end.append(nodes - 1)
-            self.nodes = nodes
-        self._keep(high, piece, back)
+            upto = nodes
+        self._keep(high, piece, back, np.array(node, np.int64), upto)
 
     def sample(self, seeds: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the texts end to end and the number of each text."""
@@ -275,12 +288,17 @@ class Lattices:
         own = mix(np.repeat(seeds, sizes) + (np.arange(len(node)) - first).astype(np.uint64) * _M1)
         live = np.arange(len(node))
         steps, step = [], 0
-        high, piece, back = self.high[:self.n], self.piece, self.back
+        high, piece, back, first_edge = self.high, self.piece, self.back, self.first
         count = np.zeros(len(node), np.int64)
         while len(live):
             u = (mix(own[live] + np.uint64(step * int(_M3) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)) * 2.0 ** -53
             # u < 1; the sum may round up to the next node's number
-            edge = np.searchsorted(high, np.minimum(node + u, np.nextafter(node + 1.0, 0)), side="right")
+            point = np.minimum(node + u, np.nextafter(node + 1.0, 0))
+            edge = first_edge[node]
+            past = np.flatnonzero(high[edge] <= point)
+            while len(past):  # a node has few edges
+                edge[past] += 1
+                past = past[high[edge[past]] <= point[past]]
             steps.append((live, piece[edge]))
             count[live] += 1
             node = back[edge]
@@ -326,8 +344,9 @@ def _sampled(documents: DataFrame, model, seed, sharpness, key, columns, out, ch
                 ends = np.cumsum(n)
                 cols = [part.column("row"), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))]
                 if checked:
-                    said = [lattices.v.decode(ids[e - m:e].tolist()) if m else "" for e, m in zip(ends, n, strict=True)]
-                    cols += [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said]), pa.array([a == b for a, b in zip(said, texts, strict=True)])]
+                    every = ids.tolist()
+                    said = [lattices.v.spell(every[e - m:e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                    cols += [pa.array([hashlib.sha256(t).hexdigest() for t in said]), pa.array([a == b.encode() for a, b in zip(said, texts, strict=True)])]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "pieces", "sha256", "lossless"][:len(cols)])
 
     fields = [StructField("row", given.schema["row"].dataType), StructField("pieces", ArrayType(IntegerType()))]
