@@ -34,6 +34,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,11 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2000, 1 << 15
 LEVEL = 3
 #: Bytes of frames, or documents, after which a block is closed.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 8192
-#: Pieces remembered in a worker, their longest, characters handled at once.
+#: Pieces remembered in a worker (as many again of those before), their
+#: longest, characters handled at once.
 _PIECES, _LONG, _CHUNK = 400_000, 100, 1 << 19
+#: New pieces that one call of the tokenizer takes; its working set stays in the cache.
+_CALL = 512
 _HEAD = struct.Struct("<4s32sBI")
 _CUT = re.compile(r"(?= \S)")
 _DOUBTFUL = re.compile(r" (?:\s|$)|\0")
@@ -71,7 +75,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # pieces met lately, and those of the time before: what is met again moves over
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # ids that begin with a space (written as U+0120 in byte-level pieces)
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -80,13 +86,16 @@ class Encoder:
         """Ids of each text as little-endian numbers of ``dtype``."""
         pieces = [_CUT.split(t) if _DOUBTFUL.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         if len(self.known) > _PIECES:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         known = self.known
-        new = [p for p in dict.fromkeys(p for own in pieces for p in own) if p not in known]
+        new = set(chain.from_iterable(pieces)).difference(known)
+        old = [p for p in new if p in self.before]
+        known.update(zip(old, map(self.before.__getitem__, old), strict=True))
+        new.difference_update(old)
         # a space, then none: many in one call, told apart by their first ids
         plain = [p for p in new if len(p) > 1 and p[0] == " " and " " not in p[1:] and not p[1].isspace()]
-        for i in range(0, len(plain), 4096):
-            some = plain[i:i + 4096]
+        for i in range(0, len(plain), _CALL):
+            some = plain[i:i + _CALL]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
             at = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.dtype.itemsize
             data = ids.astype(self.dtype).tobytes()
