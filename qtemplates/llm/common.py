@@ -43,10 +43,17 @@ def hashed_sample(df: DataFrame, keys: list[str], limit: int, ties: list[str] |
 
     Rows are first cut to a hash range that holds about four times the limit,
     so that the final sort gets a bounded number of rows however many
-    partitions there are (a plain ``limit`` takes that many from each)."""
+    partitions there are (a plain ``limit`` takes that many from each).  Where
+    few keys are shared by many rows (null or repeated ids) the range may miss
+    them; rows are then told apart by ``ties`` as well."""
     h, n = F.xxhash64(*keys), df.count()
     if n > 4 * limit:
-        df = df.filter(h <= int(-(1 << 63) + (1 << 64) * (4 * limit / n)))
+        most = int(-(1 << 63) + (1 << 64) * (4 * limit / n))
+        some = df.filter(h <= most)
+        if ties and some.limit(limit).count() < limit:
+            h = F.xxhash64(*keys, *ties)
+            some = df.filter(h <= most)
+        df = some
     return df.orderBy(h, *keys, *(ties or [])).limit(limit)
 
 

@@ -278,3 +278,11 @@ def test_secrets_beside_base_spans(spark):
         # the pipeline replaces what the scan reports
         assert hexa not in texts[i] and all(x not in texts[i] for x in own)
     assert lost <= 5
+
+
+def test_samples_of_rows_without_ids(spark):
+    from qtemplates.llm.common import hashed_sample
+    d = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    assert hashed_sample(d, ["doc_id"], 300, ["text"]).select("text").distinct().count() == 300
+    own = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert hashed_sample(own, ["doc_id"], 300, ["text"]).select("doc_id").distinct().count() == 300
