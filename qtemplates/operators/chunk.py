@@ -112,20 +112,21 @@ def _span(b, e, kind, v, num=None) -> Column:
                     (F.lit(None) if num is None else num).cast("int").alias("num"))
 
 
-#: Characters of a block of a text.
-_BLOCK = 4096
+#: Characters of a block of a text, as a power of two.
+_BLOCK_BITS = 8
+_BLOCK = 1 << _BLOCK_BITS
 
 
 def _blocks(text: Column) -> Column:
     """A text in blocks, so that a cut does not count its characters from the start."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    return F.when(F.length(text) <= _BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)))
 
 
 def _cut(blocks: Column, b: Column, e: Column) -> Column:
     """Characters b..e-1 of a text given in blocks."""
-    first = F.floor(b / _BLOCK).cast("int")
-    part = F.array_join(F.slice(blocks, first + 1, F.floor(e / _BLOCK).cast("int") - first + 1), "")
-    return F.substr(part, (b - first * _BLOCK + 1).cast("int"), (e - b).cast("int"))
+    first, last = F.shiftright(b, _BLOCK_BITS), F.shiftright(e, _BLOCK_BITS)
+    part = F.when(first == last, F.coalesce(F.get(blocks, first), F.lit(""))).otherwise(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""))
+    return F.substr(part, b - first * _BLOCK + 1, e - b)
 
 
 def blocked_fold(arr: Column, init: Column, step, out_type: str) -> Column:
@@ -147,10 +148,17 @@ def blocked_fold(arr: Column, init: Column, step, out_type: str) -> Column:
     return let(arr, lambda x: F.when(F.size(x) == 0, F.array().cast(out_type)).otherwise(blocked(x)))
 
 
+def _in_order(arr: Column, follows) -> Column:
+    """Does every element but the first follow the one before it?"""
+    return F.coalesce(F.forall(F.transform(arr, lambda x, i: (i == 0) | follows(x, F.get(arr, i - 1))), lambda ok: ok), F.lit(False))
+
+
 def _by_start(arr: Column) -> Column:
     """Spans by start; those with one start stay in the given order."""
-    keyed = F.transform(arr, lambda x, i: F.struct(x["b"].alias("b"), i.alias("i"), x.alias("x")))
-    return F.transform(F.sort_array(keyed), lambda k: k["x"])
+    def ordered(a):
+        keyed = F.transform(a, lambda x, i: F.struct(x["b"].alias("b"), i.alias("i"), x.alias("x")))
+        return F.when(_in_order(a, lambda x, before: x["b"] >= before["b"]), a).otherwise(F.transform(F.sort_array(keyed), lambda k: k["x"]))
+    return let(arr, ordered)
 
 
 def _by_head(tokens: Column) -> Column:
@@ -251,9 +259,9 @@ def _pc_spans(text: Column, tokens: Column, ctx: Column, profile: str, tags: Col
         s, e = sp["s"], sp["e"]
         b, ee = d.tok(s)["idx"], d.end(d.tok(e))
         txt = _cut(text, b, ee)
-        lo = F.get(by_head["lo"], s)
-        own = F.filter(F.slice(by_head["aux"], lo + 1, F.get(by_head["lo"], e + 1) - lo), lambda a: (a["i"] < s) | (a["i"] > e))
-        aux = F.array_max(F.transform(own, lambda a: F.struct(a["i"].alias("i"), a["t"].alias("t"))))["t"]
+        lo, hi = F.get(by_head["lo"], s), F.get(by_head["lo"], e + 1)
+        own = F.filter(F.slice(by_head["aux"], lo + 1, hi - lo), lambda a: (a["i"] < s) | (a["i"] > e))
+        aux = F.when(hi > lo, F.array_max(F.transform(own, lambda a: F.struct(a["i"].alias("i"), a["t"].alias("t"))))["t"])
         return F.struct(s.alias("s"), e.alias("e"), b.alias("b"), ee.alias("ee"), txt.alias("txt"),
                         py_strip(txt).alias("stxt"), aux.alias("aux"))
 
@@ -310,8 +318,17 @@ def splice(q: Column, spans: Column, prefix: str, renumber: bool) -> Column:
         end = F.when(F.size(m) > 0, F.get(m, F.size(m) - 1)["x"]["e"]).otherwise(0)
         return F.struct(F.concat(F.array_join(pieces, ""), F.substr(q, end + 1)).alias("text"),
                         F.map_from_entries(F.flatten(F.transform(m, lambda y: y["ent"]))).alias("map"), kept.alias("kept"))
-    placed = F.transform(blocked_fold(spans, init, step, _PLACED_TYPE), marked)
-    return let(placed, lambda m: let(_blocks(q), lambda text: finish(m, text)))
+    def apart(sp):
+        """All spans where none overlaps the one before: nothing to drop."""
+        return F.transform(sp, lambda s, i: F.struct(
+            F.when(i == 0, 0).otherwise(F.get(sp, i - 1)["e"]).alias("from"), s["b"].alias("b"), s["e"].alias("e"), s["kind"].alias("kind"),
+            (i + 1 if renumber else s["num"]).cast("int").alias("num"), s["v"].alias("v")))
+
+    def placed(sp):
+        free = _in_order(sp, lambda s, before: s["b"] >= before["e"])
+        single = F.forall(sp, lambda s: s["kind"] <= 1) if renumber else F.lit(True)
+        return F.transform(F.when(free & single, apart(sp)).otherwise(blocked_fold(sp, init, step, _PLACED_TYPE)), marked)
+    return let(let(spans, placed), lambda m: let(_blocks(q), lambda text: finish(m, text)))
 
 
 def collapse_spans(tokens: Column, kept: Column) -> Column:
