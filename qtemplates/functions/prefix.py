@@ -67,7 +67,7 @@ def prefix_end_from(df: DataFrame, col: str, prefixes: DataFrame, out: str = "pr
     many as the longest pattern has words; equal beginnings are looked up once
     by an equi-join, so neither the list nor a hot beginning is collected."""
     width = prefixes.agg(F.max(F.size(F.split("pattern", " ")))).first()[0] or 0  # one number
-    head = F.substring_index(F.lower(py_strip(col)), " ", width)
+    head = F.lower(F.substring_index(py_strip(col), " ", width))  # the cut first: lower-casing ends at a space
     rows = df.withColumn("_head", head)
     cuts = F.transform(F.sequence(F.lit(1), F.size(F.split("_head", " "))), lambda i: F.call_function("substring_index", F.col("_head"), F.lit(" "), i))
     tried = rows.select("_head").filter(F.col("_head").isNotNull()).distinct().select("_head", F.explode(cuts).alias("pattern"))

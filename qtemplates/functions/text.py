@@ -22,6 +22,8 @@ PANDAS_NA_VALUES = [
 # Token classes shared by several operators (Unicode letters, digits, underscore).
 WORD_CLASS = r"\p{L}\p{N}_"
 NON_WORD_PUNCT = r"(?U)[^\p{L}\p{N}_\s]"
+# What ``str.strip()`` removes: the characters of ``(?U)[\s\x1c-\x1f]``.
+PY_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _c(col) -> Column:
@@ -29,8 +31,14 @@ def _c(col) -> Column:
 
 
 def py_strip(col) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """``str.strip()``: remove leading/trailing Unicode whitespace.  A trim looks
+    at both ends only; a pattern would be tried at every character."""
+    return F.btrim(_c(col), F.lit(PY_SPACE))
+
+
+def not_blank(col) -> Column:
+    """``str.strip() != ''``, known at the first character that is not white space."""
+    return _c(col).rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def py_strip_chars(col, chars: str) -> Column:
@@ -85,16 +93,37 @@ def clean_line(col, numbering: str = "strict") -> Column:
     return py_strip_chars(c, " \"'\n")
 
 
+def has_word(col) -> Column:
+    """Is there a letter, digit or underscore, so that a pattern exists?"""
+    return _c(col).rlike(f"[{WORD_CLASS}]")
+
+
+def opening(col, n: int = 5) -> Column:
+    """The text up to the end of its ``n``-th word (punctuation alone is none)
+    and one character more, or all of it if there are fewer words: what
+    ``question_pattern`` needs of a text, however long.  Openings of texts with
+    different patterns have the order of the texts, and the least opening of a
+    pattern is that of its least text: a text whose opening is cut has white
+    space there, so that no opening begins another one of another pattern
+    unless it is a whole text."""
+    word = rf"[^{WORD_CLASS}]*+[{WORD_CLASS}]\S*+"
+    return F.regexp_extract(_c(col), rf"(?Us)^(?:(?:{word}){{{n}}}.?|.*)", 0)
+
+
+def opening_pattern(opened, n: int = 5) -> Column:
+    """K1 of a text with a word, from its ``opening``."""
+    words = py_split(F.regexp_replace(_c(opened), NON_WORD_PUNCT, ""))
+    return F.lower(F.array_join(F.slice(words, 1, n), " "))
+
+
 def question_pattern(col, n: int = 5) -> Column:
     """K1: strip, drop punctuation, first ``n`` words, lower-cased; blank -> null."""
-    words = py_split(F.regexp_replace(py_strip(col), NON_WORD_PUNCT, ""))
-    p = F.lower(F.array_join(F.slice(words, 1, n), " "))
-    return F.when(F.size(words) > 0, p)
+    return F.when(has_word(col), opening_pattern(opening(col, n), n))
 
 
 def blank_to_null(col) -> Column:
     c = _c(col)
-    return F.when(py_strip(c) != "", c)
+    return F.when(not_blank(c), c)
 
 
 def text_lines(col) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qtemplates.functions.text import py_strip, question_pattern
+from qtemplates.functions.text import has_word, opening, opening_pattern, py_strip
 from qtemplates.operators.ids import assign_ids, rank_within
 
 DEFAULT_MARKERS = ("EC1", "EC2", "EC3", "EC4", "EC5", "PC1", "PC2")
@@ -27,9 +27,11 @@ def _order(order_by, fallback: str) -> Column:
 
 
 def _pattern_counts(df: DataFrame, col: str, n: int, min_count: int, order_by) -> DataFrame:
-    p = df.select(question_pattern(col, n).alias("pattern"), _order(order_by, col).alias("_o"))
-    return (p.filter(F.col("pattern").isNotNull())
-             .groupBy("pattern").agg(F.count(F.lit(1)).alias("frequency"), F.min("_o").alias("_first"))
+    # without an order column the least opening stands for the least text, so that no whole text is sorted or moved
+    at = opening(col, n).alias("_at")
+    p = df.filter(has_word(col)).select(at, _order(order_by, col).alias("_o")) if order_by is not None else df.filter(has_word(col)).select(at)
+    p = p.select(opening_pattern("_at", n).alias("pattern"), F.col("_at" if order_by is None else "_o").alias("_o"))
+    return (p.groupBy("pattern").agg(F.count(F.lit(1)).alias("frequency"), F.min("_o").alias("_first"))
              .filter(F.col("frequency") >= min_count))
 
 

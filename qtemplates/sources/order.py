@@ -27,5 +27,5 @@ def number_rows(read: DataFrame, col: str = "row_no", start: int = 0) -> DataFra
     splits = rows.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
     before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_file", "_split", (F.coalesce(F.sum("n").over(before), F.lit(0)) + start - F.col("_first")).alias("_offset"))
-    placed = rows.join(offsets, ["_file", "_split"])
+    placed = rows.join(F.broadcast(offsets), ["_file", "_split"])  # one row a split
     return placed.withColumn(col, (F.col("_at") + F.col("_offset")).cast("long")).select(*read.columns, col)

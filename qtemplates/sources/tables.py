@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qtemplates.functions.text import py_strip
+from qtemplates.functions.text import not_blank
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, line_no, line): the non-blank lines of every document."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return (d.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-             .filter(py_strip("line") != "")
+             .filter(not_blank("line"))
              .withColumn("line_no", F.col("line_no").cast("long")))
 
 
@@ -42,5 +42,5 @@ def bench_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, line_no, line): the non-blank lines of every benchmark text."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return (b.select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-             .filter(py_strip("line") != "")
+             .filter(not_blank("line"))
              .withColumn("line_no", F.col("line_no").cast("long")))

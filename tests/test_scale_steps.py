@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from qtemplates.functions import text as T
 from qtemplates.operators import annotate as A
 from qtemplates.operators import best_bleu as BB
+from qtemplates.operators import frequency as K
 from qtemplates.operators import lexicon as LX
 from qtemplates.plans.catalog import QUERIES
 
@@ -49,3 +51,39 @@ def test_pairs_meet_sets_behind_the_grouping(spark):
     scored = BB._scored(pairs, sets, sets)
     assert "collect_list(tr" in _plan(scored)
     assert {(r["te"], r["tr"]): round(r["s"], 6) for r in scored.collect()}[(1, 1)] > 0 and scored.count() == 3
+
+
+def test_patterns_need_the_beginning_only(spark):
+    tail = " and more of the same" * 50
+    texts = ["Is it a new model" + tail, "is it, a new model!", "is it a new modelling" + tail, "?!\x1c ", "a - b", " 　Is it a new model\n" + tail, "", None, "\x1f"]
+    df = spark.createDataFrame([(t,) for t in texts], "q string")
+    assert max(len(r[0]) for r in df.select(T.opening("q", 5)).collect() if r[0]) < 30
+    got = [tuple(r) for r in K.pattern_frequency(df, "q", 5, 1).collect()]
+    assert got == [("is it a new model", 3), ("a b", 1), ("is it a new modelling", 1)]
+    from qtemplates.functions.text import py_split, py_strip
+    whole = F.regexp_replace(py_strip("q"), T.NON_WORD_PUNCT, "")
+    rows = df.select(T.question_pattern("q").alias("a"), F.lower(F.array_join(F.slice(py_split(whole), 1, 5), " ")).alias("b")).collect()
+    assert [r["a"] or "" for r in rows] == [r["b"] or "" for r in rows]
+    # no whole text is sorted, moved or stripped for it
+    assert "min(q" not in _plan(K.pattern_frequency(df, "q", 5, 1))
+
+
+def test_strip_trims_every_white_space(spark):
+    chars = [chr(c) for c in range(1, 0x3100)]
+    rows = spark.createDataFrame([(c + "a" + c + "b" + c,) for c in chars] + [(c,) for c in chars], "s string")
+    got = rows.select("s", T.py_strip("s").alias("t"), T.not_blank("s").alias("full")).collect()
+    assert all(r["t"] == r["s"].strip() and r["full"] == (r["s"].strip() != "") for r in got)
+    assert "regexp" not in _plan(rows.select(T.py_strip("s")))
+
+
+def test_row_numbers_move_no_rows(spark, tmp_path, monkeypatch):
+    from qtemplates.sources.order import number_rows
+    spark.range(1000).repartitionByRange(5, "id").write.csv(str(tmp_path / "x"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = number_rows(spark.read.schema("id long").csv(str(tmp_path / "x")))
+        assert "BroadcastHashJoin" in numbered._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in numbered.select("id", "row_no").collect()) == [(i, i) for i in range(1000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
