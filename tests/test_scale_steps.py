@@ -8,6 +8,7 @@ from qtemplates.functions import text as T
 from qtemplates.operators import annotate as A
 from qtemplates.operators import best_bleu as BB
 from qtemplates.operators import frequency as K
+from qtemplates.operators import generate as G
 from qtemplates.operators import lexicon as LX
 from qtemplates.plans.catalog import QUERIES
 
@@ -53,6 +54,20 @@ def test_pairs_meet_sets_behind_the_grouping(spark):
     assert {(r["te"], r["tr"]): round(r["s"], 6) for r in scored.collect()}[(1, 1)] > 0 and scored.count() == 3
 
 
+def test_generator_gets_slices_of_a_batch(spark):
+    prompt = "x" * 100_000
+    df = spark.range(40).coalesce(1).select("id", F.when(F.col("id") != 7, F.lit(prompt)).alias("prompt"), F.array(F.col("id")).alias("more"))
+    made = G.generate_text(df, lambda: lambda ps: [f"{len(ps)} {sum(len(p or '') for p in ps)}" for _ in ps]).orderBy("id").collect()
+    assert [(r["id"], r["more"]) for r in made] == [(i, [i]) for i in range(40)]
+    assert max(int(r["generated_text"].split()[1]) for r in made) <= 1 << 20  # all 40 in one call before
+
+
+def test_longer_prompts_go_alone(spark):
+    df = spark.createDataFrame([(0, "ab"), (1, "y" * (3 << 20)), (2, "c"), (3, None)], "id int, prompt string").coalesce(1)
+    made = G.generate_text(df, lambda: lambda ps: [None if p is None else str(len(p)) for p in ps]).orderBy("id").collect()
+    assert [r["generated_text"] for r in made] == ["2", str(3 << 20), "1", None]
+
+
 def test_patterns_need_the_beginning_only(spark):
     tail = " and more of the same" * 50
     texts = ["Is it a new model" + tail, "is it, a new model!", "is it a new modelling" + tail, "?!\x1c ", "a - b", " 　Is it a new model\n" + tail, "", None, "\x1f"]
