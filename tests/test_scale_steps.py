@@ -102,3 +102,21 @@ def test_row_numbers_move_no_rows(spark, tmp_path, monkeypatch):
         assert sorted(tuple(r) for r in numbered.select("id", "row_no").collect()) == [(i, i) for i in range(1000)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_shingles_of_a_few_rows_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from qtemplates.llm import minhash
+    batch = pa.RecordBatch.from_pydict({"key": [b"k"] * 2000, "doc_id": list(range(2000)), "text": ["a b c d e f"] * 2000})
+    held = {}
+
+    class Rows:  # stands for the DataFrame: takes the function
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _schema):
+            held["out"] = list(run([batch]))
+    monkeypatch.setattr(minhash, "content_key", lambda: F.lit(1))
+    minhash.vectors(Rows())
+    assert max(b.num_rows for b in held["out"]) <= minhash._ROWS_AT_ONCE and sum(b.num_rows for b in held["out"]) == 2000
