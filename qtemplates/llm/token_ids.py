@@ -34,7 +34,6 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +52,14 @@ LEVEL = 3
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 8192
 #: Pieces remembered in a worker (as many again of those before), their
 #: longest, characters handled at once.
-_PIECES, _LONG, _CHUNK = 400_000, 100, 1 << 19
-#: New pieces that one call of the tokenizer takes; its working set stays in the cache.
-_CALL = 512
+_PIECES, _LONG, _CHUNK = 600_000, 100, 1 << 19
 _HEAD = struct.Struct("<4s32sBI")
 _CUT = re.compile(r"(?= \S)")
-_DOUBTFUL = re.compile(r" (?:\s|$)|\0")
+#: Words of Latin letters with marks after them, on one line or more: the
+#: byte-level pattern cuts them into just these words, runs of marks and newlines.
+_LETTERS, _MARKS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+", r"[!-&(-/:-@\[-`{-~]+"
+_SIMPLE = re.compile(rf"( ?{_LETTERS})({_MARKS})?((?:\n{_LETTERS}(?:{_MARKS})?)*)")
+_PARTS = re.compile(rf"{_LETTERS}|{_MARKS}|\n")
 
 
 def default_tokenizer() -> str:
@@ -66,49 +67,81 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class _Doubtful(Exception):
+    """A space before white space or the end: no place to cut at."""
+
+
+class _Pieces(dict):
+    """Serialized ids by piece, encoded when first asked for.  A key ``x``
+    stands for `` x``, a key `` x`` for ``x`` without a space before it."""
+
+    def __init__(self, encode, before: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.encode(key)
+        if len(key) <= _LONG:
+            self[key] = ids
+        return ids
+
+
 class Encoder:
     """Serialized ids of texts, remembering pieces between spaces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        from tokenizers import Tokenizer, models, pre_tokenizers
+        self.tokenizer = tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True  # their names in a text are text
+        self.dtype = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
         # pieces met lately, and those of the time before: what is met again moves over
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        # ids that begin with a space (written as U+0120 in byte-level pieces)
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.known = _Pieces(self._encode, {})
+        # words may go to the model itself if nothing but the byte-level pattern comes before it
+        self.model, cut = tok.model, tok.pre_tokenizer
+        self.direct = (isinstance(self.model, models.BPE) and not self.model.dropout and tok.normalizer is None
+                       and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+                       and all(t.special for t in tok.get_added_tokens_decoder().values()))
+        self.serial = [i.to_bytes(self.dtype.itemsize, "little") for i in range(tok.get_vocab_size())]
+        # bytes as byte-level pieces write them: printable ones as they are, others from U+0100 on
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = iter(range(0x100, 0x200))
+        self.shown = [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+    def _word(self, key: str) -> bytes:
+        """Ids of the word that ``key`` stands for."""
+        word = key[1:] if key[0] == " " else " " + key
+        word = word.replace(" ", "Ġ") if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+        return b"".join([self.serial[t.id] for t in self.model.tokenize(word)])
+
+    def _encode(self, key: str) -> bytes:
+        """Ids of the piece that ``key`` stands for."""
+        if not key or (key[0] != " " and key[0].isspace()):
+            raise _Doubtful
+        simple = _SIMPLE.fullmatch(key) if self.direct and len(key) <= _LONG else None
+        if simple is None:
+            text = key[1:] if key[0] == " " else " " + key
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+        word, marks, lines = simple.groups()
+        if lines:
+            return self.known[word] + b"".join([self.known[" " + p] for p in _PARTS.findall(key, len(word))])
+        return self.known[word] + self.known[" " + marks] if marks else self._word(word)
 
     def serialize(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``dtype``."""
-        pieces = [_CUT.split(t) if _DOUBTFUL.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         if len(self.known) > _PIECES:
-            self.before, self.known = self.known, {}
-        known = self.known
-        new = set(chain.from_iterable(pieces)).difference(known)
-        old = [p for p in new if p in self.before]
-        known.update(zip(old, map(self.before.__getitem__, old), strict=True))
-        new.difference_update(old)
-        # a space, then none: many in one call, told apart by their first ids
-        plain = [p for p in new if len(p) > 1 and p[0] == " " and " " not in p[1:] and not p[1].isspace()]
-        for i in range(0, len(plain), _CALL):
-            some = plain[i:i + _CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.dtype.itemsize
-            data = ids.astype(self.dtype).tobytes()
-            known.update(zip(some, (data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
-        rest = [p for p in new if p not in known]
-        for i in range(0, len(rest), 4096):
-            some = rest[i:i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join(map(known.__getitem__, own)) for own in pieces]
-        for p in new:
-            if len(p) > _LONG:
-                del known[p]
+            self.known.before = {}
+            self.known = _Pieces(self._encode, self.known)
+        out, piece = [], self.known.__getitem__
+        for text in texts:
+            first, *more = text.split(" ")
+            try:
+                out.append(piece(" " + first) + b"".join(map(piece, more)))
+            except _Doubtful:
+                first, *more = _CUT.split(text)
+                out.append(piece(" " + first) + b"".join([piece(p[1:]) for p in more]))
         return out
 
 

@@ -241,6 +241,38 @@ def test_token_ids(spark, tmp_path):
     assert found == {r["doc_id"]: r["ids"] for r in rows if r["doc_id"] in (5, 100)}
 
 
+def test_token_ids_word_by_word():
+    encoder = token_ids.Encoder(token_ids.default_tokenizer())
+    texts = ["One two, three.\nFour five's $$$ six$$$ \u0117t\u00e9, na\u00efve\u00d7 stra\u00dfe?!\nX\n\nY", "x" * 300 + " " + "\u00e9" * 90 + ".\nx", "e\u0301 12a a12 a_b (c) d\u00aa \u0436\u0436, don't\nwe're",
+             "", " ", "  two  spaces", "ends ", "\n", "<|endoftext|> a <|endoftext|>,"]
+    rng = np.random.default_rng(3)
+    odd = np.array([*"abcXY ,.'!$\n\t0\u00e9\u00f7\u0117\u0250\u3000\u0085\x1c\x00-_", "  ", " the", "n't", "'s", ".\nIt", "<|endoftext|>"])
+    texts += ["".join(rng.choice(odd, 30)) for _ in range(2000)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+    asked, plain = [], encoder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, some, **more):
+            asked.extend(some)
+            return plain.encode_batch_fast(some, **more)
+    encoder.tokenizer = Counting()
+    assert encoder.serialize(texts) == want and len(asked) > 100
+    asked.clear()
+    words = [f"{a}{b}{c}" for a in ("Qw", "zx", "\u00e9\u00df") for b in "abcdefg" for c in ("", ",", ".\nThe", "$$$")]
+    text = " ".join(words)
+    assert encoder.serialize([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, encoder.dtype).tobytes()
+    assert not [p for p in asked if any(c.isalpha() for c in p)]  # words go to the model itself
+
+
+def test_token_ids_forgetting(monkeypatch):
+    monkeypatch.setattr(token_ids, "_PIECES", 5)
+    encoder = token_ids.Encoder(token_ids.default_tokenizer())
+    for i in range(20):
+        text = f"word again{'b' * i} {'c' * (i % 3)}d, and\nmore"
+        assert encoder.serialize([text])[0] == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, encoder.dtype).tobytes()
+        assert len(encoder.known) + len(encoder.known.before) <= 40 and not getattr(encoder.known.before, "before", None)
+
+
 def test_token_ids_dictionary_and_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     token_ids.write(docs(spark, []), path)
