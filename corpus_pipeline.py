@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from qtemplates.llm import minhash, mixing, pieces, quality, secrets
 from qtemplates.llm.common import table
-from qtemplates.session import checkpoint_dir, ship_package
+from qtemplates.session import checkpoint_dir, ship_package, small_batches
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +31,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each class stays."""
     ship_package(spark)
+    small_batches(spark)
     return minhash.keep_one(docs)
 
 
@@ -43,12 +44,14 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as often as its source's target asks for."""
     ship_package(spark)
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: the documents with their sampled ``pieces``."""
     ship_package(spark)
+    small_batches(spark)
     return pieces.encode(docs)
 
 

@@ -44,6 +44,8 @@ SHARPNESS = 1.0
 SEED = 7
 #: Units and lattice edges remembered in a worker at most.
 _UNITS, _EDGES = 300_000, 6_000_000
+#: Edges that there is room for without copying.
+_ROOM = _EDGES + (_EDGES >> 2)
 #: Characters of text handled at once (a longer text alone).
 _CHUNK = 1 << 19
 #: Units longer than this are not remembered beyond their batch.
@@ -154,13 +156,17 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.high, self.piece, self.back = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.first = np.empty(0, np.int32)  # first edge by node
         self.clear()
 
     def clear(self):
-        self.high, self.piece, self.back = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.known, self.n, self.nodes = {}, 0, 0  # known: numbers of units
         self.zero, self.end = array("q"), array("q")  # first and last node by number
-        self.first = np.empty(1 << 16, np.int32)  # first edge by node
+        for name in ("high", "piece", "back", "first"):
+            old = getattr(self, name)
+            if len(old) != _ROOM:  # kept from then on; pages take memory once they are written
+                setattr(self, name, np.empty(_ROOM, old.dtype))
 
     def add(self, units: list[str]):
         """Give each unit (start node, end node)."""
@@ -330,16 +336,20 @@ def _sampled(documents: DataFrame, model, seed, sharpness, key, columns, out, ch
     path = model or default_model()
     keep = documents.columns if columns is None else columns
     given = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.xxhash64(F.col(key)).alias("seed"), text_or_empty().alias("text"))
+    # a text that is among the columns kept goes to the workers once
+    inside = next((i for i, f in enumerate(given.schema["row"].dataType.fields) if f.name.lower() == "text" and f.dataType == StringType()), None)
+    if inside is not None:
+        given = given.drop("text")
 
     def run(batches):
         from qtemplates.llm import pieces as own  # the worker's memory of units
         lattices = own._lattices(path, sharpness)
         for batch in batches:
-            i, sizes = 0, pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            every_text = batch.column("text") if inside is None else pc.fill_null(batch.column("row").field(inside), "")
+            i, sizes = 0, pc.utf8_length(every_text).to_numpy(zero_copy_only=False)
             while i < batch.num_rows:  # parts of a batch, so that little is held at once
                 j = i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), _CHUNK, "right")))
-                part = batch.slice(i, j - i)
-                texts, i = part.column("text").to_pylist(), j
+                part, texts, i = batch.slice(i, j - i), every_text.slice(i, j - i).to_pylist(), j
                 ids, n = lattices.sample(_seeds(part.column("seed"), seed), texts)
                 ends = np.cumsum(n)
                 cols = [part.column("row"), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))]

@@ -109,3 +109,41 @@ def test_run_on_empty_tables(spark, corpus, tmp_path):
         spark.read.parquet(f"{corpus}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and out.columns[-1] == "pieces"
+
+
+def test_pieces_sends_each_text_once(spark):
+    """A kept text goes to the workers inside its row only; names in other case and nulls as before."""
+    rows = [(i, t) for i, t in enumerate(["one two", None, "", "caf\u00e9 \u2581 x", "word " * 300])] + [(None, "one two")]
+    want = {(r["doc_id"], tuple(r["pieces"])) for r in pieces.encode_checked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for names in ("doc_id long, text string", "doc_id long, Text string"):
+        d = spark.createDataFrame(rows, names)
+        out = pieces.encode(d)
+        assert out.columns == [*d.columns, "pieces"]
+        assert {(r[0], tuple(r["pieces"])) for r in out.collect()} == want
+        assert sorted(out.select(*d.columns).collect(), key=str) == sorted(d.collect(), key=str)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("coalesce(") == 0  # no second copy beside the row
+
+
+def test_lattices_keep_their_room(monkeypatch):
+    lattices = pieces.Lattices(pieces.Vocabulary(pieces.default_model(), 1.0))
+    monkeypatch.setattr(pieces, "_UNITS", 3)
+    seeds, texts = np.array([1], np.uint64), [["some words here"], ["others come later, more"], ["some words here"]]
+    high, drawn = lattices.high, [lattices.sample(seeds, t)[0].tolist() for t in texts]
+    assert lattices.high is high and drawn[0] == drawn[2]  # forgotten units are written over, not copied
+    monkeypatch.setattr(pieces, "_ROOM", 4)
+    few = pieces.Lattices(lattices.v)
+    assert [few.sample(seeds, t)[0].tolist() for t in texts] == drawn
+
+
+def test_small_batches(spark):
+    from qtemplates.session import small_batches
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    try:
+        for asked, then in (("10000", "1000"), ("77", "77")):
+            spark.conf.set(key, asked)
+            small_batches(spark)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
