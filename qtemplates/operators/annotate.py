@@ -95,13 +95,17 @@ LETTERS = {"ADP": "A", "CCONJ": "C", "DET": "D", "ADJ": "J", "NUM": "M", "NOUN":
 _LISTED_VERB = "W"
 
 
+#: Noun chunks and predicate islands in a text's tags.
+CHUNK_TAGS = "D[JMNO]*[NO]|(?<![DJMNO])[JMNO]*[NO]"
+ISLAND_TAGS = "(?<![VP])(?:[VP]++[JR]*+A|[VP]*V)"
+
 #: Suffixes of a word's tag by form, in the order in which they count.
 ADV_ENDS = ["ly"]
 ADJ_ENDS = ["al", "ive", "ous", "able", "ible", "ful", "ic"]
 VERB_ENDS = ["ing", "ed", "ize", "ise"]
 
 
-def _listed() -> dict[str, str]:
+def default_letters() -> dict[str, str]:
     """The letter of every listed word."""
     out: dict[str, str] = {}
     for words, tag in [(DET, "DET"), (ADP, "ADP"), (PART, "PART"), (AUX, "AUX"), (PRON, "PRON"), (CCONJ, "CCONJ"), (SCONJ, "SCONJ")]:
@@ -128,7 +132,7 @@ def letters_of(words: Column, listed: dict[str, str] | None = None) -> Column:
     One lambda over the tokens: the listed words are one hash lookup, the
     suffixes comparisons of bytes; regular expressions run only on tokens that
     begin like a marker or with something else than a-z."""
-    own = _listed() if listed is None else listed
+    own = default_letters() if listed is None else listed
     groups: dict[str, list[str]] = {}
     for w, c in own.items():
         groups.setdefault(c, []).append(w)
@@ -222,7 +226,7 @@ def tag_spans(tags: Column, pattern: str) -> Column:
 def noun_chunks(tags: Column) -> Column:
     """Default noun chunks: ``DET? (ADJ|NUM|NOUN|PROPN)*`` runs cut after
     their last NOUN/PROPN (a run without one yields no chunk)."""
-    spans = tag_spans(tags, "D[JMNO]*[NO]|(?<![DJMNO])[JMNO]*[NO]")
+    spans = tag_spans(tags, CHUNK_TAGS)
     return F.transform(spans, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end")))
 
 

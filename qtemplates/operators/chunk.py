@@ -1,10 +1,11 @@
 """Template extraction: entity chunks -> ``EC<n>``, predicate chunks -> ``PC<n>``
 (C1-C10, P1-P6, T1-T4).
 
-Each question is independent, so the whole extraction is row-local Column
-work over the annotation arrays (higher-order functions ``transform``,
-``filter``, ``aggregate``): no shuffle, no Python worker with the default
-annotator.  Spans are spliced in text order, overlaps dropped, markers
+Each question is independent, so the whole extraction is row-local and needs
+no shuffle.  With the default annotator or a small lexicon table a text goes
+through ``extract.Extractor`` in a Python worker; the tokens of any other
+annotator are worked on as Columns (higher-order functions ``transform``,
+``filter``, ``aggregate``) by the steps of this module.  Spans are spliced in text order, overlaps dropped, markers
 numbered in text order; a predicate chunk's detached auxiliary shares its
 number, and ``the thing`` inside a longer chunk takes two numbers.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from qtemplates.functions.prefix import prefix_end, starter_flags
 from qtemplates.functions.text import py_strip
-from qtemplates.operators.annotate import annotate as lexicon_annotate
-from qtemplates.operators.annotate import let, tag_spans, tags_of
+from qtemplates.operators.annotate import ISLAND_TAGS, default_letters, let, tag_spans, tags_of
+from qtemplates.operators.extract import extracted
 from qtemplates.session import cut_lineage
 from qtemplates.sources.io import DEFAULT_PREFIXES
 
@@ -240,7 +241,7 @@ def pc_islands(tokens: Column, tags: Column | None = None) -> Column:
     An island is a maximal run of PART|VERB.  Followed by ADJ/ADV+ then ADP,
     or directly by ADP, the span runs through the ADP; otherwise it ends at
     the island's last VERB (none -> no span).  One span per island."""
-    spans = tag_spans(tags_of(tokens) if tags is None else tags, "(?<![VP])(?:[VP]++[JR]*+A|[VP]*V)")
+    spans = tag_spans(tags_of(tokens) if tags is None else tags, ISLAND_TAGS)
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (x["e"] - 1).cast("int").alias("e")))
 
 
@@ -379,22 +380,26 @@ def collapse_spans(tokens: Column, kept: Column) -> Column:
 
 
 def _annotated(df: DataFrame, text_col: str, tok: str, ch: str, tags: str, annotator) -> DataFrame:
-    if annotator is None:
-        return lexicon_annotate(df, text_col, tok, ch, tags)
     out = annotator(df, text_col, tok, ch)
     return out.withColumn(tags, tags_of(F.col(tok)))
 
 
-def extract_template_with_mapping(df: DataFrame, q_col: str = "research_question", profile: str = "mapping",
-                                  prefixes: Sequence[str] | None = None, annotator=None,
-                                  reannotate: bool = True) -> DataFrame:
-    """T2 (and T1 with ``profile='fast'``): adds ``templated_question`` and
-    ``mapping`` (MAP marker -> chunk text).  ``annotator(df, text_col,
-    tokens_col, chunks_col)`` defaults to the lexicon tagger; it is applied to
-    the question and again to the entity-marked text, or, with
-    ``reannotate=False``, the second annotation is the first with the entity
-    spans collapsed into marker tokens (``collapse_spans``)."""
+def _word_list(annotator) -> dict[str, str] | None:
+    """The listed words of an annotator that is the default tagger with those
+    words, else None."""
+    if annotator is None:
+        return default_letters()
+    listed = getattr(annotator, "listed", None)
+    return listed() if listed else None
+
+
+def _extracted(df: DataFrame, q_col: str, profile: str, prefixes: Sequence[str] | None, annotator, reannotate: bool, mapping: bool) -> DataFrame:
     prefixes = list(prefixes) if prefixes is not None else list(DEFAULT_PREFIXES)
+    lists = _profile_lists(profile)
+    listed = _word_list(annotator)
+    if listed is not None:
+        x = df.withColumn("_x", extracted(py_strip(q_col), listed, prefixes, lists, reannotate, mapping)).withColumn("templated_question", F.col("_x.text"))
+        return (x.withColumn("mapping", F.col("_x.map")) if mapping else x).drop("_x")
     x = df.withColumn("_q", py_strip(q_col))
     x = _annotated(x, "_q", "_t1", "_c1", "_g1", annotator)
     x = x.withColumn("_ec", splice(F.col("_q"), ec_spans(F.col("_q"), F.col("_t1"), F.col("_c1"),
@@ -406,15 +411,28 @@ def extract_template_with_mapping(df: DataFrame, q_col: str = "research_question
         x = x.withColumn("_t2", collapse_spans(F.col("_t1"), F.col("_ec.kept"))).withColumn("_c2", F.lit(None)).withColumn("_g2", tags_of(F.col("_t2")))
     x = x.withColumn("_pc", splice(F.col("_q2"), pc_spans(F.col("_q2"), F.col("_t2"),
                                                             prefix_end(F.col("_q2"), prefixes, stripped=True), profile, F.col("_g2")), "PC", False))
-    x = x.withColumn("templated_question", F.col("_pc.text")) \
-         .withColumn("mapping", F.map_concat(F.col("_ec.map"), F.col("_pc.map")))
+    x = x.withColumn("templated_question", F.col("_pc.text"))
+    if mapping:
+        x = x.withColumn("mapping", F.map_concat(F.col("_ec.map"), F.col("_pc.map")))
     return x.drop("_q", "_t1", "_c1", "_g1", "_ec", "_q2", "_t2", "_c2", "_g2", "_pc")
 
 
+def extract_template_with_mapping(df: DataFrame, q_col: str = "research_question", profile: str = "mapping",
+                                  prefixes: Sequence[str] | None = None, annotator=None,
+                                  reannotate: bool = True) -> DataFrame:
+    """T2 (and T1 with ``profile='fast'``): adds ``templated_question`` and
+    ``mapping`` (MAP marker -> chunk text).  ``annotator(df, text_col,
+    tokens_col, chunks_col)`` defaults to the lexicon tagger; it is applied to
+    the question and again to the entity-marked text, or, with
+    ``reannotate=False``, the second annotation is the first with the entity
+    spans collapsed into marker tokens (``collapse_spans``)."""
+    return _extracted(df, q_col, profile, prefixes, annotator, reannotate, True)
+
+
 def extract_template(df: DataFrame, q_col: str = "research_question", prefixes=None, annotator=None,
                      reannotate: bool = True) -> DataFrame:
-    """Template only, fast profile (the map column is pruned away)."""
-    return extract_template_with_mapping(df, q_col, "fast", prefixes, annotator, reannotate).drop("mapping")
+    """Template only, fast profile."""
+    return _extracted(df, q_col, "fast", prefixes, annotator, reannotate, False)
 
 
 def expand_markers(df: DataFrame, ec: int = 5, pc: int = 2, map_col: str = "mapping") -> DataFrame:

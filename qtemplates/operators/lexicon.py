@@ -98,7 +98,9 @@ def _joined(df: DataFrame, text_col: str, words: DataFrame, tokens_col: str, chu
 
 
 def lexicon_annotator(lexicon: DataFrame):
-    """An annotator for ``extract_template`` and its kin."""
+    """An annotator for ``extract_template`` and its kin, which ask it for
+    ``listed``: the letters of the lexicon's words if they are few, else None."""
     def annotate(df: DataFrame, text_col: str, tokens_col: str, chunks_col: str) -> DataFrame:
         return annotate_with_lexicon(df, text_col, lexicon, tokens_col, chunks_col)
+    annotate.listed = lambda: _inlined(_letters(lexicon))
     return annotate
