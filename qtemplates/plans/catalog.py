@@ -1002,13 +1002,18 @@ formed AS (SELECT doc_id, line_no, unnest(['C7', 'C8', 'C9a', 'C9v']) AS form,
 src AS (SELECT DISTINCT md5(q) AS k, q FROM formed)""").rstrip() + ",\n" + XS.templates("src", "mapping", ("thing",))
 
 
-def _forms(spark, sf) -> DataFrame:
+def _worded(spark, sf) -> DataFrame:
+    """doc_id, line_no, q and w, the first word in lower case, of every line with a word."""
+    return _questions(spark, sf).withColumn("w", F.lower(F.regexp_extract("q", r"\p{L}+", 0))).filter("w <> ''")
+
+
+def _forms(rows: DataFrame) -> DataFrame:
+    """q, form and the question of that form for every row."""
     q, w = F.col("q"), F.col("w")
     made = {"C7": F.concat(F.lit("How "), w, F.lit("al "), w, F.lit("ing "), q, F.lit("?")), "C8": F.concat(F.lit("Is the thing "), q, F.lit("?")),
             "C9a": F.concat(q, F.lit(" "), w, F.lit("ly?")), "C9v": F.concat(q, F.lit(" are "), w, F.lit("ed?"))}
-    rows = _questions(spark, sf).withColumn("w", F.lower(F.regexp_extract("q", r"\p{L}+", 0))).filter("w <> ''")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("research_question")) for k, v in made.items()]))
-    return rows.select("doc_id", "line_no", each.alias("x")).select("doc_id", "line_no", "x.*")
+    return rows.select("q", each.alias("x")).select("q", "x.*")
 
 
 @query("question_rules", sql=_FORMS_SQL + """
@@ -1018,10 +1023,11 @@ def q_question_rules(spark, sf):
     """C7, C8 and C9 on questions made of every line, with a lexicon that
     knows "thing" as a noun."""
     words = LX.extend_lexicon(LX.default_lexicon(spark), spark.createDataFrame([("thing", "NOUN", False)], LX.SCHEMA))
-    forms = _forms(spark, sf)
-    made = CH.extract_template_with_mapping(forms.select("research_question").distinct(), annotator=LX.lexicon_annotator(words))
-    made = cut_lineage(made.select("research_question", "templated_question", _map_text().alias("mapping")), "rules")
-    return forms.join(made, "research_question").select("doc_id", "line_no", "form", "templated_question", "mapping")
+    lines = _worded(spark, sf)
+    # copies of a line collapse before its questions are made, and lines, not questions, meet the templates
+    made = CH.extract_template_with_mapping(_forms(lines.select("q", "w").distinct()), annotator=LX.lexicon_annotator(words))
+    made = cut_lineage(made.select("q", "form", "templated_question", _map_text().alias("mapping")), "rules")
+    return lines.select("doc_id", "line_no", "q").join(made, "q").select("doc_id", "line_no", "form", "templated_question", "mapping")
 
 
 def _chain(spark, sf) -> DataFrame:

@@ -68,3 +68,14 @@ def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(X, "_REMEMBERED", 5)
     letters = X._Letters(A.default_letters())
     assert "".join(letters[f"w{i}"] for i in range(40)) == "N" * 40 and len(letters) <= 5 and letters["the"] == "D"
+
+
+def test_lines_meet_the_templates_of_their_questions(spark, tmp_path):
+    """Four questions a line are made of distinct lines; only lines are joined."""
+    rows = [(1, "en", "Speed is new\nSpeed is new\n12\n"), (1, "en", "Speed is new"), (None, "en", "we go"), (2, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["question_rules"](spark, str(tmp_path))
+    assert _plan(df).count("Generate ") == 1  # that of the lines
+    got = sorted((r.doc_id or 0, r.line_no, r.form) for r in df.collect())
+    lines = [(1, 0), (1, 0), (1, 1), (0, 0)]
+    assert got == sorted((d, n, f) for d, n in lines for f in ("C7", "C8", "C9a", "C9v"))
