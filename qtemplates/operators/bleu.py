@@ -18,12 +18,15 @@ shorter); brevity penalty 1 if L > R else exp(1 - R / L).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qtemplates.functions.text import py_split, py_strip
-from qtemplates.operators.best_bleu import EPS, MAX_N, occurrences, shared, side
+from qtemplates.operators.best_bleu import EPS, MAX_N, side
 from qtemplates.session import cut_lineage
 
 # slack for float rounding when comparing an upper bound with a seed score
@@ -189,16 +192,63 @@ def average_bleu(best: DataFrame) -> DataFrame:
     return best.agg(F.coalesce(F.sum(F.col("bleu") * F.col("mult")) / F.sum("mult"), F.lit(0.0)).alias("average_bleu"))
 
 
+def gram_counts(templates: DataFrame) -> DataFrame:
+    """n, h (hash), c and mult of the 1..4-grams of every template of ``side``;
+    a template's n-grams meet in its row, so they are counted there, a batch
+    of token hashes at once, and not in a shuffle."""
+    def run(batches: Iterable):
+        from qtemplates.operators import bleu as mod   # the worker's module, not a pickled copy
+        for batch in batches:
+            yield from mod._counted(batch)
+    return templates.select("mult", F.transform("toks", lambda w: F.xxhash64(w)).alias("w")).mapInArrow(run, "n int, h long, c long, mult long")
+
+
+#: Tokens whose n-grams are counted at once (a longer template alone).
+_TOKENS = 1 << 17
+
+
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Counted n-grams of the templates of a batch, some templates at once."""
+    lists, mult = batch.column("w"), batch.column("mult").to_numpy(zero_copy_only=False)
+    ends = lists.offsets.to_numpy()
+    tokens, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), ends.astype(np.int64)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + _TOKENS, "right")) - 1)
+        w = tokens[ends[i]:ends[j]]
+        row = np.repeat(np.arange(i, j), np.diff(ends[i:j + 1]))
+        h = w
+        for n in range(1, MAX_N + 1):
+            if n > 1:
+                h = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[n - 1:])
+            if not len(h):
+                break
+            whole = row[:len(h)] == row[n - 1:]
+            g, r = h[whole], row[:len(h)][whole]
+            order = np.argsort(g, kind="stable")  # rows of one n-gram stay in order
+            g, r = g[order], r[order]
+            first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (r[1:] != r[:-1]))))[:len(g)]
+            yield pa.RecordBatch.from_arrays([np.full(len(first), n, np.int32), g[first].view(np.int64), np.diff(first, append=len(g)), mult[r[first]]], ["n", "h", "c", "mult"])
+        i = j
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit finalizer of SplitMix."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def corpus_bleu(train: DataFrame, test: DataFrame, train_col: str = "template",
                 test_col: str | None = None) -> DataFrame:
     """Corpus BLEU, every train template a reference of every test
     template.  One row: corpus_bleu (0.0 when a side is empty)."""
-    # each side once; n-grams (hashed) that no reference has go before the shuffle
+    # each side once; n-grams (hashed) that no reference has go in the join
     te, tr = side(test, test_col or train_col, "bleu-test"), side(train, train_col, "bleu-train")
-    refs = cut_lineage(occurrences(tr).groupBy("id", "n", "h").agg(F.count(F.lit(1)).alias("c")), "bleu-refs")
     # hits of every hypothesis, clipped to the most that one reference has
-    num = (shared(te, refs).groupBy("id", "n").agg(F.sum("c").alias("hits")).join(te.select("id", "mult"), "id")
-           .groupBy("n").agg(F.sum(F.col("hits") * F.col("mult")).alias("num")))
+    most = gram_counts(tr).groupBy("n", "h").agg(F.max("c").alias("most"))
+    num = (gram_counts(te).join(most, ["n", "h"])
+           .groupBy("n").agg(F.sum(F.least("c", "most") * F.col("mult")).alias("num")))
     # lengths: hypothesis length histogram and closest reference length
     hl = te.groupBy(F.col("len").alias("L")).agg(F.sum("mult").alias("w"))
     rl = tr.select(F.col("len").alias("R")).distinct()

@@ -120,3 +120,28 @@ def test_shingles_of_a_few_rows_at_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "content_key", lambda: F.lit(1))
     minhash.vectors(Rows())
     assert max(b.num_rows for b in held["out"]) <= minhash._ROWS_AT_ONCE and sum(b.num_rows for b in held["out"]) == 2000
+
+
+def test_grams_are_counted_in_their_row(spark):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from qtemplates.operators import bleu as B
+    texts = ["a b a b a", "a", "b a b a", " ".join("abcde"[i * i % 5] for i in range(70_000)), "c", " ".join(f"w{i}" for i in range(70_000))]
+    hashes = {w: hash(w) % (1 << 62) for t in texts for w in t.split()}
+    batch = pa.RecordBatch.from_pydict({"mult": pa.array(range(1, 8), pa.int64()), "w": pa.array([[]] + [[hashes[w] for w in t.split()] for t in texts], pa.list_(pa.int64()))})
+    parts = list(B._counted(batch))
+    got = Counter((r["mult"], r["n"], r["c"]) for p in parts for r in p.to_pylist())
+    want = Counter()
+    for i, t in enumerate(texts):
+        w = t.split()
+        for n in range(1, 5):
+            for c in Counter(tuple(w[k:k + n]) for k in range(len(w) - n + 1)).values():
+                want[i + 2, n, c] += 1
+    assert got == want and len(parts) >= 8  # in slices
+    # equal n-grams of different templates have one hash
+    two = [{r["h"] for r in p.to_pylist() if r["mult"] in (2, 4) and r["n"] == 2} for p in B._counted(batch)]
+    assert max(map(len, two)) == 2
+    df = B.gram_counts(spark.createDataFrame([(1, ["a", "b", "a"])], "mult long, toks array<string>"))
+    assert "Aggregate" not in _plan(df) and sorted((r["n"], r["c"]) for r in df.collect()) == [(1, 1), (1, 2), (2, 1), (2, 1), (3, 1)]
