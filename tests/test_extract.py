@@ -79,3 +79,12 @@ def test_lines_meet_the_templates_of_their_questions(spark, tmp_path):
     got = sorted((r.doc_id or 0, r.line_no, r.form) for r in df.collect())
     lines = [(1, 0), (1, 0), (1, 1), (0, 0)]
     assert got == sorted((d, n, f) for d, n in lines for f in ("C7", "C8", "C9a", "C9v"))
+
+
+@pytest.mark.parametrize("name", ["question_rules", "chain_chunks", "chain_corpus_bleu", "chain_coverage", "templates_in_order", "write_templates_roundtrip", "templates_from_questions"])
+def test_chains_extract_by_word_lists(spark, tmp_path, monkeypatch, name):
+    def columns(*_):
+        raise AssertionError("extraction as Columns")
+    monkeypatch.setattr(CH, "ec_spans", columns)
+    spark.createDataFrame([(i, "en", f"How does the parser improve speed {i}?\nWe go") for i in range(4)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() >= 1
